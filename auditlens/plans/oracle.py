@@ -193,3 +193,55 @@ def fieldwise_sql() -> str:
 
 def macro_accuracy_sql() -> str:
     return f"SELECT coalesce(avg(accuracy), 0.0) AS macro_accuracy FROM ({summary_statistics_sql()})"
+
+
+# --- id restoration ----------------------------------------------------------------
+def _restore_ctes() -> str:
+    toks = ", ".join(q(t) for t in K.NULLS_RESTORE)
+    return (
+        "calls AS (SELECT CAST(l_orderkey AS VARCHAR) AS call_id, CAST(l_partkey AS VARCHAR) AS seller, "
+        "CAST(l_suppkey AS VARCHAR) AS caller FROM lineitem), "
+        "valid AS (SELECT trim(coalesce(seller, '')) AS s, trim(coalesce(caller, '')) AS c, "
+        "trim(coalesce(call_id, '')) AS id FROM calls), "
+        "lookup AS (SELECT s AS seller, c AS caller, min(id) AS call_id FROM valid "
+        "WHERE s <> '' AND c <> '' AND id <> '' GROUP BY s, c HAVING count(*) = 1), "
+        f"audit AS (SELECT CASE WHEN l_returnflag = 'R' THEN {pick(D.MISSING_ID_FORMS, 'l_linenumber + l_suppkey')} "
+        "ELSE CAST(l_orderkey AS VARCHAR) END AS call_id, ' ' || CAST(l_partkey AS VARCHAR) AS seller, "
+        "CAST(l_suppkey AS VARCHAR) AS caller, l_linenumber AS line, l_partkey AS part FROM lineitem), "
+        f"flag AS (SELECT *, (call_id IS NULL OR trim(call_id) IN ({toks})) AS id_missing FROM audit), "
+        "restored AS (SELECT CASE WHEN f.id_missing AND l.call_id IS NOT NULL THEN l.call_id ELSE f.call_id END "
+        "AS call_id, f.seller AS seller_glid, f.caller AS caller_glid, f.line, f.part, f.id_missing, "
+        "(f.id_missing AND l.call_id IS NOT NULL) AS id_restored FROM flag f LEFT JOIN lookup l "
+        "ON f.id_missing AND trim(f.seller) = l.seller AND trim(f.caller) = l.caller)")
+
+
+def restore_lookup_sql() -> str:
+    return f"WITH {_restore_ctes()} SELECT seller, caller, call_id FROM lookup"
+
+
+def restore_ids_sql() -> str:
+    return f"WITH {_restore_ctes()} SELECT * FROM restored"
+
+
+def restore_counters_sql() -> str:
+    return (f"WITH {_restore_ctes()}, agg AS (SELECT count(*) AS total_rows, "
+            "count(*) FILTER (WHERE id_missing) AS missing_before, "
+            "count(*) FILTER (WHERE id_restored) AS restored FROM restored) "
+            "SELECT metric, value FROM (SELECT total_rows, missing_before, restored, "
+            "missing_before - restored AS still_missing FROM agg) "
+            "UNPIVOT (value FOR metric IN (total_rows, missing_before, restored, still_missing))")
+
+
+# --- first / last row per key ------------------------------------------------------
+DEDUPE_COLS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag"
+
+
+def row_per_key_sql(last: bool) -> str:
+    d = "DESC" if last else "ASC"
+    return (f"SELECT {DEDUPE_COLS} FROM (SELECT {DEDUPE_COLS}, row_number() OVER (PARTITION BY l_orderkey "
+            f"ORDER BY l_linenumber {d}, l_partkey {d}, l_suppkey {d}) AS rn FROM lineitem) WHERE rn = 1")
+
+
+def dup_counts_sql() -> str:
+    return ("SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS distinct_keys, "
+            "count(*) - count(DISTINCT l_orderkey) AS duplicates FROM lineitem")

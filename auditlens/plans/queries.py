@@ -5,6 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from auditlens.operators import dedupe as DD
+from auditlens.operators import restore as R
 from auditlens.plans import audit_job as AJ
 from auditlens.plans import driver_tables as D
 from auditlens.plans import oracle as O
@@ -54,6 +58,45 @@ def audit_macro_accuracy(spark, sf_dir):
     return _audit(spark, sf_dir)["macro_accuracy"]
 
 
+def _restored(spark, sf_dir):
+    calls, audit = D.restore_inputs(spark, sf_dir)
+    return calls, R.restore_ids(audit, calls)
+
+
+def restore_lookup(spark, sf_dir):
+    calls, _ = D.restore_inputs(spark, sf_dir)
+    return R.unique_pair_lookup(calls)
+
+
+def restore_ids(spark, sf_dir):
+    _, out = _restored(spark, sf_dir)
+    return out.select(F.col("Call ID").alias("call_id"), F.col("Seller GLID").alias("seller_glid"),
+                      F.col("Caller GLID").alias("caller_glid"), "line", "part", "id_missing", "id_restored")
+
+
+def restore_counters(spark, sf_dir):
+    _, out = _restored(spark, sf_dir)
+    return R.restore_counters(out)
+
+
+DEDUPE_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+               "l_returnflag"]
+
+
+def first_row_wins(spark, sf_dir):
+    li = D.read(spark, sf_dir, "lineitem").select(*DEDUPE_COLS)
+    return DD.first_per_key(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"]).select(*DEDUPE_COLS)
+
+
+def last_row_wins(spark, sf_dir):
+    li = D.read(spark, sf_dir, "lineitem").select(*DEDUPE_COLS)
+    return DD.last_per_key(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"]).select(*DEDUPE_COLS)
+
+
+def dup_counts(spark, sf_dir):
+    return DD.duplicate_count(D.read(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
 QUERIES = {
     "audit_summary_ai": audit_summary_ai,
     "audit_summary_manual": audit_summary_manual,
@@ -65,6 +108,12 @@ QUERIES = {
     "audit_value_comparison": audit_value_comparison,
     "audit_summary_statistics": audit_summary_statistics,
     "audit_macro_accuracy": audit_macro_accuracy,
+    "restore_lookup": restore_lookup,
+    "restore_ids": restore_ids,
+    "restore_counters": restore_counters,
+    "first_row_wins": first_row_wins,
+    "last_row_wins": last_row_wins,
+    "dup_counts": dup_counts,
 }
 
 
@@ -80,4 +129,10 @@ def oracle_sql() -> dict[str, str]:
         "audit_value_comparison": O.value_comparison_sql(),
         "audit_summary_statistics": O.summary_statistics_sql(),
         "audit_macro_accuracy": O.macro_accuracy_sql(),
+        "restore_lookup": O.restore_lookup_sql(),
+        "restore_ids": O.restore_ids_sql(),
+        "restore_counters": O.restore_counters_sql(),
+        "first_row_wins": O.row_per_key_sql(last=False),
+        "last_row_wins": O.row_per_key_sql(last=True),
+        "dup_counts": O.dup_counts_sql(),
     }
