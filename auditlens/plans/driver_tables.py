@@ -89,3 +89,105 @@ def restore_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         F.col("l_partkey").alias("part"),
     )
     return calls, audit
+
+
+# --- model health: every event is one probe of a model --------------------------
+MODEL_FAMILIES = ["openai/gpt-mini", "google/text-embedding", "acme/Vision-Pro", "meta/llama-chat",
+                  "acme/whisper-large", "cohere/Rerank-v2", "qwen/chat", "black/FLUX-dev", "mistral/small"]
+PROBE_ERROR_STATUS = [401, 403, 429, 504, 400, 500, 502]
+PROBE_MESSAGES = ["Authentication Error: invalid api_key", "Permission denied: forbidden for this team",
+                  "Rate limit exceeded, retry later", "upstream request timeout",
+                  "Invalid request: unknown parameter max_tokens", "model is overloaded",
+                  "model crashed: " + "stack frame; " * 45]
+PROBE_EXCEPTION = "ReadTimeout: read timed out (read timeout=25)"
+
+
+def _pick_int(values, idx: Column) -> Column:
+    arr = F.array(*[F.lit(v) for v in values])
+    return F.element_at(arr, (idx % len(values) + 1).cast("int"))
+
+
+def probe_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read(spark, sf_dir, "events")
+    et, eid, uid = F.col("event_type"), F.col("event_id"), F.col("user_id")
+    status = (F.when(et == "error", _pick_int(PROBE_ERROR_STATUS, eid))
+              .when((et == "signup") & (F.col("value") < 25), F.lit(None).cast("int"))
+              .otherwise(F.lit(200)))
+    body = (F.when(status == 200, F.lit('{"choices": []}'))
+            .when(status == 502, F.lit("Bad gateway <html>"))
+            .when(status.isNotNull(), F.concat(F.lit('{"error": {"message": "'),
+                                               _pick(PROBE_MESSAGES, eid + uid), F.lit('"}}'))))
+    return ev.select(
+        F.concat(_pick(MODEL_FAMILIES, uid), F.lit("-"), uid.cast("string")).alias("model"),
+        status.alias("http_status"), body.alias("body"),
+        F.when(status.isNull(), F.lit(PROBE_EXCEPTION)).alias("exception"),
+        F.col("ts"), eid.alias("event_id"))
+
+
+# --- prompt benchmark ------------------------------------------------------------
+# Model dimension: (id, display name, input / output USD per million tokens).
+DEFAULT_MODELS = [
+    ("alpha-lite", "Alpha Lite", 0.075, 0.30),
+    ("alpha-flash", "Alpha Flash", 0.075, 0.30),
+    ("beta-nano", "Beta Nano", 0.15, 0.60),
+    ("beta-mini", "Beta Mini", 0.30, 1.20),
+    ("gamma-26b", "Gamma 26B", 0.20, 0.80),
+]
+MODEL_IDS = [m[0] for m in DEFAULT_MODELS]
+
+SYSTEM_TEMPLATE = ("You are {{seller_name}} of {{seller_company}}. Answer as the seller, briefly and in the "
+                   "buyer's language.")
+USER_TEMPLATE = ("Seller: {{seller_detail}}\nProduct: {{prdDetail}}\nEarlier: {{convintronew}}\n"
+                 "Now: {{origConvDetail}}\n\nWrite {{seller_name}}'s next reply to {{buyer_name}}.")
+
+
+def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is one model answer: five consecutive events form one input row."""
+    ev = read(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    ok = F.col("event_type") != "error"
+    k = F.get_json_object(F.col("props"), "$.k").cast("long")
+    has_usage = ok & (F.col("event_type") != "view")
+    pt = F.when(has_usage, k * 10 + 50)
+    ct = F.when(has_usage, k + 5)
+    return ev.select(
+        F.expr("event_id div 5").alias("row_id"),
+        _pick(MODEL_IDS, eid).alias("model"),
+        F.when(ok, F.concat(F.lit("Response: "), F.col("event_type"), F.lit(" "), k.cast("string")))
+        .otherwise(F.lit(K.ERROR_RESPONSE)).alias("response"),
+        (F.col("value") / 100.0).alias("latency"),
+        pt.alias("prompt_tokens"), ct.alias("completion_tokens"), (pt + ct).alias("total_tokens"),
+        F.when(ok, F.lit(K.SUCCESS_STATUS)).otherwise(F.lit(K.FAILED_STATUS)).alias("status"),
+    )
+
+
+def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input rows of the benchmark: every user turn of a conversation, with the
+    previous turn as past conversation, the customer of the same number as seller
+    and the part of the same number as product."""
+    conv = read(spark, sf_dir, "conversations")
+    cust = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    prev = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("past"))
+    users = conv.filter(F.col("role") == "user")
+    seller = cust.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    nk = F.col("c_nationkey") % 3
+    details = (F.when(nk == 0, F.concat(F.lit("Name="), F.regexp_replace("c_name", "#", " "),
+                                        F.lit(" Company="), F.col("c_mktsegment"), F.lit(" City="), F.col("n_name")))
+               .when(nk == 1, F.concat(F.lit("Company="), F.col("c_mktsegment"), F.lit(" | City="), F.col("n_name")))
+               .otherwise(F.concat(F.lit("Name="), F.col("c_name"), F.lit(" Company="), F.col("c_mktsegment"))))
+    first_word = F.split(F.col("text"), " ").getItem(0)
+    ongoing = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Hello, a buyer named "), first_word, F.lit(" from "),
+                                                      F.coalesce(F.col("n_name"), F.lit("")), F.lit(". "),
+                                                      F.col("text"))).otherwise(F.col("text"))
+    j = (users.join(prev, ["conv_id", "turn"], "left")
+         .join(seller, F.col("conv_id") == F.col("c_custkey"), "left")
+         .join(part, F.col("conv_id") == F.col("p_partkey"), "left"))
+    return j.select(
+        "conv_id", "turn",
+        details.alias("User Details"),
+        F.concat(F.lit("Product="), F.col("p_name"), F.lit(" Type="), F.col("p_type")).alias("Product Details"),
+        F.col("past").alias("Past Conversation"),
+        ongoing.alias("Ongoing Conversation"),
+    )

@@ -245,3 +245,114 @@ def row_per_key_sql(last: bool) -> str:
 def dup_counts_sql() -> str:
     return ("SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS distinct_keys, "
             "count(*) - count(DISTINCT l_orderkey) AS duplicates FROM lineitem")
+
+
+# --- model health ------------------------------------------------------------------
+def _probe_ctes() -> str:
+    status = (f"CASE WHEN event_type = 'error' THEN ({'[' + ', '.join(str(s) for s in D.PROBE_ERROR_STATUS) + ']'})"
+              f"[(event_id % {len(D.PROBE_ERROR_STATUS)}) + 1] "
+              "WHEN event_type = 'signup' AND value < 25 THEN NULL ELSE 200 END")
+    skip = "|".join(K.SKIP_MODEL_KEYWORDS)
+    rules = " ".join(f"WHEN {' OR '.join(f'contains(lower(err), {q(t)})' for t in toks)} THEN {q(label)}"
+                     for label, toks in K.ERROR_CLASS_RULES)
+    return (
+        f"p0 AS (SELECT {pick(D.MODEL_FAMILIES, 'user_id')} || '-' || CAST(user_id AS VARCHAR) AS model, "
+        f"{status} AS http_status, event_id, user_id, ts FROM events), "
+        "p AS (SELECT model, http_status, CASE WHEN http_status = 200 THEN '{\"choices\": []}' "
+        "WHEN http_status = 502 THEN 'Bad gateway <html>' WHEN http_status IS NOT NULL THEN "
+        f"'{{\"error\": {{\"message\": \"' || {pick(D.PROBE_MESSAGES, 'event_id + user_id')} || '\"}}}}' END AS body, "
+        f"CASE WHEN http_status IS NULL THEN {q(D.PROBE_EXCEPTION)} END AS exception, ts, event_id FROM p0), "
+        "latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model "
+        "ORDER BY ts DESC, event_id DESC) AS rn FROM p) WHERE rn = 1), "
+        "e AS (SELECT model, http_status, CASE WHEN http_status IS NULL THEN exception ELSE coalesce("
+        "CASE WHEN json_valid(body) THEN json_extract_string(body, '$.error.message') END, body) END AS err "
+        f"FROM latest WHERE NOT regexp_matches(lower(model), {q(skip)})), "
+        "o AS (SELECT model, CASE WHEN http_status = 200 THEN 'Healthy' ELSE 'Broken' END AS status, "
+        f"CASE WHEN http_status = 200 THEN '' ELSE CASE {rules} ELSE {q(K.ERROR_CLASS_DEFAULT)} END END AS error_type, "
+        f"CASE WHEN http_status = 200 THEN '' ELSE substr(err, 1, {K.ERROR_TEXT_LIMIT}) END AS error FROM e)")
+
+
+def model_candidates_sql() -> str:
+    skip = "|".join(K.SKIP_MODEL_KEYWORDS)
+    return (f"WITH {_probe_ctes()} SELECT DISTINCT model FROM p "
+            f"WHERE NOT regexp_matches(lower(model), {q(skip)})")
+
+
+def healthy_models_sql() -> str:
+    return f"WITH {_probe_ctes()} SELECT model FROM o WHERE status = 'Healthy'"
+
+
+def broken_models_sql() -> str:
+    return f"WITH {_probe_ctes()} SELECT model, error_type, error FROM o WHERE status = 'Broken'"
+
+
+def health_summary_sql() -> str:
+    return (f"WITH {_probe_ctes()} SELECT 'healthy' AS metric, count(*) FILTER (WHERE status = 'Healthy') AS value "
+            "FROM o UNION ALL SELECT 'broken', count(*) FILTER (WHERE status = 'Broken') FROM o "
+            "UNION ALL SELECT 'error:' || error_type, count(*) FROM o WHERE status = 'Broken' GROUP BY error_type")
+
+
+# --- document badges, content hashes, percent text ---------------------------------
+def badge_documents_sql() -> str:
+    return f"SELECT doc_id, {badge('text')} AS badge FROM documents"
+
+
+def hash_new_only_sql() -> str:
+    return ("WITH h AS (SELECT doc_id, sha256(text) AS content_hash FROM documents), "
+            "known AS (SELECT h.content_hash FROM h JOIN labels l USING (doc_id)) "
+            "SELECT doc_id, content_hash FROM h WHERE content_hash NOT IN (SELECT content_hash FROM known)")
+
+
+def percent_text_sql() -> str:
+    return ("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), "
+            "t AS (SELECT sum(n) AS total FROM c) "
+            "SELECT event_type, n, CAST(total AS BIGINT) AS total, "
+            "CAST(n AS VARCHAR) || '/' || CAST(CAST(total AS BIGINT) AS VARCHAR) || ' | ' || "
+            "printf('%.2f', CASE WHEN total > 0 THEN n / total * 100.0 ELSE 0.0 END) || '%' AS share_text FROM c, t")
+
+
+# --- prompt benchmark statistics ------------------------------------------------------
+def _responses() -> str:
+    return (
+        "r0 AS (SELECT event_id // 5 AS row_id, "
+        f"{pick(D.MODEL_IDS, 'event_id')} AS model, event_type <> 'error' AS ok, "
+        "event_type <> 'error' AND event_type <> 'view' AS usage, "
+        "CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value / 100.0 AS latency, event_type FROM events), "
+        "r AS (SELECT row_id, model, CASE WHEN ok THEN 'Response: ' || event_type || ' ' || CAST(k AS VARCHAR) "
+        "ELSE 'ERROR' END AS response, latency, CASE WHEN usage THEN k * 10 + 50 END AS prompt_tokens, "
+        "CASE WHEN usage THEN k + 5 END AS completion_tokens, "
+        "CASE WHEN usage THEN k * 10 + 50 + k + 5 END AS total_tokens, "
+        "CASE WHEN ok THEN 'Success' ELSE 'Failed' END AS status FROM r0), "
+        "prices AS (SELECT * FROM (VALUES "
+        + ", ".join(f"({q(m[0])}, {m[2]}::DOUBLE, {m[3]}::DOUBLE)" for m in D.DEFAULT_MODELS)
+        + ") t(model, pin, pout)), "
+        "rc AS (SELECT r.*, CASE WHEN prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL THEN "
+        "prompt_tokens / 1e6 * coalesce(pin, 0.0) + completion_tokens / 1e6 * coalesce(pout, 0.0) END AS cost "
+        "FROM r LEFT JOIN prices USING (model))")
+
+
+def response_cost_sql() -> str:
+    return f"WITH {_responses()} SELECT row_id, model, prompt_tokens, completion_tokens, round(cost, 12) AS cost FROM rc"
+
+
+def model_stats_sql() -> str:
+    def mean_ok(c):
+        return f"round(coalesce(avg({c}) FILTER (WHERE status = 'Success'), 0.0), 6)"
+    return (f"WITH {_responses()} SELECT model, count(*) AS requests, "
+            "count(*) FILTER (WHERE status = 'Success') AS success, count(*) FILTER (WHERE status <> 'Success') AS failed, "
+            "round(coalesce(avg(latency), 0.0), 6) AS avg_latency, round(coalesce(min(latency), 0.0), 6) AS min_latency, "
+            "round(coalesce(max(latency), 0.0), 6) AS max_latency, "
+            "round(coalesce(stddev_samp(latency), 0.0), 6) AS stddev_latency, "
+            f"{mean_ok('prompt_tokens')} AS avg_prompt_tokens, {mean_ok('completion_tokens')} AS avg_completion_tokens, "
+            f"{mean_ok('total_tokens')} AS avg_total_tokens, {mean_ok('cost')} AS avg_cost, "
+            "round(coalesce(quantile_cont(latency, 0.95), 0.0), 6) AS p95_latency FROM rc GROUP BY model")
+
+
+def run_totals_sql() -> str:
+    return (f"WITH {_responses()} SELECT count(*) FILTER (WHERE status = 'Success') AS successful_requests, "
+            "count(*) FILTER (WHERE status <> 'Success') AS failed_requests FROM rc")
+
+
+def response_pivot_sql() -> str:
+    cols = ", ".join(f"coalesce(max(response) FILTER (WHERE model = {q(m)}), 'ERROR') AS \"{m}\"" for m in D.MODEL_IDS)
+    return f"WITH {_responses()} SELECT row_id, {cols} FROM rc GROUP BY row_id"

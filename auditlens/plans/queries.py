@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from auditlens.functions.labels import badge
+from auditlens.functions.text import fraction_text
+from auditlens.functions import template as TPL
 from auditlens.operators import dedupe as DD
+from auditlens.operators import fanout as FO
+from auditlens.operators import health as H
+from auditlens.operators import incremental as INC
 from auditlens.operators import restore as R
 from auditlens.plans import audit_job as AJ
 from auditlens.plans import driver_tables as D
@@ -97,6 +103,82 @@ def dup_counts(spark, sf_dir):
     return DD.duplicate_count(D.read(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
+def _outcomes(spark, sf_dir):
+    probes = D.probe_log(spark, sf_dir)
+    keep = probes.filter(~H.keyword_excluded("model"))
+    return H.probe_outcomes(keep, ["ts", "event_id"])
+
+
+def model_candidates(spark, sf_dir):
+    return H.candidate_models(D.probe_log(spark, sf_dir))
+
+
+def healthy_models(spark, sf_dir):
+    return _outcomes(spark, sf_dir).filter(F.col("status") == "Healthy").select("model")
+
+
+def broken_models(spark, sf_dir):
+    return _outcomes(spark, sf_dir).filter(F.col("status") == "Broken").select("model", "error_type", "error")
+
+
+def health_summary(spark, sf_dir):
+    return H.health_summary(_outcomes(spark, sf_dir))
+
+
+def badge_documents(spark, sf_dir):
+    return D.read(spark, sf_dir, "documents").select("doc_id", badge(F.col("text")).alias("badge"))
+
+
+def hash_new_only(spark, sf_dir):
+    docs = INC.with_content_hash(D.read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    known = docs.join(D.read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return INC.new_only(docs, known).select("doc_id", "content_hash")
+
+
+def percent_text(spark, sf_dir):
+    counts = D.read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    # a global aggregate is exactly one row: broadcasting it is size-bounded
+    total = counts.agg(F.sum("n").cast("long").alias("total")).withColumn("_one", F.lit(1))
+    j = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    return j.select("event_type", "n", "total", fraction_text(F.col("n"), F.col("total")).alias("share_text"))
+
+
+def _costed(spark, sf_dir):
+    prices = FO.model_dimension(spark, D.DEFAULT_MODELS)
+    return FO.with_cost(D.response_log(spark, sf_dir), prices)
+
+
+def response_cost(spark, sf_dir):
+    return _costed(spark, sf_dir).select("row_id", "model", "prompt_tokens", "completion_tokens",
+                                         F.round("cost", 12).alias("cost"))
+
+
+def model_stats(spark, sf_dir):
+    st = FO.model_stats(_costed(spark, sf_dir))
+    return st.select("model", "requests", "success", "failed",
+                     *[F.round(c, 6).alias(c) for c in ("avg_latency", "min_latency", "max_latency", "stddev_latency",
+                                                        "avg_prompt_tokens", "avg_completion_tokens",
+                                                        "avg_total_tokens", "avg_cost", "p95_latency")])
+
+
+def run_totals(spark, sf_dir):
+    return FO.run_totals(D.response_log(spark, sf_dir))
+
+
+def response_pivot(spark, sf_dir):
+    return FO.response_pivot(D.response_log(spark, sf_dir), D.MODEL_IDS)
+
+
+def fanout_prompts(spark, sf_dir):
+    """Rows x models with rendered prompts (look-ahead patterns: no SQL oracle)."""
+    rows = D.prompt_rows(spark, sf_dir)
+    system, user = TPL.render_prompts(D.SYSTEM_TEMPLATE, D.USER_TEMPLATE, F.col("User Details"),
+                                      F.col("Product Details"), F.col("Past Conversation"),
+                                      F.col("Ongoing Conversation"))
+    rendered = rows.select("conv_id", "turn", system.alias("system_prompt"), user.alias("user_prompt"))
+    return FO.fan_out(rendered, D.DEFAULT_MODELS).select("conv_id", "turn", "model", "system_prompt", "user_prompt")
+
+
 QUERIES = {
     "audit_summary_ai": audit_summary_ai,
     "audit_summary_manual": audit_summary_manual,
@@ -114,6 +196,18 @@ QUERIES = {
     "first_row_wins": first_row_wins,
     "last_row_wins": last_row_wins,
     "dup_counts": dup_counts,
+    "model_candidates": model_candidates,
+    "healthy_models": healthy_models,
+    "broken_models": broken_models,
+    "health_summary": health_summary,
+    "badge_documents": badge_documents,
+    "hash_new_only": hash_new_only,
+    "percent_text": percent_text,
+    "response_cost": response_cost,
+    "model_stats": model_stats,
+    "run_totals": run_totals,
+    "response_pivot": response_pivot,
+    "fanout_prompts": fanout_prompts,
 }
 
 
@@ -135,4 +229,15 @@ def oracle_sql() -> dict[str, str]:
         "first_row_wins": O.row_per_key_sql(last=False),
         "last_row_wins": O.row_per_key_sql(last=True),
         "dup_counts": O.dup_counts_sql(),
+        "model_candidates": O.model_candidates_sql(),
+        "healthy_models": O.healthy_models_sql(),
+        "broken_models": O.broken_models_sql(),
+        "health_summary": O.health_summary_sql(),
+        "badge_documents": O.badge_documents_sql(),
+        "hash_new_only": O.hash_new_only_sql(),
+        "percent_text": O.percent_text_sql(),
+        "response_cost": O.response_cost_sql(),
+        "model_stats": O.model_stats_sql(),
+        "run_totals": O.run_totals_sql(),
+        "response_pivot": O.response_pivot_sql(),
     }
