@@ -191,3 +191,54 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("past").alias("Past Conversation"),
         ongoing.alias("Ongoing Conversation"),
     )
+
+
+# --- dataset build: documents -> calls, events -> call_jsons, conversations+labels -> audit
+def dataset_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    did = F.col("doc_id").cast("string")
+    w1 = F.regexp_extract(F.col("text"), "^([A-Za-z]+)", 1)
+    call_json = (F.when(F.col("lang") == "en", F.concat(
+        F.lit('{"buyer_details": {"buyer_name": "'), w1, F.lit('", "buyer_location": {"buyer_city": "'),
+        F.col("source"), F.lit('"}, "buyer_number": '), F.col("n_chars").cast("string"),
+        F.lit('}, "seller_details": {"name": "S'), did, F.lit('", "seller_location": "'), F.col("lang"),
+        F.lit('"}}')))
+        .when(F.col("lang") == "fr", F.concat(
+            F.lit("{'buyer_details': {'name': '"), w1, F.lit("', 'buyer_location': '"), F.col("source"),
+            F.lit("'}, 'buyer_Number': '"), did, F.lit("'}")))
+        .when(F.col("lang") == "de", F.concat(F.lit('{"k": '), did, F.lit("}")))
+        .otherwise(F.lit("")))
+    inferred = (F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('{"buyer_city": "'), F.col("source"), F.lit('"}')))
+                .when(F.col("doc_id") % 4 == 1, F.lit("undefined")))
+    calls = docs.select(
+        F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit(" "), did, F.lit(" "))).otherwise(did).alias("Call ID"),
+        F.col("source").alias("Call Summary"), call_json.alias("call_json"), inferred.alias("inferred_details"),
+        F.col("doc_id").alias("_seq"))
+
+    ev = read(spark, sf_dir, "events")
+    cj = ev.select(
+        F.col("user_id").cast("string").alias("PNS_Call_ID"),
+        F.when(F.col("event_type") == "purchase", F.col("props")).otherwise(F.lit("")).alias("call_json"),
+        F.when(F.col("event_type") == "signup",
+               F.concat(F.lit('{"buyer_name": "u'), F.col("user_id").cast("string"), F.lit('"}')))
+        .otherwise(F.lit("null")).alias("inferred_details"),
+        F.struct("ts", "event_id").alias("_seq"))
+
+    conv = read(spark, sf_dir, "conversations")
+    labels = read(spark, sf_dir, "labels")
+    j = conv.join(labels, conv["conv_id"] == labels["doc_id"], "left")
+    qual, tox = F.col("quality"), F.col("toxic")
+    manual = j.select(
+        F.col("conv_id").cast("string").alias("Call ID"),
+        F.when(F.col("role") == "system", F.lit("  ")).otherwise(F.col("text")).alias("Transcript"),
+        F.when(F.col("role") == "user", F.lit("manual")).when(F.col("role") == "assistant", F.lit("ai"))
+        .otherwise(F.lit(" Manual ")).alias("Type"),
+        F.when(qual.isNotNull(), F.concat(F.lit("Buyer "), F.col("conv_id").cast("string"))).alias("Ai: Buyer Name"),
+        F.when(qual == 1, F.lit("Yes")).when(qual == 0, F.lit("No")).alias("Verdict"),
+        F.when(qual.isNull(), F.lit(None).cast("string")).when(tox == 1, F.lit("n/a"))
+        .otherwise(F.concat((qual * 100).cast("string"), F.lit(".0"))).alias("Accuracy Score"),
+        F.when(qual == 1, F.lit("92.5")).when(qual == 0, F.lit("-")).alias("Completeness Score"),
+        F.when(tox == 1, F.lit('flagged "toxic"\tcontent')).when(qual == 1, F.lit("Matches the call."))
+        .alias("Reasoning"),
+        F.col("turn").alias("_seq"))
+    return calls, manual, cj

@@ -356,3 +356,117 @@ def run_totals_sql() -> str:
 def response_pivot_sql() -> str:
     cols = ", ".join(f"coalesce(max(response) FILTER (WHERE model = {q(m)}), 'ERROR') AS \"{m}\"" for m in D.MODEL_IDS)
     return f"WITH {_responses()} SELECT row_id, {cols} FROM rc GROUP BY row_id"
+
+
+# --- dataset build ------------------------------------------------------------------
+def _dnorm(x: str) -> str:
+    toks = ", ".join(q(t) for t in sorted(set(K.NULLS_DATASET)))
+    return f"(CASE WHEN {x} IS NULL OR lower(trim({x})) IN ({toks}) THEN NULL ELSE trim({x}) END)"
+
+
+def _clean_id(x: str) -> str:
+    return f"(CASE WHEN lower(trim(coalesce({x}, ''))) IN ('', 'nan') THEN NULL ELSE trim({x}) END)"
+
+
+def _dataset_ctes() -> str:
+    w1 = "regexp_extract(text, '^([A-Za-z]+)', 1)"
+    did = "CAST(doc_id AS VARCHAR)"
+    call_json = (
+        f"CASE WHEN lang = 'en' THEN '{{\"buyer_details\": {{\"buyer_name\": \"' || {w1} || "
+        "'\", \"buyer_location\": {\"buyer_city\": \"' || source || '\"}, \"buyer_number\": ' || "
+        f"CAST(n_chars AS VARCHAR) || '}}, \"seller_details\": {{\"name\": \"S' || {did} || "
+        "'\", \"seller_location\": \"' || lang || '\"}}' "
+        f"WHEN lang = 'fr' THEN '{{''buyer_details'': {{''name'': ''' || {w1} || ''', ''buyer_location'': ''' "
+        f"|| source || '''}}, ''buyer_Number'': ''' || {did} || '''}}' "
+        f"WHEN lang = 'de' THEN '{{\"k\": ' || {did} || '}}' ELSE '' END")
+    expected = []
+    for key, aliases in K.EXPECTED_OUTPUT_FIELDS.items():
+        col = {"buyer_name": "x_buyer_name", "verdict": "x_verdict", "accuracy_score": "x_acc",
+               "completeness_score": "x_comp", "reasoning": "x_reason"}.get(key)
+        if col is None:
+            continue
+        v = _dnorm(col)
+        if "score" in key:
+            d = f"TRY_CAST({v} AS DOUBLE)"
+            val = (f"CASE WHEN regexp_matches({v}, {q(K.NUMBER_PATTERN)}) AND {d} = floor({d}) THEN "
+                   f"CAST(CAST({d} AS BIGINT) AS VARCHAR) WHEN regexp_matches({v}, {q(K.NUMBER_PATTERN)}) THEN "
+                   f"CAST({d} AS VARCHAR) ELSE CAST(to_json({v}) AS VARCHAR) END")
+        else:
+            val = f"CAST(to_json({v}) AS VARCHAR)"
+        expected.append(f"CASE WHEN {v} IS NOT NULL THEN '  \"{key}\": ' || {val} END")
+    body = "concat_ws(',\n', " + ", ".join(expected) + ")"
+    exp = f"CASE WHEN {body} = '' THEN '{{}}' ELSE '{{\n' || {body} || '\n}}' END"
+
+    def ext(path):
+        return f"nullif(json_extract_string(pj, '{path}'), '')"
+
+    def loc(base, key, city):
+        p = f"{base}.{key}"
+        return (f"CASE WHEN json_type(pj, '{p}') = 'OBJECT' THEN coalesce({ext(p + '.' + city)}, {ext(p + '.city')}) "
+                f"WHEN json_type(pj, '{p}') = 'VARCHAR' THEN {ext(p)} END")
+    derived_any = " OR ".join(f"({e}) IS NOT NULL" for e in [
+        loc("$.buyer_details", "buyer_location", "buyer_city"),
+        f"coalesce({ext('$.buyer_details.buyer_name')}, {ext('$.buyer_details.name')})",
+        f"coalesce({ext('$.buyer_details.buyer_number')}, {ext('$.buyer_details.buyer_phone')}, {ext('$.buyer_Number')})",
+        loc("$.seller_details", "seller_location", "seller_city"),
+        f"coalesce({ext('$.seller_details.seller_name')}, {ext('$.seller_details.name')})"])
+    return (
+        f"calls AS (SELECT CASE WHEN doc_id % 10 = 3 THEN ' ' || {did} || ' ' ELSE {did} END AS cid_raw, "
+        f"{call_json} AS c_json, CASE WHEN doc_id % 4 = 0 THEN '{{\"buyer_city\": \"' || source || '\"}}' "
+        "WHEN doc_id % 4 = 1 THEN 'undefined' END AS c_inf, doc_id AS s1, 0 AS s2 FROM documents), "
+        "cj AS (SELECT CAST(user_id AS VARCHAR) AS cid_raw, CASE WHEN event_type = 'purchase' THEN props ELSE '' END "
+        "AS j_json, CASE WHEN event_type = 'signup' THEN '{\"buyer_name\": \"u' || CAST(user_id AS VARCHAR) || '\"}' "
+        "ELSE 'null' END AS j_inf, ts AS s1, event_id AS s2 FROM events), "
+        "man AS (SELECT CAST(conv_id AS VARCHAR) AS cid_raw, CASE WHEN role = 'system' THEN '  ' ELSE text END AS tr, "
+        "CASE role WHEN 'user' THEN 'manual' WHEN 'assistant' THEN 'ai' ELSE ' Manual ' END AS typ, "
+        "CASE WHEN quality IS NOT NULL THEN 'Buyer ' || CAST(conv_id AS VARCHAR) END AS x_buyer_name, "
+        "CASE quality WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' END AS x_verdict, "
+        "CASE WHEN quality IS NULL THEN NULL WHEN toxic = 1 THEN 'n/a' ELSE CAST(quality * 100 AS VARCHAR) || '.0' END AS x_acc, "
+        "CASE WHEN quality = 1 THEN '92.5' WHEN quality = 0 THEN '-' END AS x_comp, "
+        "CASE WHEN toxic = 1 THEN 'flagged \"toxic\"' || chr(9) || 'content' WHEN quality = 1 THEN 'Matches the call.' END "
+        "AS x_reason, turn AS s1 FROM conversations c LEFT JOIN labels l ON c.conv_id = l.doc_id), "
+        f"c1 AS (SELECT * FROM (SELECT {_clean_id('cid_raw')} AS call_id, c_json, c_inf, row_number() OVER "
+        f"(PARTITION BY {_clean_id('cid_raw')} ORDER BY s1, s2) AS rn FROM calls WHERE {_clean_id('cid_raw')} IS NOT NULL) "
+        "WHERE rn = 1), "
+        f"j1 AS (SELECT * FROM (SELECT {_clean_id('cid_raw')} AS call_id, j_json, j_inf, row_number() OVER "
+        f"(PARTITION BY {_clean_id('cid_raw')} ORDER BY s1, s2) AS rn FROM cj WHERE {_clean_id('cid_raw')} IS NOT NULL) "
+        "WHERE rn = 1), "
+        f"tr AS (SELECT call_id, tr FROM (SELECT {_clean_id('cid_raw')} AS call_id, tr, row_number() OVER "
+        f"(PARTITION BY {_clean_id('cid_raw')} ORDER BY s1 DESC) AS rn FROM man WHERE trim(tr) <> '' AND "
+        f"{_clean_id('cid_raw')} IS NOT NULL) WHERE rn = 1), "
+        f"m1 AS (SELECT * FROM (SELECT {_clean_id('cid_raw')} AS call_id, x_buyer_name, x_verdict, x_acc, x_comp, "
+        f"x_reason, row_number() OVER (PARTITION BY {_clean_id('cid_raw')} ORDER BY s1) AS rn FROM man WHERE "
+        f"lower(trim(typ)) = 'manual' AND {_clean_id('cid_raw')} IS NOT NULL) WHERE rn = 1), "
+        "e AS (SELECT m1.*, c1.c_json, c1.c_inf, j1.j_json, j1.j_inf, tr.tr FROM m1 LEFT JOIN c1 USING (call_id) "
+        "LEFT JOIN j1 USING (call_id) LEFT JOIN tr USING (call_id) "
+        "WHERE c1.call_id IS NOT NULL OR j1.call_id IS NOT NULL), "
+        f"f AS (SELECT *, {_dnorm('tr')} AS transcript, coalesce({_dnorm('j_json')}, {_dnorm('c_json')}) AS call_json, "
+        f"coalesce({_dnorm('c_inf')}, {_dnorm('j_inf')}) AS inf0, {exp} AS expected_output FROM e), "
+        "g AS (SELECT *, CASE WHEN json_valid(call_json) THEN call_json "
+        "WHEN json_valid(replace(call_json, '''', '\"')) THEN replace(call_json, '''', '\"') END AS pj FROM f), "
+        f"h AS (SELECT *, CASE WHEN inf0 IS NOT NULL THEN TRUE WHEN pj IS NULL OR json_type(pj) <> 'OBJECT' THEN FALSE "
+        f"ELSE coalesce({derived_any}, FALSE) END AS has_inf FROM g), "
+        "cls AS (SELECT call_id, expected_output, '{\"call_id\": ' || CAST(to_json(call_id) AS VARCHAR) || '}' AS metadata, "
+        "CASE WHEN transcript IS NULL THEN 'transcript' WHEN call_json IS NULL THEN 'call_json' "
+        "WHEN NOT has_inf THEN 'inferred_details' WHEN expected_output = '{}' THEN 'manual_audit' END AS reject_reason FROM h)")
+
+
+def dataset_status_sql() -> str:
+    return f"WITH {_dataset_ctes()} SELECT call_id, reject_reason, expected_output, metadata FROM cls"
+
+
+def dataset_counters_sql() -> str:
+    def rows_dups(src, prefix, cond="TRUE"):
+        return (f"(SELECT CAST(count(*) AS BIGINT) AS {prefix}_rows, CAST(count(*) - count(DISTINCT "
+                f"{_clean_id('cid_raw')}) AS BIGINT) AS {prefix}_dups FROM {src} WHERE {_clean_id('cid_raw')} "
+                f"IS NOT NULL AND {cond})")
+    metrics = ["calls_rows", "manual_rows", "manual_typed_rows", "call_jsons_rows", "eligible",
+               *[f"missing_{x}" for x in K.REJECT_REASONS], "final", "calls_dups", "manual_typed_dups",
+               "call_jsons_dups"]
+    r = ("(SELECT CAST(count(*) AS BIGINT) AS eligible, "
+         + ", ".join(f"CAST(count(*) FILTER (WHERE reject_reason = '{x}') AS BIGINT) AS missing_{x}"
+                     for x in K.REJECT_REASONS)
+         + ", CAST(count(*) FILTER (WHERE reject_reason IS NULL) AS BIGINT) AS final FROM cls)")
+    return (f"WITH {_dataset_ctes()}, w AS (SELECT * FROM {rows_dups('calls', 'calls')}, {rows_dups('man', 'manual')}, "
+            f"{rows_dups('man', 'manual_typed', "lower(trim(typ)) = 'manual'")}, {rows_dups('cj', 'call_jsons')}, {r}) "
+            f"SELECT metric, value FROM w UNPIVOT (value FOR metric IN ({', '.join(metrics)}))")

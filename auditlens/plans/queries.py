@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlens.functions.labels import badge
 from auditlens.functions.text import fraction_text
 from auditlens.functions import template as TPL
+from auditlens.operators import dataset as DS
 from auditlens.operators import dedupe as DD
 from auditlens.operators import fanout as FO
 from auditlens.operators import health as H
@@ -179,6 +180,28 @@ def fanout_prompts(spark, sf_dir):
     return FO.fan_out(rendered, D.DEFAULT_MODELS).select("conv_id", "turn", "model", "system_prompt", "user_prompt")
 
 
+def _dataset(spark, sf_dir):
+    calls, manual, cj = D.dataset_sources(spark, sf_dir)
+    src = DS.DatasetSources(calls, manual, cj)
+    return src, DS.classify(src)
+
+
+def dataset_status(spark, sf_dir):
+    _, cls = _dataset(spark, sf_dir)
+    return cls.select("call_id", "reject_reason", "expected_output", "metadata")
+
+
+def dataset_counters(spark, sf_dir):
+    src, cls = _dataset(spark, sf_dir)
+    return DS.counters(src, cls)
+
+
+def dataset_build(spark, sf_dir):
+    """Accepted rows with the pretty-printed input sections (Python json formatting: no SQL oracle)."""
+    _, cls = _dataset(spark, sf_dir)
+    return DS.accepted(cls)
+
+
 QUERIES = {
     "audit_summary_ai": audit_summary_ai,
     "audit_summary_manual": audit_summary_manual,
@@ -208,6 +231,9 @@ QUERIES = {
     "run_totals": run_totals,
     "response_pivot": response_pivot,
     "fanout_prompts": fanout_prompts,
+    "dataset_status": dataset_status,
+    "dataset_counters": dataset_counters,
+    "dataset_build": dataset_build,
 }
 
 
@@ -240,4 +266,6 @@ def oracle_sql() -> dict[str, str]:
         "model_stats": O.model_stats_sql(),
         "run_totals": O.run_totals_sql(),
         "response_pivot": O.response_pivot_sql(),
+        "dataset_status": O.dataset_status_sql(),
+        "dataset_counters": O.dataset_counters_sql(),
     }
