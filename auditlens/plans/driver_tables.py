@@ -242,3 +242,38 @@ def dataset_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
         .alias("Reasoning"),
         F.col("turn").alias("_seq"))
     return calls, manual, cj
+
+
+# --- screenshot audits: orders -> images + header detections, lineitem -> panel detections
+SCREEN_WIDTH = 1600
+
+
+def screenshot_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = read(spark, sf_dir, "orders")
+    images = o.select(F.col("o_orderkey").alias("image_id"),
+                      F.when(F.col("o_orderpriority").startswith("1"), F.lit(1800)).otherwise(F.lit(900))
+                      .alias("height"), F.lit(SCREEN_WIDTH).alias("width"))
+    head0 = F.when(F.col("o_orderstatus") == "P", F.lit("Ticket")).otherwise(
+        F.concat(F.lit("Call ID: "), F.col("o_orderkey").cast("string")))
+    head1 = F.concat(F.lit("| Auditor: Clerk "), (F.col("o_custkey") % 7).cast("string"))
+    empty_box = F.array(*[F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))] * 4)
+    headers = o.select(F.col("o_orderkey").alias("image_id"), F.inline(F.array(
+        F.struct(F.struct(F.lit(0).alias("line"), F.lit(0).cast("long").alias("part"),
+                          F.lit(0).cast("long").alias("supp")).alias("seq"), head0.alias("text")),
+        F.struct(F.struct(F.lit(1).alias("line"), F.lit(0).cast("long").alias("part"),
+                          F.lit(0).cast("long").alias("supp")).alias("seq"), head1.alias("text"))))).select(
+        "image_id", F.lit("header").alias("region"), "seq", empty_box.alias("bbox"), "text",
+        F.lit(1.0).alias("prob"))
+    li = read(spark, sf_dir, "lineitem")
+    x0 = (F.col("l_partkey") % 600).cast("double")
+    y0 = ((F.col("l_suppkey") * 37 + F.col("l_linenumber") * 101) % 880).cast("double")
+
+    def pt(x, y):
+        return F.struct(x.alias("x"), y.alias("y"))
+    bbox = F.array(pt(x0, y0), pt(x0 + 41, y0), pt(x0 + 41, y0 + 21), pt(x0, y0 + 21))
+    panel = li.select(F.col("l_orderkey").alias("image_id"), F.lit("panel").alias("region"),
+                      F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
+                               F.col("l_suppkey").alias("supp")).alias("seq"), bbox.alias("bbox"),
+                      _pick(LABEL_CASES, F.col("l_partkey") + F.col("l_linenumber") * 3).alias("text"),
+                      F.col("l_discount").alias("prob"))
+    return images, headers.unionByName(panel)

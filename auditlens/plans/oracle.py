@@ -470,3 +470,82 @@ def dataset_counters_sql() -> str:
     return (f"WITH {_dataset_ctes()}, w AS (SELECT * FROM {rows_dups('calls', 'calls')}, {rows_dups('man', 'manual')}, "
             f"{rows_dups('man', 'manual_typed', "lower(trim(typ)) = 'manual'")}, {rows_dups('cj', 'call_jsons')}, {r}) "
             f"SELECT metric, value FROM w UNPIVOT (value FOR metric IN ({', '.join(metrics)}))")
+
+
+# --- screenshot audits ------------------------------------------------------------
+def _screen_ctes() -> str:
+    def nearest(centres):
+        c = "[" + ", ".join(f"CAST(trunc({v} * scale) AS INTEGER)" for v in centres) + "]"
+        return (f"list_sort(list_transform(range({len(centres)}), lambda i: struct_pack(d := abs(cy - ({c})[i + 1]), "
+                f"i := i)))[1].i")
+    grid = " ".join(f"WHEN col = {c} AND rw = {r} THEN {q(f)}" for (c, r), f in K.GRID_FIELDS.items())
+    badge_cases = " ".join(f"WHEN regexp_matches(upper(trim(text)), {q('|'.join(tokens))}) THEN {q(label)}"
+                           for label, tokens in K.BADGE_RULES)
+    return (
+        "images AS (SELECT o_orderkey AS image_id, CASE WHEN starts_with(o_orderpriority, '1') THEN 1800 ELSE 900 END "
+        f"AS height, {D.SCREEN_WIDTH} AS width, o_orderstatus, o_custkey FROM orders), "
+        "hdr AS (SELECT image_id, CASE WHEN o_orderstatus = 'P' THEN 'Ticket' ELSE 'Call ID: ' || "
+        "CAST(image_id AS VARCHAR) END || ' ' || '| Auditor: Clerk ' || CAST(o_custkey % 7 AS VARCHAR) AS header "
+        "FROM images), "
+        "hf AS (SELECT image_id, coalesce(nullif(regexp_extract(header, '(?i)Call\\s*ID:\\s*(\\d+)', 1), ''), 'Unknown') "
+        "AS call_id, coalesce(nullif(trim(regexp_extract(header, '(?i)Auditor:\\s*([^|]+)', 1)), ''), 'Unknown') "
+        "AS auditor FROM hdr), "
+        f"det AS (SELECT l_orderkey AS image_id, l_linenumber AS seq, l_partkey AS s2, l_suppkey AS s3, {pick(D.LABEL_CASES, 'l_partkey + l_linenumber * 3')} "
+        "AS text, CAST(l_partkey % 600 AS DOUBLE) AS x0, CAST((l_suppkey * 37 + l_linenumber * 101) % 880 AS DOUBLE) AS y0 "
+        "FROM lineitem), "
+        f"b AS (SELECT d.image_id, seq, s2, s3, CASE {badge_cases} END AS label, "
+        "CAST(trunc((x0 + x0 + 41 + x0 + 41 + x0) / 4) AS INTEGER) + CAST(trunc(width * 0.6) AS INTEGER) AS cx, "
+        "CAST(trunc((y0 + y0 + y0 + 21 + y0 + 21) / 4) AS INTEGER) AS cy, height / 900.0 AS scale, width "
+        "FROM det d JOIN images i USING (image_id)), "
+        "g AS (SELECT image_id, seq, s2, s3, label, CASE WHEN cx < CAST(trunc(width * 0.8) AS INTEGER) THEN 1 ELSE 2 END AS col, "
+        "cy < CAST(trunc(460 * scale) AS INTEGER) AS man, "
+        f"CASE WHEN cy < CAST(trunc(460 * scale) AS INTEGER) THEN {nearest(K.GRID_MANUAL_CENTRES)} "
+        f"ELSE {nearest(K.GRID_AI_CENTRES)} END AS rw FROM b WHERE label IS NOT NULL), "
+        f"placed AS (SELECT image_id, seq, s2, s3, CASE WHEN man THEN 'manual' ELSE 'ai' END AS section, CASE {grid} END AS field, "
+        "label FROM g), "
+        "last AS (SELECT image_id, section, field, label FROM (SELECT *, row_number() OVER (PARTITION BY image_id, "
+        "section, field ORDER BY seq DESC, s2 DESC, s3 DESC) AS rn FROM placed WHERE field IS NOT NULL) WHERE rn = 1)")
+
+
+def grid_cells_sql() -> str:
+    return f"WITH {_screen_ctes()} SELECT image_id, section, field, label FROM last"
+
+
+def screen_header_sql() -> str:
+    return f"WITH {_screen_ctes()} SELECT image_id, call_id, auditor FROM hf"
+
+
+def _screen_cmp() -> str:
+    cols, matches, compared = [], [], []
+    for f in K.FIELDS:
+        m = f"max(label) FILTER (WHERE section = 'manual' AND field = {q(f)})"
+        a = f"coalesce(max(label) FILTER (WHERE section = 'ai' AND field = {q(f)}), 'Correct')"
+        cols.append(f"{m} AS m_{f}, {a} AS a_{f}")
+    wide = f"SELECT i.image_id, {', '.join(cols)} FROM images i LEFT JOIN last USING (image_id) GROUP BY i.image_id"
+    has = "(" + " OR ".join(f"m_{f} IS NOT NULL" for f in K.AUDITED_FIELDS) + ")"
+    out = []
+    for f in K.FIELDS:
+        if f in K.AUDITED_FIELDS:
+            out += [f"CASE WHEN has_manual THEN coalesce(m_{f}, a_{f}) END AS {f}_manual", f"a_{f} AS {f}_ai",
+                    f"CASE WHEN has_manual THEN CASE WHEN m_{f} IS NULL THEN 1 ELSE "
+                    f"CAST({mclass(f'm_{f}')} = {mclass(f'a_{f}')} AS INTEGER) END END AS {f}_match"]
+        else:
+            out += [f"CAST(NULL AS VARCHAR) AS {f}_manual", f"a_{f} AS {f}_ai", f"CAST(NULL AS INTEGER) AS {f}_match"]
+        matches.append(f"coalesce({f}_match, 0)")
+        compared.append(f"CAST({f}_match IS NOT NULL AS INTEGER)")
+    return (f"WITH {_screen_ctes()}, w AS ({wide}), c AS (SELECT w.image_id, coalesce(hf.call_id, 'Unknown') AS call_id, "
+            f"coalesce(hf.auditor, 'Unknown') AS auditor, {has} AS has_manual, {', '.join(out)} FROM w "
+            f"LEFT JOIN hf USING (image_id)) SELECT *, {' + '.join(matches)} AS matches, "
+            f"{' + '.join(compared)} AS compared_fields, CASE WHEN {' + '.join(compared)} > 0 THEN "
+            f"({' + '.join(matches)}) / ({' + '.join(compared)}) * 100.0 END AS accuracy FROM c")
+
+
+def screen_comparison_sql() -> str:
+    return _screen_cmp()
+
+
+def screen_field_accuracy_sql() -> str:
+    parts = [f"SELECT {i + 1} AS field_pos, {q(K.FIELD_DISPLAY[f])} AS field_name, count({f}_match) AS compared, "
+             f"CAST(coalesce(sum({f}_match), 0) AS BIGINT) AS matched FROM s" for i, f in enumerate(K.FIELDS)]
+    return (f"WITH s AS ({_screen_cmp()}), u AS ({' UNION ALL '.join(parts)}) SELECT *, CASE WHEN compared > 0 THEN "
+            "matched / compared * 100.0 END AS accuracy FROM u")

@@ -14,6 +14,7 @@ from auditlens.operators import dataset as DS
 from auditlens.operators import dedupe as DD
 from auditlens.operators import fanout as FO
 from auditlens.operators import health as H
+from auditlens.operators import layout as LY
 from auditlens.operators import incremental as INC
 from auditlens.operators import restore as R
 from auditlens.plans import audit_job as AJ
@@ -202,6 +203,31 @@ def dataset_build(spark, sf_dir):
     return DS.accepted(cls)
 
 
+def _screens(spark, sf_dir):
+    images, detections = D.screenshot_inputs(spark, sf_dir)
+    placed = LY.place_badges(detections, images)
+    return images, detections, placed
+
+
+def grid_cells(spark, sf_dir):
+    _, _, placed = _screens(spark, sf_dir)
+    return placed.groupBy("image_id", "section", "field").agg(F.max_by("label", "seq").alias("label"))
+
+
+def screen_header(spark, sf_dir):
+    _, detections, _ = _screens(spark, sf_dir)
+    return LY.header_fields(LY.header_text(detections))
+
+
+def screen_comparison(spark, sf_dir):
+    images, detections, placed = _screens(spark, sf_dir)
+    return LY.compare_screens(LY.cell_values(placed, images), LY.header_fields(LY.header_text(detections)))
+
+
+def screen_field_accuracy(spark, sf_dir):
+    return LY.screen_field_accuracy(screen_comparison(spark, sf_dir))
+
+
 QUERIES = {
     "audit_summary_ai": audit_summary_ai,
     "audit_summary_manual": audit_summary_manual,
@@ -234,6 +260,10 @@ QUERIES = {
     "dataset_status": dataset_status,
     "dataset_counters": dataset_counters,
     "dataset_build": dataset_build,
+    "grid_cells": grid_cells,
+    "screen_header": screen_header,
+    "screen_comparison": screen_comparison,
+    "screen_field_accuracy": screen_field_accuracy,
 }
 
 
@@ -268,4 +298,8 @@ def oracle_sql() -> dict[str, str]:
         "response_pivot": O.response_pivot_sql(),
         "dataset_status": O.dataset_status_sql(),
         "dataset_counters": O.dataset_counters_sql(),
+        "grid_cells": O.grid_cells_sql(),
+        "screen_header": O.screen_header_sql(),
+        "screen_comparison": O.screen_comparison_sql(),
+        "screen_field_accuracy": O.screen_field_accuracy_sql(),
     }
