@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 from auditlens.operators.incremental import new_only, with_content_hash
 from auditlens.sources.files import IMAGE_GLOB
 
+BINARY_FILE_SCHEMA = T.StructType([T.StructField("path", T.StringType()),
+                                  T.StructField("modificationTime", T.TimestampType()),
+                                  T.StructField("length", T.LongType()),
+                                  T.StructField("content", T.BinaryType())])
 RESULT_BASE = T.StructType([T.StructField("path", T.StringType()),
                             T.StructField("content_hash", T.StringType()),
                             T.StructField("length", T.LongType())])
@@ -41,8 +45,8 @@ def start(spark: SparkSession, source_dir: str, results_path: str, checkpoint: s
     listing itself. ``checkpoint`` should live in the cluster's shared
     checkpoint folder.
     """
-    stream = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
-              .load(source_dir))
+    stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+              .option("pathGlobFilter", glob).load(source_dir))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         hashed = with_content_hash(df.select("path", "length", "content"), "content")
