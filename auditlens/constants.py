@@ -109,9 +109,10 @@ CSV_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
                  "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                  "nan", "null"]
 
-# --- FIXED VALUES: text patterns -------------------------------------------
-# Python str.strip(): Unicode white space plus the \x1c-\x1f separators
-STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# --- text patterns ------------------------------------------------------------
+# characters Python's str.strip() removes (derived by rule: str.isspace)
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# FIXED VALUES: extraction patterns
 CALL_ID_HEADER_PATTERN = r"(?i)Call\s*ID:\s*(\d+)"
 AUDITOR_HEADER_PATTERN = r"(?i)Auditor:\s*([^|]+)"
 SELLER_NAME_PATTERN = r"(?Ud)\bName\s*=\s*([^|#\-\n\r\t]+?)(?=\b\w+\s*=|$)"

@@ -15,8 +15,8 @@ def _c(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: drops Unicode white space at both ends."""
-    return F.regexp_replace(_c(c).cast("string"), K.STRIP_PATTERN, "")
+    """Python ``str.strip()``: drops Unicode white space at both ends (no regex)."""
+    return F.trim(_c(c).cast("string"), F.lit(K.PY_WHITESPACE))
 
 
 def blank_to_null(c, tokens: Sequence[str] = K.NULLS_AUDIT, case_sensitive: bool = False,
@@ -48,9 +48,12 @@ def clean_id(c) -> Column:
 
 
 def rlike_any(c, tokens: Sequence[str]) -> Column:
-    """True when any token is a substring (literal, not a pattern)."""
-    import re
-    return _c(c).rlike("|".join(re.escape(t) for t in tokens))
+    """True when any token is a substring (literal byte search, no regex)."""
+    out = None
+    for t in tokens:
+        hit = _c(c).contains(t)
+        out = hit if out is None else (out | hit)
+    return out
 
 
 def contains_any_lower(c, tokens: Sequence[str]) -> Column:

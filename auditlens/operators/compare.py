@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
-from auditlens.functions.labels import label_match, normalise_label
+from auditlens.functions.labels import badge_from_upper, label_from_badge, label_match
 from auditlens.functions.text import blank_to_null, call_id_before_dot, py_strip
 from auditlens.operators.dedupe import last_per_key
 
@@ -57,10 +57,15 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
     a = latest_calls(ai_rows).select("call_id", *[F.col(f).alias(f"a__{f}") for f in K.FIELDS])
     j = m.join(a, "call_id", "inner")
     # labels first (one regex pass per value), then the match logic over them
-    labelled = j.select("call_id", "manual_auditor", *[c for f in K.FIELDS for c in (
-        F.col(f"m__{f}").isNull().alias(f"{f}__blank"),
-        normalise_label(F.col(f"m__{f}"), unknown_label).alias(f"{f}__m"),
-        normalise_label(F.col(f"a__{f}"), unknown_label).alias(f"{f}__a"))])
+    # both sides are already stripped and blank-nulled by ``audit_rows``
+    upper = j.select("call_id", "manual_auditor", *[c for f in K.FIELDS for c in (
+        F.upper(F.col(f"m__{f}")).alias(f"{f}__mu"), F.upper(F.col(f"a__{f}")).alias(f"{f}__au"))])
+    labelled = upper.select("call_id", "manual_auditor", *[c for f in K.FIELDS for c in (
+        F.col(f"{f}__mu").isNull().alias(f"{f}__blank"),
+        label_from_badge(F.col(f"{f}__mu").isNull(), badge_from_upper(F.col(f"{f}__mu")),
+                         unknown_label).alias(f"{f}__m"),
+        label_from_badge(F.col(f"{f}__au").isNull(), badge_from_upper(F.col(f"{f}__au")),
+                         unknown_label).alias(f"{f}__a"))])
     out = [F.col("call_id"), F.col("manual_auditor")]
     match_cols = []
     for f in K.FIELDS:
@@ -78,11 +83,11 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
     res = labelled.select(*out)
     total = sum(F.coalesce(F.col(c), F.lit(0)) for c in match_cols)
     compared = sum(F.col(c).isNotNull().cast("int") for c in match_cols)
-    return (res.withColumn("matches", total)
-            .withColumn("total_fields", compared if blank_policy == "exclude" else F.lit(N_FIELDS))
-            .withColumn("accuracy", F.when(F.col("total_fields") > 0,
-                                           F.col("matches") / F.col("total_fields") * 100.0)
-                        .otherwise(F.lit(0.0))))
+    fields = compared if blank_policy == "exclude" else F.lit(N_FIELDS)
+    # one projection (each withColumn would re-analyse the wide plan)
+    res = res.select("*", total.alias("matches"), fields.alias("total_fields"))
+    acc = F.when(F.col("total_fields") > 0, F.col("matches") / F.col("total_fields") * 100.0).otherwise(F.lit(0.0))
+    return res.select("*", acc.alias("accuracy"))
 
 
 def binary_comparison(cmp: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
-from auditlens.functions.labels import badge, label_match
+from auditlens.functions.labels import badge_from_upper, label_match, upper_stripped
 from auditlens.functions.text import blank_to_null, regex_group_or
 
 N_ROWS = len(K.GRID_MANUAL_CENTRES)
@@ -59,7 +59,8 @@ def _grid_map() -> Column:
 def place_badges(detections: DataFrame, images: DataFrame) -> DataFrame:
     """Badge detections of the right panel placed on the 2 x 6 grid:
     (image_id, seq, section, field, label); text that is no badge is dropped."""
-    d = detections.filter(F.col("region") == "panel").withColumn("label", badge(F.col("text")))
+    d = (detections.filter(F.col("region") == "panel").withColumn("_u", upper_stripped(F.col("text")))
+         .withColumn("label", badge_from_upper(F.col("_u"))).drop("_u"))
     d = d.filter(F.col("label").isNotNull()).join(images.select("image_id", "height", "width"), "image_id")
     scale = F.col("height") / F.lit(K.GRID_BASE_HEIGHT)
     cx = _mean_int(F.col("bbox"), "x") + (F.col("width") * K.GRID_PANEL_X).cast("int")

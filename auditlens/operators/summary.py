@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
-from auditlens.functions.labels import badge, label_from_badge
-from auditlens.functions.text import blank_to_null, fraction_text, py_strip
+from auditlens.functions.labels import badge_from_upper, label_from_badge
+from auditlens.functions.text import fraction_text, py_strip
 from auditlens.sources.columns import find_verdict_column
 
 SUMMARY_COLUMNS = ["field_pos", "field_name", "cumulative_correct", "correct", "correct_nd",
@@ -31,40 +31,41 @@ def verdict_filter(df: DataFrame, verdict_col: str | None = None) -> DataFrame:
 def field_summary(df: DataFrame, mapping: dict, unknown_label: str | None = K.CORRECT) -> DataFrame:
     """Label counts per field: one row per field in display order.
 
+    Plan: the mapped columns are unpivoted to (field_pos, raw text) and counted
+    per distinct text first - a hash aggregate that combines map-side, so hot
+    values cost nothing extra - and only the distinct texts are normalised.
+    Labels are categorical, so this turns millions of regex-free-but-wide label
+    evaluations into a handful per task; it stays exact for any input.
     A field without a mapped column reports zero rows.
     """
-    # step 1: each regex once per value; step 2: labels; step 3: one global aggregate
-    mapped = [f for f in K.FIELDS if mapping.get(f) is not None and mapping[f] in df.columns]
-    step1 = df.select(*[c for f in mapped for c in (
-        blank_to_null(F.col(mapping[f]), K.NULLS_AUDIT).isNull().alias(f"{f}__blank"),
-        badge(F.col(mapping[f])).alias(f"{f}__badge"))])
-    step2 = step1.select(*[c for f in mapped for c in (
-        label_from_badge(F.col(f"{f}__blank"), F.col(f"{f}__badge"), unknown_label).alias(f"{f}__label"),
-        (~F.col(f"{f}__blank") & F.col(f"{f}__badge").isNull()).alias(f"{f}__dflt"))])
-    aggs = []
-    for f in K.FIELDS:
-        if f not in mapped:
-            for short, _ in K.SUMMARY_LABEL_COLUMNS:
-                aggs.append(F.lit(0).cast("long").alias(f"{f}__{short}"))
-            aggs.append(F.lit(0).cast("long").alias(f"{f}__defaulted"))
-            continue
-        for short, label in K.SUMMARY_LABEL_COLUMNS:
-            aggs.append(F.count_if(F.col(f"{f}__label") == F.lit(label)).alias(f"{f}__{short}"))
-        aggs.append(F.count_if(F.col(f"{f}__dflt")).alias(f"{f}__defaulted"))
-    wide = step2.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(i + 1).alias("field_pos"),
-            F.lit(K.FIELD_DISPLAY[f]).alias("field_name"),
-            *[F.col(f"{f}__{short}").alias(short) for short, _ in K.SUMMARY_LABEL_COLUMNS],
-            F.col(f"{f}__defaulted").alias("n_defaulted"),
-        )
-        for i, f in enumerate(K.FIELDS)
-    ]
-    long = wide.select(F.inline(F.array(*rows)))
+    mapped = [(i + 1, mapping[f]) for i, f in enumerate(K.FIELDS)
+              if mapping.get(f) is not None and mapping[f] in df.columns]
+    spark = df.sparkSession
+    zeros = spark.createDataFrame([(i + 1, None, 0) for i in range(len(K.FIELDS))],
+                                  "field_pos int, raw string, n long")
+    if mapped:
+        pairs = F.array(*[F.struct(F.lit(pos).alias("field_pos"), F.col(src).cast("string").alias("raw"))
+                          for pos, src in mapped])
+        counted = (df.select(F.inline(pairs)).groupBy("field_pos", "raw")
+                   .agg(F.count(F.lit(1)).alias("n")))
+    else:
+        counted = zeros.limit(0)
+    s = py_strip(F.col("raw"))
+    blank = s.isNull() | F.lower(s).isin(K.NULLS_AUDIT)
+    b = badge_from_upper(F.upper(s))
+    labelled = counted.select("field_pos", "n", label_from_badge(blank, b, unknown_label).alias("label"),
+                              (~blank & b.isNull()).alias("dflt"))
+    sums = [F.sum(F.when(F.col("label") == F.lit(label), F.col("n")).otherwise(F.lit(0))).alias(short)
+            for short, label in K.SUMMARY_LABEL_COLUMNS]
+    sums.append(F.sum(F.when(F.col("dflt"), F.col("n")).otherwise(F.lit(0))).alias("n_defaulted"))
+    per_field = (labelled.unionByName(zeros.select("field_pos", "n", F.lit(None).cast("string").alias("label"),
+                                                   F.lit(False).alias("dflt")))
+                 .groupBy("field_pos").agg(*sums))
+    names = F.element_at(F.array(*[F.lit(K.FIELD_DISPLAY[f]) for f in K.FIELDS]), F.col("field_pos"))
     cum = F.col("correct") + F.col("correct_nd") + F.col("inferred")
     total = cum + F.col("missing") + F.col("incorrect") + F.col("hallucination")
-    return (long.withColumn("cumulative_correct", cum)
+    return (per_field.withColumn("field_name", names)
+            .withColumn("cumulative_correct", cum)
             .withColumn("total_calls", total)
             .withColumn("average", F.when(total > 0, cum / total).otherwise(F.lit(0.0)))
             .select(*SUMMARY_COLUMNS))

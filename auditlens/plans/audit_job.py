@@ -74,23 +74,70 @@ def overview(inp: AuditInputs, cmp: DataFrame) -> DataFrame:
             .unionByName(comp))
 
 
+class AuditReport:
+    """Report tables of one audit comparison, each built only when first asked for
+    (building a DataFrame runs Catalyst analysis, which is not free for the
+    wide 12-field comparison)."""
+
+    def __init__(self, manual: DataFrame, ai: DataFrame, blank_policy="match", unknown_label=K.CORRECT):
+        self.inp = prepare(manual, ai)
+        self.blank_policy, self.unknown_label = blank_policy, unknown_label
+        self._cache: dict[str, DataFrame] = {}
+
+    def _get(self, name, build):
+        if name not in self._cache:
+            self._cache[name] = build()
+        return self._cache[name]
+
+    def summary(self, side: str) -> DataFrame:
+        inp, u = self.inp, self.unknown_label
+        if side == "ai":
+            return self._get(side, lambda: S.field_summary(inp.ai, inp.ai_map, u))
+        if side == "manual":
+            return self._get(side, lambda: S.field_summary(inp.manual, inp.manual_map, u))
+        manual_ids = C.audit_rows(inp.manual, inp.manual_map, "_seq").select("call_id")
+        return self._get(side, lambda: S.field_summary(
+            C.matched_ids_semi(inp.ai, inp.ai_map["call_id"], manual_ids), inp.ai_map, u))
+
+    @property
+    def comparison(self) -> DataFrame:
+        return self._get("comparison", lambda: comparison(self.inp, self.blank_policy, self.unknown_label))
+
+    @property
+    def statistics(self) -> DataFrame:
+        return self._get("stats", lambda: C.summary_statistics(self.comparison))
+
+    def table(self, name: str) -> DataFrame:
+        sides = {"ai_summary": "ai", "manual_summary": "manual", "ai_matched_summary": "ai_matched"}
+        if name in sides:
+            return self.summary(sides[name])
+        if name == "overall":
+            parts = [S.overall_accuracy(self.summary(s)).withColumn("side", F.lit(s))
+                     for s in ("ai", "manual", "ai_matched")]
+            return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        if name == "overview":
+            return overview(self.inp, self.comparison)
+        if name == "fieldwise":
+            return S.fieldwise_comparison(self.summary("ai"), self.summary("manual"))
+        if name == "binary_comparison":
+            return C.binary_comparison(self.comparison)
+        if name == "value_comparison":
+            return C.value_comparison(self.comparison)
+        if name == "summary_statistics":
+            return self.statistics
+        if name == "macro_accuracy":
+            return C.macro_accuracy(self.statistics)
+        if name == "comparison":
+            return self.comparison
+        raise KeyError(name)
+
+
+REPORT_TABLES = ["ai_summary", "manual_summary", "ai_matched_summary", "overall", "overview", "fieldwise",
+                 "binary_comparison", "value_comparison", "summary_statistics", "macro_accuracy", "comparison"]
+
+
 def audit_report(manual: DataFrame, ai: DataFrame, blank_policy="match",
                  unknown_label=K.CORRECT) -> dict[str, DataFrame]:
-    inp = prepare(manual, ai)
-    out = summaries(inp, unknown_label)
-    cmp = comparison(inp, blank_policy, unknown_label)
-    stats = C.summary_statistics(cmp)
-    out.update({
-        "overall": (S.overall_accuracy(out["ai_summary"]).withColumn("side", F.lit("ai"))
-                    .unionByName(S.overall_accuracy(out["manual_summary"]).withColumn("side", F.lit("manual")))
-                    .unionByName(S.overall_accuracy(out["ai_matched_summary"])
-                                 .withColumn("side", F.lit("ai_matched")))),
-        "overview": overview(inp, cmp),
-        "fieldwise": S.fieldwise_comparison(out["ai_summary"], out["manual_summary"]),
-        "binary_comparison": C.binary_comparison(cmp),
-        "value_comparison": C.value_comparison(cmp),
-        "summary_statistics": stats,
-        "macro_accuracy": C.macro_accuracy(stats),
-        "comparison": cmp,
-    })
-    return out
+    """All report tables (builds every plan; prefer ``AuditReport`` for a subset)."""
+    rep = AuditReport(manual, ai, blank_policy, unknown_label)
+    return {name: rep.table(name) for name in REPORT_TABLES}

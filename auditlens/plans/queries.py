@@ -22,48 +22,48 @@ from auditlens.plans import driver_tables as D
 from auditlens.plans import oracle as O
 
 
-def _audit(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return AJ.audit_report(D.manual_audits(spark, sf_dir), D.ai_audits(spark, sf_dir))
+def _audit(spark: SparkSession, sf_dir: str) -> AJ.AuditReport:
+    return AJ.AuditReport(D.manual_audits(spark, sf_dir), D.ai_audits(spark, sf_dir))
 
 
 def audit_summary_ai(spark, sf_dir):
-    return _audit(spark, sf_dir)["ai_summary"]
+    return _audit(spark, sf_dir).table("ai_summary")
 
 
 def audit_summary_manual(spark, sf_dir):
-    return _audit(spark, sf_dir)["manual_summary"]
+    return _audit(spark, sf_dir).table("manual_summary")
 
 
 def audit_summary_ai_matched(spark, sf_dir):
-    return _audit(spark, sf_dir)["ai_matched_summary"]
+    return _audit(spark, sf_dir).table("ai_matched_summary")
 
 
 def audit_overall(spark, sf_dir):
-    return _audit(spark, sf_dir)["overall"]
+    return _audit(spark, sf_dir).table("overall")
 
 
 def audit_overview(spark, sf_dir):
-    return _audit(spark, sf_dir)["overview"]
+    return _audit(spark, sf_dir).table("overview")
 
 
 def audit_fieldwise(spark, sf_dir):
-    return _audit(spark, sf_dir)["fieldwise"]
+    return _audit(spark, sf_dir).table("fieldwise")
 
 
 def audit_binary_comparison(spark, sf_dir):
-    return _audit(spark, sf_dir)["binary_comparison"]
+    return _audit(spark, sf_dir).table("binary_comparison")
 
 
 def audit_value_comparison(spark, sf_dir):
-    return _audit(spark, sf_dir)["value_comparison"]
+    return _audit(spark, sf_dir).table("value_comparison")
 
 
 def audit_summary_statistics(spark, sf_dir):
-    return _audit(spark, sf_dir)["summary_statistics"]
+    return _audit(spark, sf_dir).table("summary_statistics")
 
 
 def audit_macro_accuracy(spark, sf_dir):
-    return _audit(spark, sf_dir)["macro_accuracy"]
+    return _audit(spark, sf_dir).table("macro_accuracy")
 
 
 def _restored(spark, sf_dir):
@@ -128,7 +128,7 @@ def health_summary(spark, sf_dir):
 
 
 def badge_documents(spark, sf_dir):
-    return D.read(spark, sf_dir, "documents").select("doc_id", badge(F.col("text")).alias("badge"))
+    return D.read(spark, sf_dir, "documents").select("doc_id", badge(F.col("text"), method="contains").alias("badge"))
 
 
 def hash_new_only(spark, sf_dir):

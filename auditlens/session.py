@@ -15,6 +15,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; wide label
+    # projections (12 fields x 6 rules) exceed that, so let Spark split them instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
