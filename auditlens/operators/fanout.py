@@ -45,6 +45,11 @@ def model_dimension(spark: SparkSession, models: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(models), MODEL_SCHEMA)
 
 
+def head_rows(df: DataFrame, n: int, seq: str = "_seq") -> DataFrame:
+    """The first ``n`` input rows by input order (a top-n, no full sort); ``n <= 0`` keeps all."""
+    return df.orderBy(seq).limit(n) if n > 0 else df
+
+
 def fan_out(rows: DataFrame, models: Sequence[tuple]) -> DataFrame:
     """Every row once per model; model attributes come along as columns."""
     arr = F.array(*[F.struct(F.lit(m[0]).alias("model"), F.lit(m[1]).alias("display_name"),
