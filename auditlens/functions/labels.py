@@ -11,13 +11,33 @@ from auditlens import constants as K
 from auditlens.functions.text import _c, blank_to_null, py_strip, rlike_any
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def badge_sql(u_sql: str, method: str = "regex") -> str:
+    """SQL text of the badge rules over an (upper-cased, stripped) SQL expression."""
+    whens = []
+    for label, tokens in K.BADGE_RULES:
+        if method == "regex":
+            cond = f"{u_sql} RLIKE {_sql_str('|'.join(re.escape(t) for t in tokens))}"
+        else:
+            cond = " OR ".join(f"contains({u_sql}, {_sql_str(t)})" for t in tokens)
+        whens.append(f"WHEN {cond} THEN {_sql_str(label)}")
+    return "CASE " + " ".join(whens) + " ELSE CAST(NULL AS STRING) END"
+
+
 def badge_from_upper(u, method: str = "regex") -> Column:
     """Badge of text that is already stripped and upper-cased.
 
     ``method='regex'``: one alternation per rule (6 expressions; compact plans
     for wide tables of short labels). ``method='contains'``: literal byte
-    search per token (faster on long free text, larger plans).
+    search per token (faster on long free text, larger plans). Given a column
+    NAME, the rules are sent to the JVM as one SQL expression (one call instead
+    of dozens of expression-builder round trips).
     """
+    if isinstance(u, str):
+        return F.expr(badge_sql(f"`{u}`", method))
     out = None
     for label, tokens in K.BADGE_RULES:
         if method == "regex":

@@ -62,9 +62,9 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
         F.upper(F.col(f"m__{f}")).alias(f"{f}__mu"), F.upper(F.col(f"a__{f}")).alias(f"{f}__au"))])
     labelled = upper.select("call_id", "manual_auditor", *[c for f in K.FIELDS for c in (
         F.col(f"{f}__mu").isNull().alias(f"{f}__blank"),
-        label_from_badge(F.col(f"{f}__mu").isNull(), badge_from_upper(F.col(f"{f}__mu")),
+        label_from_badge(F.col(f"{f}__mu").isNull(), badge_from_upper(f"{f}__mu"),
                          unknown_label).alias(f"{f}__m"),
-        label_from_badge(F.col(f"{f}__au").isNull(), badge_from_upper(F.col(f"{f}__au")),
+        label_from_badge(F.col(f"{f}__au").isNull(), badge_from_upper(f"{f}__au"),
                          unknown_label).alias(f"{f}__a"))])
     out = [F.col("call_id"), F.col("manual_auditor")]
     match_cols = []

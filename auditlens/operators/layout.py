@@ -40,27 +40,36 @@ def header_fields(headers: DataFrame) -> DataFrame:
 
 
 def _mean_int(bbox: Column, axis: str) -> Column:
-    total = F.aggregate(bbox, F.lit(0.0), lambda acc, p: acc + p[axis].cast("double"))
-    return (total / F.size(bbox)).cast("int")
+    """``int(mean(coords))``: plain arithmetic for the usual 4-point box (codegen),
+    the generic fold only for other shapes; both add left to right from 0.0."""
+    four = (((bbox[0][axis].cast("double") + bbox[1][axis].cast("double")) + bbox[2][axis].cast("double"))
+            + bbox[3][axis].cast("double")) / 4
+    generic = F.aggregate(bbox, F.lit(0.0), lambda acc, p: acc + p[axis].cast("double")) / F.size(bbox)
+    return F.when(F.size(bbox) == 4, four).otherwise(generic).cast("int")
 
 
 def _nearest(cy: Column, centres: list[int], scale: Column) -> Column:
     """Index of the closest scaled centre; the first (upper) centre wins a tie."""
-    scaled = F.array(*[(F.lit(c) * scale).cast("int") for c in centres])
-    pairs = F.transform(scaled, lambda c, i: F.struct(F.abs(cy - c).alias("d"), i.alias("i")))
-    return F.array_min(pairs)["i"]
+    dist = [F.abs(cy - (F.lit(c) * scale).cast("int")) for c in centres]
+    best = F.least(*dist)
+    out = None
+    for i, d in enumerate(dist):
+        out = F.when(d == best, F.lit(i)) if out is None else out.when(d == best, F.lit(i))
+    return out
 
 
-def _grid_map() -> Column:
-    return F.create_map(*[x for (col, row), field in K.GRID_FIELDS.items()
-                          for x in (F.lit(f"{col},{row}"), F.lit(field))])
+def _grid_field(col: Column, row: Column) -> Column:
+    """Field of a (column, row) cell: a literal array indexed by ``row * 2 + column``."""
+    cells = [K.GRID_FIELDS.get((c, r)) for r in range(len(K.GRID_MANUAL_CENTRES)) for c in (1, 2)]
+    arr = F.expr("array(" + ", ".join("CAST(NULL AS STRING)" if f is None else f"'{f}'" for f in cells) + ")")
+    return F.element_at(arr, row * 2 + col)
 
 
 def place_badges(detections: DataFrame, images: DataFrame) -> DataFrame:
     """Badge detections of the right panel placed on the 2 x 6 grid:
     (image_id, seq, section, field, label); text that is no badge is dropped."""
     d = (detections.filter(F.col("region") == "panel").withColumn("_u", upper_stripped(F.col("text")))
-         .withColumn("label", badge_from_upper(F.col("_u"))).drop("_u"))
+         .withColumn("label", badge_from_upper("_u")).drop("_u"))
     d = d.filter(F.col("label").isNotNull()).join(images.select("image_id", "height", "width"), "image_id")
     scale = F.col("height") / F.lit(K.GRID_BASE_HEIGHT)
     cx = _mean_int(F.col("bbox"), "x") + (F.col("width") * K.GRID_PANEL_X).cast("int")
@@ -69,7 +78,7 @@ def place_badges(detections: DataFrame, images: DataFrame) -> DataFrame:
     manual = cy < (F.lit(K.GRID_SECTION_SPLIT) * scale).cast("int")
     row = F.when(manual, _nearest(cy, K.GRID_MANUAL_CENTRES, scale)).otherwise(
         _nearest(cy, K.GRID_AI_CENTRES, scale))
-    field = _grid_map()[F.concat(col.cast("string"), F.lit(","), row.cast("string"))]
+    field = _grid_field(col, row)
     return d.select("image_id", "seq", F.when(manual, F.lit("manual")).otherwise(F.lit("ai")).alias("section"),
                     field.alias("field"), "label").filter(F.col("field").isNotNull())
 
@@ -77,17 +86,18 @@ def place_badges(detections: DataFrame, images: DataFrame) -> DataFrame:
 def cell_values(placed: DataFrame, images: DataFrame) -> DataFrame:
     """One row per image: the latest badge in each (section, field) cell.
 
+    Two small aggregates instead of 24 conditional ones: the last label per
+    cell (``max_by``, combines map-side), then one map per image built from at
+    most 24 cells - its size is bounded by the grid, not by the data.
     Manual cells default to NULL, AI cells to 'Correct' (no detection = correct).
     """
-    aggs = []
-    for f in K.FIELDS:
-        for sec in ("manual", "ai"):
-            hit = (F.col("section") == sec) & (F.col("field") == f)
-            aggs.append(F.max_by(F.when(hit, F.col("label")), F.when(hit, F.col("seq"))).alias(f"{sec}__{f}"))
-    cells = placed.groupBy("image_id").agg(*aggs)
-    out = images.select("image_id").join(cells, "image_id", "left")
-    return out.select("image_id", *[F.col(f"manual__{f}").alias(f"m__{f}") for f in K.FIELDS],
-                      *[F.coalesce(F.col(f"ai__{f}"), F.lit(K.CORRECT)).alias(f"a__{f}") for f in K.FIELDS])
+    last = placed.groupBy("image_id", "section", "field").agg(F.max_by("label", "seq").alias("label"))
+    per_image = last.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat(F.col("section"), F.lit("__"), F.col("field")), F.col("label")))).alias("_cells"))
+    out = images.select("image_id").join(per_image, "image_id", "left")
+    return out.select("image_id", *[F.col("_cells")[f"manual__{f}"].alias(f"m__{f}") for f in K.FIELDS],
+                      *[F.coalesce(F.col("_cells")[f"ai__{f}"], F.lit(K.CORRECT)).alias(f"a__{f}")
+                        for f in K.FIELDS])
 
 
 def compare_screens(cells: DataFrame, headers: DataFrame) -> DataFrame:

@@ -51,10 +51,11 @@ def field_summary(df: DataFrame, mapping: dict, unknown_label: str | None = K.CO
     else:
         counted = zeros.limit(0)
     s = py_strip(F.col("raw"))
-    blank = s.isNull() | F.lower(s).isin(K.NULLS_AUDIT)
-    b = badge_from_upper(F.upper(s))
-    labelled = counted.select("field_pos", "n", label_from_badge(blank, b, unknown_label).alias("label"),
-                              (~blank & b.isNull()).alias("dflt"))
+    stripped = counted.select("field_pos", "n", s.alias("_s"), F.upper(s).alias("_u"))
+    blank = F.col("_s").isNull() | F.lower(F.col("_s")).isin(K.NULLS_AUDIT)
+    b = badge_from_upper("_u")
+    labelled = stripped.select("field_pos", "n", label_from_badge(blank, b, unknown_label).alias("label"),
+                               (~blank & b.isNull()).alias("dflt"))
     sums = [F.sum(F.when(F.col("label") == F.lit(label), F.col("n")).otherwise(F.lit(0))).alias(short)
             for short, label in K.SUMMARY_LABEL_COLUMNS]
     sums.append(F.sum(F.when(F.col("dflt"), F.col("n")).otherwise(F.lit(0))).alias("n_defaulted"))

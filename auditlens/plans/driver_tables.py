@@ -36,8 +36,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sql_lit(v) -> str:
+    return "CAST(NULL AS STRING)" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _pick(values, idx: Column) -> Column:
-    arr = F.array(*[F.lit(v).cast("string") for v in values])
+    # the literal array goes to the JVM as one SQL expression (one round trip)
+    arr = F.expr("array(" + ", ".join(_sql_lit(v) for v in values) + ")")
     return F.element_at(arr, (idx % len(values) + 1).cast("int"))
 
 
