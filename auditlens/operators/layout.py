@@ -6,7 +6,7 @@ Input tables (the OCR engine itself is outside the library):
 * detections: image_id, region ('header' | 'panel'), seq, bbox array<struct<x,y>>, text, prob
 
 Everything is column arithmetic plus per-image aggregates (``max_by``), which
-combine map-side. The grid (12 cells) is a literal map, not a join.
+combine map-side. The grid (12 cells) is a literal array, not a join.
 """
 
 from __future__ import annotations
