@@ -26,16 +26,25 @@ def _key(c) -> F.Column:
     return F.coalesce(py_strip(F.col(c)), F.lit(""))
 
 
+def _complete_pairs(calls: DataFrame, id_col: str, seller_col: str, caller_col: str) -> DataFrame:
+    keyed = calls.select(_key(seller_col).alias("seller"), _key(caller_col).alias("caller"),
+                         _key(id_col).alias("call_id"))
+    return keyed.filter((F.col("seller") != "") & (F.col("caller") != "") & (F.col("call_id") != ""))
+
+
+def pair_counts(calls: DataFrame, id_col="Call ID", seller_col="Seller GLID", caller_col="Caller GLID") -> DataFrame:
+    """Rows per (seller, caller) among complete truth rows."""
+    return (_complete_pairs(calls, id_col, seller_col, caller_col)
+            .groupBy("seller", "caller").agg(F.count(F.lit(1)).alias("n")))
+
+
 def unique_pair_lookup(calls: DataFrame, id_col="Call ID", seller_col="Seller GLID",
                        caller_col="Caller GLID") -> DataFrame:
     """(seller, caller) -> id for pairs that occur in exactly one complete truth row.
 
     Two rows of the same pair stay ambiguous even when they carry the same id.
     """
-    keyed = calls.select(_key(seller_col).alias("seller"), _key(caller_col).alias("caller"),
-                         _key(id_col).alias("call_id"))
-    valid = keyed.filter((F.col("seller") != "") & (F.col("caller") != "") & (F.col("call_id") != ""))
-    return (valid.groupBy("seller", "caller")
+    return (_complete_pairs(calls, id_col, seller_col, caller_col).groupBy("seller", "caller")
             .agg(F.count(F.lit(1)).alias("n"), F.min("call_id").alias("call_id"))
             .filter(F.col("n") == 1).drop("n"))
 

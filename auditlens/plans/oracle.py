@@ -215,6 +215,16 @@ def _restore_ctes() -> str:
         "ON f.id_missing AND trim(f.seller) = l.seller AND trim(f.caller) = l.caller)")
 
 
+def restore_pair_counts_sql() -> str:
+    return (f"WITH {_restore_ctes()} SELECT s AS seller, c AS caller, count(*) AS n FROM valid "
+            "WHERE s <> '' AND c <> '' AND id <> '' GROUP BY s, c")
+
+
+def json_path_extract_sql() -> str:
+    return ("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, "
+            "CAST(json_extract_string(props, '$.missing') AS VARCHAR) AS missing FROM events")
+
+
 def restore_lookup_sql() -> str:
     return f"WITH {_restore_ctes()} SELECT seller, caller, call_id FROM lookup"
 

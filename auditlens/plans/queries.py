@@ -87,6 +87,18 @@ def restore_counters(spark, sf_dir):
     return R.restore_counters(out)
 
 
+def restore_pair_counts(spark, sf_dir):
+    calls, _ = D.restore_inputs(spark, sf_dir)
+    return R.pair_counts(calls)
+
+
+def json_path_extract(spark, sf_dir):
+    from auditlens.functions.jsonx import json_path
+    ev = D.read(spark, sf_dir, "events")
+    return ev.select("event_id", json_path(F.col("props"), "$.k", "bigint").alias("k"),
+                     json_path(F.col("props"), "$.missing", "string").alias("missing"))
+
+
 DEDUPE_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                "l_returnflag"]
 
@@ -242,6 +254,8 @@ QUERIES = {
     "restore_lookup": restore_lookup,
     "restore_ids": restore_ids,
     "restore_counters": restore_counters,
+    "restore_pair_counts": restore_pair_counts,
+    "json_path_extract": json_path_extract,
     "first_row_wins": first_row_wins,
     "last_row_wins": last_row_wins,
     "dup_counts": dup_counts,
@@ -282,6 +296,8 @@ def oracle_sql() -> dict[str, str]:
         "restore_lookup": O.restore_lookup_sql(),
         "restore_ids": O.restore_ids_sql(),
         "restore_counters": O.restore_counters_sql(),
+        "restore_pair_counts": O.restore_pair_counts_sql(),
+        "json_path_extract": O.json_path_extract_sql(),
         "first_row_wins": O.row_per_key_sql(last=False),
         "last_row_wins": O.row_per_key_sql(last=True),
         "dup_counts": O.dup_counts_sql(),
