@@ -44,6 +44,38 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = K.CSV_NA_TOKENS, skip=("_
     return df.select(*cols)
 
 
+def pandas_header_names(names: Sequence[str]) -> list[str]:
+    """Repeated header names suffixed pandas-style: ``A, A`` -> ``A, A.1``.
+
+    Spark resolves names case-insensitively, so ``A`` and ``a`` also count as a
+    repeat (``A, a`` -> ``A, a.1``); pandas would keep both as they are.
+    """
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        k = seen.get(n.lower(), 0)
+        out.append(n if k == 0 else f"{n}.{k}")
+        seen[n.lower()] = k + 1
+    return out
+
+
+def _restore_duplicate_headers(spark: SparkSession, df: DataFrame, files: list[str], enc: str,
+                               multi_line: bool) -> DataFrame:
+    """Spark renames case-insensitively clashing headers (``A,a,A`` -> ``A0,a1,A2``);
+    put back the file's own names, pandas-style, so header resolution sees them."""
+    data_cols = [c for c in df.columns if c != "_seq"]
+    raw = (spark.read.option("header", False).option("multiLine", multi_line).option("escape", '"')
+           .option("encoding", enc).csv(files[0]).first())
+    if raw is None:
+        return df
+    header = [("" if v is None else v) for v in raw]
+    if len(header) != len(data_cols) or len({h.lower() for h in header}) == len(header):
+        return df
+    names = pandas_header_names(header)
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(data_cols, names)],
+                     *([F.col("_seq")] if "_seq" in df.columns else []))
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str] | str, na_tokens: Sequence[str] | None = K.CSV_NA_TOKENS,
              multi_line: bool = True, detect_encoding: bool = True) -> DataFrame:
     """Read header CSV files as all-string columns with per-file encoding and ``_seq``."""
@@ -61,6 +93,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str] | str, na_tokens: Sequenc
         df = df.withColumn("_seq", F.struct(F.col("_metadata.file_path").alias("file"),
                                             F.col("_metadata.file_block_start").alias("block"),
                                             F.monotonically_increasing_id().alias("pos")))
+        df = _restore_duplicate_headers(spark, df, files, enc, multi_line)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no CSV input under {paths}")

@@ -41,3 +41,12 @@ def test_incremental_ingest_skips_known_content(spark, tmp_path):
     ING.start(spark, str(src), out, ckpt).awaitTermination(120)
     assert spark.read.parquet(out).count() == 3
     assert ING.results(spark, out).count() == 3
+
+
+def test_duplicate_headers_keep_pandas_names(spark, tmp_path):
+    from auditlens.sources.columns import resolve_column
+    (tmp_path / "d.csv").write_bytes(b"Call ID,call id,Call ID,Name\n1,2,3,x\n")
+    df = read_csv(spark, str(tmp_path / "d.csv"))
+    assert [c for c in df.columns if c != "_seq"] == ["Call ID", "call id.1", "Call ID.2", "Name"]
+    assert resolve_column(df.columns, ["Call ID"]) == "Call ID"
+    assert [r["Call ID.2"] for r in df.collect()] == ["3"]
