@@ -152,7 +152,6 @@ GRID_BASE_HEIGHT = 900.0
 GRID_MANUAL_CENTRES = [120, 180, 240, 300, 360, 420]
 GRID_AI_CENTRES = [580, 640, 700, 760, 820, 880]
 GRID_SECTION_SPLIT = 460
-GRID_HEADER_HEIGHT = 60
 GRID_PANEL_X = 0.6
 GRID_COLUMN_SPLIT_X = 0.8
 # (column, row) -> field

@@ -71,11 +71,6 @@ def label_from_badge(blank, badge_col, unknown_label: str | None = K.CORRECT) ->
             .otherwise(F.coalesce(badge_col, F.lit(unknown_label).cast("string"))))
 
 
-def is_defaulted(c, blank_tokens=K.NULLS_AUDIT) -> Column:
-    """Non-blank text that no badge rule recognises (it takes the default label)."""
-    return blank_to_null(c, blank_tokens).isNotNull() & badge(c).isNull()
-
-
 def match_class(label) -> Column:
     """Equivalence class for matching: the correct family collapses to one class."""
     low = F.lower(py_strip(label))

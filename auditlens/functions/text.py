@@ -56,15 +56,6 @@ def rlike_any(c, tokens: Sequence[str]) -> Column:
     return out
 
 
-def contains_any_lower(c, tokens: Sequence[str]) -> Column:
-    low = F.lower(_c(c))
-    out = None
-    for t in tokens:
-        hit = low.contains(t)
-        out = hit if out is None else (out | hit)
-    return out
-
-
 def fixed2(x) -> Column:
     """Python ``f"{x:.2f}"`` for a double: round half-even first, then print."""
     return F.format_string("%.2f", F.bround(_c(x), 2))

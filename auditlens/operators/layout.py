@@ -18,9 +18,6 @@ from auditlens import constants as K
 from auditlens.functions.labels import badge_from_upper, label_match, upper_stripped
 from auditlens.functions.text import blank_to_null, regex_group_or
 
-N_ROWS = len(K.GRID_MANUAL_CENTRES)
-
-
 def header_text(detections: DataFrame) -> DataFrame:
     """Header detections of each image joined with spaces in detection order.
 

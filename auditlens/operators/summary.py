@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlens import constants as K
 from auditlens.functions.labels import badge_from_upper, label_from_badge
-from auditlens.functions.text import fraction_text, py_strip
+from auditlens.functions.text import py_strip
 from auditlens.sources.columns import find_verdict_column
 
 SUMMARY_COLUMNS = ["field_pos", "field_name", "cumulative_correct", "correct", "correct_nd",
@@ -122,7 +122,3 @@ def fieldwise_comparison(ai_summary: DataFrame, manual_summary: DataFrame) -> Da
         F.concat_ws("/", F.col("man_cc").cast("string"), F.col("man_total").cast("string")).alias("manual_fraction"),
         F.when(F.col("man_total") > 0, F.col("man_cc") / F.col("man_total")).otherwise(F.lit(0.0)).alias("manual_ratio"),
     )
-
-
-def fraction_line(num_col: str, den_col: str):
-    return fraction_text(F.col(num_col), F.col(den_col))

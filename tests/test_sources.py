@@ -50,3 +50,20 @@ def test_duplicate_headers_keep_pandas_names(spark, tmp_path):
     assert [c for c in df.columns if c != "_seq"] == ["Call ID", "call id.1", "Call ID.2", "Name"]
     assert resolve_column(df.columns, ["Call ID"]) == "Call ID"
     assert [r["Call ID.2"] for r in df.collect()] == ["3"]
+
+
+def test_list_images_and_overall_line(spark, tmp_path):
+    from auditlens.operators.summary import overall_label
+    from auditlens.sources.files import list_images
+    d1, d2 = tmp_path / "in", tmp_path / "in2"
+    d1.mkdir()
+    d2.mkdir()
+    (d1 / "a.png").write_bytes(b"a")
+    (d1 / "b.JPG").write_bytes(b"b")
+    (d1 / "c.txt").write_bytes(b"c")
+    (d2 / "d.jpeg").write_bytes(b"a")
+    rows = list_images(spark, [str(d1), str(d2)]).collect()
+    assert sorted(os.path.basename(r.path) for r in rows) == ["a.png", "b.JPG", "d.jpeg"]
+    assert len({r.content_hash for r in rows}) == 2
+    ov = spark.createDataFrame([(3, 4, 0.75)], "total_correct long, total_calls_fields long, overall_accuracy double")
+    assert overall_label(ov).first()[0] == "Total correct = 3 Total calls fields = 4 , overall accuracy = 0.75"
