@@ -34,8 +34,8 @@ def next_version(spark: SparkSession, base: str) -> str:
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     w = df.write.mode(mode)
-    if fmt == "csv":
-        w = w.option("header", True)
+    if fmt == "csv":  # RFC 4180 quoting: a quote inside a field is doubled
+        w = w.option("header", True).option("escape", '"')
     w.format(fmt).save(path)
 
 

@@ -54,3 +54,49 @@ def test_health_job_from_csv(spark, tmp_path):
     healthy = [r.model for r in spark.read.option("header", True).csv(f"{out}/healthy_models").collect()]
     broken = {r.model: r.error_type for r in spark.read.option("header", True).csv(f"{out}/broken_models").collect()}
     assert healthy == ["m1"] and broken == {"m2": "RateLimit", "m3": "Timeout"}
+
+
+def test_benchmark_job_with_stub_client(spark, tmp_path):
+    rows = _csv(tmp_path / "rows.csv",
+                "Seller Glid,Buyer Glid,User Details,Product Details,Past Conversation,Ongoing Conversation\n"
+                "1,2,Name=Ravi Company=Acme City=Pune,Steel,NaN,Hi a buyer named Ram Lal from Pune\n"
+                "3,4,Company=Acme | City=Pune,Pipes,,buyer named Ram\n"
+                "5,6,Name=Zed,Bolts,,x\n")
+    tpl = tmp_path / "tpl.txt"
+    tpl.write_text("System Prompt:\nYou are {{seller_name}} of {{seller_company}}.\n\nUser Prompt:\n"
+                   "{{seller_detail}} | {{prdDetail}} | {{convintronew}} | {{origConvDetail}} -> {{buyer_name}}\n")
+
+    def client(model, system, user):
+        if model == "m2" and "Pipes" in user:
+            raise RuntimeError("fatal")          # not retryable
+        return {"response": f"{system}#{user}", "prompt_tokens": 1000, "completion_tokens": 10,
+                "total_tokens": 1010}
+
+    models = [("m1", "M1", 1.0, 2.0), ("m2", "M2", 0.5, 0.5)]
+    out = jobs.run_benchmark(spark, rows, str(tpl), str(tmp_path / "bench"), models=models, client=client,
+                             limit=2)
+    cmp = {r.row_id: r for r in spark.read.parquet(f"{out}/comparison").collect()}
+    assert sorted(cmp) == [0, 1]                # head(2) in input order
+    assert cmp[0].m1 == ("You are Ravi of Acme.#Name=Ravi Company=Acme City=Pune | Steel |  | "
+                         "Hi a buyer named Ram Lal from Pune -> Ram Lal")
+    assert cmp[1].m2 == "ERROR" and cmp[1].m1.startswith("You are Seller of Company.#")
+    stats = {r.model: r for r in spark.read.parquet(f"{out}/benchmark_summary").collect()}
+    assert stats["m1"].success == 2 and stats["m2"].failed == 1
+    assert abs(stats["m1"].avg_cost - (1000 / 1e6 * 1.0 + 10 / 1e6 * 2.0)) < 1e-15
+
+
+def test_dataset_job_from_csv(spark, tmp_path):
+    calls = _csv(tmp_path / "calls.csv", 'Call ID,Call Summary,call_json,inferred_details\n'
+                 '1001,s,"{""a"": 1}","{""buyer_city"": ""Pune""}"\n'
+                 '1001,dup,"{""a"": 2}",x\n'
+                 '1002,s,"{""a"": 1}",NaN\n')
+    jsons = _csv(tmp_path / "cj.csv", "Call ID,call_json\n1002,\n")
+    manual = _csv(tmp_path / "m.csv", "Call ID,Transcript,Type,Verdict,Accuracy Score\n"
+                  "1001,hello,manual,Yes,100.0\n1002,hi,Manual,No,n/a\n")
+    out = jobs.run_dataset(spark, calls, manual, jsons, str(tmp_path / "ds"))
+    rej = {r.call_id: r.reject_reason for r in spark.read.option("header", True).csv(f"{out}/rejects").collect()}
+    assert rej == {"1001": None, "1002": "inferred_details"}
+    ds = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/dataset")
+    row = ds.collect()[0]
+    assert row.expected_output == '{\n  "verdict": "Yes",\n  "accuracy_score": 100\n}'
+    assert row.metadata == '{"call_id": "1001"}'
