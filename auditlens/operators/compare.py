@@ -91,8 +91,9 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
 
 
 def binary_comparison(cmp: DataFrame) -> DataFrame:
+    """Per call: 0/1 per field, matches, total and accuracy rounded to 2 places as reported."""
     return cmp.select("call_id", "manual_auditor", *[F.col(f"{f}_match").alias(f) for f in K.FIELDS],
-                      "matches", "total_fields", "accuracy")
+                      "matches", "total_fields", F.round("accuracy", 2).alias("accuracy"))
 
 
 def value_comparison(cmp: DataFrame) -> DataFrame:

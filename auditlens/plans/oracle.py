@@ -140,7 +140,8 @@ def comparison_sql() -> str:
 
 def binary_comparison_sql() -> str:
     fields = ", ".join(f"{f}_match AS {f}" for f in K.FIELDS)
-    return f"SELECT call_id, manual_auditor, {fields}, matches, total_fields, accuracy FROM ({comparison_sql()})"
+    return (f"SELECT call_id, manual_auditor, {fields}, matches, total_fields, round(accuracy, 2) AS accuracy "
+            f"FROM ({comparison_sql()})")
 
 
 def value_comparison_sql() -> str:
