@@ -99,6 +99,12 @@ class AuditReport:
         return self._get(side, lambda: S.field_summary(
             C.matched_ids_semi(inp.ai, inp.ai_map["call_id"], manual_ids), inp.ai_map, u))
 
+    def use_comparison(self, staged: DataFrame) -> None:
+        """Derive every comparison-based table from an already materialised comparison
+        (e.g. written once to the job's folder) instead of recomputing it per table."""
+        self._cache["comparison"] = staged
+        self._cache.pop("stats", None)
+
     @property
     def comparison(self) -> DataFrame:
         return self._get("comparison", lambda: comparison(self.inp, self.blank_policy, self.unknown_label))

@@ -46,7 +46,9 @@ def run_audit(spark, manual_path, ai_path, out_base, fmt="parquet", blank_policy
     manual = _stage(spark, read_csv(spark, manual_path), f"{out}/_staged/manual")
     ai = _stage(spark, read_csv(spark, ai_path), f"{out}/_staged/ai")
     rep = AJ.AuditReport(manual, ai, blank_policy, unknown_label)
-    return _write_all({n: rep.table(n) for n in AJ.REPORT_TABLES}, out, fmt)
+    # six report tables read the comparison: materialise it once (also cuts lineage)
+    rep.use_comparison(_stage(spark, rep.comparison, f"{out}/_staged/comparison"))
+    return _write_all({n: rep.table(n) for n in AJ.REPORT_TABLES if n != "comparison"}, out, fmt)
 
 
 def run_restore(spark, calls_path, audit_path, out_base) -> str:
