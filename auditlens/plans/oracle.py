@@ -193,7 +193,7 @@ def fieldwise_sql() -> str:
 
 
 def macro_accuracy_sql() -> str:
-    return f"SELECT coalesce(avg(accuracy), 0.0) AS macro_accuracy FROM ({summary_statistics_sql()})"
+    return f"SELECT round(coalesce(avg(accuracy), 0.0), 6) AS macro_accuracy FROM ({summary_statistics_sql()})"
 
 
 # --- id restoration ----------------------------------------------------------------
