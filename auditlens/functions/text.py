@@ -14,9 +14,19 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_OTHER_WS = [ch for ch in K.PY_WHITESPACE if ch != " "]
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: drops Unicode white space at both ends (no regex)."""
-    return F.trim(_c(c).cast("string"), F.lit(K.PY_WHITESPACE))
+    """Python ``str.strip()``: drops Unicode white space at both ends (no regex).
+
+    Fast path: plain ``trim`` removes spaces (which Python strips too); only when
+    the result still starts or ends with another white-space character does the
+    full set trim run, so the common case costs one cheap trim.
+    """
+    s1 = F.trim(_c(c).cast("string"))
+    edge = F.substring(s1, 1, 1).isin(_OTHER_WS) | F.substring(s1, -1, 1).isin(_OTHER_WS)
+    return F.when(edge, F.trim(s1, F.lit(K.PY_WHITESPACE))).otherwise(s1)
 
 
 def blank_to_null(c, tokens: Sequence[str] = K.NULLS_AUDIT, case_sensitive: bool = False,
