@@ -71,13 +71,16 @@ def label_from_badge(blank, badge_col, unknown_label: str | None = K.CORRECT) ->
             .otherwise(F.coalesce(badge_col, F.lit(unknown_label).cast("string"))))
 
 
-def match_class(label) -> Column:
-    """Equivalence class for matching: the correct family collapses to one class."""
-    low = F.lower(py_strip(label))
+def match_class(label, canonical: bool = False) -> Column:
+    """Equivalence class for matching: the correct family collapses to one class.
+
+    ``canonical=True`` skips the strip for labels produced by the normaliser.
+    """
+    low = F.lower(_c(label) if canonical else py_strip(label))
     return F.when(low.isin([x.lower() for x in K.CORRECT_FAMILY]), F.lit("ok")).otherwise(low)
 
 
-def label_match(manual_label, ai_label) -> Column:
+def label_match(manual_label, ai_label, canonical: bool = False) -> Column:
     """1 when the two normalised labels agree (case/space-insensitive, correct family equal)."""
     return F.when(_c(manual_label).isNull(), F.lit(1)).otherwise(
-        match_class(manual_label).eqNullSafe(match_class(ai_label)).cast("int"))
+        match_class(manual_label, canonical).eqNullSafe(match_class(ai_label, canonical)).cast("int"))

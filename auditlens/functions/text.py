@@ -14,7 +14,7 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-_OTHER_WS = [ch for ch in K.PY_WHITESPACE if ch != " "]
+_OTHER_WS = "".join(ch for ch in K.PY_WHITESPACE if ch != " ")
 
 
 def py_strip(c) -> Column:
@@ -25,7 +25,9 @@ def py_strip(c) -> Column:
     full set trim run, so the common case costs one cheap trim.
     """
     s1 = F.trim(_c(c).cast("string"))
-    edge = F.substring(s1, 1, 1).isin(_OTHER_WS) | F.substring(s1, -1, 1).isin(_OTHER_WS)
+    other = F.lit(_OTHER_WS)
+    # an empty result also takes the full trim (of nothing): harmless
+    edge = (F.position(F.substring(s1, 1, 1), other) > 0) | (F.position(F.substring(s1, -1, 1), other) > 0)
     return F.when(edge, F.trim(s1, F.lit(K.PY_WHITESPACE))).otherwise(s1)
 
 

@@ -51,21 +51,19 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
     """
     if blank_policy not in ("match", "exclude"):
         raise ValueError("blank_policy must be 'match' or 'exclude'")
-    m = latest_calls(manual_rows).select(
-        "call_id", F.col("auditor").alias("manual_auditor"),
-        *[F.col(f).alias(f"m__{f}") for f in K.FIELDS])
-    a = latest_calls(ai_rows).select("call_id", *[F.col(f).alias(f"a__{f}") for f in K.FIELDS])
-    j = m.join(a, "call_id", "inner")
-    # labels first (one regex pass per value), then the match logic over them
-    # both sides are already stripped and blank-nulled by ``audit_rows``
-    upper = j.select("call_id", "manual_auditor", *[c for f in K.FIELDS for c in (
-        F.upper(F.col(f"m__{f}")).alias(f"{f}__mu"), F.upper(F.col(f"a__{f}")).alias(f"{f}__au"))])
-    labelled = upper.select("call_id", "manual_auditor", *[c for f in K.FIELDS for c in (
-        F.col(f"{f}__mu").isNull().alias(f"{f}__blank"),
-        label_from_badge(F.col(f"{f}__mu").isNull(), badge_from_upper(f"{f}__mu"),
-                         unknown_label).alias(f"{f}__m"),
-        label_from_badge(F.col(f"{f}__au").isNull(), badge_from_upper(f"{f}__au"),
-                         unknown_label).alias(f"{f}__a"))])
+    # label each side right after its dedupe (one row per call): two 12-label
+    # projections instead of one 24-label one keep generated methods small
+    def labelled_side(rows, prefix, extra):
+        latest = latest_calls(rows)
+        up = latest.select("call_id", *extra, *[F.upper(F.col(f)).alias(f"{f}__u") for f in K.FIELDS])
+        names = ["manual_auditor"] if prefix == "m" else []
+        return up.select("call_id", *names, *[c for f in K.FIELDS for c in (
+            label_from_badge(F.col(f"{f}__u").isNull(), badge_from_upper(f"{f}__u"), unknown_label)
+            .alias(f"{f}__{prefix}"),
+            *([F.col(f"{f}__u").isNull().alias(f"{f}__blank")] if prefix == "m" else []))])
+    m = labelled_side(manual_rows, "m", [F.col("auditor").alias("manual_auditor")])
+    a = labelled_side(ai_rows, "a", [])
+    labelled = m.join(a, "call_id", "inner")
     out = [F.col("call_id"), F.col("manual_auditor")]
     match_cols = []
     for f in K.FIELDS:
@@ -73,10 +71,10 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
         ai_norm, m_norm = F.col(f"{f}__a"), F.col(f"{f}__m")
         if blank_policy == "match":
             man = F.when(blank, ai_norm).otherwise(m_norm)
-            match = F.when(blank, F.lit(1)).otherwise(label_match(m_norm, ai_norm))
+            match = F.when(blank, F.lit(1)).otherwise(label_match(m_norm, ai_norm, canonical=True))
         else:
             man = F.when(blank, F.lit(None).cast("string")).otherwise(m_norm)
-            match = F.when(blank, F.lit(None).cast("int")).otherwise(label_match(m_norm, ai_norm))
+            match = F.when(blank, F.lit(None).cast("int")).otherwise(label_match(m_norm, ai_norm, canonical=True))
         out += [man.alias(f"{f}_manual"), ai_norm.alias(f"{f}_ai"),
                 match.alias(f"{f}_match"), blank.cast("int").alias(f"{f}_imputed")]
         match_cols.append(f"{f}_match")
