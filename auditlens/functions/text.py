@@ -14,21 +14,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-_OTHER_WS = "".join(ch for ch in K.PY_WHITESPACE if ch != " ")
-
-
 def py_strip(c) -> Column:
     """Python ``str.strip()``: drops Unicode white space at both ends (no regex).
 
-    Fast path: plain ``trim`` removes spaces (which Python strips too); only when
-    the result still starts or ends with another white-space character does the
-    full set trim run, so the common case costs one cheap trim.
+    Kept to ONE expression node on purpose: callers nest it (blank handling,
+    score coercion), and a multi-reference fast path would multiply the
+    expression tree at every level of nesting.
     """
-    s1 = F.trim(_c(c).cast("string"))
-    other = F.lit(_OTHER_WS)
-    # an empty result also takes the full trim (of nothing): harmless
-    edge = (F.position(F.substring(s1, 1, 1), other) > 0) | (F.position(F.substring(s1, -1, 1), other) > 0)
-    return F.when(edge, F.trim(s1, F.lit(K.PY_WHITESPACE))).otherwise(s1)
+    return F.trim(_c(c).cast("string"), F.lit(K.PY_WHITESPACE))
 
 
 def blank_to_null(c, tokens: Sequence[str] = K.NULLS_AUDIT, case_sensitive: bool = False,

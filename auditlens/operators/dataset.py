@@ -79,21 +79,24 @@ def classify(src: DatasetSources) -> DataFrame:
          .filter(F.col("_in_calls").isNotNull() | F.col("_in_cj").isNotNull())
          .join(tr, "call_id", "left"))
 
-    call_json = F.coalesce(_norm(F.col("j_json")), _norm(F.col("c_json")))
-    j = j.withColumn("transcript", _norm(F.col("transcript_raw"))).withColumn("call_json", call_json)
-    inferred = F.coalesce(_norm(F.col("c_inf")), _norm(F.col("j_inf")), _norm(F.col("m_inf")))
-    j = j.withColumn("_inf0", inferred)
+    # every normalised value becomes a column once; later expressions reference it
+    keys = list(K.EXPECTED_OUTPUT_FIELDS)
+    j = j.select(
+        "call_id",
+        _norm(F.col("transcript_raw")).alias("transcript"),
+        F.coalesce(_norm(F.col("j_json")), _norm(F.col("c_json"))).alias("call_json"),
+        F.coalesce(_norm(F.col("c_inf")), _norm(F.col("j_inf")), _norm(F.col("m_inf"))).alias("_inf0"),
+        *[_norm(F.col(f"x_{k}")).alias(f"n_{k}") for k in keys])
     # only rows that still lack inferred details ship text to the Python helper
     need = F.when(F.col("_inf0").isNull(), F.col("call_json"))
-    derived = J.derive_inferred_details(need)
-    j = j.withColumn("inferred_details", F.coalesce(F.col("_inf0"), derived))
-
     pairs = []
-    for key in K.EXPECTED_OUTPUT_FIELDS:
-        v = _norm(F.col(f"x_{key}"))
-        pairs.append((key, J.score_value(v) if "score" in key else J.json_string(v)))
-        pairs[-1] = (key, F.when(v.isNotNull(), pairs[-1][1]))
-    j = j.withColumn("expected_output", J.pretty_object(pairs))
+    for key in keys:
+        v = F.col(f"n_{key}")
+        text = J.score_value(v) if "score" in key else J.json_string(v)
+        pairs.append((key, F.when(v.isNotNull(), text)))
+    j = j.select("call_id", "transcript", "call_json",
+                 F.coalesce(F.col("_inf0"), J.derive_inferred_details(need)).alias("inferred_details"),
+                 J.pretty_object(pairs).alias("expected_output"))
     reason = (F.when(F.col("transcript").isNull(), F.lit(K.REJECT_REASONS[0]))
               .when(F.col("call_json").isNull(), F.lit(K.REJECT_REASONS[1]))
               .when(F.col("inferred_details").isNull(), F.lit(K.REJECT_REASONS[2]))
