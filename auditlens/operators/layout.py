@@ -111,7 +111,7 @@ def compare_screens(cells: DataFrame, headers: DataFrame) -> DataFrame:
         if f in K.AUDITED_FIELDS:
             m = blank_to_null(F.col(f"m__{f}"), K.NULLS_SCREEN)
             man = F.when(F.col("has_manual"), F.coalesce(m, ai))
-            match = F.when(F.col("has_manual"), F.when(m.isNull(), F.lit(1)).otherwise(label_match(m, ai)))
+            match = F.when(F.col("has_manual"), F.when(m.isNull(), F.lit(1)).otherwise(label_match(m, ai, canonical=True)))
         else:
             man = F.lit(None).cast("string")
             match = F.lit(None).cast("int")
