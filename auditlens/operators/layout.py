@@ -63,11 +63,14 @@ def _grid_field(col: Column, row: Column) -> Column:
 
 
 def place_badges(detections: DataFrame, images: DataFrame) -> DataFrame:
-    """Badge detections of the right panel placed on the 2 x 6 grid:
-    (image_id, seq, section, field, label); text that is no badge is dropped."""
+    """Detections of the right panel placed on the 2 x 6 grid:
+    (image_id, seq, section, field, label); ``label`` is NULL for text that is no badge."""
+    # no filter on ``label`` here: Catalyst would push it below this projection and
+    # evaluate the badge rules twice; rows without a badge are dropped after the
+    # per-cell aggregate instead (``last_hits``)
     d = (detections.filter(F.col("region") == "panel").withColumn("_u", upper_stripped(F.col("text")))
          .withColumn("label", badge_from_upper("_u")).drop("_u"))
-    d = d.filter(F.col("label").isNotNull()).join(images.select("image_id", "height", "width"), "image_id")
+    d = d.join(images.select("image_id", "height", "width"), "image_id")
     scale = F.col("height") / F.lit(K.GRID_BASE_HEIGHT)
     cx = _mean_int(F.col("bbox"), "x") + (F.col("width") * K.GRID_PANEL_X).cast("int")
     cy = _mean_int(F.col("bbox"), "y")
@@ -80,6 +83,14 @@ def place_badges(detections: DataFrame, images: DataFrame) -> DataFrame:
                     field.alias("field"), "label").filter(F.col("field").isNotNull())
 
 
+def last_hits(placed: DataFrame) -> DataFrame:
+    """The latest badge per (image, section, field); detections without a badge do not count."""
+    hit = F.col("label").isNotNull()
+    last = placed.groupBy("image_id", "section", "field").agg(
+        F.max_by("label", F.when(hit, F.col("seq"))).alias("label"))
+    return last.filter(F.col("label").isNotNull())
+
+
 def cell_values(placed: DataFrame, images: DataFrame) -> DataFrame:
     """One row per image: the latest badge in each (section, field) cell.
 
@@ -88,7 +99,7 @@ def cell_values(placed: DataFrame, images: DataFrame) -> DataFrame:
     most 24 cells - its size is bounded by the grid, not by the data.
     Manual cells default to NULL, AI cells to 'Correct' (no detection = correct).
     """
-    last = placed.groupBy("image_id", "section", "field").agg(F.max_by("label", "seq").alias("label"))
+    last = last_hits(placed)
     per_image = last.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat(F.col("section"), F.lit("__"), F.col("field")), F.col("label")))).alias("_cells"))
     out = images.select("image_id").join(per_image, "image_id", "left")

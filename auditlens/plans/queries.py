@@ -224,7 +224,7 @@ def _screens(spark, sf_dir):
 
 def grid_cells(spark, sf_dir):
     _, _, placed = _screens(spark, sf_dir)
-    return placed.groupBy("image_id", "section", "field").agg(F.max_by("label", "seq").alias("label"))
+    return LY.last_hits(placed)
 
 
 def screen_header(spark, sf_dir):

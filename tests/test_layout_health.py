@@ -23,8 +23,7 @@ def test_grid_rules(spark):
         (3, "header", 0, [], "no id here", 1.0),
     ], DET_S)
     placed = LY.place_badges(det, images)
-    last = placed.groupBy("image_id", "section", "field").agg(F.max_by("label", "seq").alias("label"))
-    cells = {(r.image_id, r.section, r.field): r.label for r in last.collect()}
+    cells = {(r.image_id, r.section, r.field): r.label for r in LY.last_hits(placed).collect()}
     assert cells[(1, "manual", "buyer_name")] == "Missing"
     assert cells[(1, "ai", "buyer_location")] == "Hallucination"
     assert cells[(2, "manual", "quantity")] == "Inferred"
