@@ -90,7 +90,13 @@ def run_health(spark, probe_log_path, out_base, order=("_seq",)) -> str:
 
 def run_benchmark(spark, rows_path, template_path, out_base, models=None, client: Callable | None = None,
                   response_log_path: str | None = None, limit: int = 15, partitions: int = 8) -> str:
-    """Prompt benchmark: rows x models -> responses (live ``client`` or a response log) -> reports."""
+    """Prompt benchmark: rows x models -> responses (live ``client`` or a response log) -> reports.
+
+    Row ids: with ``limit > 0`` the first rows are numbered 0..n-1 in input order;
+    with ``limit <= 0`` every row gets a unique, increasing (not necessarily
+    consecutive) id. The ids are written to ``_staged/rows``; a response log
+    given instead of a client must carry those ids.
+    """
     from auditlens.plans.driver_tables import DEFAULT_MODELS
     models = models or DEFAULT_MODELS
     out = next_version(spark, out_base)

@@ -100,3 +100,24 @@ def test_dataset_job_from_csv(spark, tmp_path):
     row = ds.collect()[0]
     assert row.expected_output == '{\n  "verdict": "Yes",\n  "accuracy_score": 100\n}'
     assert row.metadata == '{"call_id": "1001"}'
+
+
+def test_benchmark_cli_from_response_log(spark, tmp_path):
+    rows = _csv(tmp_path / "rows.csv", "Seller Glid,User Details,Product Details,Past Conversation,"
+                                       "Ongoing Conversation\n1,a,b,c,d\n2,a,b,c,d\n3,a,b,c,d\n")
+    tpl = tmp_path / "tpl.txt"
+    tpl.write_text("System Prompt: s\nUser Prompt: u\n")
+    log = _csv(tmp_path / "log.csv", "row_id,model,response,latency,prompt_tokens,completion_tokens,total_tokens,status\n"
+                                     "0,alpha-lite,hi,1.5,100,10,110,Success\n"
+                                     "1,alpha-lite,ERROR,3.0,NA,NA,NA,Failed\n"
+                                     "0,beta-nano,yo,0.5,200,20,220,Success\n")
+    jobs.main(["benchmark", "--rows", rows, "--template", str(tpl), "--responses", log,
+               "--out", str(tmp_path / "b"), "--limit", "0"])
+    out = str(tmp_path / "b" / "v=1")
+    stats = {r.model: r for r in spark.read.parquet(f"{out}/benchmark_summary").collect()}
+    assert stats["alpha-lite"].requests == 2 and stats["alpha-lite"].failed == 1
+    assert stats["alpha-lite"].avg_latency == 2.25 and stats["alpha-lite"].avg_prompt_tokens == 100.0
+    cmp = spark.read.parquet(f"{out}/comparison")
+    assert cmp.count() == 3
+    r0 = [r for r in cmp.collect() if r["alpha-lite"] == "hi"]
+    assert len(r0) == 1 and r0[0]["beta-nano"] == "yo" and r0[0]["gamma-26b"] == "ERROR"
