@@ -134,7 +134,8 @@ def summary_statistics(cmp: DataFrame) -> DataFrame:
         for i, f in enumerate(K.FIELDS)
     ]
     long = wide.select(F.inline(F.array(*rows)))
-    acc = F.when(F.col("total_calls") > 0, F.col("matched_calls") / F.col("total_calls") * 100.0) \
+    # over the compared calls: with blank_policy='match' every call is compared
+    acc = F.when(F.col("compared_calls") > 0, F.col("matched_calls") / F.col("compared_calls") * 100.0) \
         .otherwise(F.lit(0.0))
     return (long.withColumn("cumulative_correct", F.col("correct") + F.col("correct_nd") + F.col("inferred"))
             .withColumn("accuracy", acc)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from auditlens import constants as K
 from auditlens.operators import compare as C
 from auditlens.operators import summary as S
+from auditlens.functions.text import call_id_before_dot
 from auditlens.sources.columns import find_verdict_column, map_columns
 
 
@@ -42,7 +43,7 @@ def prepare(manual: DataFrame, ai: DataFrame) -> AuditInputs:
 
 
 def summaries(inp: AuditInputs, unknown_label=K.CORRECT) -> dict[str, DataFrame]:
-    manual_ids = C.audit_rows(inp.manual, inp.manual_map, "_seq").select("call_id")
+    manual_ids = inp.manual.select(call_id_before_dot(F.col(inp.manual_map["call_id"])).alias("call_id"))
     ai_matched = C.matched_ids_semi(inp.ai, inp.ai_map["call_id"], manual_ids)
     return {
         "ai_summary": S.field_summary(inp.ai, inp.ai_map, unknown_label),
@@ -95,7 +96,7 @@ class AuditReport:
             return self._get(side, lambda: S.field_summary(inp.ai, inp.ai_map, u))
         if side == "manual":
             return self._get(side, lambda: S.field_summary(inp.manual, inp.manual_map, u))
-        manual_ids = C.audit_rows(inp.manual, inp.manual_map, "_seq").select("call_id")
+        manual_ids = inp.manual.select(call_id_before_dot(F.col(inp.manual_map["call_id"])).alias("call_id"))
         return self._get(side, lambda: S.field_summary(
             C.matched_ids_semi(inp.ai, inp.ai_map["call_id"], manual_ids), inp.ai_map, u))
 

@@ -37,6 +37,9 @@ def test_blank_policy_exclude(spark):
     assert cmp.buyer_name_match == 1 and cmp.lead_tag_match is None and cmp.total_fields == 1
     stats = {r.field_name: r for r in C.summary_statistics(AJ.comparison(inp)).collect()}
     assert stats["Lead Tag"].n_imputed == 1 and stats["Buyer Name"].missing == 1
+    ex = {r.field_name: r for r in C.summary_statistics(AJ.comparison(inp, blank_policy="exclude")).collect()}
+    assert ex["Lead Tag"].compared_calls == 0 and ex["Lead Tag"].accuracy == 0.0
+    assert ex["Buyer Name"].compared_calls == 1 and ex["Buyer Name"].accuracy == 100.0
 
 
 def test_hot_call_id_matches_brute_force(spark):
