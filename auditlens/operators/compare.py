@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from auditlens import constants as K
 from auditlens.functions.labels import badge_from_upper, label_from_badge, label_match
-from auditlens.functions.text import blank_to_null, call_id_before_dot, py_strip
+from auditlens.functions.text import blank_to_null_named, call_id_before_dot, py_strip
 from auditlens.operators.dedupe import last_per_key
 
 N_FIELDS = len(K.FIELDS)
@@ -29,7 +29,7 @@ def audit_rows(df: DataFrame, mapping: dict, seq_col: str, with_auditor: bool =
         cols.append(F.coalesce(a, F.lit(K.DEFAULT_AUDITOR)).alias("auditor"))
     for f in K.FIELDS:
         src = mapping.get(f)
-        raw = blank_to_null(F.col(src), K.NULLS_AUDIT) if src else F.lit(None).cast("string")
+        raw = blank_to_null_named(src, K.NULLS_AUDIT) if src else F.lit(None).cast("string")
         cols.append(raw.alias(f))
     cols.append(F.col(seq_col).alias("_seq"))
     return df.select(*cols)
