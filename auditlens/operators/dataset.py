@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from auditlens import constants as K
 from auditlens.functions import jsonx as J
-from auditlens.functions.text import blank_to_null, clean_id, py_strip
+from auditlens.functions.text import blank_to_null, blank_to_null_named, clean_id, py_strip
 from auditlens.sources.columns import require, resolve_column
 
 
@@ -81,12 +81,14 @@ def classify(src: DatasetSources) -> DataFrame:
 
     # every normalised value becomes a column once; later expressions reference it
     keys = list(K.EXPECTED_OUTPUT_FIELDS)
+    def nn(name):  # one SQL expression per column (see ``blank_to_null_named``)
+        return blank_to_null_named(name, K.NULLS_DATASET)
     j = j.select(
         "call_id",
-        _norm(F.col("transcript_raw")).alias("transcript"),
-        F.coalesce(_norm(F.col("j_json")), _norm(F.col("c_json"))).alias("call_json"),
-        F.coalesce(_norm(F.col("c_inf")), _norm(F.col("j_inf")), _norm(F.col("m_inf"))).alias("_inf0"),
-        *[_norm(F.col(f"x_{k}")).alias(f"n_{k}") for k in keys])
+        nn("transcript_raw").alias("transcript"),
+        F.coalesce(nn("j_json"), nn("c_json")).alias("call_json"),
+        F.coalesce(nn("c_inf"), nn("j_inf"), nn("m_inf")).alias("_inf0"),
+        *[nn(f"x_{k}").alias(f"n_{k}") for k in keys])
     # only rows that still lack inferred details ship text to the Python helper
     need = F.when(F.col("_inf0").isNull(), F.col("call_json"))
     pairs = []
