@@ -52,7 +52,10 @@ def start(spark: SparkSession, source_dir: str, results_path: str, checkpoint: s
         hashed = with_content_hash(df.select("path", "length", "content"), "content")
         fresh = new_only(hashed, _known(spark, results_path), force_refresh=force_refresh)
         out = process(fresh) if process else fresh.select("path", "content_hash", "length")
-        out.withColumn("ingest_batch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(results_path)
+        # epoch ids restart with a new checkpoint: order results by ingest time first
+        (out.withColumn("ingested_at", F.current_timestamp())
+         .withColumn("ingest_batch", F.lit(epoch_id).cast("long"))
+         .write.mode("append").parquet(results_path))
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -62,4 +65,5 @@ def start(spark: SparkSession, source_dir: str, results_path: str, checkpoint: s
 def results(spark: SparkSession, results_path: str) -> DataFrame:
     """Latest stored result per content hash (a re-processed hash supersedes older rows)."""
     df = spark.read.parquet(results_path)
-    return df.groupBy("content_hash").agg(F.max_by(F.struct(*df.columns), "ingest_batch").alias("r")).select("r.*")
+    order = F.struct("ingested_at", "ingest_batch")
+    return df.groupBy("content_hash").agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")

@@ -67,3 +67,30 @@ def test_list_images_and_overall_line(spark, tmp_path):
     assert len({r.content_hash for r in rows}) == 2
     ov = spark.createDataFrame([(3, 4, 0.75)], "total_correct long, total_calls_fields long, overall_accuracy double")
     assert overall_label(ov).first()[0] == "Total correct = 3 Total calls fields = 4 , overall accuracy = 0.75"
+
+
+def test_next_version_ignores_other_folders_and_writes_csv(spark, tmp_path):
+    base = tmp_path / "r"
+    (base / "v=3").mkdir(parents=True)
+    (base / "notes").mkdir()
+    (base / "v=x").mkdir()
+    df = spark.createDataFrame([("a,b", 'say "hi"')], "k string, v string")
+    out = write_reports(spark, {"t": df}, str(base), fmt="csv")
+    assert out.endswith("v=4")
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{out}/t").collect()
+    assert [(r.k, r.v) for r in back] == [("a,b", 'say "hi"')]
+
+
+def test_incremental_force_refresh_reprocesses(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.png").write_bytes(b"A")
+    out = str(tmp_path / "res")
+    ING.start(spark, str(src), out, str(tmp_path / "c1")).awaitTermination(120)
+    # a new stream (own checkpoint) over the same folder: known content is skipped ...
+    ING.start(spark, str(src), out, str(tmp_path / "c2")).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 1
+    # ... unless refreshing, and the latest batch then supersedes the older row
+    ING.start(spark, str(src), out, str(tmp_path / "c3"), force_refresh=True).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 2
+    assert ING.results(spark, out).count() == 1
