@@ -1,8 +1,10 @@
 """Per-field label summaries, overall accuracies and verdict counts.
 
-Each summary is ONE global aggregate (6 labels x 12 fields of ``count_if``):
-every task pre-aggregates its split, so a scan of any size shuffles one tiny
-row per task, and the 12-row report is unpacked from that single row.
+A summary counts rows per (field, distinct raw text) first - a hash aggregate
+that combines map-side, so each task ships one row per distinct label text -
+then normalises only those distinct texts and sums per field (12 rows). A scan
+of any size therefore shuffles a handful of tiny rows, and no label rule runs
+per input row.
 """
 
 from __future__ import annotations
