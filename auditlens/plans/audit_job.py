@@ -1,10 +1,10 @@
 """Audit comparison job: manual vs AI audit tables -> report tables.
 
 Inputs are two raw audit tables (any header spelling) with a ``_seq`` column
-giving input order. Output is a dict of lazily defined report DataFrames;
-nothing is collected. Both filtered inputs feed three consumers each
-(summary, matched summary, comparison), so callers that materialise several
-reports should persist the two filtered inputs first (``prepare``).
+giving input order. ``AuditReport`` builds each report DataFrame only when it
+is asked for; nothing is collected. Six reports read the paired comparison, so
+a job that writes several of them materialises it once and hands it back with
+``use_comparison`` (``plans/jobs.run_audit`` does this).
 """
 
 from __future__ import annotations
