@@ -113,28 +113,25 @@ def summary_statistics(cmp: DataFrame) -> DataFrame:
 
     One global aggregate over the comparison, unpacked to 12 rows.
     """
-    aggs = [F.count(F.lit(1)).alias("n_calls")]
+    # ~110 aggregates and a 12-row unpivot: each sent as one SQL expression
+    def q(v):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    aggs = [F.expr("count(1)").alias("n_calls")]
     for f in K.FIELDS:
         for short, label in K.SUMMARY_LABEL_COLUMNS:
-            aggs.append(F.count_if(F.col(f"{f}_manual") == F.lit(label)).alias(f"{f}__{short}"))
-        aggs.append(F.coalesce(F.sum(f"{f}_match"), F.lit(0)).cast("long").alias(f"{f}__matched"))
-        aggs.append(F.count(f"{f}_match").alias(f"{f}__compared"))
-        aggs.append(F.coalesce(F.sum(f"{f}_imputed"), F.lit(0)).cast("long").alias(f"{f}__imputed"))
+            aggs.append(F.expr(f"count_if(`{f}_manual` = {q(label)})").alias(f"{f}__{short}"))
+        aggs.append(F.expr(f"CAST(coalesce(sum(`{f}_match`), 0) AS BIGINT)").alias(f"{f}__matched"))
+        aggs.append(F.expr(f"count(`{f}_match`)").alias(f"{f}__compared"))
+        aggs.append(F.expr(f"CAST(coalesce(sum(`{f}_imputed`), 0) AS BIGINT)").alias(f"{f}__imputed"))
     wide = cmp.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(i + 1).alias("field_pos"),
-            F.lit(K.FIELD_DISPLAY[f]).alias("field_name"),
-            *[F.col(f"{f}__{short}").alias(short) for short, _ in K.SUMMARY_LABEL_COLUMNS],
-            F.col(f"{f}__matched").alias("matched_calls"),
-            F.col(f"{f}__compared").alias("compared_calls"),
-            F.col(f"{f}__imputed").alias("n_imputed"),
-            F.col("n_calls").alias("total_calls"),
-        )
-        for i, f in enumerate(K.FIELDS)
-    ]
-    long = wide.select(F.inline(F.array(*rows)))
-    # over the compared calls: with blank_policy='match' every call is compared
+    structs = []
+    for i, f in enumerate(K.FIELDS):
+        parts = [f"'field_pos', {i + 1}", f"'field_name', {q(K.FIELD_DISPLAY[f])}"]
+        parts += [f"'{short}', `{f}__{short}`" for short, _ in K.SUMMARY_LABEL_COLUMNS]
+        parts += [f"'matched_calls', `{f}__matched`", f"'compared_calls', `{f}__compared`",
+                  f"'n_imputed', `{f}__imputed`", "'total_calls', n_calls"]
+        structs.append("named_struct(" + ", ".join(parts) + ")")
+    long = wide.select(F.expr("inline(array(" + ", ".join(structs) + "))"))
     acc = F.when(F.col("compared_calls") > 0, F.col("matched_calls") / F.col("compared_calls") * 100.0) \
         .otherwise(F.lit(0.0))
     return (long.withColumn("cumulative_correct", F.col("correct") + F.col("correct_nd") + F.col("inferred"))
