@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from auditlens.llm.language_id import op1_language_id
+from auditlens.llm.lm_scoring import op3_lm_scoring
+from auditlens.llm.minhash_dedup import op2_minhash_dedup
 from auditlens.llm.quality_classifier import op8_quality_classifier
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
