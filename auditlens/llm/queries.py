@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from auditlens.llm import decontamination, quality_rules
 from auditlens.llm.language_id import op1_language_id
 from auditlens.llm.lm_scoring import op3_lm_scoring
 from auditlens.llm.minhash_dedup import op2_minhash_dedup
@@ -11,7 +12,12 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": decontamination.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
+}
