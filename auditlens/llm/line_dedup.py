@@ -2,8 +2,9 @@
 
 A text is cut into lines: after each newline and after each clause mark (so that a passage pasted into a paragraph
 also starts and ends at lines). A rolling hash over ``ROLL`` line hashes has local minima; a chunk ends at each of
-them, so a passage is cut alike wherever it stands. Chunks of two lines and more whose hash occurs again are
-candidates; grouping them by their own text compares the bytes. The first occurrence, by (doc_id, text hash, chunk), stays. At
+them, so a passage is cut alike wherever it stands. That is done with ``SEEDS`` rolling hashes, because a short
+passage may hold no whole chunk of one of them. Chunks of two lines and more whose hash occurs again are
+candidates; grouping them by their own text compares the bytes. The first occurrence, by (doc_id, text hash, line), stays. At
 the others the match grows into the neighbouring chunks as far as lines equal those around the first occurrence.
 Runs of matched lines with at least ``min_words`` words are removed; shorter ones stay.
 
@@ -23,6 +24,7 @@ from auditlens.llm.store import staged
 
 MIN_WORDS = 40
 ROLL = 2
+SEEDS = 3
 _LINE_END = r"(?<=[\n.!?;:,])"
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -37,7 +39,7 @@ def _bare(lines: Column) -> Column:
 
 
 def _chunks(bare: Column) -> Column:
-    """array<struct<k, s, e, hash, body, prev, next>>: chunks of two lines and more, with their neighbours' lines."""
+    """array<struct<s, e, hash, body, prev, next>>: chunks of two lines and more, with their neighbours' lines."""
 
     def cut(lines: Column, hashes: Column, ends: Column) -> Column:
         def start(k: Column) -> Column:
@@ -49,7 +51,7 @@ def _chunks(bare: Column) -> Column:
         def one(e: Column, k: Column) -> Column:
             s = start(k)
             after = F.coalesce(F.get(ends, k + 1), e)
-            return F.struct(k.cast("int").alias("k"), s.cast("int").alias("s"), e.cast("int").alias("e"),
+            return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"),
                             F.xxhash64(part(hashes, s, e)).alias("hash"), F.array_join(part(lines, s, e), "\n").alias("body"),
                             part(lines, start(k - 1), s - 1).alias("prev"), part(lines, e + 1, after).alias("next"))
 
@@ -59,11 +61,14 @@ def _chunks(bare: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size(rolled) - 1), lambda i: (i == F.size(rolled) - 1) | F.coalesce(
             (F.get(rolled, i) < F.get(rolled, i - 1)) & (F.get(rolled, i) < F.get(rolled, i + 1)), F.lit(False)))
 
-    def rolling(h: Column) -> Column:
-        return F.transform(h, lambda _, i: F.xxhash64(*(F.get(h, i - j) for j in range(ROLL))))
+    def rolling(h: Column, seed: int) -> Column:
+        return F.transform(h, lambda _, i: F.xxhash64(F.lit(seed), *(F.get(h, i - j) for j in range(ROLL))))
 
-    return let(bare, lambda lines: let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: let(
-        let(rolling(h), ends_of), lambda ends: cut(lines, h, ends))))
+    def seeded(lines: Column, h: Column, seed: int) -> Column:
+        return let(let(rolling(h, seed), ends_of), lambda ends: cut(lines, h, ends))
+
+    return let(bare, lambda lines: let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.array_distinct(
+        F.concat(*(seeded(lines, h, seed) for seed in range(SEEDS))))))
 
 
 def _hashes(bare: Column) -> Column:
@@ -86,11 +91,11 @@ def repeated_runs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
                    .filter("c > 1").select("hash"), folder, "again")
     found = staged(rows.select("doc_id", "mark", F.inline(_chunks(F.col("bare"))))
                    .join(store.small(again, 16), "hash", "left_semi"), folder, "chunks")
-    first = staged(found.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "mark", "k", "prev", "next")).alias("first")),
+    first = staged(found.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "mark", "s", "prev", "next")).alias("first")),
                    folder, "first")
     other = (found.join(first, ["hash", "body"])
              .filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-                       & (F.col("k") == F.col("first.k")))))
+                       & (F.col("s") == F.col("first.s")))))
     spans = other.select("doc_id", "mark", (F.col("s") - _alike(F.reverse("prev"), F.reverse("first.prev"))).alias("s"),
                          (F.col("e") + _alike(F.col("next"), F.col("first.next"))).alias("e")).distinct()
     line = Window.partitionBy("doc_id", "mark").orderBy("s", "e")
