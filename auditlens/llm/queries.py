@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlens.llm import decontamination, line_dedup, pii, quality_rules
+from auditlens.llm import decontamination, line_dedup, mixing, pii, preference, quality_rules
 from auditlens.llm.language_id import op1_language_id
 from auditlens.llm.lm_scoring import op3_lm_scoring
 from auditlens.llm.minhash_dedup import op2_minhash_dedup
@@ -14,12 +14,15 @@ QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_chat_formatting": preference.op6_chat_formatting,
     "op7_pii": pii.op7_pii,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_source_mixing": mixing.op9_source_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": decontamination.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
+    "op6_chat_formatting": preference.ORACLE,
 }
