@@ -147,6 +147,15 @@ SYSTEM_PLACEHOLDERS = ["{{seller_name}}", "{{seller_company}}"]
 USER_PLACEHOLDERS = ["{{seller_detail}}", "{{prdDetail}}", "{{convintronew}}",
                      "{{origConvDetail}}", "{{seller_name}}", "{{buyer_name}}"]
 
+# default models: id, display name, USD per million input / output tokens
+DEFAULT_MODELS = [
+    ("alpha-lite", "Alpha Lite", 0.075, 0.30),
+    ("alpha-flash", "Alpha Flash", 0.075, 0.30),
+    ("beta-nano", "Beta Nano", 0.15, 0.60),
+    ("beta-mini", "Beta Mini", 0.30, 1.20),
+    ("gamma-26b", "Gamma 26B", 0.20, 0.80),
+]
+
 # --- FIXED VALUES: screenshot grid (base height 900) ----------------------
 GRID_BASE_HEIGHT = 900.0
 GRID_MANUAL_CENTRES = [120, 180, 240, 300, 360, 420]

@@ -1,9 +1,8 @@
 """JSON helpers for the dataset build.
 
-JVM-side where Spark's functions produce the required text; two small Arrow
-``pandas_udf`` helpers where the output must be byte-identical to Python's
-``json`` module (pretty re-format) or needs Python-literal parsing (single-
-quoted dicts that a strict JSON parser rejects).
+Reading is JVM-side: texts become Variants, and the buyer / seller details are path expressions over them. Python
+runs in two Arrow ``pandas_udf`` helpers: one turns texts that the JVM parser rejects (Python-literal dicts, repeated
+keys, lone surrogates) into strict JSON, and one lays JSON out with Python's two-space indentation.
 """
 
 from __future__ import annotations
@@ -21,68 +20,105 @@ from auditlens import constants as K
 from auditlens.functions.text import _c
 
 
-# --- per-row Python helpers (Arrow batches) ---------------------------------------
-def _load_obj(text):
-    """JSON object, else a Python-literal dict, else None."""
-    try:
-        data = json.loads(text)
-    except json.JSONDecodeError:
-        data = ast.literal_eval(text.strip())
-    return data
+def _utf8(text: str) -> str:
+    """Half surrogate pairs, which UTF-8 cannot hold, as JSON escapes."""
+    return text.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
-def _derive_one(text):
-    if text is None:
-        return None
-    try:
-        data = _load_obj(text)
-        if not isinstance(data, dict):
+def _each(series: pd.Series, convert) -> pd.Series:
+    """``convert`` per non-NULL text; NULL where it raises."""
+    def guarded(text):
+        try:
+            return None if text is None else convert(text)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
             return None
-        buyer = data.get("buyer_details", {})
-        seller = data.get("seller_details", {})
-
-        def place(details, key, city_key):
-            loc = details.get(key, {})
-            if isinstance(loc, dict):
-                return loc.get(city_key) or loc.get("city") or ""
-            if isinstance(loc, str):
-                return loc
-            return ""
-
-        out = {
-            "buyer_city": place(buyer, "buyer_location", "buyer_city"),
-            "buyer_name": buyer.get("buyer_name") or buyer.get("name") or "",
-            "buyer_number": buyer.get("buyer_number") or buyer.get("buyer_phone") or data.get("buyer_Number") or "",
-            "seller_city": place(seller, "seller_location", "seller_city"),
-            "seller_name": seller.get("seller_name") or seller.get("name") or "",
-        }
-        if any(out.values()):
-            return json.dumps(out, ensure_ascii=False)
-    except Exception:  # noqa: BLE001 - any unparsable input derives nothing
-        return None
-    return None
+    return series.map(guarded)
 
 
-@pandas_udf(T.StringType())
-def derive_inferred_details(call_json: pd.Series) -> pd.Series:
-    """Buyer / seller name, city and number pulled from a call JSON (or Python
-    dict text) as a compact JSON object; NULL when nothing is found."""
-    return call_json.map(_derive_one)
+def _strict(text: str) -> str:
+    for parse in (json.loads, lambda t: ast.literal_eval(t.strip())):
+        try:
+            return json.dumps(parse(text), allow_nan=False)
+        except (ValueError, SyntaxError, TypeError):
+            continue
+    raise ValueError("neither JSON nor a literal")
 
 
-def _pretty_one(text):
-    if text is None:
-        return None
-    try:
-        return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
-    except (json.JSONDecodeError, TypeError):
-        return text
+@pandas_udf(T.StringType())
+def strict_json(text: pd.Series) -> pd.Series:
+    """JSON text of a lenient JSON or Python-literal text; NULL when it is neither."""
+    return _each(text, _strict)
 
 
 @pandas_udf(T.StringType())
-def pretty_json(text: pd.Series) -> pd.Series:
-    """``json.dumps(json.loads(x), indent=2)``; text that is not JSON passes through."""
-    return text.map(_pretty_one)
+def _indented(text: pd.Series) -> pd.Series:
+    return _each(text, lambda t: _utf8(json.dumps(json.loads(t), indent=2, ensure_ascii=False)))
+
+
+def pretty_json(c) -> Column:
+    """Two-space indented JSON; text that is not JSON passes through."""
+    return F.coalesce(_indented(_c(c)), _c(c))
+
+
+def as_variant(c) -> Column:
+    """The text as a Variant: parsed in the JVM, and through Python only where that fails. NULL if unparsable."""
+    parsed = F.try_parse_json(_c(c))
+    return F.coalesce(parsed, F.try_parse_json(strict_json(F.when(parsed.isNull(), _c(c)))))
+
+
+#: JSON texts that count as no value.
+_FALSY = ['""', "0", "0.0", "-0.0", "false", "null", "[]", "{}"]
+
+
+def _is(kind: str, v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
+
+
+def _at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
+
+
+def _first_value(v: Column, *paths: str) -> Column:
+    """JSON text of the first path that holds a value (not NULL, empty, zero or false)."""
+    texts = [F.to_json(_at(v, p)) for p in paths]
+    return F.coalesce(*[F.when(~t.isin(_FALSY), t) for t in texts], F.lit('""'))
+
+
+def _place(v: Column, path: str, own_key: str) -> Column:
+    """A location: a text stands for itself, an object for its city."""
+    loc = _at(v, path)
+    return (F.when(_is("OBJECT", loc), _first_value(v, f"{path}.{own_key}", f"{path}.city"))
+            .when(_is("STRING", loc), F.to_json(loc)).otherwise(F.lit('""')))
+
+
+def _party_ok(v: Column, path: str) -> Column:
+    """A party's details are an object or absent."""
+    return _at(v, path).isNull() | _is("OBJECT", _at(v, path))
+
+
+#: (output key, expression over the parsed call), in output order.
+_DETAILS = (
+    ("buyer_city", lambda v: _place(v, "$.buyer_details.buyer_location", "buyer_city")),
+    ("buyer_name", lambda v: _first_value(v, "$.buyer_details.buyer_name", "$.buyer_details.name")),
+    ("buyer_number", lambda v: _first_value(v, "$.buyer_details.buyer_number", "$.buyer_details.buyer_phone", "$.buyer_Number")),
+    ("seller_city", lambda v: _place(v, "$.seller_details.seller_location", "seller_city")),
+    ("seller_name", lambda v: _first_value(v, "$.seller_details.seller_name", "$.seller_details.name")),
+)
+
+
+def details_problem(v: Column, text: Column) -> Column:
+    """Why no details can be inferred: no text, unparsable, not an object, a party that is no object, or empty."""
+    values = F.array(*[f(v) for _, f in _DETAILS])
+    return (F.when(text.isNull(), F.lit("no call json")).when(v.isNull(), F.lit("unparsable"))
+            .when(~_is("OBJECT", v), F.lit("not an object"))
+            .when(~(_party_ok(v, "$.buyer_details") & _party_ok(v, "$.seller_details")), F.lit("party is not an object"))
+            .when(F.forall(values, lambda x: x.isin(_FALSY)), F.lit("no value found")))
+
+
+def inferred_details(v: Column, problem: Column) -> Column:
+    """Buyer and seller name, city and number of a parsed call as a JSON object; NULL where there is a problem."""
+    items = [F.concat(F.lit(f'"{k}": '), f(v)) for k, f in _DETAILS]
+    return F.when(problem.isNull(), F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}")))
 
 
 def compact_json(c) -> Column:
@@ -103,14 +139,31 @@ def json_string(c) -> Column:
     return t.substr(F.lit(2), F.length(t) - 2)
 
 
+def _big_int(d: Column) -> Column:
+    """Every digit of a whole double below 2^124 in size."""
+    high = F.floor(F.abs(d) / F.lit(2.0 ** 62))
+    low = F.floor(F.abs(d) - high.cast("double") * F.lit(2.0 ** 62))
+    digits = (high.cast("decimal(38,0)") * F.lit(1 << 62).cast("decimal(19,0)")).cast("decimal(38,0)") + low.cast("decimal(19,0)")
+    return F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), digits.cast("decimal(38,0)").cast("string"))
+
+
+def python_float(d: Column) -> Column:
+    """A double that is not whole, as Python prints it: plain from 1e-4 on, otherwise with a two-digit exponent."""
+    java = d.cast("string")
+    plain = F.regexp_replace(d.cast("string").cast("decimal(38,21)").cast("string"), "0+$", "")
+    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
+    exponent = F.lpad(F.substring_index(java, "E-", -1), 2, "0")
+    return F.when(F.abs(d) >= 1e-4, plain).otherwise(F.concat(mantissa, F.lit("e-"), exponent))
+
+
 def score_value(c) -> Column:
-    """JSON text of a score: integral number -> int, other number -> float, else the string."""
-    s = _c(c)
-    d = F.when(s.rlike(K.NUMBER_PATTERN), s.cast("double"))
-    integral = d.isNotNull() & (d == F.floor(d)) & (F.abs(d) < F.lit(1e18))
-    return (F.when(integral, d.cast("long").cast("string"))
-            .when(d.isNotNull(), d.cast("string"))
-            .otherwise(json_string(s)))
+    """JSON text of a score: whole number -> int, other number -> float, else the string."""
+    def typed(s: Column) -> Column:
+        d = F.when(s.rlike(K.NUMBER_PATTERN), s.try_cast("double"))
+        return (F.when(d.isNull() | (F.abs(d) >= F.lit(2.0 ** 124)), json_string(s))
+                .when(d == F.rint(d), _big_int(d)).otherwise(python_float(d)))
+
+    return F.transform(F.array(_c(c)), typed)[0]
 
 
 def pretty_object(pairs) -> Column:

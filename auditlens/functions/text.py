@@ -80,8 +80,26 @@ def rlike_any(c, tokens: Sequence[str]) -> Column:
 
 
 def fixed2(x) -> Column:
-    """Python ``f"{x:.2f}"`` for a double: round half-even first, then print."""
-    return F.format_string("%.2f", F.bround(_c(x), 2))
+    """Two decimals of a double's exact binary value, ties to even (as C and Python print it).
+
+    The integer part is split off; the rest, times 2^52, is a whole number plus an exact remainder, so the
+    half-way test is integer arithmetic and never sees the decimal spelling of the double. Sent to the JVM as SQL.
+    """
+    def fixed(v: Column) -> Column:
+        a = F.abs(v)
+        whole = F.floor(a)
+        scaled = (a - whole.cast("double")) * F.lit(float(1 << 52))
+        units = F.floor(scaled)
+        left = scaled - units.cast("double")
+        cents = F.floor(units.cast("decimal(20,0)") * 100 / F.lit(1 << 52).cast("decimal(20,0)"))
+        over = (units.cast("decimal(20,0)") * 100 - cents.cast("decimal(20,0)") * F.lit(1 << 52).cast("decimal(20,0)")).cast("double")
+        gap = over - F.lit(float(1 << 51)) + left * 100.0
+        up = (gap > 0) | ((gap == 0) & (cents % 2 == 1))
+        total = whole.cast("decimal(20,0)") * 100 + cents + F.when(up, 1).otherwise(0)
+        sign = F.when((v < 0) & (total > 0), F.lit("-")).otherwise(F.lit(""))
+        return F.concat(sign, F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("int").cast("string"), 2, "0"))
+
+    return F.transform(F.array(_c(x).cast("double")), fixed)[0]
 
 
 def fraction_text(num, den) -> Column:
@@ -97,10 +115,11 @@ def percent_text(ratio) -> Column:
 
 def regex_group_or(c, pattern: str, default: str | None, strip: bool = True) -> Column:
     """First group of ``pattern`` or ``default`` when the pattern does not match."""
-    g = F.regexp_extract(_c(c), pattern, 1)
+    # no match extracts NULL from the empty array; an empty group stays empty
+    g = F.get(F.regexp_extract_all(_c(c), F.lit(pattern), F.lit(1)), F.lit(0))
     if strip:
         g = py_strip(g)
-    return F.when(_c(c).rlike(pattern), g).otherwise(F.lit(default))
+    return F.coalesce(g, F.lit(default))
 
 
 def truncate(c, n: int = K.ERROR_TEXT_LIMIT) -> Column:

@@ -47,7 +47,8 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
     Per field ``f``: ``f_manual``, ``f_ai`` (normalised labels), ``f_match`` (0/1)
     and ``f_imputed`` (manual was blank). ``blank_policy='match'`` copies the AI
     label into a blank manual value and counts it as a match;
-    ``'exclude'`` leaves it NULL (not compared).
+    ``'exclude'`` leaves it NULL (not compared). With ``unknown_label=None`` a
+    label that no rule knows, on either side, is not compared either.
     """
     if blank_policy not in ("match", "exclude"):
         raise ValueError("blank_policy must be 'match' or 'exclude'")
@@ -73,10 +74,11 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
     match_cols = []
     for f in K.FIELDS:
         b, m_, a_ = f"`{f}__blank`", f"`{f}__m`", f"`{f}__a`"
-        same = f"CASE WHEN {m_} IS NULL THEN 1 ELSE CAST({cls(m_)} <=> {cls(a_)} AS INT) END"
+        # a label that no rule knows (unknown_label=None) is NULL: not compared
+        same = f"CASE WHEN {m_} IS NOT NULL AND {a_} IS NOT NULL THEN CAST({cls(m_)} = {cls(a_)} AS INT) END"
         if blank_policy == "match":
             exprs += [f"CASE WHEN {b} THEN {a_} ELSE {m_} END AS `{f}_manual`",
-                      f"CASE WHEN {b} THEN 1 ELSE {same} END AS `{f}_match`"]
+                      f"CASE WHEN {b} {'' if unknown_label else f'AND {a_} IS NOT NULL '}THEN 1 ELSE {same} END AS `{f}_match`"]
         else:
             exprs += [f"CASE WHEN {b} THEN CAST(NULL AS STRING) ELSE {m_} END AS `{f}_manual`",
                       f"CASE WHEN {b} THEN CAST(NULL AS INT) ELSE {same} END AS `{f}_match`"]
@@ -87,7 +89,7 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
     res = labelled.selectExpr(*exprs).select(*order)
     total = sum(F.coalesce(F.col(c), F.lit(0)) for c in match_cols)
     compared = sum(F.col(c).isNotNull().cast("int") for c in match_cols)
-    fields = compared if blank_policy == "exclude" else F.lit(N_FIELDS)
+    fields = compared if blank_policy == "exclude" or unknown_label is None else F.lit(N_FIELDS)
     # one projection (each withColumn would re-analyse the wide plan)
     res = res.select("*", total.alias("matches"), fields.alias("total_fields"))
     acc = F.when(F.col("total_fields") > 0, F.col("matches") / F.col("total_fields") * 100.0).otherwise(F.lit(0.0))

@@ -5,7 +5,8 @@ Plan shape at scale: each source is reduced to ONE row per call id by an
 aggregate (first/last row by sequence, plus its row count) - these combine
 map-side, so a hot id never concentrates rows; the reduced tables all come
 out hash-partitioned on ``call_id`` and are joined with left joins that re-use
-that partitioning. Python runs only in two Arrow UDFs, on eligible rows.
+that partitioning. Ids without a typed audit row leave by a semi join below those
+aggregates. Python sees only call texts that the JVM's JSON parser rejects.
 """
 
 from __future__ import annotations
@@ -37,13 +38,18 @@ class DatasetSources:
     seq: str = "_seq"
 
 
-def _per_id(df: DataFrame, id_col: str, keep: dict, seq: str, last: bool = False) -> DataFrame:
-    """One row per cleaned id: the first (or last) row's ``keep`` columns and the row count."""
+def _with_id(df: DataFrame, id_col: str) -> DataFrame:
+    return df.withColumn("call_id", clean_id(F.col(id_col))).filter(F.col("call_id").isNotNull())
+
+
+def _per_id(df: DataFrame, id_col: str, keep: dict, seq: str, last: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """One row per cleaned id (of ``only``, if given): the first (or last) row's ``keep`` columns."""
     pick = F.max_by if last else F.min_by
     row = F.struct(*[(F.col(src) if src else _null()).alias(name) for name, src in keep.items()])
-    return (df.withColumn("call_id", clean_id(F.col(id_col))).filter(F.col("call_id").isNotNull())
-            .groupBy("call_id").agg(pick(row, F.col(seq)).alias("_r"), F.count(F.lit(1)).alias("_n"))
-            .select("call_id", "_n", *[F.col("_r")[k].alias(k) for k in keep]))
+    rows = _with_id(df, id_col)
+    rows = rows if only is None else rows.join(only, "call_id", "left_semi")
+    return (rows.groupBy("call_id").agg(pick(row, F.col(seq)).alias("_r"))
+            .select("call_id", *[F.col("_r")[k].alias(k) for k in keep]))
 
 
 def classify(src: DatasetSources) -> DataFrame:
@@ -63,19 +69,20 @@ def classify(src: DatasetSources) -> DataFrame:
     expected_cols = {key: resolve_column(manual.columns, aliases)
                      for key, aliases in K.EXPECTED_OUTPUT_FIELDS.items()}
 
-    c1 = _per_id(calls, calls_id, {"c_json": c_json, "c_inf": c_inf}, src.seq)
-    j1 = _per_id(cj, cj_id, {"j_json": j_json, "j_inf": j_inf}, src.seq)
-    # transcript look-up over ALL audit rows: last non-blank transcript per id
-    tr = _per_id(manual.filter(py_strip(F.col(transcript)) != ""), manual_id,
-                 {"transcript_raw": transcript}, src.seq, last=True).drop("_n")
     typed = manual.filter(F.lower(py_strip(F.coalesce(F.col(type_col), F.lit("")))) == K.MANUAL_TYPE_VALUE)
     keep = {"m_inf": m_inf}
     keep.update({f"x_{k}": v for k, v in expected_cols.items()})
     m1 = _per_id(typed, manual_id, keep, src.seq)
+    # the wide sources are cut down to typed ids before their texts are aggregated
+    ids = _with_id(typed, manual_id).select("call_id").distinct()
+    c1 = _per_id(calls, calls_id, {"c_json": c_json, "c_inf": c_inf}, src.seq, only=ids)
+    j1 = _per_id(cj, cj_id, {"j_json": j_json, "j_inf": j_inf}, src.seq, only=ids)
+    # transcript look-up over ALL audit rows of those ids: last non-blank transcript per id
+    tr = _per_id(manual.filter(py_strip(F.col(transcript)) != ""), manual_id,
+                 {"transcript_raw": transcript}, src.seq, last=True, only=ids)
 
-    j = (m1.drop("_n")
-         .join(c1.withColumn("_in_calls", F.lit(True)).drop("_n"), "call_id", "left")
-         .join(j1.withColumn("_in_cj", F.lit(True)).drop("_n"), "call_id", "left")
+    j = (m1.join(c1.withColumn("_in_calls", F.lit(True)), "call_id", "left")
+         .join(j1.withColumn("_in_cj", F.lit(True)), "call_id", "left")
          .filter(F.col("_in_calls").isNotNull() | F.col("_in_cj").isNotNull())
          .join(tr, "call_id", "left"))
 
@@ -89,24 +96,26 @@ def classify(src: DatasetSources) -> DataFrame:
         F.coalesce(nn("j_json"), nn("c_json")).alias("call_json"),
         F.coalesce(nn("c_inf"), nn("j_inf"), nn("m_inf")).alias("_inf0"),
         *[nn(f"x_{k}").alias(f"n_{k}") for k in keys])
-    # only rows that still lack inferred details ship text to the Python helper
-    need = F.when(F.col("_inf0").isNull(), F.col("call_json"))
     pairs = []
     for key in keys:
         v = F.col(f"n_{key}")
         text = J.score_value(v) if "score" in key else J.json_string(v)
         pairs.append((key, F.when(v.isNotNull(), text)))
-    j = j.select("call_id", "transcript", "call_json",
-                 F.coalesce(F.col("_inf0"), J.derive_inferred_details(need)).alias("inferred_details"),
-                 J.pretty_object(pairs).alias("expected_output"))
+    # only rows that still lack inferred details are parsed
+    need = F.when(F.col("_inf0").isNull(), F.col("call_json"))
+    j = j.withColumn("_call", J.as_variant(need))
+    j = j.withColumn("details_note", F.when(F.col("_inf0").isNull(), J.details_problem(F.col("_call"), need)))
+    # the fourth reason looks at the values, never at the built text: a filter on it stays small
+    no_values = F.coalesce(*[F.col(f"n_{k}") for k in keys]).isNull()
     reason = (F.when(F.col("transcript").isNull(), F.lit(K.REJECT_REASONS[0]))
               .when(F.col("call_json").isNull(), F.lit(K.REJECT_REASONS[1]))
-              .when(F.col("inferred_details").isNull(), F.lit(K.REJECT_REASONS[2]))
-              .when(F.col("expected_output") == "{}", F.lit(K.REJECT_REASONS[3])))
-    return (j.withColumn("reject_reason", reason)
-            .withColumn("metadata", J.metadata_object(F.col("call_id")))
-            .select("call_id", "transcript", "call_json", "inferred_details", "expected_output",
-                    "metadata", "reject_reason"))
+              .when(F.col("_inf0").isNull() & F.col("details_note").isNotNull(), F.lit(K.REJECT_REASONS[2]))
+              .when(no_values, F.lit(K.REJECT_REASONS[3])))
+    return j.select(
+        "call_id", "transcript", "call_json",
+        F.coalesce(F.col("_inf0"), J.inferred_details(F.col("_call"), F.col("details_note"))).alias("inferred_details"),
+        J.pretty_object(pairs).alias("expected_output"), J.metadata_object(F.col("call_id")).alias("metadata"),
+        reason.alias("reject_reason"), "details_note")
 
 
 def input_text(call_json, inferred, transcript, json_style: str = "pretty") -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -61,10 +62,10 @@ def fan_out(rows: DataFrame, models: Sequence[tuple]) -> DataFrame:
 def with_cost(results: DataFrame, prices: DataFrame) -> DataFrame:
     """cost = prompt/1e6 * input price + completion/1e6 * output price; NULL without tokens.
 
-    ``prices`` is the model dimension (a handful of rows, broadcast); an
-    unknown model is priced 0.0.
+    ``prices`` is the model dimension; Spark broadcasts it if it is as small as it
+    should be. An unknown model is priced 0.0.
     """
-    p = F.broadcast(prices.select("model", "input_price_per_million", "output_price_per_million"))
+    p = prices.select("model", "input_price_per_million", "output_price_per_million")
     j = results.join(p, "model", "left")
     inp = F.coalesce(F.col("input_price_per_million"), F.lit(0.0))
     outp = F.coalesce(F.col("output_price_per_million"), F.lit(0.0))
@@ -73,31 +74,30 @@ def with_cost(results: DataFrame, prices: DataFrame) -> DataFrame:
     return j.withColumn("cost", cost).drop("input_price_per_million", "output_price_per_million")
 
 
-def model_stats(results: DataFrame, p: float = 0.95) -> DataFrame:
-    """Per model: requests, success / failed, latency mean, p95, min, max, sample
-    stddev (all calls, failed included) and token / cost means over successes.
-    Empty means are 0.0; a single-value stddev is 0.0."""
+def model_stats(results: DataFrame, p: float = 0.95, models: Sequence[str] | None = None) -> DataFrame:
+    """Per model: requests, success / failed, latency mean, p95, min, max, sample stddev (all calls, failed
+    included; NaN and NULL latencies do not count) and token / cost means over successes. Empty means are 0.0; a
+    single-value stddev is 0.0. With ``models``, every one of them has a row, with zeros where it has no result."""
     ok = F.col("status") == K.SUCCESS_STATUS
+    timed = results.withColumn("latency", F.when(~F.isnan(F.col("latency").cast("double")), F.col("latency").cast("double")))
 
     def mean_ok(c):
-        return F.coalesce(F.avg(F.when(ok, F.col(c))), F.lit(0.0))
-
-    agg = results.groupBy("model").agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(ok).alias("success"),
-        F.count_if(~ok).alias("failed"),
-        F.coalesce(F.avg("latency"), F.lit(0.0)).alias("avg_latency"),
-        F.coalesce(F.min("latency"), F.lit(0.0)).alias("min_latency"),
-        F.coalesce(F.max("latency"), F.lit(0.0)).alias("max_latency"),
-        F.coalesce(F.stddev_samp("latency"), F.lit(0.0)).alias("stddev_latency"),
-        mean_ok("prompt_tokens").alias("avg_prompt_tokens"),
-        mean_ok("completion_tokens").alias("avg_completion_tokens"),
-        mean_ok("total_tokens").alias("avg_total_tokens"),
-        mean_ok("cost").alias("avg_cost"),
-    )
-    p95 = exact_percentile(results, ["model"], "latency", p, out="p95_latency")
-    return (agg.join(p95, "model", "left")
-            .withColumn("p95_latency", F.coalesce(F.col("p95_latency"), F.lit(0.0))))
+        return F.avg(F.when(ok, F.col(c)))
+
+    numbers = {
+        "avg_latency": F.avg("latency"), "min_latency": F.min("latency"), "max_latency": F.max("latency"),
+        "stddev_latency": F.stddev_samp("latency"), "avg_prompt_tokens": mean_ok("prompt_tokens"),
+        "avg_completion_tokens": mean_ok("completion_tokens"), "avg_total_tokens": mean_ok("total_tokens"),
+        "avg_cost": mean_ok("cost")}
+    counts = {"requests": F.count(F.lit(1)), "success": F.count_if(ok), "failed": F.count_if(~ok)}
+    agg = timed.groupBy("model").agg(*[c.alias(n) for n, c in (counts | numbers).items()])
+    out = agg.join(exact_percentile(timed, ["model"], "latency", p, out="p95_latency"), "model", "left")
+    if models is not None:
+        listed = results.sparkSession.createDataFrame([(m,) for m in models], "model string")
+        out = listed.join(out, "model", "left")
+    zero = {n: F.coalesce(F.col(n), F.lit(0).cast("long")) for n in counts}
+    zero |= {n: F.coalesce(F.col(n), F.lit(0.0)) for n in [*numbers, "p95_latency"]}
+    return out.select("model", *[c.alias(n) for n, c in zero.items()])
 
 
 def run_totals(results: DataFrame) -> DataFrame:
@@ -113,50 +113,66 @@ def response_pivot(results: DataFrame, models: Sequence[str], keys: Sequence[str
     return piv.select(*keys, *[F.coalesce(F.col(f"`{m}`"), F.lit(K.ERROR_RESPONSE)).alias(m) for m in models])
 
 
+def comparison_table(rows: DataFrame, results: DataFrame, models: Sequence[str], key: str = "row_id") -> DataFrame:
+    """Every input row with one response column per model; an unanswered row reads 'ERROR' for each."""
+    wide = rows.join(response_pivot(results, models, (key,)), key, "left")
+    return wide.select(*rows.columns, *[F.coalesce(F.col(f"`{m}`"), F.lit(K.ERROR_RESPONSE)).alias(m) for m in models])
+
+
+@dataclass(frozen=True)
+class RetryPolicy:
+    """When a failed call is tried again: time-outs, lost connections, and the listed HTTP status codes."""
+
+    attempts: int = K.RETRY_ATTEMPTS
+    backoff: float = K.RETRY_BACKOFF_SECONDS
+    codes: frozenset = frozenset(K.RETRY_STATUS_CODES)
+    sleep: Callable[[float], None] = time.sleep
+
+    def again(self, error: Exception) -> bool:
+        return isinstance(error, (TimeoutError, ConnectionError)) or getattr(error, "status_code", None) in self.codes
+
+    def waits(self) -> Iterator[float]:
+        return (self.backoff * 2 ** k for k in range(self.attempts))
+
+    def run(self, call: Callable[[], dict]) -> tuple[dict | None, float]:
+        """(reply, seconds of the last try); the reply is None when the call failed for good."""
+        waits = self.waits()
+        while True:
+            began = time.perf_counter()
+            try:
+                return call(), time.perf_counter() - began
+            except Exception as error:  # noqa: BLE001 - the client decides what it raises
+                took = time.perf_counter() - began
+                wait = next(waits, None) if self.again(error) else None
+            if wait is None:
+                return None, took
+            self.sleep(wait)
+
+
+_TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens")
+
+
 def call_models(tasks: DataFrame, client: Callable[[str, str, str], dict], partitions: int | None = None,
                 attempts: int = K.RETRY_ATTEMPTS, backoff: float = K.RETRY_BACKOFF_SECONDS,
                 sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Call ``client(model, system_prompt, user_prompt)`` once per task row, in the executors.
 
-    ``client`` returns ``{"response", "prompt_tokens", "completion_tokens",
-    "total_tokens"}`` or raises; an exception with ``status_code`` in the retry
-    set (or a ``TimeoutError``) is retried ``attempts`` times with doubling
-    backoff. A call that finally fails yields response 'ERROR', NULL tokens and
-    the latency of its last attempt. ``partitions`` bounds the concurrency.
+    ``client`` returns ``{"response", "prompt_tokens", "completion_tokens", "total_tokens"}`` or raises; see
+    ``RetryPolicy`` for what is tried again. A call that finally fails yields response 'ERROR', NULL tokens and the
+    latency of its last try. ``partitions`` bounds the concurrency.
     """
-    if partitions:
-        tasks = tasks.repartition(partitions)
-    retry_codes = set(K.RETRY_STATUS_CODES)
-
-    def one(model, system, user):
-        wait = backoff
-        latency = 0.0
-        for attempt in range(1, attempts + 2):
-            start = time.perf_counter()
-            try:
-                r = client(model, system, user)
-                latency = time.perf_counter() - start
-                return (r.get("response"), latency, r.get("prompt_tokens"), r.get("completion_tokens"),
-                        r.get("total_tokens"), K.SUCCESS_STATUS)
-            except Exception as e:  # noqa: BLE001 - the client decides what it raises
-                latency = time.perf_counter() - start
-                code = getattr(e, "status_code", None)
-                retryable = isinstance(e, TimeoutError) or code in retry_codes
-                if not retryable or attempt > attempts:
-                    break
-                sleep(wait)
-                wait *= 2
-        return (K.ERROR_RESPONSE, latency, None, None, None, K.FAILED_STATUS)
+    policy = RetryPolicy(attempts, backoff, sleep=sleep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [one(m, s, u) for m, s, u in zip(b["model"], b["system_prompt"], b["user_prompt"])]
-            res = pd.DataFrame(out, columns=["response", "latency", "prompt_tokens", "completion_tokens",
-                                             "total_tokens", "status"])
-            res.insert(0, "model", b["model"].values)
-            res.insert(0, "row_id", b["row_id"].values)
-            for c in ("prompt_tokens", "completion_tokens", "total_tokens"):
-                res[c] = res[c].astype("Int64")
-            yield res
+            done = [policy.run(lambda t=t: client(t.model, t.system_prompt, t.user_prompt)) for t in b.itertuples()]
+            replies = pd.DataFrame([r or {} for r, _ in done], index=b.index, columns=["response", *_TOKENS])
+            failed = pd.Series([r is None for r, _ in done], index=b.index)
+            yield pd.DataFrame({
+                "row_id": b["row_id"], "model": b["model"], "response": replies["response"].mask(failed, K.ERROR_RESPONSE),
+                "latency": [took for _, took in done], **{t: replies[t].astype("Int64") for t in _TOKENS},
+                "status": failed.map({True: K.FAILED_STATUS, False: K.SUCCESS_STATUS})})
 
+    if partitions:
+        tasks = tasks.repartition(partitions)
     return tasks.select("row_id", "model", "system_prompt", "user_prompt").mapInPandas(run, RESULT_SCHEMA)

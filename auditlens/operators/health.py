@@ -49,7 +49,8 @@ def error_text(status, body, exception) -> Column:
 
 def probe_outcomes(probes: DataFrame, order, model_col="model", status_col="http_status",
                    body_col="body", exception_col="exception") -> DataFrame:
-    """Latest probe per model -> (model, status, error_type, error)."""
+    """Latest probe per model -> (model, status, error_type, error, error_short): the whole error text and the
+    report's short form of it."""
     latest = last_per_key(probes.select(F.col(model_col).alias("model"), F.col(status_col).alias("http_status"),
                                         F.col(body_col).alias("body"), F.col(exception_col).alias("exception"),
                                         F.struct(*[F.col(o) for o in order]).alias("_ord")),
@@ -60,7 +61,8 @@ def probe_outcomes(probes: DataFrame, order, model_col="model", status_col="http
         "model",
         F.when(healthy, F.lit("Healthy")).otherwise(F.lit("Broken")).alias("status"),
         F.when(healthy, F.lit("")).otherwise(classify_error(err)).alias("error_type"),
-        F.when(healthy, F.lit("")).otherwise(truncate(err)).alias("error"),
+        F.when(healthy, F.lit("")).otherwise(err).alias("error"),
+        F.when(healthy, F.lit("")).otherwise(truncate(err)).alias("error_short"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
+from auditlens.operators.compare import band
 from auditlens.functions.labels import badge_from_upper, label_match, upper_stripped
 from auditlens.functions.text import blank_to_null, regex_group_or
 
@@ -149,3 +150,48 @@ def screen_field_accuracy(cmp: DataFrame) -> DataFrame:
     out = wide.select(F.inline(F.array(*rows)))
     return out.withColumn("accuracy", F.when(F.col("compared") > 0,
                                              F.col("matched") / F.col("compared") * 100.0))
+
+
+def screen_binary(cmp: DataFrame) -> DataFrame:
+    """Per image: 0/1 per field (NULL = not compared), matches, compared fields, accuracy to 2 places."""
+    return cmp.select("image_id", "call_id", "auditor", *[F.col(f"{f}_match").alias(f) for f in K.FIELDS], "matches",
+                      "compared_fields", F.round("accuracy", 2).alias("accuracy"))
+
+
+def screen_values(cmp: DataFrame) -> DataFrame:
+    """Per image: manual and AI label side by side."""
+    return cmp.select("image_id", "call_id", *[f"{f}_{side}" for f in K.FIELDS for side in ("manual", "ai")])
+
+
+def screen_summary_statistics(cmp: DataFrame) -> DataFrame:
+    """Per field: label counts of the manual values, compared and matched images, accuracy (NULL when never
+    compared) and band. One aggregate over the comparison, unpacked to a row per field."""
+    aggs, rows = [], []
+    for i, f in enumerate(K.FIELDS):
+        names = [short for short, _ in K.SUMMARY_LABEL_COLUMNS] + ["compared", "matched"]
+        aggs += [F.count_if(F.col(f"{f}_manual") == label).alias(f"{f}__{short}") for short, label in K.SUMMARY_LABEL_COLUMNS]
+        aggs += [F.count(f"{f}_match").alias(f"{f}__compared"),
+                 F.coalesce(F.sum(f"{f}_match"), F.lit(0)).cast("long").alias(f"{f}__matched")]
+        rows.append(F.struct(F.lit(i + 1).alias("field_pos"), F.lit(K.FIELD_DISPLAY[f]).alias("field_name"),
+                             *[F.col(f"{f}__{n}").alias(n) for n in names]))
+    out = cmp.agg(*aggs).select(F.inline(F.array(*rows)))
+    acc = F.when(F.col("compared") > 0, F.col("matched") / F.col("compared") * 100.0)
+    return out.withColumn("accuracy", acc).withColumn("band", band(F.col("accuracy")))
+
+
+def screen_overall(cmp: DataFrame) -> DataFrame:
+    """Compared fields, matches, micro accuracy and the mean of the compared fields' accuracies (percent)."""
+    total = cmp.agg(F.coalesce(F.sum("compared_fields"), F.lit(0)).cast("long").alias("compared"),
+                    F.coalesce(F.sum("matches"), F.lit(0)).cast("long").alias("matched"),
+                    *[F.avg(f"{f}_match").alias(f"{f}__rate") for f in K.FIELDS])
+    rates = F.filter(F.array(*[F.col(f"{f}__rate") for f in K.FIELDS]), lambda x: x.isNotNull())
+    mean = F.when(F.size(rates) > 0, F.aggregate(rates, F.lit(0.0), lambda a, x: a + x) / F.size(rates) * 100.0)
+    return total.select("compared", "matched", F.when(F.col("compared") > 0, F.col("matched") / F.col("compared") * 100.0).alias("accuracy"),
+                        F.round(mean, 6).alias("macro_accuracy"))
+
+
+def screen_reports(cmp: DataFrame) -> dict[str, DataFrame]:
+    """The report tables of a screenshot comparison."""
+    return {"comparison": cmp, "binary_comparison": screen_binary(cmp), "value_comparison": screen_values(cmp),
+            "summary_statistics": screen_summary_statistics(cmp), "overall": screen_overall(cmp),
+            "field_accuracy": screen_field_accuracy(cmp)}

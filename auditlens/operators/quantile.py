@@ -1,20 +1,18 @@
 """Exact linear-interpolated percentile per group that stays bounded under skew.
 
-``percentile(v, p)`` keeps every distinct value of a group in one buffer, so
-a group holding a third of a 100 TB table would land in one task. Here:
-
-1. one aggregate per group: ``n``, min, max and a ``percentile_approx``
-   bracket around ``p`` (rank error <= n / accuracy, so the bracket
-   [a, b] contains the two ranks that interpolation needs);
-2. the rows are joined to their group's bracket (one row per group; AQE
-   broadcasts it when small and splits skewed partitions otherwise), giving
-   the count strictly below ``a`` and the DISTINCT values inside [a, b]
-   with their counts - both aggregates combine map-side;
-3. a running count over the distinct in-bracket values (at most ~6n/accuracy
-   of them per group) locates ranks floor(k) and ceil(k), k = (n-1)p.
-
-Groups smaller than ``4 * accuracy`` rows simply bracket [min, max].
-Result equals ``sorted(v)[f]*(c-k) + sorted(v)[c]*(k-f)`` (f == c: the value).
+``percentile(v, p)`` keeps every distinct value of a group in one buffer, so a group holding a third of a 100 TB
+table would land in one task. Here, in two scans:
+
+1. one aggregate per group: the count n and ``percentile_approx`` at p and at steps on either side of it. The
+   narrowest pair of steps that is wider than 2/n plus the sketch's error brackets the two ranks which the
+   interpolation needs, at every group size alike;
+2. the rows meet their group's bracket (one row per group; broadcast when there are at most ``MAX_BROADCAST_GROUPS``,
+   else joined by shuffle) and are counted below it and per distinct value inside, combining map-side. So raw rows are
+   not dealt out by group;
+3. a running count over the few values inside finds the ranks floor(k) and ceil(k), k = (n-1)p. A bracket that
+   misses one of them raises an error.
+
+Result equals ``sorted(v)[f]*(c-k) + sorted(v)[c]*(k-f)`` (f == c: the value). NULL and NaN values do not count.
 """
 
 from __future__ import annotations
@@ -24,37 +22,44 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_BROADCAST_GROUPS = 100_000
+_STEPS = (1.0, 0.3, 0.1, 0.03, 0.01, 1e-3, 1e-4, 1e-5)
+
+
+def _brackets(base: DataFrame, keys: list[str], p: float, accuracy: int) -> DataFrame:
+    """(keys, _a, _b, _k): the bracket of every group."""
+    steps = [s for s in _STEPS if s > 6.0 / accuracy] + [6.0 / accuracy]
+    at = [max(0.0, p - s) for s in steps] + [min(1.0, p + s) for s in steps]
+    need = 2.0 / F.col("_n") + 3.0 / accuracy
+    index = F.lit(0)
+    for i, s in enumerate(steps):  # from wide to narrow: the last that is wide enough
+        index = F.when(F.lit(s) >= need, i).otherwise(index)
+    return (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", at, accuracy).alias("_q"))
+            .withColumn("_i", index)
+            .select(*keys, F.get("_q", F.col("_i")).alias("_a"), F.get("_q", F.col("_i") + len(steps)).alias("_b"),
+                    ((F.col("_n") - 1) * F.lit(p)).alias("_k")))
+
 
 def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float,
                      out: str = "percentile", accuracy: int = 1_000_000) -> DataFrame:
     keys = list(keys)
     v = F.col(value).cast("double")
     base = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    margin = 3.0 / accuracy
-    lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
-    small = 4 * accuracy
-    stats = (base.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-                  F.percentile_approx("_v", [lo_p, hi_p], accuracy).alias("_q"))
-             .select(*keys, "_n",
-                     F.when(F.col("_n") < small, F.col("_min")).otherwise(F.col("_q")[0]).alias("_a"),
-                     F.when(F.col("_n") < small, F.col("_max")).otherwise(F.col("_q")[1]).alias("_b"),
-                     ((F.col("_n") - 1) * F.lit(p)).alias("_k")))
-    stats = stats.withColumn("_f", F.floor("_k")).withColumn("_c", F.ceil("_k"))
-    rows = base.join(stats.select(*keys, "_a", "_b"), keys)
-    below = rows.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_a")).alias("_below"))
-    cand = (rows.filter((F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b")))
-            .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    cand = cand.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    ranked = (cand.join(below, keys).join(stats.select(*keys, "_k", "_f", "_c"), keys)
-              .withColumn("_lo", F.col("_below") + F.col("_before"))
-              .withColumn("_hi", F.col("_lo") + F.col("_cnt") - 1))
-    in_f = (F.col("_f") >= F.col("_lo")) & (F.col("_f") <= F.col("_hi"))
-    in_c = (F.col("_c") >= F.col("_lo")) & (F.col("_c") <= F.col("_hi"))
-    picked = ranked.groupBy(*keys).agg(
-        F.max(F.when(in_f, F.col("_v"))).alias("_vf"), F.max(F.when(in_c, F.col("_v"))).alias("_vc"),
-        F.max("_k").alias("_k"), F.max("_f").alias("_f"), F.max("_c").alias("_c"))
-    res = F.when(F.col("_f") == F.col("_c"), F.col("_vf")).otherwise(
-        F.col("_vf") * (F.col("_c") - F.col("_k")) + F.col("_vc") * (F.col("_k") - F.col("_f")))
+    stats = _brackets(base, keys, p, accuracy)
+    few = stats.limit(MAX_BROADCAST_GROUPS + 1).collect()
+    if len(few) <= MAX_BROADCAST_GROUPS:
+        stats = F.broadcast(df.sparkSession.createDataFrame(few, stats.schema))
+    inside = F.when(F.col("_v") >= F.col("_a"), F.col("_v"))
+    counted = (base.join(stats, keys).filter(F.col("_v") <= F.col("_b"))
+               .groupBy(*keys, inside.alias("_x")).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_k").alias("_k")))
+    w = Window.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("_lo", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).withColumn("_hi", F.col("_lo") + F.col("_cnt") - 1)
+
+    def at(rank):
+        return F.max(F.when((rank >= F.col("_lo")) & (rank <= F.col("_hi")), F.col("_x")))
+
+    picked = ranked.groupBy(*keys).agg(at(F.floor("_k")).alias("_vf"), at(F.ceil("_k")).alias("_vc"), F.max("_k").alias("_k"))
+    f, c, k = F.floor("_k"), F.ceil("_k"), F.col("_k")
+    res = F.when(F.col("_vf").isNull() | F.col("_vc").isNull(), F.raise_error(F.lit("the bracket misses a rank")).cast("double")) \
+        .when(f == c, F.col("_vf")).otherwise(F.col("_vf") * (c - k) + F.col("_vc") * (k - f))
     return picked.select(*keys, res.alias(out))

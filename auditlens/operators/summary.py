@@ -88,9 +88,8 @@ def overall_accuracy(summary: DataFrame) -> DataFrame:
 def overall_label(overall: DataFrame) -> DataFrame:
     """Human-readable overall line for a summary table."""
     return overall.select(F.format_string(
-        "Total correct = %d Total calls fields = %d , overall accuracy = %s",
-        "total_correct", "total_calls_fields",
-        F.col("overall_accuracy").cast("string")).alias("overall_line"))
+        "Total correct = %d Total calls fields = %d , overall accuracy = %d/%d",
+        "total_correct", "total_calls_fields", "total_correct", "total_calls_fields").alias("overall_line"))
 
 
 def verdict_counts(df: DataFrame, verdict_col: str | None = None) -> DataFrame:

@@ -131,14 +131,9 @@ def probe_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- prompt benchmark ------------------------------------------------------------
 # Model dimension: (id, display name, input / output USD per million tokens).
-DEFAULT_MODELS = [
-    ("alpha-lite", "Alpha Lite", 0.075, 0.30),
-    ("alpha-flash", "Alpha Flash", 0.075, 0.30),
-    ("beta-nano", "Beta Nano", 0.15, 0.60),
-    ("beta-mini", "Beta Mini", 0.30, 1.20),
-    ("gamma-26b", "Gamma 26B", 0.20, 0.80),
-]
+DEFAULT_MODELS = K.DEFAULT_MODELS
 MODEL_IDS = [m[0] for m in DEFAULT_MODELS]
+ABSENT_MODEL = "delta-none"  # in the benchmark's list, never answers
 
 SYSTEM_TEMPLATE = ("You are {{seller_name}} of {{seller_company}}. Answer as the seller, briefly and in the "
                    "buyer's language.")
@@ -167,7 +162,7 @@ def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Input rows of the benchmark: every user turn of a conversation, with the
+    """Input rows of the benchmark: every turn of a conversation, with the
     previous turn as past conversation, the customer of the same number as seller
     and the part of the same number as product."""
     conv = read(spark, sf_dir, "conversations")
@@ -175,7 +170,6 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     prev = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("past"))
-    users = conv.filter(F.col("role") == "user")
     seller = cust.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     nk = F.col("c_nationkey") % 3
     details = (F.when(nk == 0, F.concat(F.lit("Name="), F.regexp_replace("c_name", "#", " "),
@@ -186,7 +180,7 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ongoing = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Hello, a buyer named "), first_word, F.lit(" from "),
                                                       F.coalesce(F.col("n_name"), F.lit("")), F.lit(". "),
                                                       F.col("text"))).otherwise(F.col("text"))
-    j = (users.join(prev, ["conv_id", "turn"], "left")
+    j = (conv.join(prev, ["conv_id", "turn"], "left")
          .join(seller, F.col("conv_id") == F.col("c_custkey"), "left")
          .join(part, F.col("conv_id") == F.col("p_partkey"), "left"))
     return j.select(
@@ -282,3 +276,17 @@ def screenshot_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
                       _pick(LABEL_CASES, F.col("l_partkey") + F.col("l_linenumber") * 3).alias("text"),
                       F.col("l_discount").alias("prob"))
     return images, headers.unionByName(panel)
+
+
+def call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, call): one call text per event, seven shapes in turn: object and text locations, a Python dict,
+    values that count as none, a list, a party that is no object, no JSON, and numbers outside the parties."""
+    k, kind = F.col("event_id").cast("string"), F.col("event_type")
+    shapes = [
+        F.concat(F.lit('{"buyer_details":{"buyer_location":{"buyer_city":"C'), k, F.lit('","city":"x"},"buyer_name":"'), kind,
+                 F.lit('"},"seller_details":{"seller_location":"S'), k, F.lit('"}}')),
+        F.concat(F.lit("{'buyer_details': {'name': 'N"), k, F.lit("', 'buyer_phone': "), k, F.lit("}, 'open': None}")),
+        F.lit('{"buyer_details":{"buyer_name":"","name":""},"buyer_Number":0}'),
+        F.lit("[1]"), F.lit('{"buyer_details":"t"}'), F.concat(F.lit("call "), k),
+        F.concat(F.lit('{"buyer_Number":"'), k, F.lit('","seller_details":{"name":"'), kind, F.lit('"}}'))]
+    return read(spark, sf_dir, "events").select("event_id", F.get(F.array(*shapes), (F.col("event_id") % 7).cast("int")).alias("call"))

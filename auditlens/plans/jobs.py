@@ -1,8 +1,8 @@
 """File-in, reports-out jobs: one function (and CLI sub-command) per audit job.
 
-Every job stages its CSV inputs to Parquet once inside its new version folder
-(``multiLine`` CSV is not splittable, and the staged table cuts lineage for the
-several reports that read it), then writes each report table under
+Every job stages the CSV inputs that it reads more than once to Parquet inside its
+new version folder (``multiLine`` CSV is not splittable, and the staged table cuts
+lineage for the several reports that read it), then writes each report table under
 ``<out>/v=N/<table>``. Nothing is collected to the driver.
 
     python -m auditlens.plans.jobs audit --manual m.csv --ai a.csv --out reports/audit
@@ -29,14 +29,20 @@ from auditlens.sources.files import load_template
 from auditlens.sources.sinks import next_version, write_metrics, write_table
 
 
+#: Report order: fields by position, rows by input order, calls and images by id.
+SORT_KEYS = ("field_pos", "row_id", "call_id", "image_id", "model")
+
+
 def _stage(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
 def _write_all(tables: dict[str, DataFrame], out: str, fmt: str) -> str:
+    """Every table, sorted by the first of ``SORT_KEYS`` that it has."""
     for name, df in tables.items():
-        write_table(df, f"{out}/{name}", fmt)
+        key = next((k for k in SORT_KEYS if k in df.columns), None)
+        write_table(df.orderBy(key) if key else df, f"{out}/{name}", fmt)
     return out
 
 
@@ -54,7 +60,7 @@ def run_audit(spark, manual_path, ai_path, out_base, fmt="parquet", blank_policy
 def run_restore(spark, calls_path, audit_path, out_base) -> str:
     out = next_version(spark, out_base)
     # pandas-style NA strings become NULL at the scan, as in a default ``read_csv``
-    calls = read_csv(spark, calls_path).drop("_seq")
+    calls = _stage(spark, read_csv(spark, calls_path).drop("_seq"), f"{out}/_staged/calls")
     audit = _stage(spark, read_csv(spark, audit_path), f"{out}/_staged/audit")
     restored = _stage(spark, R.restore_ids(audit, calls), f"{out}/_staged/restored")
     write_table(restored.orderBy("_seq").drop("_seq", "id_missing", "id_restored"), f"{out}/restored_audit", "csv")
@@ -64,11 +70,11 @@ def run_restore(spark, calls_path, audit_path, out_base) -> str:
 
 def run_dataset(spark, calls_path, manual_path, call_jsons_path, out_base, json_style="pretty") -> str:
     out = next_version(spark, out_base)
-    src = DS.DatasetSources(read_csv(spark, calls_path), read_csv(spark, manual_path),
-                            read_csv(spark, call_jsons_path))
+    src = DS.DatasetSources(*(_stage(spark, read_csv(spark, path), f"{out}/_staged/{name}") for name, path in (
+        ("calls", calls_path), ("manual", manual_path), ("call_jsons", call_jsons_path))))
     classified = _stage(spark, DS.classify(src), f"{out}/_staged/classified")
     write_table(DS.accepted(classified, json_style).orderBy("call_id").drop("call_id"), f"{out}/dataset", "csv")
-    write_table(classified.select("call_id", "reject_reason"), f"{out}/rejects", "csv")
+    write_table(classified.select("call_id", "reject_reason", "details_note").orderBy("call_id"), f"{out}/rejects", "csv")
     write_metrics(DS.counters(src, classified), f"{out}/report")
     return out
 
@@ -82,23 +88,24 @@ def run_health(spark, probe_log_path, out_base, order=("_seq",)) -> str:
                       f"{out}/_staged/outcomes")
     write_table(outcomes.filter(F.col("status") == "Healthy").select("model").orderBy("model"),
                 f"{out}/healthy_models", "csv")
-    write_table(outcomes.filter(F.col("status") == "Broken").select("model", "error_type", "error")
+    write_table(outcomes.filter(F.col("status") == "Broken").select("model", "error_type", "error", "error_short")
                 .orderBy("model"), f"{out}/broken_models", "csv")
     write_metrics(H.health_summary(outcomes), f"{out}/summary")
     return out
 
 
 def run_benchmark(spark, rows_path, template_path, out_base, models=None, client: Callable | None = None,
-                  response_log_path: str | None = None, limit: int = 15, partitions: int = 8) -> str:
+                  response_log_path: str | None = None, limit: int = 0, partitions: int = 8, **defaults) -> str:
     """Prompt benchmark: rows x models -> responses (live ``client`` or a response log) -> reports.
 
+    ``defaults`` (default_seller, default_company, default_buyer) go to ``render_prompts``.
+
     Row ids: with ``limit > 0`` the first rows are numbered 0..n-1 in input order;
     with ``limit <= 0`` every row gets a unique, increasing (not necessarily
     consecutive) id. The ids are written to ``_staged/rows``; a response log
     given instead of a client must carry those ids.
     """
-    from auditlens.plans.driver_tables import DEFAULT_MODELS
-    models = models or DEFAULT_MODELS
+    models = models or K.DEFAULT_MODELS
     out = next_version(spark, out_base)
     rows = read_csv(spark, rows_path)
     if limit > 0:  # the first ``limit`` rows: a bounded top-n, numbered in input order
@@ -114,14 +121,14 @@ def run_benchmark(spark, rows_path, template_path, out_base, models=None, client
     else:
         system_t, user_t = load_template(spark, template_path)
         system, user = TPL.render_prompts(system_t, user_t, F.col("User Details"), F.col("Product Details"),
-                                          F.col("Past Conversation"), F.col("Ongoing Conversation"))
+                                          F.col("Past Conversation"), F.col("Ongoing Conversation"), **defaults)
         tasks = FO.fan_out(rows.select("row_id", system.alias("system_prompt"), user.alias("user_prompt")), models)
         results = FO.call_models(tasks, client, partitions=partitions)
     results = _stage(spark, FO.with_cost(results, FO.model_dimension(spark, models)), f"{out}/_staged/results")
     input_cols = [c for c in rows.columns if c not in ("_seq",)]
-    comparison = rows.select(*input_cols).join(FO.response_pivot(results, [m[0] for m in models]), "row_id", "left")
-    return _write_all({"comparison": comparison, "model_metrics": results,
-                       "benchmark_summary": FO.model_stats(results), "totals": FO.run_totals(results)}, out,
+    names = [m[0] for m in models]
+    return _write_all({"comparison": FO.comparison_table(rows.select(*input_cols), results, names), "model_metrics": results,
+                       "benchmark_summary": FO.model_stats(results, models=names), "totals": FO.run_totals(results)}, out,
                       "parquet")
 
 
@@ -136,7 +143,7 @@ def run_screens(spark, images: DataFrame, detections: DataFrame, out_base) -> st
     placed = LY.place_badges(detections, images)
     cmp = _stage(spark, LY.compare_screens(LY.cell_values(placed, images),
                                            LY.header_fields(LY.header_text(detections))), f"{out}/_staged/cmp")
-    return _write_all({"comparison": cmp, "field_accuracy": LY.screen_field_accuracy(cmp)}, out, "parquet")
+    return _write_all(LY.screen_reports(cmp), out, "parquet")
 
 
 def main(argv=None):
@@ -166,7 +173,7 @@ def main(argv=None):
     b.add_argument("--template", required=True)
     b.add_argument("--responses", required=True, help="response log CSV (no live client from the CLI)")
     b.add_argument("--out", required=True)
-    b.add_argument("--limit", type=int, default=15)
+    b.add_argument("--limit", type=int, default=0, help="first rows only; 0 = all")
     args = p.parse_args(argv)
     spark = get_session(app=f"auditlens-{args.job}")
     if args.job == "audit":

@@ -280,7 +280,8 @@ def _probe_ctes() -> str:
         f"FROM latest WHERE NOT regexp_matches(lower(model), {q(skip)})), "
         "o AS (SELECT model, CASE WHEN http_status = 200 THEN 'Healthy' ELSE 'Broken' END AS status, "
         f"CASE WHEN http_status = 200 THEN '' ELSE CASE {rules} ELSE {q(K.ERROR_CLASS_DEFAULT)} END END AS error_type, "
-        f"CASE WHEN http_status = 200 THEN '' ELSE substr(err, 1, {K.ERROR_TEXT_LIMIT}) END AS error FROM e)")
+        f"CASE WHEN http_status = 200 THEN '' ELSE err END AS error, "
+        f"CASE WHEN http_status = 200 THEN '' ELSE substr(err, 1, {K.ERROR_TEXT_LIMIT}) END AS error_short FROM e)")
 
 
 def model_candidates_sql() -> str:
@@ -294,7 +295,7 @@ def healthy_models_sql() -> str:
 
 
 def broken_models_sql() -> str:
-    return f"WITH {_probe_ctes()} SELECT model, error_type, error FROM o WHERE status = 'Broken'"
+    return f"WITH {_probe_ctes()} SELECT model, error_type, error, error_short FROM o WHERE status = 'Broken'"
 
 
 def health_summary_sql() -> str:
@@ -315,11 +316,12 @@ def hash_new_only_sql() -> str:
 
 
 def percent_text_sql() -> str:
-    return ("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), "
-            "t AS (SELECT sum(n) AS total FROM c) "
-            "SELECT event_type, n, CAST(total AS BIGINT) AS total, "
+    return ("WITH k AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), "
+            "c AS (SELECT 'type ' || event_type AS item, n, (SELECT CAST(sum(n) AS BIGINT) FROM k) AS total FROM k UNION ALL "
+            "SELECT 'event ' || CAST(event_id AS VARCHAR), event_id % 16000, 16000 FROM events) "
+            "SELECT item, n, CAST(total AS BIGINT) AS total, "
             "CAST(n AS VARCHAR) || '/' || CAST(CAST(total AS BIGINT) AS VARCHAR) || ' | ' || "
-            "printf('%.2f', CASE WHEN total > 0 THEN n / total * 100.0 ELSE 0.0 END) || '%' AS share_text FROM c, t")
+            "printf('%.2f', CASE WHEN total > 0 THEN n / total * 100.0 ELSE 0.0 END) || '%' AS share_text FROM c")
 
 
 # --- prompt benchmark statistics ------------------------------------------------------
@@ -560,3 +562,70 @@ def screen_field_accuracy_sql() -> str:
              f"CAST(coalesce(sum({f}_match), 0) AS BIGINT) AS matched FROM s" for i, f in enumerate(K.FIELDS)]
     return (f"WITH s AS ({_screen_cmp()}), u AS ({' UNION ALL '.join(parts)}) SELECT *, CASE WHEN compared > 0 THEN "
             "matched / compared * 100.0 END AS accuracy FROM u")
+
+
+def screen_binary_sql() -> str:
+    cols = ", ".join(f"{f}_match AS {f}" for f in K.FIELDS)
+    return (f"WITH s AS ({_screen_cmp()}) SELECT image_id, call_id, auditor, {cols}, matches, compared_fields, "
+            "round(accuracy, 2) AS accuracy FROM s")
+
+
+def screen_values_sql() -> str:
+    cols = ", ".join(f"{f}_manual, {f}_ai" for f in K.FIELDS)
+    return f"WITH s AS ({_screen_cmp()}) SELECT image_id, call_id, {cols} FROM s"
+
+
+def screen_summary_statistics_sql() -> str:
+    parts = []
+    for i, f in enumerate(K.FIELDS):
+        counts = ", ".join(f"count(*) FILTER (WHERE {f}_manual = {q(label)}) AS {short}" for short, label in K.SUMMARY_LABEL_COLUMNS)
+        parts.append(f"SELECT {i + 1} AS field_pos, {q(K.FIELD_DISPLAY[f])} AS field_name, {counts}, count({f}_match) AS compared, "
+                     f"CAST(coalesce(sum({f}_match), 0) AS BIGINT) AS matched FROM s")
+    return (f"WITH s AS ({_screen_cmp()}), u AS ({' UNION ALL '.join(parts)}), a AS (SELECT *, CASE WHEN compared > 0 THEN "
+            "matched / compared * 100.0 END AS accuracy FROM u) SELECT *, CASE WHEN accuracy >= 90 THEN 'green' "
+            "WHEN accuracy >= 75 AND accuracy <= 89.9 THEN 'yellow' WHEN accuracy < 75 THEN 'red' END AS band FROM a")
+
+
+def screen_overall_sql() -> str:
+    rates = ", ".join(f"avg({f}_match)" for f in K.FIELDS)
+    return (f"WITH s AS ({_screen_cmp()}), t AS (SELECT CAST(coalesce(sum(compared_fields), 0) AS BIGINT) AS compared, "
+            f"CAST(coalesce(sum(matches), 0) AS BIGINT) AS matched, [{rates}] AS rates FROM s) "
+            "SELECT compared, matched, CASE WHEN compared > 0 THEN matched / compared * 100.0 END AS accuracy, "
+            "round(list_avg(rates) * 100.0, 6) AS macro_accuracy FROM t")
+
+
+def benchmark_comparison_sql() -> str:
+    models = [*D.MODEL_IDS, D.ABSENT_MODEL]
+    cols = ", ".join(f"coalesce(max(response) FILTER (WHERE model = {q(m)}), 'ERROR') AS \"{m}\"" for m in models)
+    return (f"WITH {_responses()} SELECT e.event_id AS row_id, e.event_type, {cols} FROM events e "
+            "LEFT JOIN rc ON rc.row_id = e.event_id GROUP BY 1, 2")
+
+
+def benchmark_summary_sql() -> str:
+    zeros = ", ".join("0" if c in ("requests", "success", "failed") else "0.0" for c in (
+        "requests", "success", "failed", "avg_latency", "min_latency", "max_latency", "stddev_latency",
+        "avg_prompt_tokens", "avg_completion_tokens", "avg_total_tokens", "avg_cost", "p95_latency"))
+    return f"{model_stats_sql()} UNION ALL SELECT {q(D.ABSENT_MODEL)}, {zeros}"
+
+
+def inferred_details_sql() -> str:
+    def out(city, name, number, seller_city, seller):
+        return (f"'{{\"buyer_city\": ' || {city} || ', \"buyer_name\": ' || {name} || ', \"buyer_number\": ' || {number} || "
+                f"', \"seller_city\": ' || {seller_city} || ', \"seller_name\": ' || {seller} || '}}'")
+    no = "'\"\"'"
+
+    def text(x):
+        return f"'\"' || {x} || '\"'"
+    c0 = out(text("'C' || k"), text("event_type"), no, text("'S' || k"), no)
+    c1 = out(no, text("'N' || k"), f"CASE WHEN event_id = 0 THEN {no} ELSE k END", no, no)
+    c6 = out(no, no, text("k"), no, text("event_type"))
+    notes = {2: "no value found", 3: "not an object", 4: "party is not an object", 5: "unparsable"}
+    whens = " ".join(f"WHEN {c} THEN {q(n)}" for c, n in notes.items())
+    return ("WITH t AS (SELECT event_id, event_type, CAST(event_id AS VARCHAR) AS k, event_id % 7 AS c FROM events) "
+            f"SELECT event_id, CASE c {whens} END AS note, CASE c WHEN 0 THEN {c0} WHEN 1 THEN {c1} WHEN 6 THEN {c6} END AS details FROM t")
+
+
+def doc_label_agreement_sql() -> str:
+    return (f"WITH j AS (SELECT l.quality, coalesce({badge('d.text')}, 'none') AS badge FROM labels l JOIN documents d USING (doc_id)) "
+            "SELECT quality, badge, count(*) AS n, (quality = 1) = (badge IN ('Correct', 'Correct (Not Discussed)', 'Inferred')) AS agrees "
+            "FROM j GROUP BY quality, badge")

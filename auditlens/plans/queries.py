@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from auditlens import constants as K
+from auditlens.functions import jsonx as JX
 from auditlens.functions.labels import badge
 from auditlens.functions.text import fraction_text
 from auditlens.functions import template as TPL
@@ -133,7 +135,7 @@ def healthy_models(spark, sf_dir):
 
 
 def broken_models(spark, sf_dir):
-    return _outcomes(spark, sf_dir).filter(F.col("status") == "Broken").select("model", "error_type", "error")
+    return _outcomes(spark, sf_dir).filter(F.col("status") == "Broken").select("model", "error_type", "error", "error_short")
 
 
 def health_summary(spark, sf_dir):
@@ -155,7 +157,12 @@ def percent_text(spark, sf_dir):
     # a global aggregate is exactly one row: broadcasting it is size-bounded
     total = counts.agg(F.sum("n").cast("long").alias("total")).withColumn("_one", F.lit(1))
     j = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
-    return j.select("event_type", "n", "total", fraction_text(F.col("n"), F.col("total")).alias("share_text"))
+    shares = j.select(F.concat(F.lit("type "), F.col("event_type")).alias("item"), "n", "total")
+    # one fraction per event id, so that many counts (and ties of the printed digits) are covered
+    ids = D.read(spark, sf_dir, "events").select(
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("item"),
+        (F.col("event_id") % 16000).alias("n"), F.lit(16000).cast("long").alias("total"))
+    return shares.unionByName(ids).select("item", "n", "total", fraction_text(F.col("n"), F.col("total")).alias("share_text"))
 
 
 def _costed(spark, sf_dir):
@@ -169,7 +176,10 @@ def response_cost(spark, sf_dir):
 
 
 def model_stats(spark, sf_dir):
-    st = FO.model_stats(_costed(spark, sf_dir))
+    return _rounded_stats(FO.model_stats(_costed(spark, sf_dir)))
+
+
+def _rounded_stats(st):
     return st.select("model", "requests", "success", "failed",
                      *[F.round(c, 6).alias(c) for c in ("avg_latency", "min_latency", "max_latency", "stddev_latency",
                                                         "avg_prompt_tokens", "avg_completion_tokens",
@@ -241,6 +251,49 @@ def screen_field_accuracy(spark, sf_dir):
     return LY.screen_field_accuracy(screen_comparison(spark, sf_dir))
 
 
+def screen_binary(spark, sf_dir):
+    return LY.screen_binary(screen_comparison(spark, sf_dir))
+
+
+def screen_values(spark, sf_dir):
+    return LY.screen_values(screen_comparison(spark, sf_dir))
+
+
+def screen_summary_statistics(spark, sf_dir):
+    return LY.screen_summary_statistics(screen_comparison(spark, sf_dir))
+
+
+def screen_overall(spark, sf_dir):
+    return LY.screen_overall(screen_comparison(spark, sf_dir))
+
+
+def benchmark_comparison(spark, sf_dir):
+    """Every event as an input row (most get no answer) with a column per model, one of which never answers."""
+    rows = D.read(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "event_type")
+    return FO.comparison_table(rows, D.response_log(spark, sf_dir), [*D.MODEL_IDS, D.ABSENT_MODEL])
+
+
+def benchmark_summary(spark, sf_dir):
+    st = FO.model_stats(_costed(spark, sf_dir), models=[*D.MODEL_IDS, D.ABSENT_MODEL])
+    return _rounded_stats(st)
+
+
+def inferred_details(spark, sf_dir):
+    """Buyer and seller details of every call text, or why there are none."""
+    call = F.col("call")
+    parsed = D.call_texts(spark, sf_dir).withColumn("v", JX.as_variant(call)).withColumn("note", JX.details_problem(F.col("v"), call))
+    return parsed.select("event_id", "note", JX.inferred_details(F.col("v"), F.col("note")).alias("details"))
+
+
+def doc_label_agreement(spark, sf_dir):
+    """Manual quality labels against the badge that the rules find in the whole text."""
+    good = [K.CORRECT, K.NOT_DISCUSSED, "Inferred"]
+    docs = D.read(spark, sf_dir, "documents").select("doc_id", F.coalesce(badge("text", method="contains"), F.lit("none")).alias("badge"))
+    j = D.read(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id")
+    return (j.groupBy("quality", "badge").agg(F.count("*").alias("n"))
+            .withColumn("agrees", (F.col("quality") == 1) == F.col("badge").isin(good)))
+
+
 QUERIES = {
     "audit_summary_ai": audit_summary_ai,
     "audit_summary_manual": audit_summary_manual,
@@ -279,6 +332,14 @@ QUERIES = {
     "screen_header": screen_header,
     "screen_comparison": screen_comparison,
     "screen_field_accuracy": screen_field_accuracy,
+    "screen_binary": screen_binary,
+    "screen_values": screen_values,
+    "screen_summary_statistics": screen_summary_statistics,
+    "screen_overall": screen_overall,
+    "benchmark_comparison": benchmark_comparison,
+    "benchmark_summary": benchmark_summary,
+    "inferred_details": inferred_details,
+    "doc_label_agreement": doc_label_agreement,
 }
 
 
@@ -319,4 +380,12 @@ def oracle_sql() -> dict[str, str]:
         "screen_header": O.screen_header_sql(),
         "screen_comparison": O.screen_comparison_sql(),
         "screen_field_accuracy": O.screen_field_accuracy_sql(),
+        "screen_binary": O.screen_binary_sql(),
+        "screen_values": O.screen_values_sql(),
+        "screen_summary_statistics": O.screen_summary_statistics_sql(),
+        "screen_overall": O.screen_overall_sql(),
+        "benchmark_comparison": O.benchmark_comparison_sql(),
+        "benchmark_summary": O.benchmark_summary_sql(),
+        "inferred_details": O.inferred_details_sql(),
+        "doc_label_agreement": O.doc_label_agreement_sql(),
     }

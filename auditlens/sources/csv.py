@@ -1,13 +1,18 @@
 """Robust CSV scan for audit spreadsheets exported as CSV.
 
-* encoding per file: a distributed validity check of the raw line bytes
-  (``is_valid_utf8``) picks UTF-8, else Latin-1 (which decodes any byte);
+* files are read by NAME: every file's own header row says which column is which, so files with other column
+  orders, extra or missing columns go together;
+* encoding per file: a distributed validity check of the raw line bytes (``is_valid_utf8``) picks UTF-8, else
+  Latin-1 (which decodes any byte);
 * every column is read as text (no inference: ids like ``007`` stay intact);
 * pandas' default NA strings become NULL right after the scan;
 * ``_seq`` records input order (file, split, position) for first/last-row-wins.
 
-``multiLine`` parsing (quoted newlines) makes a file one split; for very
-large single files, stage them to Parquet once and read that instead.
+What is known per file (encoding, header) stays a table that the rows are joined to; only the distinct headers
+reach the driver. Paths are never rebuilt from metadata, so spaces, ``%`` and brackets in them do no harm.
+
+``multiLine`` parsing (quoted newlines) makes a file one split; for very large single files, stage them to Parquet
+once and read that instead. A header cell may not hold a newline.
 """
 
 from __future__ import annotations
@@ -20,16 +25,17 @@ from pyspark.sql import functions as F
 from auditlens import constants as K
 
 
-def file_encodings(spark: SparkSession, paths: Sequence[str] | str,
-                   fallback: str = "ISO-8859-1") -> dict[str, str]:
-    """Map each file to 'UTF-8' when all its bytes are valid UTF-8, else ``fallback``.
+#: More distinct headers than this are taken for a mistake (data files without header rows).
+MAX_HEADERS = 1000
 
-    Only one (path, flag) row per file reaches the driver.
-    """
+
+def file_facts(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """(file, utf8, commas): per file, are all bytes valid UTF-8, and the commas of its first line."""
     t = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    flags = (t.select(F.col("_metadata.file_path").alias("path"), F.expr("is_valid_utf8(value)").alias("ok"))
-             .groupBy("path").agg(F.bool_and("ok").alias("ok")))
-    return {r["path"]: ("UTF-8" if r["ok"] else fallback) for r in flags.collect()}
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    return (t.select(F.col("_metadata.file_path").alias("file"), F.expr("is_valid_utf8(value)").alias("ok"), commas.alias("n"), at.alias("at"))
+            .groupBy("file").agg(F.bool_and("ok").alias("utf8"), F.min_by("n", "at").alias("commas")))
 
 
 def null_tokens(df: DataFrame, tokens: Sequence[str] = K.CSV_NA_TOKENS, skip=("_seq",)) -> DataFrame:
@@ -59,42 +65,53 @@ def pandas_header_names(names: Sequence[str]) -> list[str]:
     return out
 
 
-def _restore_duplicate_headers(spark: SparkSession, df: DataFrame, files: list[str], enc: str,
-                               multi_line: bool) -> DataFrame:
-    """Spark renames case-insensitively clashing headers (``A,a,A`` -> ``A0,a1,A2``);
-    put back the file's own names, pandas-style, so header resolution sees them."""
-    data_cols = [c for c in df.columns if c != "_seq"]
-    raw = (spark.read.option("header", False).option("multiLine", multi_line).option("escape", '"')
-           .option("encoding", enc).csv(files[0]).first())
-    if raw is None:
-        return df
-    header = [("" if v is None else v) for v in raw]
-    if len(header) != len(data_cols) or len({h.lower() for h in header}) == len(header):
-        return df
-    names = pandas_header_names(header)
-    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(data_cols, names)],
-                     *([F.col("_seq")] if "_seq" in df.columns else []))
+def _by_name(rows: DataFrame, cells: list[str]) -> DataFrame:
+    """``rows`` (_seq and positional ``cells``) with the columns that each file's first row names."""
+    file = F.col("_seq.file")
+    heads = rows.groupBy(file.alias("_file")).agg(F.min("_seq").alias("_first"), F.min_by(F.array(*cells), "_seq").alias("_head"))
+    variants = [r["_head"] for r in heads.select("_head").distinct().limit(MAX_HEADERS + 1).collect()]
+    if len(variants) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different header rows")
+    places: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    for v, head in enumerate(variants):
+        width = max((i + 1 for i, h in enumerate(head) if h is not None), default=0)
+        names = pandas_header_names([(h or "").removeprefix("\ufeff") or f"_c{i}" for i, h in enumerate(head[:width])])
+        for i, name in enumerate(names):
+            places.setdefault(name.lower(), (name, []))[1].append((v, i))
+    number = F.array_position(F.array(*[F.array(*[F.lit(h).cast("string") for h in v]) for v in variants]), F.col("_head")) - 1
+    body = (rows.join(heads.select("_file", "_first", number.alias("_v")), file == F.col("_file"))
+            .filter(F.col("_seq") != F.col("_first")))
+    out = []
+    for name, at in places.values():
+        cell = F.lit(None).cast("string")
+        for v, i in at:
+            cell = F.when(F.col("_v") == v, F.col(cells[i])).otherwise(cell)
+        out.append(cell.alias(name))
+    return body.select(*out, "_seq")
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str] | str, na_tokens: Sequence[str] | None = K.CSV_NA_TOKENS,
              multi_line: bool = True, detect_encoding: bool = True) -> DataFrame:
-    """Read header CSV files as all-string columns with per-file encoding and ``_seq``."""
+    """Read header CSV files by name, as all-string columns with per-file encoding and ``_seq``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    groups: dict[str, list[str]] = {}
-    if detect_encoding:
-        for path, enc in sorted(file_encodings(spark, paths).items()):
-            groups.setdefault(enc, []).append(path)
-    else:
-        groups["UTF-8"] = paths
-    out = None
-    for enc, files in groups.items():
-        df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-              .option("encoding", enc).csv(files))
-        df = df.withColumn("_seq", F.struct(F.col("_metadata.file_path").alias("file"),
-                                            F.col("_metadata.file_block_start").alias("block"),
-                                            F.monotonically_increasing_id().alias("pos")))
-        df = _restore_duplicate_headers(spark, df, files, enc, multi_line)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    facts = file_facts(spark, paths)
+    seen = facts.agg(F.max("commas").alias("commas"), F.bool_and("utf8").alias("utf8"), F.bool_or("utf8").alias("some")).first()
+    if seen["commas"] is None:
         raise ValueError(f"no CSV input under {paths}")
+    cells = [f"_cell{i}" for i in range(seen["commas"] + 1)]
+
+    def scan(encoding: str) -> DataFrame:
+        df = (spark.read.schema(", ".join(f"{c} string" for c in cells)).option("header", False).option("multiLine", multi_line)
+              .option("escape", '"').option("encoding", encoding).csv(paths))
+        return df.select(*cells, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                          F.monotonically_increasing_id().alias("pos")).alias("_seq"))
+
+    if not detect_encoding or seen["utf8"]:
+        rows = scan("UTF-8")
+    else:
+        own = facts.select(F.col("file").alias("_f"), "utf8")
+        parts = [scan(enc).join(own.filter(F.col("utf8") == flag), F.col("_seq.file") == F.col("_f")).select(*cells, "_seq")
+                 for enc, flag in (("UTF-8", True), ("ISO-8859-1", False)) if seen["some"] or not flag]
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = _by_name(rows, cells)
     return null_tokens(out, na_tokens) if na_tokens else out

@@ -29,10 +29,16 @@ RESULT_BASE = T.StructType([T.StructField("path", T.StringType()),
 
 
 def _known(spark: SparkSession, results_path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(results_path).select("content_hash")
-    except Exception:  # noqa: BLE001 - no results written yet
+    """Hashes stored so far. Only a missing folder means none; a folder that cannot be read is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(results_path)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], RESULT_BASE).select("content_hash")
+    return spark.read.parquet(results_path).select("content_hash")
+
+
+def _one_per_hash(df: DataFrame) -> DataFrame:
+    """Of files with the same bytes in one batch, the first path."""
+    return df.groupBy("content_hash").agg(F.min("path").alias("path"), F.first("length").alias("length"), F.first("content").alias("content"))
 
 
 def start(spark: SparkSession, source_dir: str, results_path: str, checkpoint: str,
@@ -50,7 +56,7 @@ def start(spark: SparkSession, source_dir: str, results_path: str, checkpoint: s
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         hashed = with_content_hash(df.select("path", "length", "content"), "content")
-        fresh = new_only(hashed, _known(spark, results_path), force_refresh=force_refresh)
+        fresh = _one_per_hash(new_only(hashed, _known(spark, results_path), force_refresh=force_refresh))
         out = process(fresh) if process else fresh.select("path", "content_hash", "length")
         # epoch ids restart with a new checkpoint: order results by ingest time first
         (out.withColumn("ingested_at", F.current_timestamp())

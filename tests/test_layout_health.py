@@ -52,6 +52,6 @@ def test_health_classification(spark):
     assert out["b"].error_type == "Authentication"
     assert out["c"].error_type == "Permission"
     assert out["d"].error_type == "Timeout"
-    assert out["e"].error_type == "Unknown" and len(out["e"].error) == 500
+    assert out["e"].error_type == "Unknown" and len(out["e"].error) == 600 and len(out["e"].error_short) == 500
     summ = {r.metric: r.value for r in H.health_summary(H.probe_outcomes(keep, ["t"])).collect()}
     assert summ["healthy"] == 1 and summ["broken"] == 4 and summ["error:Unknown"] == 1

@@ -66,7 +66,7 @@ def test_list_images_and_overall_line(spark, tmp_path):
     assert sorted(os.path.basename(r.path) for r in rows) == ["a.png", "b.JPG", "d.jpeg"]
     assert len({r.content_hash for r in rows}) == 2
     ov = spark.createDataFrame([(3, 4, 0.75)], "total_correct long, total_calls_fields long, overall_accuracy double")
-    assert overall_label(ov).first()[0] == "Total correct = 3 Total calls fields = 4 , overall accuracy = 0.75"
+    assert overall_label(ov).first()[0] == "Total correct = 3 Total calls fields = 4 , overall accuracy = 3/4"
 
 
 def test_next_version_ignores_other_folders_and_writes_csv(spark, tmp_path):
