@@ -15,9 +15,18 @@ def _sql_str(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _rule_badge(u: str) -> str | None:
+    """The badge rules in plain Python, for the known spellings below."""
+    return next((label for label, tokens in K.BADGE_RULES if any(t in u for t in tokens)), None)
+
+
+#: Canonical spellings (upper-cased) and the badge the rules give them: equality is tested before any rule runs.
+KNOWN_SPELLINGS = {u: _rule_badge(u) for u in sorted({label.upper() for label, _ in K.BADGE_RULES} | {K.NOT_DISCUSSED.upper()})}
+
+
 def badge_sql(u_sql: str, method: str = "regex") -> str:
     """SQL text of the badge rules over an (upper-cased, stripped) SQL expression."""
-    whens = []
+    whens = [f"WHEN {u_sql} = {_sql_str(u)} THEN {_sql_str(label)}" for u, label in KNOWN_SPELLINGS.items() if label]
     for label, tokens in K.BADGE_RULES:
         if method == "regex":
             cond = f"{u_sql} RLIKE {_sql_str('|'.join(re.escape(t) for t in tokens))}"
