@@ -113,8 +113,8 @@ CSV_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
 # characters Python's str.strip() removes (derived by rule: str.isspace)
 PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # FIXED VALUES: extraction patterns
-CALL_ID_HEADER_PATTERN = r"(?i)Call\s*ID:\s*(\d+)"
-AUDITOR_HEADER_PATTERN = r"(?i)Auditor:\s*([^|]+)"
+CALL_ID_HEADER_PATTERN = r"(?iU)Call\s*ID:\s*(\d+)"
+AUDITOR_HEADER_PATTERN = r"(?iU)Auditor:\s*([^|]+)"
 SELLER_NAME_PATTERN = r"(?Ud)\bName\s*=\s*([^|#\-\n\r\t]+?)(?=\b\w+\s*=|$)"
 SELLER_COMPANY_PATTERN = r"(?Ud)\bCompany\s*=\s*([^|#\-\n\r\t]+?)(?=\b\w+\s*=|$)"
 BUYER_NAME_PATTERN = r"(?Ud)buyer named\s+([A-Za-z\s]+?)(?=\s+from|$)"

@@ -15,17 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
-from auditlens.operators.compare import band
 from auditlens.functions.labels import badge_from_upper, label_match, upper_stripped
 from auditlens.functions.text import blank_to_null, regex_group_or
+from auditlens.operators.compare import band
+
 
 def header_text(detections: DataFrame) -> DataFrame:
     """Header detections of each image joined with spaces in detection order.
 
     A header is the top strip of one screenshot, so its detections per image are
-    few by construction; they are sorted inside the aggregate buffer.
+    few by construction; they are sorted inside the aggregate buffer. Detections
+    without an image_id belong to no screenshot and stay out.
     """
-    h = detections.filter(F.col("region") == "header")
+    h = detections.filter((F.col("region") == "header") & F.col("image_id").isNotNull())
     agg = h.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_t"))
     return agg.select("image_id", F.array_join(F.transform("_t", lambda x: x["text"]), " ").alias("header"))
 
