@@ -42,7 +42,7 @@ RULES = (
     Rule("mean word length", "word_chars", "n_words", low=2_000, high=12_000),
     Rule("symbols per word", "n_symbols", "n_words", high=300),
     Rule("stop words per word", "n_stop_words", "n_words", low=10, from_words=50),
-    Rule("repeated lines per line", "n_dup_lines", "n_lines", high=300),
+    Rule("repeated lines per line", "n_dup_lines", "n_lines", high=400),
     Rule("listed lines per line", "n_list_lines", "n_lines", high=900, from_words=50),
 )
 
@@ -137,6 +137,6 @@ v AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars * 1000 BETWEEN n_words * 2000 AND n_words * 12000
        AND n_symbols * 1000 <= n_words * 300 AND (n_words < 50 OR n_stop_words * 1000 >= n_words * 10)
-       AND n_dup_lines * 1000 <= n_lines * 300 AND (n_words < 50 OR n_list_lines * 1000 <= n_lines * 900) AS kept
+       AND n_dup_lines * 1000 <= n_lines * 400 AND (n_words < 50 OR n_list_lines * 1000 <= n_lines * 900) AS kept
 FROM v
 """
