@@ -3,12 +3,14 @@
 1. ``sketch``: words of the whole text, distinct 5-word shingles (fewer words: the whole sequence), ``HASHES``
    minima; ``BANDS`` band keys from groups of minima; the low ``BITS`` bits of every minimum packed into longs.
 2. Texts with equal shingle sets form a class (128-bit set key); only the member with the smallest id goes on.
-3. Each bucket of a band key links its members to its smallest member. A candidate survives if the sizes allow
-   the similarity and if the collision-corrected estimate from the bit counts is not far below the threshold
-   (five standard errors); then the full sets are compared.
+3. The smallest member of a band key's bucket is its hub. Each document is first compared with the smallest hub of
+   its buckets, then with the hubs that lie in other components; so a large group costs about one pair per document.
+   A candidate survives if the sizes allow the similarity and if the collision-corrected estimate from the bit counts
+   is not far below the threshold (five standard errors); then the full sets are compared.
 4. A bucket whose members still lie in different components may hide links between two of them: there, pairs
-   of members of different components are joined, in blocks, and go through the same two tests.
-5. Connected components over classes and confirmed links.
+   of members of different components are joined, in blocks, by a finer signature of ``FINE`` one-bit minima, so that
+   few pairs below the threshold are compared in full.
+5. Connected components over classes and confirmed links follow each of these steps.
 
 With 32 bands of 4 minima a pair at the threshold 0.75 is missed with probability 5e-6, and less above.
 
@@ -34,10 +36,10 @@ WIDTH = 5
 HASHES = 128
 BANDS = 32
 BITS = 4
-LONGS = HASHES * BITS // 64
+#: Minima of the finer signature, of one bit each, that documents in crowded buckets get.
+FINE = 2048
 #: Members per block when an unresolved bucket is compared with itself.
 BLOCK = 1024
-_ONES = 0x1111111111111111
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -54,19 +56,20 @@ def shingles(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
             yield w[:0]
 
 
-def _minima(h: np.ndarray) -> np.ndarray:
-    a = (words.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
-    b = words.mix(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=np.uint64))[:, None]
-    low = np.full(HASHES, np.iinfo(np.uint64).max)
-    for s in range(0, len(h), 1024):
-        low = np.minimum(low, (h[None, s:s + 1024] * a + b).min(axis=1))
+def _minima(h: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    a = (words.mix(np.arange(1, hashes + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
+    b = words.mix(np.arange(hashes + 1, 2 * hashes + 1, dtype=np.uint64))[:, None]
+    low = np.full(hashes, np.iinfo(np.uint64).max)
+    step = (1 << 17) // hashes
+    for s in range(0, len(h), step):
+        low = np.minimum(low, (h[None, s:s + step] * a + b).min(axis=1))
     return words.mix(low)
 
 
-def _pack(low: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, 64 / BITS of them to a long."""
-    lanes = (low & np.uint64((1 << BITS) - 1)).reshape(LONGS, 64 // BITS)
-    return np.bitwise_or.reduce(lanes << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1)
+def _pack(low: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits of the minima, 64 / bits of them to a long."""
+    lanes = (low & np.uint64((1 << bits) - 1)).reshape(-1, 64 // bits)
+    return np.bitwise_or.reduce(lanes << (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)), axis=1)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +85,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 packed.append(_pack(low).view(np.int64).tolist())
             else:
                 bands.append([])
-                packed.append([0] * LONGS)
+                packed.append([])
         k = np.array(keys, np.uint64).reshape(len(keys), 2).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]),
                                           pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))],
@@ -94,26 +97,39 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_sketch, "doc_id long, n long, a long, b long, bands array<long>, sig array<long>")
 
 
-def estimate(left: Column, right: Column) -> Column:
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in words.pieces(batches, "text"):
+        fine = [_pack(_minima(h, FINE), 1).view(np.int64).tolist() for h in shingles(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fine, pa.list_(pa.int64()))], ["doc_id", "fine"])
+
+
+def estimate(left: Column, right: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
     """Collision-corrected similarity of two packed signatures: differing lanes by bit counts, then
-    (share of equal lanes - C) / (1 - C), where C = 2^-BITS is the chance that other minima look equal."""
+    (share of equal lanes - C) / (1 - C), where C = 2^-bits is the chance that other minima look equal."""
     differ = F.lit(0)
-    for i in range(LONGS):
-        x = left[i].bitwiseXOR(right[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(_ONES)))
-    chance = 2.0 ** -BITS
-    return ((HASHES - differ) / HASHES - chance) / (1 - chance)
-
-
-def _possible(a: str, b: str, per_cent: int) -> Column:
-    """Sizes allow the similarity, and the estimate is within five standard errors of it."""
-    p = per_cent / 100
-    floor = p - 5 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0 ** -BITS)
+    lowest = sum(1 << k for k in range(0, 64, bits))
+    for i in range(hashes * bits // 64):
+        x = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))
+        fold = 1
+        while fold < bits:  # any differing bit of a lane shows in its lowest
+            x = x.bitwiseOR(F.shiftrightunsigned(x, fold))
+            fold *= 2
+        differ = differ + F.bit_count(x if bits == 1 else x.bitwiseAND(F.lit(lowest)))
+    chance = 2.0 ** -bits
+    return ((hashes - differ) / hashes - chance) / (1 - chance)
+
+
+def _near_enough(left: Column, right: Column, per_cent: int, hashes: int, bits: int) -> Column:
+    """The estimate is at most five standard errors below the threshold."""
+    chance = 2.0 ** -bits
+    same = chance + (1 - chance) * per_cent / 100
+    error = (same * (1 - same) / hashes) ** 0.5 / (1 - chance)
+    return estimate(left, right, hashes, bits) >= per_cent / 100 - 5 * error
+
+
+def _sizes_allow(a: str, b: str, per_cent: int) -> Column:
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * per_cent)
-            & (estimate(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= floor))
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * per_cent
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
@@ -121,7 +137,8 @@ def _estimated(pairs: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
     sig = reps.select("doc_id", "n", "sig")
     return (pairs.join(sig.select(F.col("doc_id").alias("x"), F.struct("n", "sig").alias("p")), "x")
             .join(sig.select(F.col("doc_id").alias("y"), F.struct("n", "sig").alias("q")), "y")
-            .filter(_possible("p", "q", per_cent)).select("x", "y").distinct())
+            .filter(_sizes_allow("p", "q", per_cent) & _near_enough(F.col("p.sig"), F.col("q.sig"), per_cent, HASHES, BITS))
+            .select("x", "y").distinct())
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
@@ -168,43 +185,65 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     copies = staged(named.select("doc_id", "a", "b", "n").join(shared, ["a", "b", "n"]).filter("first <> doc_id")
                     .select(F.col("doc_id").alias("a"), F.col("first").alias("b")), folder, "copies")
 
-    # buckets of two and more; every member against the smallest of its bucket
-    exploded = reps.select("doc_id", F.explode("bands").alias("key"))
+    # buckets of two and more
+    exploded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = staged(exploded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
                      .filter("hub < last").drop("last"), folder, "buckets")
     members = staged(exploded.join(buckets, "key"), folder, "members")
-    spokes = staged(members.filter("doc_id <> hub").select(F.col("doc_id").alias("x"), F.col("hub").alias("y")).distinct(),
-                    folder, "spokes")
-    near = staged(_estimated(spokes, reps, per_cent), folder, "near")
-    links = _confirmed(near, docs, folder, "star", per_cent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    edges = copies.unionByName(links)
-    found = staged(components(edges, folder, "first"), folder, "first")
+
+    def linked(edges: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(components of ``edges`` with the confirmed ``pairs``, the pairs that were tried)."""
+        tried = staged(pairs, folder, f"{name}-pairs")
+        near = staged(_estimated(tried, reps, per_cent), folder, f"{name}-near")
+        more = _confirmed(near, docs, folder, name, per_cent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        return staged(components(edges.unionByName(more), folder, f"{name}-round"), folder, f"{name}-found"), tried
+
+    def placed(found: DataFrame, name: str) -> DataFrame:
+        """``members`` with their components."""
+        where = found.select(F.col("u").alias("doc_id"), "component")
+        return staged(members.join(where, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), folder, name)
+
+    def as_edges(found: DataFrame) -> DataFrame:
+        return found.filter("u <> component").select(F.col("u").alias("a"), F.col("component").alias("b"))
+
+    # every document against the smallest hub of its buckets, then against hubs of other components
+    best = members.filter("doc_id <> hub").groupBy(F.col("doc_id").alias("x")).agg(F.min("hub").alias("y"))
+    found, tried = linked(copies, best, "best")
+    at = placed(found, "at-best")
+    hubs = staged(at.groupBy("key").agg(F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("home"),
+                                        F.min("component").alias("lo"), F.max("component").alias("hi"))
+                  .filter("lo < hi").select("key", "home"), folder, "hubs")
+    a, h = at.alias("a"), hubs.alias("h")
+    others = (a.join(h, (F.col("a.key") == F.col("h.key")) & (F.col("a.component") != F.col("h.home")))
+              .select(F.col("doc_id").alias("x"), F.col("hub").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
+    found, more = linked(as_edges(found), others, "hubs")
+    tried = tried.unionByName(more)
 
     # buckets in which two members other than the hub lie in different components
-    placed = staged(members.filter("doc_id <> hub")
-                    .join(found.select(F.col("u").alias("doc_id"), "component"), "doc_id", "left")
-                    .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), folder, "placed")
-    open_keys = staged(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                                 F.count("*").alias("c"))
+    at = placed(found, "at-hubs").filter("doc_id <> hub")
+    open_keys = staged(at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                             F.count("*").alias("c"))
                        .filter("lo < hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), folder, "open")
     if not open_keys.isEmpty():
-        side = (placed.join(open_keys, "key").join(reps.select("doc_id", "n", "sig"), "doc_id")
+        crowd = staged(at.join(open_keys, "key"), folder, "crowd")
+        crowd_ids = staged(crowd.select("doc_id").distinct(), folder, "crowd-ids")
+        finer = staged(docs.join(store.small(crowd_ids, 16), "doc_id", "left_semi").mapInArrow(_finer, "doc_id long, fine array<long>")
+                       .distinct(), folder, "finer")
+        side = (crowd.join(reps.select("doc_id", "n", "bands"), "doc_id").join(finer, "doc_id")
                 .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                 .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                        "doc_id", "component", "n", "sig"))
-        side = staged(side, folder, "side")
+                        "block", "doc_id", "component", "n", "fine", F.slice("bands", F.lit(1), F.col("band")).alias("earlier")))
+        side = staged(side.distinct(), folder, "side")
         p, q = side.alias("p"), side.alias("q")
         cross = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j"))
                        & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.component") != F.col("q.component"))
-                       & _possible("p", "q", per_cent))
-        pairs = cross.select(F.col("p.doc_id").alias("x"), F.col("q.doc_id").alias("y")).distinct()
-        pairs = staged(pairs.join(spokes.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti"),
-                       folder, "cross")
-        more = _confirmed(pairs, docs, folder, "cross", per_cent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        if not more.isEmpty():
-            edges = found.filter("u <> component").select(F.col("u").alias("a"), F.col("component").alias("b")).unionByName(more)
-            found = staged(components(edges, folder, "second"), folder, "second")
+                       & _sizes_allow("p", "q", per_cent) & _near_enough(F.col("p.fine"), F.col("q.fine"), per_cent, FINE, 1)
+                       & ((F.col("p.block") != F.col("q.block")) | (F.col("p.i") == F.col("p.j")))
+                       # a pair that shares several buckets counts in the first of them
+                       & ~F.arrays_overlap("p.earlier", "q.earlier"))
+        pairs = cross.select(F.col("q.doc_id").alias("x"), F.col("p.doc_id").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+        found, _ = linked(as_edges(found), pairs, "cross")
 
     return (rows.select("doc_id", F.col("n").alias("n_shingles"))
             .join(found.withColumnRenamed("u", "doc_id"), "doc_id", "left")
