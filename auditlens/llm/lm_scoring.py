@@ -57,7 +57,7 @@ _BATCH = ("batch long, deleted boolean, ids array<long>, held array<boolean>, ro
 def _batches(slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId() << 32
     serial = 0
-    for b in words.pieces(slices, "text", 10_000_000):
+    for b in words.pieces(slices, "text", 7_000_000):
         for deleted in (False, True):
             part = b.filter(pa.compute.equal(b.column("deleted"), deleted))
             if not part.num_rows:
