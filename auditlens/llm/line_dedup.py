@@ -1,12 +1,13 @@
 """Line dedup by content-defined chunks.
 
-A text is cut into lines: after each newline and after each clause mark (so that a passage pasted into a paragraph
-also starts and ends at lines). A rolling hash over ``ROLL`` line hashes has local minima; a chunk ends at each of
-them, so a passage is cut alike wherever it stands. That is done with ``SEEDS`` rolling hashes, because a short
-passage may hold no whole chunk of one of them. Chunks of two lines and more whose hash occurs again are
-candidates; grouping them by their own text compares the bytes. The first occurrence, by (doc_id, text hash, line), stays. At
-the others the match grows into the neighbouring chunks as far as lines equal those around the first occurrence.
-Runs of matched lines with at least ``min_words`` words are removed; shorter ones stay.
+A text is cut into lines: at each newline, and after a full stop, question mark, semicolon or comma before a space (so that
+a passage pasted into a paragraph also starts and ends at lines). A rolling hash runs over the line hashes, ``ROLL`` at a time. A chunk ends at each of
+its local minima, so a passage is cut alike wherever it stands; a second set of chunks ends at the local maxima, since
+a short passage may hold no whole chunk of the first. Chunks of two lines and more whose hash occurs again are
+candidates; grouping them by their own text compares the bytes. The first occurrence, by (doc_id, text hash, line),
+stays, the others are repeats; a hash that turns out to have several texts removes nothing. Runs of repeated lines grow
+as far as the lines around them equal those around the first occurrence (by their bytes, ``EDGE`` lines at most). Runs
+with at least ``min_words`` words are removed; shorter ones stay.
 
 Defined results: NULL text stays NULL. A document that has words and loses all of them is dropped. Rows with equal
 doc_id and text are one document: each keeps or loses the same lines. NULL doc_ids sort first. Nothing else changes,
@@ -24,55 +25,126 @@ from auditlens.llm.store import staged
 
 MIN_WORDS = 40
 ROLL = 2
-SEEDS = 3
-_LINE_END = r"(?<=[\n.!?;:,])"
-_BLANK = " \t\n\x0b\x0c\r"
+#: How many lines a run of repeats may grow into its surroundings, on either side.
+EDGE = 16
+#: A line ends before a newline and between a mark and a space.
+_MARKS = (".", "?", ";", ",")
+_CUT = "\x01"
+_CUT_PATTERN = r"(?<=[.?;,])(?= )|(?=\n)"
 
 
 def lines_of(text: Column) -> Column:
-    """The lines with their ends: joined, they give the text again."""
-    return F.split(text, _LINE_END)
+    """The lines: joined, they give the text again. All but the first start with the white space before them."""
+    marked = F.replace(text, F.lit("\n"), F.lit(_CUT + "\n"))
+    for m in _MARKS:
+        marked = F.replace(marked, F.lit(m + " "), F.lit(m + _CUT + " "))
+    return F.when(text.contains(_CUT), F.split(text, _CUT_PATTERN)).otherwise(F.split(marked, _CUT))
 
 
-def _bare(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.btrim(x, F.lit(_BLANK)))
+def _bare(x: Column, i: Column) -> Column:
+    """A line without the one white space in front."""
+    return F.when(i == 0, x).otherwise(F.substr(x, F.lit(2)))
 
 
-def _chunks(bare: Column) -> Column:
-    """array<struct<s, e, hash, body, prev, next>>: chunks of two lines and more, with their neighbours' lines."""
+def _chunks(text: Column) -> Column:
+    """array<struct<s, e, hash>>: chunks of two lines and more, by local minima and by local maxima."""
 
-    def cut(lines: Column, hashes: Column, ends: Column) -> Column:
-        def start(k: Column) -> Column:
-            return F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+    def rolling(h: Column) -> Column:
+        return F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i - j) for j in range(1, ROLL))))
 
-        def part(of: Column, s: Column, e: Column) -> Column:
-            return F.slice(of, s + 1, F.greatest(e - s + 1, F.lit(0)))
+    def ends_of(r: Column, minima: bool) -> Column:
+        def turns(i: Column) -> Column:
+            a, x, b = F.get(r, i - 1), F.get(r, i), F.get(r, i + 1)
+            return (x < a) & (x < b) if minima else (x > a) & (x > b)
 
-        def one(e: Column, k: Column) -> Column:
-            s = start(k)
-            after = F.coalesce(F.get(ends, k + 1), e)
-            return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"),
-                            F.xxhash64(part(hashes, s, e)).alias("hash"), F.array_join(part(lines, s, e), "\n").alias("body"),
-                            part(lines, start(k - 1), s - 1).alias("prev"), part(lines, e + 1, after).alias("next"))
+        return F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.size(r) - 1), turns), F.array(F.size(r) - 1))
 
-        return F.filter(F.transform(ends, one), lambda c: c["e"] > c["s"])
+    def cut(h: Column, ends: Column, kind: int) -> Column:
+        """Chunk k holds the lines after ends[k] up to ends[k + 1]."""
+        def one(before: Column, k: Column) -> Column:
+            e = F.get(ends, k + 1)
+            size = e - before
+            return F.when(size > 1, F.struct((before + 1).alias("s"), e.alias("e"), F.xxhash64(F.lit(kind), F.slice(h, before + 2, size)).alias("hash")))
 
-    def ends_of(rolled: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(rolled) - 1), lambda i: (i == F.size(rolled) - 1) | F.coalesce(
-            (F.get(rolled, i) < F.get(rolled, i - 1)) & (F.get(rolled, i) < F.get(rolled, i + 1)), F.lit(False)))
+        return F.filter(F.transform(F.slice(ends, 1, F.size(ends) - 1), one), lambda c: c.isNotNull())
 
-    def rolling(h: Column, seed: int) -> Column:
-        return F.transform(h, lambda _, i: F.xxhash64(F.lit(seed), *(F.get(h, i - j) for j in range(ROLL))))
+    def both(h: Column) -> Column:
+        return let(rolling(h), lambda r: F.concat(let(ends_of(r, True), lambda e: cut(h, e, 0)), let(ends_of(r, False), lambda e: cut(h, e, 1))))
 
-    def seeded(lines: Column, h: Column, seed: int) -> Column:
-        return let(let(rolling(h, seed), ends_of), lambda ends: cut(lines, h, ends))
+    return let(F.transform(lines_of(text), lambda x, i: F.xxhash64(_bare(x, i))), both)
 
-    return let(bare, lambda lines: let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.array_distinct(
-        F.concat(*(seeded(lines, h, seed) for seed in range(SEEDS))))))
 
+def _bodies(text: Column, chunks: Column) -> Column:
+    """``chunks`` (structs with s, e and hash) with the bytes of their lines."""
+    def body(lines: Column, c: Column) -> Column:
+        own = F.transform(F.slice(lines, c["s"] + 1, c["e"] - c["s"] + 1), lambda x, i: _bare(x, c["s"] + i))
+        return F.struct(c["s"].alias("s"), c["hash"].alias("hash"), F.array_join(own, _CUT).alias("body"))
 
-def _hashes(bare: Column) -> Column:
-    return F.transform(_chunks(bare), lambda c: c["hash"])
+    return let(lines_of(text), lambda lines: F.transform(chunks, lambda c: body(lines, c)))
+
+
+def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, mark, runs array<struct<s, e>>): the line ranges that repeat earlier ones, merged and in order;
+    mark is the text's hash."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    mark = F.xxhash64("text").alias("mark")
+    chunks = staged(rows.select("doc_id", mark, F.inline(_chunks(F.col("text")))), folder, "chunks")
+    again = staged(chunks.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash"), folder, "again")
+    found = staged(chunks.join(again, "hash", "left_semi"), folder, "found")
+    # the bytes of the candidates, from the texts that hold some; equal bytes are grouped before they are shuffled
+    per_text = (found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "e", "hash")).alias("chunks"))
+                .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "chunks"))
+    # only texts with candidates are shuffled
+    some = staged(found.select(F.col("mark").alias("_some")).distinct(), folder, "some")
+    texts = (rows.select("doc_id", mark, "text").join(store.small(some, 16), F.col("mark") == F.col("_some"), "left_semi")
+             .join(per_text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))))
+    first = staged(texts.select("doc_id", "mark", F.inline(_bodies(F.col("text"), F.col("chunks"))))
+                   .groupBy("hash", "body").agg(F.min(F.struct("doc_id", "mark", "s")).alias("first")), folder, "first")
+    # a hash with one body stands for it; chunks whose hash has several bodies are left alone
+    stays = staged(first.groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("bodies")), folder, "stays")
+    repeats = found.join(stays.filter("bodies = 1"), "hash").filter(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("s") == F.col("first.s"))))
+    spans = repeats.select("doc_id", "mark", "s", "e", "first").distinct()
+    line = Window.partitionBy("doc_id", "mark").orderBy("s", "e")
+    far = F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    at = [F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark")]
+    left = F.struct(*at, F.col("first.s").alias("pos"), F.lit(False).alias("after"))
+    right = F.struct(*at, (F.col("first.s") + F.col("e") - F.col("s")).alias("pos"), F.lit(True).alias("after"))
+    runs = staged(spans.withColumn("new", F.when(F.col("s") <= far + 1, 0).otherwise(1))
+                  .withColumn("run", F.sum("new").over(line)).groupBy("doc_id", "mark", "run")
+                  .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by(left, "s").alias("left"), F.max_by(right, "e").alias("right")),
+                  folder, "runs")
+    near = staged(_surroundings(rows.select("doc_id", mark, "text"), runs.select("left.*").union(runs.select("right.*"))), folder, "near")
+    for side in ("left", "right"):
+        n = near.select(F.struct("doc_id", "mark", "pos", "after").alias("_at"), F.col("near").alias(f"{side}_near"))
+        runs = runs.join(n, F.col(side).eqNullSafe(F.col("_at")), "left").drop("_at")
+    return staged(runs.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("s", "e", "left_near", "right_near"))).alias("runs")),
+                  folder, "grown")
+
+
+def _surroundings(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, mark, pos, after, near): up to ``EDGE`` lines before or after line ``pos``, the nearest first."""
+    want = (places.distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("pos", "after")).alias("places"))
+            .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "places"))
+
+    def context(lines: Column, p: Column) -> Column:
+        return F.struct(p["pos"].alias("pos"), p["after"].alias("after"), F.when(p["after"], _next(lines, p["pos"], F.size(lines)))
+                        .otherwise(_previous(lines, p["pos"], F.lit(0))).alias("near"))
+
+    found = texts.join(store.small(want, 128), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    return found.select("doc_id", "mark", F.inline(let(lines_of(F.col("text")), lambda lines: F.transform(
+        "places", lambda p: context(lines, p))))).dropDuplicates(["doc_id", "mark", "pos", "after"])
+
+
+def _previous(lines: Column, s: Column, low: Column) -> Column:
+    """The lines before line s, down to line ``low``, the nearest first."""
+    start = F.greatest(low, s - EDGE)
+    return F.reverse(F.transform(F.slice(lines, start + 1, F.greatest(s - start, F.lit(0))), lambda x, i: _bare(x, start + i)))
+
+
+def _next(lines: Column, e: Column, high: Column) -> Column:
+    """The lines after line e, up to before line ``high``."""
+    return F.transform(F.slice(lines, e + 2, F.greatest(F.least(high - e - 1, F.lit(EDGE)), F.lit(0))), lambda x, i: _bare(x, e + 1 + i))
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -82,63 +154,53 @@ def _alike(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
 
 
-def repeated_runs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
-    """(doc_id, mark, runs array<struct<s, e>>): the line ranges that repeat earlier ones, merged and in order;
-    mark is the text's hash. ``min_words`` is applied by ``remove_repeats``."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), _bare(lines_of(F.col("text"))).alias("bare"))
-    again = staged(rows.select(F.explode(_hashes(F.col("bare"))).alias("hash")).groupBy("hash").agg(F.count("*").alias("c"))
-                   .filter("c > 1").select("hash"), folder, "again")
-    found = staged(rows.select("doc_id", "mark", F.inline(_chunks(F.col("bare"))))
-                   .join(store.small(again, 16), "hash", "left_semi"), folder, "chunks")
-    first = staged(found.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "mark", "s", "prev", "next")).alias("first")),
-                   folder, "first")
-    other = (found.join(first, ["hash", "body"])
-             .filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-                       & (F.col("s") == F.col("first.s")))))
-    spans = other.select("doc_id", "mark", (F.col("s") - _alike(F.reverse("prev"), F.reverse("first.prev"))).alias("s"),
-                         (F.col("e") + _alike(F.col("next"), F.col("first.next"))).alias("e")).distinct()
-    line = Window.partitionBy("doc_id", "mark").orderBy("s", "e")
-    far = F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    runs = (spans.withColumn("new", F.when(F.col("s") <= far + 1, 0).otherwise(1))
-            .withColumn("run", F.sum("new").over(line)).groupBy("doc_id", "mark", "run")
-            .agg(F.min("s").alias("s"), F.max("e").alias("e"))
-            .groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs")))
-    return staged(runs, folder, "runs")
-
-
 def _words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without repeated runs, with the columns of ``docs`` and _lines, _removed (numbers of lines)."""
+    """``docs`` without repeated runs, with the columns of ``docs`` and _removed (the number of lines gone)."""
     folder = store.scratch(docs.sparkSession, "lines")
-    runs = repeated_runs(docs, min_words, folder).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs"))
+    runs = repeated_runs(docs, folder).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs"))
     text = F.col("text").cast("string")
 
     def piece(lines: Column, s: Column, e: Column) -> Column:
         return F.array_join(F.slice(lines, s + 1, F.greatest(e - s + 1, F.lit(0))), "")
 
-    def long_runs(lines: Column) -> Column:
-        return F.filter("_runs", lambda r: _words(piece(lines, r["s"], r["e"])) >= min_words)
-
-    def gaps(lines: Column, cut: Column) -> Column:
-        end = F.array(F.struct(F.size(lines).alias("s"), F.size(lines).alias("e")))
-        return let(F.concat(cut, end), lambda all_runs: F.array_join(F.transform(
-            all_runs, lambda r, k: piece(lines, F.coalesce(F.get(all_runs, k - 1)["e"] + 1, F.lit(0)), r["s"] - 1)), ""))
-
-    joined = docs.join(store.small(runs, 128), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
-    done = let(lines_of(text), lambda lines: let(long_runs(lines), lambda cut: F.struct(
-        F.when(F.size(cut) > 0, gaps(lines, cut)).otherwise(text).alias("text"), F.size(lines).cast("long").alias("lines"),
-        F.aggregate(cut, F.lit(0).cast("long"), lambda a, r: a + r["e"] - r["s"] + 1).alias("removed"))))
-    plain = F.struct(text.alias("text"), F.lit(None).cast("long").alias("lines"), F.lit(0).cast("long").alias("removed"))
+    def grown(lines: Column) -> Column:
+        """Each run with the lines around it that equal those around the first occurrence."""
+        def one(r: Column, k: Column) -> Column:
+            low = F.coalesce(F.get(F.col("_runs"), k - 1)["e"] + 1, F.lit(0))
+            high = F.coalesce(F.get(F.col("_runs"), k + 1)["s"], F.size(lines))
+            back = F.coalesce(_alike(_previous(lines, r["s"], low), r["left_near"]), F.lit(0))
+            on = F.coalesce(_alike(_next(lines, r["e"], high), r["right_near"]), F.lit(0))
+            return F.struct((r["s"] - back).alias("s"), (r["e"] + on).alias("e"))
+
+        return F.filter(F.transform("_runs", one), lambda r: _words(piece(lines, r["s"], r["e"])) >= min_words)
+
+    def rest(lines: Column, cut: Column) -> Column:
+        """What is left of the text, and the number of lines gone."""
+        def after(k: Column) -> Column:
+            return F.coalesce(F.get(cut, k - 1)["e"] + 1, F.lit(0))
+
+        pieces = F.transform(cut, lambda r, k: piece(lines, after(k), r["s"] - 1))
+        last = piece(lines, after(F.size(cut)), F.size(lines) - 1)
+        gone = F.aggregate(F.transform(cut, lambda r, k: r["e"] + 1 - F.greatest(r["s"], after(k))), F.lit(0), lambda a, x: a + x)
+        return F.struct(F.concat(F.array_join(pieces, ""), last).alias("text"), gone.cast("long").alias("removed"))
+
+    # only texts with runs are shuffled; the others pass by
+    marks = store.small(staged(runs.select(F.col("_mark").alias("_some")).distinct(), folder, "marks"), 16)
+    here = F.xxhash64(text) == F.col("_some")
+    joined = (docs.join(marks, here, "left_semi")
+              .join(runs, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left"))
+    done = let(lines_of(text), lambda lines: let(grown(lines), lambda cut: rest(lines, cut)))
+    plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("removed"))
     out = joined.withColumn("_done", F.when(F.col("_runs").isNull(), plain).otherwise(done))
-    changed = {"text": F.col("_done.text"), "_lines": F.coalesce(F.col("_done.lines"), F.size(lines_of(text)).cast("long")),
-               "_removed": F.col("_done.removed")}
+    changed = {"text": F.col("_done.text"), "_removed": F.col("_done.removed")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("_done.removed") > 0, F.char_length("_done.text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(changed).select(*docs.columns, "_lines", "_removed")
+    passing = docs.join(marks, here, "left_anti").withColumns({"text": text, "_removed": F.lit(0).cast("long")})
+    return out.withColumns(changed).select(*docs.columns, "_removed").unionByName(passing)
 
 
 def keep_first(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -147,7 +209,7 @@ def keep_first(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept and the remaining text of every document."""
+    """doc_id, n_removed, kept and the remaining text of every document."""
     out = remove_repeats(store.documents(spark, sf_dir))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
+    return out.select("doc_id", F.col("_removed").alias("n_removed"),
                       ((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("kept"), "text")
