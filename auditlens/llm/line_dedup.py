@@ -1,13 +1,16 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by pairs of neighbouring lines.
 
-A text is cut into lines: at each newline, and after a full stop, question mark, semicolon or comma before a space (so that
-a passage pasted into a paragraph also starts and ends at lines). A rolling hash runs over the line hashes, ``ROLL`` at a time. A chunk ends at each of
-its local minima, so a passage is cut alike wherever it stands; a second set of chunks ends at the local maxima, since
-a short passage may hold no whole chunk of the first. Chunks of two lines and more whose hash occurs again are
-candidates; grouping them by their own text compares the bytes. The first occurrence, by (doc_id, text hash, line),
-stays, the others are repeats; a hash that turns out to have several texts removes nothing. Runs of repeated lines grow
-as far as the lines around them equal those around the first occurrence (by their bytes, ``EDGE`` lines at most). Runs
-with at least ``min_words`` words are removed; shorter ones stay.
+A text is cut into lines: at each newline, and after one of . ? ; and comma before a space (so that
+a passage pasted into a paragraph also starts and ends at lines). Lines of more than ``LONG`` words are cut further, before
+each word whose hash is the smallest of some ``WINDOW`` words in a row: the same words are cut alike in any surroundings,
+and no piece has more than ``WINDOW`` words.
+
+Every two neighbouring lines are a chunk, so any two whole lines that occur again are found, wherever they stand and however
+short the passage is, and a run of chunks reaches to the last whole line of its passage by itself. A repeated passage of
+3 * ``LONG`` + 1 words has two whole lines in any text. Chunks whose hash occurs again are candidates, in stretches that can
+reach ``min_words`` words; grouping them by their own text compares the bytes. The first occurrence, by (doc_id, text hash, line), stays, the others are repeats (a
+repeat that begins inside its own first occurrence begins after it); a hash that turns out to have several texts removes
+nothing. Runs of repeated lines with at least ``min_words`` words are removed; shorter ones stay.
 
 Defined results: NULL text stays NULL. A document that has words and loses all of them is dropped. Rows with equal
 doc_id and text are one document: each keeps or loses the same lines. NULL doc_ids sort first. Nothing else changes,
@@ -24,13 +27,14 @@ from auditlens.llm.quality_rules import let
 from auditlens.llm.store import staged
 
 MIN_WORDS = 40
-ROLL = 2
-#: How many lines a run of repeats may grow into its surroundings, on either side.
-EDGE = 16
+#: Lines of more words are cut further, into pieces of at most ``WINDOW`` words.
+LONG = 16
+WINDOW = 9
 #: A line ends before a newline and between a mark and a space.
 _MARKS = (".", "?", ";", ",")
 _CUT = "\x01"
 _CUT_PATTERN = r"(?<=[.?;,])(?= )|(?=\n)"
+_WORD_PATTERN = r"(?=[\x20\x09\x0B-\x0D])"
 
 
 def lines_of(text: Column) -> Column:
@@ -38,61 +42,79 @@ def lines_of(text: Column) -> Column:
     marked = F.replace(text, F.lit("\n"), F.lit(_CUT + "\n"))
     for m in _MARKS:
         marked = F.replace(marked, F.lit(m + " "), F.lit(m + _CUT + " "))
-    return F.when(text.contains(_CUT), F.split(text, _CUT_PATTERN)).otherwise(F.split(marked, _CUT))
+    lines = F.when(text.contains(_CUT), F.split(text, _CUT_PATTERN)).otherwise(F.split(marked, _CUT))
+    return F.flatten(F.transform(lines, _pieces))
 
 
-def _bare(x: Column, i: Column) -> Column:
-    """A line without the one white space in front."""
-    return F.when(i == 0, x).otherwise(F.substr(x, F.lit(2)))
+def _pieces(line: Column) -> Column:
+    """A line as an array: itself, or its pieces when it is long."""
+    def cut(words: Column) -> Column:
+        # the first word of a line may lack the white space in front: the same value for all
+        hashes = F.transform(words, lambda w, i: F.when(i > 0, F.xxhash64(w)).otherwise(F.lit((1 << 63) - 1)))
+        return F.when(F.size(words) <= LONG, F.array(line)).otherwise(let(hashes, lambda h: let(starts(h), lambda at: F.transform(
+            at, lambda s, k: F.array_join(F.slice(words, s + 1, F.coalesce(F.get(at, k + 1), F.size(words)) - s), "")))))
 
+    def starts(h: Column) -> Column:
+        least = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda j: F.array_min(F.slice(h, j + 1, WINDOW)))
 
-def _chunks(text: Column) -> Column:
-    """array<struct<s, e, hash>>: chunks of two lines and more, by local minima and by local maxima."""
+        def smallest(m: Column) -> Column:
+            def of_a_window(i: Column) -> Column:
+                low = F.greatest(i - WINDOW + 2, F.lit(1))
+                return F.array_contains(F.slice(m, low, i - low + 2), F.get(h, i))
+
+            return F.filter(F.sequence(F.lit(1), F.size(h) - 1), of_a_window)
 
-    def rolling(h: Column) -> Column:
-        return F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i - j) for j in range(1, ROLL))))
+        return F.concat(F.array(F.lit(0)), let(least, smallest))
 
-    def ends_of(r: Column, minima: bool) -> Column:
-        def turns(i: Column) -> Column:
-            a, x, b = F.get(r, i - 1), F.get(r, i), F.get(r, i + 1)
-            return (x < a) & (x < b) if minima else (x > a) & (x > b)
+    return F.when(F.octet_length(line) <= 2 * LONG, F.array(line)).otherwise(let(F.split(line, _WORD_PATTERN), cut))
 
-        return F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.size(r) - 1), turns), F.array(F.size(r) - 1))
 
-    def cut(h: Column, ends: Column, kind: int) -> Column:
-        """Chunk k holds the lines after ends[k] up to ends[k + 1]."""
-        def one(before: Column, k: Column) -> Column:
-            e = F.get(ends, k + 1)
-            size = e - before
-            return F.when(size > 1, F.struct((before + 1).alias("s"), e.alias("e"), F.xxhash64(F.lit(kind), F.slice(h, before + 2, size)).alias("hash")))
+def _bare(x: Column, i: Column) -> Column:
+    """A line without the one white space in front."""
+    return F.when(i == 0, x).otherwise(F.substr(x, F.lit(2)))
+
+
+def _chunks(text: Column) -> Column:
+    """array<struct<s, n, next, hash>>: each line but the last, with the hash of itself and the next one; n and next are
+    how many words the two lines have at most."""
+    def words(x: Column, other: Column) -> Column:
+        return F.when(other, F.octet_length(x)).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
 
-        return F.filter(F.transform(F.slice(ends, 1, F.size(ends) - 1), one), lambda c: c.isNotNull())
+    def own(x: Column, i: Column, other: Column) -> Column:
+        return F.struct(F.xxhash64(_bare(x, i)).alias("h"), words(x, other).alias("n"))
 
-    def both(h: Column) -> Column:
-        return let(rolling(h), lambda r: F.concat(let(ends_of(r, True), lambda e: cut(h, e, 0)), let(ends_of(r, False), lambda e: cut(h, e, 1))))
+    def pairs(a: Column) -> Column:
+        return F.transform(F.slice(a, 2, F.size(a)), lambda x, i: F.struct(
+            i.alias("s"), F.get(a, i)["n"].alias("n"), x["n"].alias("next"), F.xxhash64(F.get(a, i)["h"], x["h"]).alias("hash")))
 
-    return let(F.transform(lines_of(text), lambda x, i: F.xxhash64(_bare(x, i))), both)
+    return let(text.rlike(r"[\x09\x0B-\x0D]"), lambda other: let(F.transform(lines_of(text), lambda x, i: own(x, i, other)), pairs))
 
 
 def _bodies(text: Column, chunks: Column) -> Column:
-    """``chunks`` (structs with s, e and hash) with the bytes of their lines."""
+    """``chunks`` (structs with s and hash) with the bytes of their lines."""
     def body(lines: Column, c: Column) -> Column:
-        own = F.transform(F.slice(lines, c["s"] + 1, c["e"] - c["s"] + 1), lambda x, i: _bare(x, c["s"] + i))
-        return F.struct(c["s"].alias("s"), c["hash"].alias("hash"), F.array_join(own, _CUT).alias("body"))
+        own = F.concat(_bare(F.get(lines, c["s"]), c["s"]), F.lit(_CUT), _bare(F.get(lines, c["s"] + 1), c["s"] + 1))
+        return F.struct(c["s"].alias("s"), c["hash"].alias("hash"), own.alias("body"))
 
     return let(lines_of(text), lambda lines: F.transform(chunks, lambda c: body(lines, c)))
 
 
-def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
     """(doc_id, mark, runs array<struct<s, e>>): the line ranges that repeat earlier ones, merged and in order;
     mark is the text's hash."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     mark = F.xxhash64("text").alias("mark")
     chunks = staged(rows.select("doc_id", mark, F.inline(_chunks(F.col("text")))), folder, "chunks")
     again = staged(chunks.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash"), folder, "again")
-    found = staged(chunks.join(again, "hash", "left_semi"), folder, "found")
+    # only candidates in stretches that may have min_words words; a passage that long is such a stretch at each of its places
+    text = Window.partitionBy("doc_id", "mark").orderBy("s")
+    stretch = Window.partitionBy("doc_id", "mark", "stretch")
+    found = staged(chunks.join(again, "hash", "left_semi").withColumn("new", F.when(F.col("s") <= F.lag("s").over(text) + 1, 0).otherwise(1))
+                   .withColumn("stretch", F.sum("new").over(text))
+                   .withColumn("words", F.sum("n").over(stretch) + F.max("next").over(stretch)).filter(F.col("words") >= min_words)
+                   .select("doc_id", "mark", "s", "hash"), folder, "found")
     # the bytes of the candidates, from the texts that hold some; equal bytes are grouped before they are shuffled
-    per_text = (found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "e", "hash")).alias("chunks"))
+    per_text = (found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "hash")).alias("chunks"))
                 .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "chunks"))
     # only texts with candidates are shuffled
     some = staged(found.select(F.col("mark").alias("_some")).distinct(), folder, "some")
@@ -104,54 +126,13 @@ def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
     stays = staged(first.groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("bodies")), folder, "stays")
     repeats = found.join(stays.filter("bodies = 1"), "hash").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("s") == F.col("first.s"))))
-    spans = repeats.select("doc_id", "mark", "s", "e", "first").distinct()
+    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("s") == F.col("first.s") + 1)
+    spans = repeats.select("doc_id", "mark", F.when(inside, F.col("s") + 1).otherwise(F.col("s")).alias("s"), (F.col("s") + 1).alias("e")).distinct()
     line = Window.partitionBy("doc_id", "mark").orderBy("s", "e")
     far = F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    at = [F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark")]
-    left = F.struct(*at, F.col("first.s").alias("pos"), F.lit(False).alias("after"))
-    right = F.struct(*at, (F.col("first.s") + F.col("e") - F.col("s")).alias("pos"), F.lit(True).alias("after"))
-    runs = staged(spans.withColumn("new", F.when(F.col("s") <= far + 1, 0).otherwise(1))
-                  .withColumn("run", F.sum("new").over(line)).groupBy("doc_id", "mark", "run")
-                  .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by(left, "s").alias("left"), F.max_by(right, "e").alias("right")),
-                  folder, "runs")
-    near = staged(_surroundings(rows.select("doc_id", mark, "text"), runs.select("left.*").union(runs.select("right.*"))), folder, "near")
-    for side in ("left", "right"):
-        n = near.select(F.struct("doc_id", "mark", "pos", "after").alias("_at"), F.col("near").alias(f"{side}_near"))
-        runs = runs.join(n, F.col(side).eqNullSafe(F.col("_at")), "left").drop("_at")
-    return staged(runs.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("s", "e", "left_near", "right_near"))).alias("runs")),
-                  folder, "grown")
-
-
-def _surroundings(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, mark, pos, after, near): up to ``EDGE`` lines before or after line ``pos``, the nearest first."""
-    want = (places.distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("pos", "after")).alias("places"))
-            .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "places"))
-
-    def context(lines: Column, p: Column) -> Column:
-        return F.struct(p["pos"].alias("pos"), p["after"].alias("after"), F.when(p["after"], _next(lines, p["pos"], F.size(lines)))
-                        .otherwise(_previous(lines, p["pos"], F.lit(0))).alias("near"))
-
-    found = texts.join(store.small(want, 128), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    return found.select("doc_id", "mark", F.inline(let(lines_of(F.col("text")), lambda lines: F.transform(
-        "places", lambda p: context(lines, p))))).dropDuplicates(["doc_id", "mark", "pos", "after"])
-
-
-def _previous(lines: Column, s: Column, low: Column) -> Column:
-    """The lines before line s, down to line ``low``, the nearest first."""
-    start = F.greatest(low, s - EDGE)
-    return F.reverse(F.transform(F.slice(lines, start + 1, F.greatest(s - start, F.lit(0))), lambda x, i: _bare(x, start + i)))
-
-
-def _next(lines: Column, e: Column, high: Column) -> Column:
-    """The lines after line e, up to before line ``high``."""
-    return F.transform(F.slice(lines, e + 2, F.greatest(F.least(high - e - 1, F.lit(EDGE)), F.lit(0))), lambda x, i: _bare(x, e + 1 + i))
-
-
-def _alike(a: Column, b: Column) -> Column:
-    """How many leading elements are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, False)
-    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+    return staged(spans.withColumn("new", F.when(F.col("s") <= far, 0).otherwise(1))
+                  .withColumn("run", F.sum("new").over(line)).groupBy("doc_id", "mark", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+                  .groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs")), folder, "runs")
 
 
 def _words(text: Column) -> Column:
@@ -161,22 +142,14 @@ def _words(text: Column) -> Column:
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without repeated runs, with the columns of ``docs`` and _removed (the number of lines gone)."""
     folder = store.scratch(docs.sparkSession, "lines")
-    runs = repeated_runs(docs, folder).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs"))
+    runs = repeated_runs(docs, min_words, folder).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs"))
     text = F.col("text").cast("string")
 
     def piece(lines: Column, s: Column, e: Column) -> Column:
         return F.array_join(F.slice(lines, s + 1, F.greatest(e - s + 1, F.lit(0))), "")
 
-    def grown(lines: Column) -> Column:
-        """Each run with the lines around it that equal those around the first occurrence."""
-        def one(r: Column, k: Column) -> Column:
-            low = F.coalesce(F.get(F.col("_runs"), k - 1)["e"] + 1, F.lit(0))
-            high = F.coalesce(F.get(F.col("_runs"), k + 1)["s"], F.size(lines))
-            back = F.coalesce(_alike(_previous(lines, r["s"], low), r["left_near"]), F.lit(0))
-            on = F.coalesce(_alike(_next(lines, r["e"], high), r["right_near"]), F.lit(0))
-            return F.struct((r["s"] - back).alias("s"), (r["e"] + on).alias("e"))
-
-        return F.filter(F.transform("_runs", one), lambda r: _words(piece(lines, r["s"], r["e"])) >= min_words)
+    def long_runs(lines: Column) -> Column:
+        return F.filter("_runs", lambda r: _words(piece(lines, r["s"], r["e"])) >= min_words)
 
     def rest(lines: Column, cut: Column) -> Column:
         """What is left of the text, and the number of lines gone."""
@@ -193,7 +166,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     here = F.xxhash64(text) == F.col("_some")
     joined = (docs.join(marks, here, "left_semi")
               .join(runs, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left"))
-    done = let(lines_of(text), lambda lines: let(grown(lines), lambda cut: rest(lines, cut)))
+    done = let(lines_of(text), lambda lines: let(long_runs(lines), lambda cut: rest(lines, cut)))
     plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("removed"))
     out = joined.withColumn("_done", F.when(F.col("_runs").isNull(), plain).otherwise(done))
     changed = {"text": F.col("_done.text"), "_removed": F.col("_done.removed")}

@@ -138,3 +138,27 @@ def test_line_dedup_leaves_few_long_repeats(spark):
 
     before, after = shared(df.collect()), shared(out.collect())
     assert before > 0 and after <= 0.03 * before
+
+
+def test_short_passages_in_running_text_go(spark):
+    """Passages of 3 to 8 lines between other lines of the same paragraph."""
+    rng = random.Random(11)
+    rows, planted = [], {}
+    for k, n in enumerate([3, 4, 5, 6, 7, 8] * 3):
+        text = " ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(-(-54 // n))) + rng.choice(".,") for _ in range(n))
+        rows += [(2 * k, filler(100 + 4 * k) + " " + text + " " + filler(101 + 4 * k)),
+                 (2 * k + 1, filler(102 + 4 * k) + " " + text + " " + filler(103 + 4 * k))]
+        planted[2 * k + 1] = filler(102 + 4 * k) + " " + filler(103 + 4 * k)
+    out = {r.doc_id: r.text for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert {i: out[i] for i in planted} == planted
+    assert all(out[i] == t for i, t in rows if i not in planted)
+
+
+def test_passages_of_one_long_line_go(spark):
+    """Whole pieces of a line without marks go, whatever stands around them."""
+    rng = random.Random(12)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
+    rows = [(k, " ".join(f"f{rng.randrange(10**6)}" for _ in range(20)) + " " + text + " " + " ".join(f"f{rng.randrange(10**6)}" for _ in range(20)))
+            for k in range(3)]
+    out = {r.doc_id: r.text for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert out[0] == rows[0][1] and all(len(out[k].split()) <= 40 + 32 for k in (1, 2))
