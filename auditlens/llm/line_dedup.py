@@ -1,6 +1,6 @@
 """Line dedup by pairs of neighbouring lines.
 
-A text is cut into lines: at each newline, and after one of . ? ; and comma before a space (so that
+A text is cut into lines: at each newline, and after one of . ! ? ; : and comma before a space (so that
 a passage pasted into a paragraph also starts and ends at lines). Lines of more than ``LONG`` words are cut further, before
 each word whose hash is the smallest of some ``WINDOW`` words in a row: the same words are cut alike in any surroundings,
 and no piece has more than ``WINDOW`` words.
@@ -31,9 +31,9 @@ MIN_WORDS = 40
 LONG = 16
 WINDOW = 9
 #: A line ends before a newline and between a mark and a space.
-_MARKS = (".", "?", ";", ",")
+_MARKS = (".", "!", "?", ";", ":", ",")
 _CUT = "\x01"
-_CUT_PATTERN = r"(?<=[.?;,])(?= )|(?=\n)"
+_CUT_PATTERN = r"(?<=[.!?;:,])(?= )|(?=\n)"
 _WORD_PATTERN = r"(?=[\x20\x09\x0B-\x0D])"
 
 

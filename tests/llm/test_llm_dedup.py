@@ -4,6 +4,7 @@ import random
 import duckdb
 import pytest
 from conftest import SF001
+from pyspark.sql import functions as F
 
 from auditlens.llm import line_dedup, minhash_dedup, store
 from auditlens.llm.components import components
@@ -141,11 +142,11 @@ def test_line_dedup_leaves_few_long_repeats(spark):
 
 
 def test_short_passages_in_running_text_go(spark):
-    """Passages of 3 to 8 lines between other lines of the same paragraph."""
+    """Passages of 3 to 8 lines, marks of every kind, between other lines of the same paragraph."""
     rng = random.Random(11)
     rows, planted = [], {}
     for k, n in enumerate([3, 4, 5, 6, 7, 8] * 3):
-        text = " ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(-(-54 // n))) + rng.choice(".,") for _ in range(n))
+        text = " ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(-(-54 // n))) + rng.choice(".,!:") for _ in range(n))
         rows += [(2 * k, filler(100 + 4 * k) + " " + text + " " + filler(101 + 4 * k)),
                  (2 * k + 1, filler(102 + 4 * k) + " " + text + " " + filler(103 + 4 * k))]
         planted[2 * k + 1] = filler(102 + 4 * k) + " " + filler(103 + 4 * k)
@@ -162,3 +163,8 @@ def test_passages_of_one_long_line_go(spark):
             for k in range(3)]
     out = {r.doc_id: r.text for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
     assert out[0] == rows[0][1] and all(len(out[k].split()) <= 40 + 32 for k in (1, 2))
+
+
+def test_lines_end_at_every_mark(spark):
+    got = spark.sql("SELECT 'a! b: c, d? e; f. g' AS text").select(line_dedup.lines_of(F.col("text")).alias("x")).head().x
+    assert got == ["a!", " b:", " c,", " d?", " e;", " f.", " g"]
