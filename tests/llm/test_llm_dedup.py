@@ -168,3 +168,24 @@ def test_passages_of_one_long_line_go(spark):
 def test_lines_end_at_every_mark(spark):
     got = spark.sql("SELECT 'a! b: c, d? e; f. g' AS text").select(line_dedup.lines_of(F.col("text")).alias("x")).head().x
     assert got == ["a!", " b:", " c,", " d?", " e;", " f.", " g"]
+
+
+
+def test_long_passages_are_gone_from_the_whole_table(spark):
+    """Maximal passages of 50 words and more that an earlier document holds, each counted once."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = {r.doc_id: (r.text or "").split() for r in line_dedup.remove_repeats(df).collect()}
+
+    def windows(w):
+        return [tuple(w[k:k + 50]) for k in range(len(w) - 49)]
+
+    seen, passages, left = set(), 0, 0
+    for i, text in sorted((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()):
+        own, rest = windows(text.split()), set(windows(out[i]))
+        hit = [x in seen for x in own] + [False]
+        for k, h in enumerate(hit[:-1]):
+            if h and (k == 0 or not hit[k - 1]):
+                passages += 1
+                left += any(x in rest for x in own[k:hit.index(False, k)])
+        seen.update(own)
+    assert passages > 100 and left <= 0.03 * passages
