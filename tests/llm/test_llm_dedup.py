@@ -170,6 +170,15 @@ def test_lines_end_at_every_mark(spark):
     assert got == ["a!", " b:", " c,", " d?", " e;", " f.", " g"]
 
 
+def test_flat_stretches_at_the_ends_go(spark, passage):
+    """More equal lines than any fixed reach at both ends of a repeated passage."""
+    flat = "\n".join(["| 0 | 0 |"] * 40)
+    rows = [(1, filler(1) + "\n" + flat + "\n" + passage + "\n" + flat + "\n" + filler(2)),
+            (2, filler(3) + "\n" + flat + "\n" + passage + "\n" + flat + "\n" + filler(4))]
+    out = {r.doc_id: r.text for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert out[2] == filler(3) + "\n" + filler(4)
+    assert passage in out[1] and "| 0 | 0 |\n| 0 | 0 |" in out[1]
+
 
 def test_long_passages_are_gone_from_the_whole_table(spark):
     """Maximal passages of 50 words and more that an earlier document holds, each counted once."""
