@@ -9,7 +9,7 @@ Everything else covers all rows and whole texts (long ones pass through in slice
 
 Defined results: a text that is NULL or has no letter gives ``und`` with score 0; so does every text when
 nothing can be learnt (no row with text and lang). Rows with a NULL lang are scored but not learnt from.
-The ``max_classes`` most frequent languages are learnt (ties by name). A tie between classes goes to the
+Every language is learnt; more than ``max_classes`` of them are an error, none is left out. A tie between classes goes to the
 first by name. Repeated rows are each scored; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -98,9 +98,11 @@ def train(docs: DataFrame, folds: int = 3, held_out: int = 1, fit_rows: int = 60
     rows = (docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang"))
             .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (store.fold("id", folds) != held_out)))
-    langs = (rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_classes).collect())
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_classes + 1).collect()
     if not langs:
         return None
+    if len(langs) > max_classes:
+        raise ValueError(f"more than {max_classes} languages to learn: raise max_classes (memory grows with it)")
     names = sorted(r["lang"] for r in langs)
     seen = {r["lang"]: r["n"] for r in langs}
     found = (rows.select("text").mapInArrow(lambda bs: _document_frequencies(bs, features), "slot long, n long")

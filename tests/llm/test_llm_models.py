@@ -132,3 +132,10 @@ def test_words_split_on_ascii_space_only():
     counts, codes, vocab = words.split_words(pa.array(texts), lower=True)
     flat = [w for t in texts for w in (t or "").encode().lower().split()]
     assert counts.tolist() == [3, 0, 0, 0, 1] and [vocab[int(c)].as_py().encode() for c in codes] == flat
+
+
+def test_more_languages_than_classes_fail(spark):
+    df = spark.createDataFrame([(k, f"text of {lang}", lang) for k, lang in enumerate(["aa", "bb", "cc"] * 6)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.train(df, max_classes=2)
+    assert language_id.train(df, max_classes=3)[0] == ["aa", "bb", "cc"]
