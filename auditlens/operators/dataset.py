@@ -22,6 +22,15 @@ from auditlens.functions.text import blank_to_null, blank_to_null_named, clean_i
 from auditlens.sources.columns import require, resolve_column
 
 
+#: Per input, the headers that name the same column (files of one folder may use different ones).
+_CALLS = [K.CALL_JSON_ALIASES, K.INFERRED_ALIASES]
+ALIASES = {
+    "calls": [K.ID_ALIASES, *_CALLS],
+    "call_jsons": [K.CALL_JSONS_ID_ALIASES, *_CALLS],
+    "manual": [K.ID_ALIASES, K.TRANSCRIPT_ALIASES, K.TYPE_ALIASES, K.MANUAL_INFERRED_COLUMNS, *K.EXPECTED_OUTPUT_FIELDS.values()],
+}
+
+
 def _norm(c) -> Column:
     return blank_to_null(c, K.NULLS_DATASET)
 

@@ -94,20 +94,21 @@ def last_hits(placed: DataFrame) -> DataFrame:
     return last.filter(F.col("label").isNotNull())
 
 
-def cell_values(placed: DataFrame, images: DataFrame) -> DataFrame:
+def cell_values(placed: DataFrame, images: DataFrame, ai_default: str | None = K.CORRECT) -> DataFrame:
     """One row per image: the latest badge in each (section, field) cell.
 
     Two small aggregates instead of 24 conditional ones: the last label per
     cell (``max_by``, combines map-side), then one map per image built from at
     most 24 cells - its size is bounded by the grid, not by the data.
-    Manual cells default to NULL, AI cells to 'Correct' (no detection = correct).
+    Manual cells default to NULL, AI cells to ``ai_default`` (no detection = correct); with None
+    an AI cell without a detection is NULL and its field is not compared.
     """
     last = last_hits(placed)
     per_image = last.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat(F.col("section"), F.lit("__"), F.col("field")), F.col("label")))).alias("_cells"))
     out = images.select("image_id").join(per_image, "image_id", "left")
     return out.select("image_id", *[F.col("_cells")[f"manual__{f}"].alias(f"m__{f}") for f in K.FIELDS],
-                      *[F.coalesce(F.col("_cells")[f"ai__{f}"], F.lit(K.CORRECT)).alias(f"a__{f}")
+                      *[F.coalesce(F.col("_cells")[f"ai__{f}"], F.lit(ai_default).cast("string")).alias(f"a__{f}")
                         for f in K.FIELDS])
 
 
@@ -125,7 +126,7 @@ def compare_screens(cells: DataFrame, headers: DataFrame) -> DataFrame:
         if f in K.AUDITED_FIELDS:
             m = blank_to_null(F.col(f"m__{f}"), K.NULLS_SCREEN)
             man = F.when(F.col("has_manual"), F.coalesce(m, ai))
-            match = F.when(F.col("has_manual"), F.when(m.isNull(), F.lit(1)).otherwise(label_match(m, ai, canonical=True)))
+            match = F.when(F.col("has_manual") & ai.isNotNull(), F.when(m.isNull(), F.lit(1)).otherwise(label_match(m, ai, canonical=True)))
         else:
             man = F.lit(None).cast("string")
             match = F.lit(None).cast("int")

@@ -22,12 +22,18 @@ SUMMARY_COLUMNS = ["field_pos", "field_name", "cumulative_correct", "correct", "
                    "n_defaulted", "average"]
 
 
+#: Column of ``read_audits``: which canonical names the row's own file has a column for.
+HAS = "_has"
+
+
 def verdict_filter(df: DataFrame, verdict_col: str | None = None) -> DataFrame:
-    """Keep rows whose verdict is yes/no (any case, stripped); no verdict column -> no filter."""
+    """Keep rows whose verdict is yes/no (any case, stripped); no verdict column, in the table or in the
+    row's own file -> no filter."""
     verdict_col = verdict_col or find_verdict_column(df.columns)
     if verdict_col is None:
         return df
-    return df.filter(F.lower(py_strip(F.col(verdict_col))).isin("yes", "no"))
+    keep = F.lower(py_strip(F.col(verdict_col))).isin("yes", "no")
+    return df.filter(keep | ~F.col(HAS)["verdict"]) if HAS in df.columns else df.filter(keep)
 
 
 def field_summary(df: DataFrame, mapping: dict, unknown_label: str | None = K.CORRECT) -> DataFrame:
@@ -38,7 +44,7 @@ def field_summary(df: DataFrame, mapping: dict, unknown_label: str | None = K.CO
     values cost nothing extra - and only the distinct texts are normalised.
     Labels are categorical, so this turns millions of regex-free-but-wide label
     evaluations into a handful per task; it stays exact for any input.
-    A field without a mapped column reports zero rows.
+    A field without a mapped column, in the table or in the row's own file, reports zero rows.
     """
     mapped = [(i + 1, mapping[f]) for i, f in enumerate(K.FIELDS)
               if mapping.get(f) is not None and mapping[f] in df.columns]
@@ -46,9 +52,11 @@ def field_summary(df: DataFrame, mapping: dict, unknown_label: str | None = K.CO
     zeros = spark.createDataFrame([(i + 1, None, 0) for i in range(len(K.FIELDS))],
                                   "field_pos int, raw string, n long")
     if mapped:
-        pairs = F.array(*[F.struct(F.lit(pos).alias("field_pos"), F.col(src).cast("string").alias("raw"))
-                          for pos, src in mapped])
-        counted = (df.select(F.inline(pairs)).groupBy("field_pos", "raw")
+        has = [[F.col(HAS)[K.FIELDS[pos - 1]].alias("has")] if HAS in df.columns else [] for pos, _ in mapped]
+        pairs = F.array(*[F.struct(F.lit(pos).alias("field_pos"), F.col(src).cast("string").alias("raw"), *h)
+                          for (pos, src), h in zip(mapped, has)])
+        texts = df.select(F.inline(pairs))
+        counted = ((texts.filter("has") if HAS in df.columns else texts).groupBy("field_pos", "raw")
                    .agg(F.count(F.lit(1)).alias("n")))
     else:
         counted = zeros.limit(0)
@@ -85,11 +93,16 @@ def overall_accuracy(summary: DataFrame) -> DataFrame:
                F.col("total_correct") / F.col("total_calls_fields")).otherwise(F.lit(0.0)))
 
 
+def with_overall_line(overall: DataFrame) -> DataFrame:
+    """``overall`` with the human-readable line that closes a summary table (an empty one has zeros)."""
+    correct, total = (F.coalesce(F.col(c), F.lit(0)) for c in ("total_correct", "total_calls_fields"))
+    return overall.withColumn("overall_line", F.format_string(
+        "Total correct = %d Total calls fields = %d , overall accuracy = %d/%d", correct, total, correct, total))
+
+
 def overall_label(overall: DataFrame) -> DataFrame:
-    """Human-readable overall line for a summary table."""
-    return overall.select(F.format_string(
-        "Total correct = %d Total calls fields = %d , overall accuracy = %d/%d",
-        "total_correct", "total_calls_fields", "total_correct", "total_calls_fields").alias("overall_line"))
+    """The closing line alone."""
+    return with_overall_line(overall).select("overall_line")
 
 
 def verdict_counts(df: DataFrame, verdict_col: str | None = None) -> DataFrame:

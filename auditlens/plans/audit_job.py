@@ -1,7 +1,7 @@
 """Audit comparison job: manual vs AI audit tables -> report tables.
 
-Inputs are two raw audit tables (any header spelling) with a ``_seq`` column
-giving input order. ``AuditReport`` builds each report DataFrame only when it
+Inputs are two audit tables with a ``_seq`` column giving input order: raw ones (one header each,
+any spelling) or the rows of ``read_audits`` (files of several spellings). ``AuditReport`` builds each report DataFrame only when it
 is asked for; nothing is collected. Six reports read the paired comparison, so
 a job that writes several of them materialises it once and hands it back with
 ``use_comparison`` (``plans/jobs.run_audit`` does this).
@@ -32,9 +32,10 @@ class AuditInputs:
 
 
 def prepare(manual: DataFrame, ai: DataFrame) -> AuditInputs:
-    """Verdict filter, header mapping and NULL-id drop for both sides."""
-    mv, av = find_verdict_column(manual.columns), find_verdict_column(ai.columns)
-    m_map, a_map = map_columns(manual.columns), map_columns(ai.columns)
+    """Verdict filter, header mapping and NULL-id drop for both sides. A table of ``read_audits`` has its
+    columns resolved file by file already."""
+    mv, av = (find_verdict_column(t.columns) for t in (manual, ai))
+    m_map, a_map = (_own_names() if S.HAS in t.columns else map_columns(t.columns) for t in (manual, ai))
     if not m_map["call_id"] or not a_map["call_id"]:
         raise ValueError("could not map the call id column in one or both audit tables")
     m = S.verdict_filter(manual, mv).filter(F.col(m_map["call_id"]).isNotNull())
@@ -42,6 +43,10 @@ def prepare(manual: DataFrame, ai: DataFrame) -> AuditInputs:
     return AuditInputs(m, a, m_map, a_map, mv, av)
 
 
+def _own_names() -> dict[str, str]:
+    return {name: name for name in ("call_id", "auditor", *K.FIELDS)}
+
+
 def summaries(inp: AuditInputs, unknown_label=K.CORRECT) -> dict[str, DataFrame]:
     manual_ids = inp.manual.select(call_id_before_dot(F.col(inp.manual_map["call_id"])).alias("call_id"))
     ai_matched = C.matched_ids_semi(inp.ai, inp.ai_map["call_id"], manual_ids)
@@ -119,7 +124,7 @@ class AuditReport:
         if name in sides:
             return self.summary(sides[name])
         if name == "overall":
-            parts = [S.overall_accuracy(self.summary(s)).withColumn("side", F.lit(s))
+            parts = [S.with_overall_line(S.overall_accuracy(self.summary(s))).withColumn("side", F.lit(s))
                      for s in ("ai", "manual", "ai_matched")]
             return parts[0].unionByName(parts[1]).unionByName(parts[2])
         if name == "overview":

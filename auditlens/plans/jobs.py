@@ -3,7 +3,7 @@
 Every job stages the CSV inputs that it reads more than once to Parquet inside its
 new version folder (``multiLine`` CSV is not splittable, and the staged table cuts
 lineage for the several reports that read it), then writes each report table under
-``<out>/v=N/<table>``. Nothing is collected to the driver.
+``<out>/v=N/<table>``. The driver sees the distinct header rows and a percentile's brackets, never data rows.
 
     python -m auditlens.plans.jobs audit --manual m.csv --ai a.csv --out reports/audit
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from auditlens.operators import health as H
 from auditlens.operators import layout as LY
 from auditlens.operators import restore as R
 from auditlens.plans import audit_job as AJ
+from auditlens.sources.audits import default_inputs, read_audits
 from auditlens.sources.csv import read_csv
 from auditlens.sources.files import load_template
 from auditlens.sources.sinks import next_version, write_metrics, write_table
@@ -48,13 +50,17 @@ def _write_all(tables: dict[str, DataFrame], out: str, fmt: str) -> str:
 
 def run_audit(spark, manual_path, ai_path, out_base, fmt="parquet", blank_policy="match",
               unknown_label=K.CORRECT) -> str:
+    """Report tables of two sets of audit files, whose headers may differ from file to file, with the intake's own
+    tables: ``header_map``, ``rejects`` (records that no column can take) and ``intake`` (records, good and rejected per file)."""
     out = next_version(spark, out_base)
-    manual = _stage(spark, read_csv(spark, manual_path), f"{out}/_staged/manual")
-    ai = _stage(spark, read_csv(spark, ai_path), f"{out}/_staged/ai")
-    rep = AJ.AuditReport(manual, ai, blank_policy, unknown_label)
+    sides = {"manual": read_audits(spark, manual_path), "ai": read_audits(spark, ai_path)}
+    staged = {side: _stage(spark, files.rows, f"{out}/_staged/{side}") for side, files in sides.items()}
+    rep = AJ.AuditReport(staged["manual"], staged["ai"], blank_policy, unknown_label)
     # six report tables read the comparison: materialise it once (also cuts lineage)
     rep.use_comparison(_stage(spark, rep.comparison, f"{out}/_staged/comparison"))
-    return _write_all({n: rep.table(n) for n in AJ.REPORT_TABLES if n != "comparison"}, out, fmt)
+    intake = {name: reduce(DataFrame.unionByName, [getattr(files, of).withColumn("side", F.lit(side)) for side, files in sides.items()])
+              for name, of in (("header_map", "header_map"), ("rejects", "rejects"), ("intake", "counts"))}
+    return _write_all({n: rep.table(n) for n in AJ.REPORT_TABLES if n != "comparison"} | intake, out, fmt)
 
 
 def run_restore(spark, calls_path, audit_path, out_base) -> str:
@@ -70,7 +76,7 @@ def run_restore(spark, calls_path, audit_path, out_base) -> str:
 
 def run_dataset(spark, calls_path, manual_path, call_jsons_path, out_base, json_style="pretty") -> str:
     out = next_version(spark, out_base)
-    src = DS.DatasetSources(*(_stage(spark, read_csv(spark, path), f"{out}/_staged/{name}") for name, path in (
+    src = DS.DatasetSources(*(_stage(spark, read_csv(spark, path, unify=DS.ALIASES[name]), f"{out}/_staged/{name}") for name, path in (
         ("calls", calls_path), ("manual", manual_path), ("call_jsons", call_jsons_path))))
     classified = _stage(spark, DS.classify(src), f"{out}/_staged/classified")
     write_table(DS.accepted(classified, json_style).orderBy("call_id").drop("call_id"), f"{out}/dataset", "csv")
@@ -151,8 +157,8 @@ def main(argv=None):
     p = argparse.ArgumentParser(prog="auditlens")
     sub = p.add_subparsers(dest="job", required=True)
     a = sub.add_parser("audit")
-    a.add_argument("--manual", required=True)
-    a.add_argument("--ai", required=True)
+    a.add_argument("--manual", help="audit CSV file or folder; default: input/Manual Audits.csv")
+    a.add_argument("--ai", help="audit CSV file or folder; default: input/AI Audits.csv")
     a.add_argument("--out", required=True)
     a.add_argument("--format", default="parquet")
     a.add_argument("--blank-policy", default="match", choices=["match", "exclude"])
@@ -177,7 +183,8 @@ def main(argv=None):
     args = p.parse_args(argv)
     spark = get_session(app=f"auditlens-{args.job}")
     if args.job == "audit":
-        print(run_audit(spark, args.manual, args.ai, args.out, args.format, args.blank_policy))
+        manual, ai = default_inputs(spark, args.manual, args.ai)
+        print(run_audit(spark, manual, ai, args.out, args.format, args.blank_policy))
     elif args.job == "restore":
         print(run_restore(spark, args.calls, args.audit, args.out))
     elif args.job == "dataset":

@@ -87,16 +87,23 @@ def summary_sql(side: str) -> str:
     else:
         base = (f"SELECT * FROM ({_filtered(ai_src())}) a WHERE {cid('a.call_id_raw')} IN "
                 f"(SELECT {cid('call_id_raw')} FROM ({_filtered(manual_src())}))")
+    return summary_of(base)
+
+
+def summary_of(base: str, only: dict[int, str] | None = None) -> str:
+    """The label summary of the rows of ``base``; ``only[i]``: which rows count for field i."""
+    only = only or {}
     norm_cols = ", ".join(f"{norm(f'f{i}')} AS v{i}, ({'NOT ' + blank(f'f{i}')} AND ({badge(f'f{i}')}) IS NULL) AS d{i}"
                           for i in range(12))
     parts = []
     for i, f in enumerate(K.FIELDS):
-        counts = ", ".join(f"count(*) FILTER (WHERE v{i} = {q(label)}) AS {short}"
+        here = only.get(i, "true")
+        counts = ", ".join(f"count(*) FILTER (WHERE v{i} = {q(label)} AND {here}) AS {short}"
                            for short, label in K.SUMMARY_LABEL_COLUMNS)
         parts.append(f"SELECT {i + 1} AS field_pos, {q(K.FIELD_DISPLAY[f])} AS field_name, {counts}, "
-                     f"count(*) FILTER (WHERE d{i}) AS n_defaulted FROM n")
+                     f"count(*) FILTER (WHERE d{i} AND {here}) AS n_defaulted FROM n")
     body = " UNION ALL ".join(parts)
-    return (f"WITH n AS (SELECT {norm_cols} FROM ({base})), s AS ({body}) "
+    return (f"WITH n AS (SELECT *, {norm_cols} FROM ({base})), s AS ({body}) "
             "SELECT field_pos, field_name, correct + correct_nd + inferred AS cumulative_correct, correct, "
             "correct_nd, inferred, missing, incorrect, hallucination, "
             "correct + correct_nd + inferred + missing + incorrect + hallucination AS total_calls, n_defaulted, "
@@ -112,7 +119,10 @@ def overall_sql() -> str:
             f"SELECT CAST(sum(cumulative_correct) AS BIGINT) AS total_correct, "
             f"CAST(sum(total_calls) AS BIGINT) AS total_calls_fields, "
             f"CASE WHEN sum(total_calls) > 0 THEN CAST(sum(cumulative_correct) AS DOUBLE) / CAST(sum(total_calls) AS DOUBLE) "
-            f"ELSE 0.0 END AS overall_accuracy, {q(side)} AS side FROM ({summary_sql(side)})")
+            f"ELSE 0.0 END AS overall_accuracy, {q(side)} AS side, "
+            "format('Total correct = {} Total calls fields = {} , overall accuracy = {}/{}', CAST(sum(cumulative_correct) AS BIGINT), "
+            "CAST(sum(total_calls) AS BIGINT), CAST(sum(cumulative_correct) AS BIGINT), CAST(sum(total_calls) AS BIGINT)) AS overall_line "
+            f"FROM ({summary_sql(side)})")
     return " UNION ALL ".join(parts)
 
 

@@ -21,6 +21,7 @@ from auditlens.operators import incremental as INC
 from auditlens.operators import restore as R
 from auditlens.plans import audit_job as AJ
 from auditlens.plans import driver_tables as D
+from auditlens.plans import intake as IN
 from auditlens.plans import oracle as O
 
 
@@ -340,6 +341,7 @@ QUERIES = {
     "benchmark_summary": benchmark_summary,
     "inferred_details": inferred_details,
     "doc_label_agreement": doc_label_agreement,
+    **IN.QUERIES,
 }
 
 
@@ -388,4 +390,5 @@ def oracle_sql() -> dict[str, str]:
         "benchmark_summary": O.benchmark_summary_sql(),
         "inferred_details": O.inferred_details_sql(),
         "doc_label_agreement": O.doc_label_agreement_sql(),
+        **{name: sql() for name, sql in IN.ORACLE.items()},
     }
