@@ -9,8 +9,9 @@
    visit in which each true neighbour is met; visits widen until the mean recall reaches ``RECALL``.
 4. Every query visits that many leaves by its own priority queue, and more until they hold k other rows. Its visits meet the
    blocks by key; a block's products come from one matrix product, and every pair within its rounding error of the k-th best is
-   summed again component by component, so equal vectors get equal scores. k rows per visit go on; the last k are picked by a window whose
-   limit also applies before the shuffle.
+   summed again component by component, so equal vectors get equal scores. The square root of the visits come first: their k-th best
+   score bounds what the other visits send on, so pairs do not grow with queries times visits. The last k are picked by a window
+   whose limit also applies before the shuffle.
 
 Defined results: vectors that are NULL, empty, zero, or hold NULL or non-finite components take no part, as do rows with a NULL
 vec_id and vectors of another than the most frequent length (ties: the shorter). Of rows that repeat a vec_id the one with the smallest
@@ -137,8 +138,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score): each query's k best candidates of other ids, ties to smaller ids.
+def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score): each query's k best candidates of other ids, ties to smaller ids; with
+    ``floor``, a score per query, only candidates that reach it.
 
     A matrix product picks all that may be among them; their scores are sums in component order.
     """
@@ -149,18 +151,19 @@ def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k:
         part = q[s:s + step]
         near = part @ v.T
         near[q_ids[s:s + step, None] == v_ids[None, :]] = -np.inf
-        if len(v) > k:
-            least = np.partition(near, len(v) - k, axis=1)[:, len(v) - k] - 2 * slack * np.sqrt((part ** 2).sum(axis=1))
-        else:
-            least = np.full(len(part), -np.inf)
+        least = np.partition(near, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(part), -np.inf)
+        if floor is not None:
+            least = np.maximum(least, floor[s:s + step])
+        least = least - 2 * slack * np.sqrt((part ** 2).sum(axis=1))
         row, col = np.nonzero((near >= least[:, None]) & (near > -np.inf))
         score = np.zeros(len(row))
         for d in range(v.shape[1]):
             score += part[row, d] * v[col, d]
         order = np.lexsort((v_ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < k
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        if floor is not None:
+            keep &= score >= floor[row + s]
         out.append((row[keep] + s, col[keep], score[keep]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
@@ -187,7 +190,7 @@ def _block_task(k: int):
         q_ids, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         if len(q_ids) and len(ids):
             q, v = (_matrix(t.column("v").combine_chunks()) for t in (left, right))
-            row, col, score = best(q, q_ids, v, ids, k)
+            row, col, score = best(q, q_ids, v, ids, k, left.column("floor").to_numpy())
         else:
             row, col, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         return pa.table({"query_id": pa.array(q_ids[row]), "vec_id": pa.array(ids[col]), "score": pa.array(score)})
@@ -250,29 +253,42 @@ def calibrate(index: Index, queries: DataFrame, k: int = K, recall: float = RECA
     return visits
 
 
-def search(index: Index, queries: DataFrame, visits: int, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest that each query's first ``visits`` leaves hold."""
+def _visited(index: Index, queries: DataFrame, after: int, visits: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the pairs of each query (vec_id, v, floor) and the leaves that it visits after the
+    first ``after``, up to ``visits`` and until all its visits hold k other rows."""
     tree, size, blocks = index.tree, index.size, index.blocks
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, leaf, block = [], [], []
             for i, q in enumerate(_matrix(b.column("v"))):
-                held = 0
+                held, fresh = 0, after == 0
                 for n, at in enumerate(tree.visits(q), 1):
                     held += size[at]
-                    row += [i] * blocks[at]
-                    leaf += [at] * blocks[at]
-                    block += range(blocks[at])
+                    if fresh:
+                        row += [i] * blocks[at]
+                        leaf += [at] * blocks[at]
+                        block += range(blocks[at])
                     if n >= visits and held > k:
                         break
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(row, pa.int64())), b.column("v").take(pa.array(row, pa.int64())),
-                                              pa.array(leaf, pa.int64()), pa.array(block, pa.int32())], ["vec_id", "v", "leaf", "block"])
+                    fresh = fresh or (n >= after and held > k)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("vec_id", "v", "floor")), pa.array(leaf, pa.int64()), pa.array(block, pa.int32())],
+                                             ["vec_id", "v", "floor", "leaf", "block"])
+
+    asked = queries.select("vec_id", "v", "floor").mapInArrow(plan, "vec_id long, v array<double>, floor double, leaf long, block int")
+    return (asked.groupBy("leaf", "block").cogroup(index.rows.select("vec_id", "v", "leaf", "block").groupBy("leaf", "block"))
+            .applyInArrow(_block_task(k), "query_id long, vec_id long, score double"))
 
-    asked = queries.select("vec_id", "v").mapInArrow(plan, "vec_id long, v array<double>, leaf long, block int")
-    pairs = (asked.groupBy("leaf", "block").cogroup(index.rows.select("vec_id", "v", "leaf", "block").groupBy("leaf", "block"))
-             .applyInArrow(_block_task(k), "query_id long, vec_id long, score double"))
-    return _top(pairs, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+def search(index: Index, queries: DataFrame, visits: int, folder: str, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest that each query's first ``visits`` leaves hold."""
+    few = math.isqrt(visits)
+    first = staged(_top(_visited(index, queries.withColumn("floor", F.lit(float("-inf"))), 0, few, k), k).drop("rank"), folder, "first")
+    full = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k)
+    bounded = queries.join(full.drop("n"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    more = _visited(index, bounded, few, visits, k)
+    return _top(first.unionByName(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = RECALL) -> DataFrame:
@@ -283,7 +299,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float =
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = index.rows.filter(F.col("vec_id") % every == 0)
-    return search(index, queries, calibrate(index, queries, k, recall), k)
+    return search(index, queries, calibrate(index, queries, k, recall), folder, k)
 
 
 def op12_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
