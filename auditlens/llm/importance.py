@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlens.llm import store, words
+from auditlens.llm.store import staged
 from auditlens.operators.numbering import dense_numbers
 
 BUCKETS = 10_000
@@ -187,12 +188,13 @@ def resample(docs: DataFrame, target: DataFrame, per_cent: int = DRAW_PER_CENT,
     table = gains(docs, target, buckets, runs).toPandas()
     gain_of = np.zeros(buckets, np.int64)
     gain_of[table["bucket"].to_numpy()] = table["gain"].to_numpy()
-    rows = weigh(docs, gain_of, runs).select(
+    # written first: the sampling of range bounds would read the texts once more
+    rows = staged(weigh(docs, gain_of, runs).select(
         "doc_id", "n_features", "weight", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score"),
-        (F.col("n_words") >= min_words).alias("able"))
+        (F.col("n_words") >= min_words).alias("able")), folder, "weights")
     order = [F.col("able").desc(), F.col("score").desc(), F.col("doc_id").asc(), F.col("weight").asc(), F.col("n_features").asc()]
     numbered = dense_numbers(rows, order, f"{folder}/scores", "rank", start=1)
-    able = docs.sparkSession.read.parquet(f"{folder}/scores").filter("able").count()
+    able = rows.filter("able").count()
     drawn = F.col("able") & (F.col("rank") <= per_cent * able // 100)
     return numbered.select("doc_id", "n_features", "weight", "score", F.when(drawn, F.col("rank")).alias("rank"))
 
