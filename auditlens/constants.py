@@ -137,6 +137,7 @@ ERROR_CLASS_DEFAULT = "Unknown"
 ERROR_TEXT_LIMIT = 500
 
 # --- FIXED VALUES: prompt benchmark ----------------------------------------
+MAX_WORKERS = 8
 RETRY_STATUS_CODES = [429, 500, 502, 503, 504]
 RETRY_ATTEMPTS = 3
 RETRY_BACKOFF_SECONDS = 2

@@ -116,10 +116,10 @@ def band(acc) -> F.Column:
             .when(acc < K.BAND_YELLOW_MIN, F.lit("red")))
 
 
-def summary_statistics(cmp: DataFrame) -> DataFrame:
-    """Per field: label counts of the (imputed) manual values, matched calls, accuracy, band.
+def statistics_counts(cmp: DataFrame) -> DataFrame:
+    """Per field: label counts of the (imputed) manual values, matched, compared, imputed and all calls.
 
-    One global aggregate over the comparison, unpacked to 12 rows.
+    One global aggregate over the comparison, unpacked to 12 rows. The counts of separate sets of calls add up.
     """
     # ~110 aggregates and a 12-row unpivot: each sent as one SQL expression
     def q(v):
@@ -139,14 +139,23 @@ def summary_statistics(cmp: DataFrame) -> DataFrame:
         parts += [f"'matched_calls', `{f}__matched`", f"'compared_calls', `{f}__compared`",
                   f"'n_imputed', `{f}__imputed`", "'total_calls', n_calls"]
         structs.append("named_struct(" + ", ".join(parts) + ")")
-    long = wide.select(F.expr("inline(array(" + ", ".join(structs) + "))"))
+    return wide.select(F.expr("inline(array(" + ", ".join(structs) + "))"))
+
+
+def with_rates(counts: DataFrame) -> DataFrame:
+    """``statistics_counts`` with cumulative_correct, accuracy and its band."""
     acc = F.when(F.col("compared_calls") > 0, F.col("matched_calls") / F.col("compared_calls") * 100.0) \
         .otherwise(F.lit(0.0))
-    return (long.withColumn("cumulative_correct", F.col("correct") + F.col("correct_nd") + F.col("inferred"))
+    return (counts.withColumn("cumulative_correct", F.col("correct") + F.col("correct_nd") + F.col("inferred"))
             .withColumn("accuracy", acc)
             .withColumn("band", band(F.col("accuracy"))))
 
 
+def summary_statistics(cmp: DataFrame) -> DataFrame:
+    """Per field: label counts of the (imputed) manual values, matched calls, accuracy, band."""
+    return with_rates(statistics_counts(cmp))
+
+
 def comparison_totals(cmp: DataFrame) -> DataFrame:
     """Matched calls, total and matched fields, micro accuracy (percent)."""
     out = cmp.agg(F.count(F.lit(1)).alias("matched_calls"),

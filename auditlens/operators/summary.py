@@ -73,10 +73,14 @@ def field_summary(df: DataFrame, mapping: dict, unknown_label: str | None = K.CO
                                                    F.lit(False).alias("dflt")))
                  .groupBy("field_pos").agg(*sums))
     names = F.element_at(F.array(*[F.lit(K.FIELD_DISPLAY[f]) for f in K.FIELDS]), F.col("field_pos"))
+    return with_average(per_field.withColumn("field_name", names))
+
+
+def with_average(counts: DataFrame) -> DataFrame:
+    """Label counts per field with their sums and the share of correct ones."""
     cum = F.col("correct") + F.col("correct_nd") + F.col("inferred")
     total = cum + F.col("missing") + F.col("incorrect") + F.col("hallucination")
-    return (per_field.withColumn("field_name", names)
-            .withColumn("cumulative_correct", cum)
+    return (counts.withColumn("cumulative_correct", cum)
             .withColumn("total_calls", total)
             .withColumn("average", F.when(total > 0, cum / total).otherwise(F.lit(0.0)))
             .select(*SUMMARY_COLUMNS))

@@ -335,7 +335,7 @@ def percent_text_sql() -> str:
 
 
 # --- prompt benchmark statistics ------------------------------------------------------
-def _responses() -> str:
+def responses() -> str:
     return (
         "r0 AS (SELECT event_id // 5 AS row_id, "
         f"{pick(D.MODEL_IDS, 'event_id')} AS model, event_type <> 'error' AS ok, "
@@ -355,13 +355,13 @@ def _responses() -> str:
 
 
 def response_cost_sql() -> str:
-    return f"WITH {_responses()} SELECT row_id, model, prompt_tokens, completion_tokens, round(cost, 12) AS cost FROM rc"
+    return f"WITH {responses()} SELECT row_id, model, prompt_tokens, completion_tokens, round(cost, 12) AS cost FROM rc"
 
 
 def model_stats_sql() -> str:
     def mean_ok(c):
         return f"round(coalesce(avg({c}) FILTER (WHERE status = 'Success'), 0.0), 6)"
-    return (f"WITH {_responses()} SELECT model, count(*) AS requests, "
+    return (f"WITH {responses()} SELECT model, count(*) AS requests, "
             "count(*) FILTER (WHERE status = 'Success') AS success, count(*) FILTER (WHERE status <> 'Success') AS failed, "
             "round(coalesce(avg(latency), 0.0), 6) AS avg_latency, round(coalesce(min(latency), 0.0), 6) AS min_latency, "
             "round(coalesce(max(latency), 0.0), 6) AS max_latency, "
@@ -372,13 +372,13 @@ def model_stats_sql() -> str:
 
 
 def run_totals_sql() -> str:
-    return (f"WITH {_responses()} SELECT count(*) FILTER (WHERE status = 'Success') AS successful_requests, "
+    return (f"WITH {responses()} SELECT count(*) FILTER (WHERE status = 'Success') AS successful_requests, "
             "count(*) FILTER (WHERE status <> 'Success') AS failed_requests FROM rc")
 
 
 def response_pivot_sql() -> str:
     cols = ", ".join(f"coalesce(max(response) FILTER (WHERE model = {q(m)}), 'ERROR') AS \"{m}\"" for m in D.MODEL_IDS)
-    return f"WITH {_responses()} SELECT row_id, {cols} FROM rc GROUP BY row_id"
+    return f"WITH {responses()} SELECT row_id, {cols} FROM rc GROUP BY row_id"
 
 
 # --- dataset build ------------------------------------------------------------------
@@ -607,7 +607,7 @@ def screen_overall_sql() -> str:
 def benchmark_comparison_sql() -> str:
     models = [*D.MODEL_IDS, D.ABSENT_MODEL]
     cols = ", ".join(f"coalesce(max(response) FILTER (WHERE model = {q(m)}), 'ERROR') AS \"{m}\"" for m in models)
-    return (f"WITH {_responses()} SELECT e.event_id AS row_id, e.event_type, {cols} FROM events e "
+    return (f"WITH {responses()} SELECT e.event_id AS row_id, e.event_type, {cols} FROM events e "
             "LEFT JOIN rc ON rc.row_id = e.event_id GROUP BY 1, 2")
 
 

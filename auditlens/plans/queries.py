@@ -18,9 +18,11 @@ from auditlens.operators import fanout as FO
 from auditlens.operators import health as H
 from auditlens.operators import layout as LY
 from auditlens.operators import incremental as INC
+from auditlens.operators.hash_store import HashStore
 from auditlens.operators import restore as R
 from auditlens.plans import audit_job as AJ
 from auditlens.plans import driver_tables as D
+from auditlens.plans import growing as GR
 from auditlens.plans import intake as IN
 from auditlens.plans import oracle as O
 
@@ -150,7 +152,9 @@ def badge_documents(spark, sf_dir):
 def hash_new_only(spark, sf_dir):
     docs = INC.with_content_hash(D.read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     known = docs.join(D.read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return INC.new_only(docs, known).select("doc_id", "content_hash")
+    store = HashStore(spark, IN.scratch(spark, "hashes"))
+    store.append(known.select("content_hash").distinct())
+    return store.new_only(docs).select("doc_id", "content_hash")
 
 
 def percent_text(spark, sf_dir):
@@ -342,6 +346,7 @@ QUERIES = {
     "inferred_details": inferred_details,
     "doc_label_agreement": doc_label_agreement,
     **IN.QUERIES,
+    **GR.QUERIES,
 }
 
 
@@ -390,5 +395,5 @@ def oracle_sql() -> dict[str, str]:
         "benchmark_summary": O.benchmark_summary_sql(),
         "inferred_details": O.inferred_details_sql(),
         "doc_label_agreement": O.doc_label_agreement_sql(),
-        **{name: sql() for name, sql in IN.ORACLE.items()},
+        **{name: sql() for name, sql in (IN.ORACLE | GR.ORACLE).items()},
     }
