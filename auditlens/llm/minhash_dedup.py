@@ -4,13 +4,15 @@
    minima; ``BANDS`` band keys from groups of minima; the low ``BITS`` bits of every minimum packed into longs.
 2. Texts with equal shingle sets form a class (128-bit set key); only the member with the smallest id goes on.
 3. The smallest member of a band key's bucket is its hub. Each document is first compared with the smallest hub of
-   its buckets, then with the hubs that lie in other components; so a large group costs about one pair per document.
+   its buckets, which gives it at most one link upwards, then with the hubs that those links do not lead to the same
+   place; so a large group costs about one pair per document.
    A candidate survives if the sizes allow the similarity and if the collision-corrected estimate from the bit counts
    is not far below the threshold (five standard errors); then the full sets are compared.
-4. A bucket whose members still lie in different components may hide links between two of them: there, pairs
-   of members of different components are joined, in blocks, by a finer signature of ``FINE`` one-bit minima, so that
-   few pairs below the threshold are compared in full.
-5. Connected components over classes and confirmed links follow each of these steps.
+4. A bucket whose members still lie in different components may hide links between two of them: there, the members
+   outside the bucket's largest component are joined, in blocks, with all members of other components, by a finer signature of
+   ``FINE`` one-bit minima, so that few pairs below the threshold are compared in full. Members of one component are
+   never paired, so a large group of copies with a few strangers costs rows in proportion to its size.
+5. Connected components are found once, over classes and confirmed links; what step 4 adds joins whole components.
 
 With 32 bands of 4 minima a pair at the threshold 0.75 is missed with probability 5e-6, and less above.
 
@@ -191,59 +193,68 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
                      .filter("hub < last").drop("last"), folder, "buckets")
     members = staged(exploded.join(buckets, "key"), folder, "members")
 
-    def linked(edges: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """(components of ``edges`` with the confirmed ``pairs``, the pairs that were tried)."""
+    def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(the confirmed ones of ``pairs``, the pairs that were tried)."""
         tried = staged(pairs, folder, f"{name}-pairs")
         near = staged(_estimated(tried, reps, per_cent), folder, f"{name}-near")
-        more = _confirmed(near, docs, folder, name, per_cent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        return staged(components(edges.unionByName(more), folder, f"{name}-round"), folder, f"{name}-found"), tried
+        return _confirmed(near, docs, folder, name, per_cent), tried
 
-    def placed(found: DataFrame, name: str) -> DataFrame:
-        """``members`` with their components."""
-        where = found.select(F.col("u").alias("doc_id"), "component")
-        return staged(members.join(where, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), folder, name)
+    def as_edges(links: DataFrame) -> DataFrame:
+        return links.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    def as_edges(found: DataFrame) -> DataFrame:
-        return found.filter("u <> component").select(F.col("u").alias("a"), F.col("component").alias("b"))
-
-    # every document against the smallest hub of its buckets, then against hubs of other components
+    # every document against the smallest hub of its buckets: at most one link upwards each
     best = members.filter("doc_id <> hub").groupBy(F.col("doc_id").alias("x")).agg(F.min("hub").alias("y"))
-    found, tried = linked(copies, best, "best")
-    at = placed(found, "at-best")
-    hubs = staged(at.groupBy("key").agg(F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("home"),
-                                        F.min("component").alias("lo"), F.max("component").alias("hi"))
-                  .filter("lo < hi").select("key", "home"), folder, "hubs")
-    a, h = at.alias("a"), hubs.alias("h")
-    others = (a.join(h, (F.col("a.key") == F.col("h.key")) & (F.col("a.component") != F.col("h.home")))
-              .select(F.col("doc_id").alias("x"), F.col("hub").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
-    found, more = linked(as_edges(found), others, "hubs")
+    up, tried = linked(best, "best")
+    # then against the other hubs, unless two steps upwards from both ends meet
+    above = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
+    top = staged(up.join(above, "y", "left").select("x", F.coalesce("z", "y").alias("top")), folder, "top")
+    ends = (members.filter("doc_id <> hub").select(F.col("doc_id").alias("x"), F.col("hub").alias("y")).distinct()
+            .join(top, "x", "left").join(top.select(F.col("x").alias("y"), F.col("top").alias("other")), "y", "left"))
+    others = ends.filter(F.coalesce("top", "x") != F.coalesce("other", "y")).select("x", "y").join(tried, ["x", "y"], "left_anti")
+    links, more = linked(others, "hubs")
     tried = tried.unionByName(more)
+    found = staged(components(copies.unionByName(as_edges(up)).unionByName(as_edges(links)), folder, "round"), folder, "found")
 
     # buckets in which two members other than the hub lie in different components
-    at = placed(found, "at-hubs").filter("doc_id <> hub")
-    open_keys = staged(at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                             F.count("*").alias("c"))
-                       .filter("lo < hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), folder, "open")
+    where = found.select(F.col("u").alias("doc_id"), "component")
+    at = staged(members.join(where, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), folder, "at").filter("doc_id <> hub")
+    shares = at.groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_keys = staged(shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("c"),
+                                                 F.max("n").alias("most")).filter("c > most")
+                       .select("key", "major", F.ceil((F.col("c") - F.col("most")) / BLOCK).cast("int").alias("rows"),
+                               F.ceil(F.col("c") / BLOCK).cast("int").alias("cols")), folder, "open")
     if not open_keys.isEmpty():
         crowd = staged(at.join(open_keys, "key"), folder, "crowd")
         crowd_ids = staged(crowd.select("doc_id").distinct(), folder, "crowd-ids")
         finer = staged(docs.join(store.small(crowd_ids, 16), "doc_id", "left_semi").mapInArrow(_finer, "doc_id long, fine array<long>")
                        .distinct(), folder, "finer")
-        side = (crowd.join(reps.select("doc_id", "n", "bands"), "doc_id").join(finer, "doc_id")
-                .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                        "block", "doc_id", "component", "n", "fine", F.slice("bands", F.lit(1), F.col("band")).alias("earlier")))
-        side = staged(side.distinct(), folder, "side")
-        p, q = side.alias("p"), side.alias("q")
-        cross = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j"))
-                       & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.component") != F.col("q.component"))
+        side = staged(crowd.join(reps.select("doc_id", "n", "bands"), "doc_id").join(finer, "doc_id")
+                      .select("key", "major", "rows", "cols", "doc_id", "component", "n", "fine", F.slice("bands", F.lit(1), F.col("band")).alias("earlier"))
+                      .distinct(), folder, "side")
+
+        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+            """Each row in its own block of one axis and in every block of the other."""
+            return (df.withColumn(f"{own}_at", F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int"))
+                    .withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1))))
+
+        p, q = dealt(side.filter("component <> major"), "rows", "cols").alias("p"), dealt(side, "cols", "rows").alias("q")
+        cross = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.rows_at") == F.col("q.rows_at")) & (F.col("p.cols_at") == F.col("q.cols_at"))
+                       & (F.col("p.component") != F.col("q.component"))
+                       # a pair outside the largest component is met once
+                       & ((F.col("q.component") == F.col("q.major")) | (F.col("p.doc_id") < F.col("q.doc_id")))
                        & _sizes_allow("p", "q", per_cent) & _near_enough(F.col("p.fine"), F.col("q.fine"), per_cent, FINE, 1)
-                       & ((F.col("p.block") != F.col("q.block")) | (F.col("p.i") == F.col("p.j")))
                        # a pair that shares several buckets counts in the first of them
                        & ~F.arrays_overlap("p.earlier", "q.earlier"))
-        pairs = cross.select(F.col("q.doc_id").alias("x"), F.col("p.doc_id").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-        found, _ = linked(as_edges(found), pairs, "cross")
+        pairs = (cross.select(F.greatest("p.doc_id", "q.doc_id").alias("x"), F.least("p.doc_id", "q.doc_id").alias("y")).distinct()
+                 .join(tried, ["x", "y"], "left_anti"))
+        links, _ = linked(pairs, "cross")
+        # these links join whole components: only their roots are worked again
+        root = lambda end: where.select(F.col("doc_id").alias(end), F.col("component").alias(f"{end}_root"))
+        joined = (links.join(root("x"), "x", "left").join(root("y"), "y", "left")
+                  .select(F.coalesce("x_root", "x").alias("a"), F.coalesce("y_root", "y").alias("b")))
+        last = staged(components(joined, folder, "last"), folder, "joined").select(F.col("u").alias("component"), F.col("component").alias("low"))
+        roots = found.unionByName(last.select(F.col("component").alias("u"), "component")).distinct()
+        found = roots.join(last, "component", "left").select("u", F.coalesce("low", "component").alias("component")).distinct()
 
     return (rows.select("doc_id", F.col("n").alias("n_shingles"))
             .join(found.withColumnRenamed("u", "doc_id"), "doc_id", "left")
