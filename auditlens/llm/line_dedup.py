@@ -1,20 +1,26 @@
-"""Line dedup by pairs of neighbouring lines.
+"""Line dedup by content-defined chunks of lines.
 
 A text is cut into lines: at each newline, and after one of . ! ? ; : and comma before a space (so that
 a passage pasted into a paragraph also starts and ends at lines). Lines of more than ``LONG`` words are cut further, before
-each word whose hash is the smallest of some ``WINDOW`` words in a row: the same words are cut alike in any surroundings,
-and no piece has more than ``WINDOW`` words.
+each word whose hash is smaller than those of the two words on either side.
 
-Every two neighbouring lines are a chunk, so any two whole lines that occur again are found, wherever they stand and however
-short the passage is, and a run of chunks reaches to the last whole line of its passage by itself. A repeated passage of
-3 * ``LONG`` + 1 words has two whole lines in any text. Chunks whose hash occurs again are candidates, in stretches that can
-reach ``min_words`` words; grouping them by their own text compares the bytes. The first occurrence, by (doc_id, text hash, line), stays, the others are repeats (a
-repeat that begins inside its own first occurrence begins after it); a hash that turns out to have several texts removes
-nothing. Runs of repeated lines with at least ``min_words`` words are removed; shorter ones stay.
+1. A rolling hash over two line hashes runs down the text. A boundary is chosen wherever it is the smallest of some
+   ``WINDOW`` neighbours (the last of equal ones), so the same lines choose the same boundaries in any surroundings, and every passage
+   of ``WINDOW`` + 1 whole lines has one. The two lines at a boundary are its chunk.
+2. Chunks whose hash occurs again, in any text, are grouped with the first occurrence by (doc_id, text hash, line). Those of one
+   text that lie as far from their first occurrences, with no more than ``WINDOW`` lines between boundaries, are one stretch.
+3. A stretch and its first occurrence, with the ``WINDOW`` - 1 lines on either side that may belong to the passage, are fetched and
+   compared byte by byte, line by line. Runs of equal lines are repeats; so a passage is followed to its last whole line
+   (where its outermost boundary first occurs in shorter surroundings, up to ``WINDOW`` - 1 lines beyond them stay), and lines
+   whose hashes collide are told apart. A repeat that begins inside its own first occurrence begins after it.
+4. Repeats that touch are one run. Runs of at least ``min_words`` words are removed; shorter ones stay.
+
+Every removed line has an equal line at an earlier place, so one copy of everything stays.
 
 Defined results: NULL text stays NULL. A document that has words and loses all of them is dropped. Rows with equal
 doc_id and text are one document: each keeps or loses the same lines. NULL doc_ids sort first. Nothing else changes,
-except n_chars (where the table has it) of changed texts. An empty table gives no rows; other columns pass through.
+except n_chars (where the table has it) of changed texts. An empty table gives no rows; other columns, whatever their names, pass
+through.
 """
 
 from __future__ import annotations
@@ -27,14 +33,14 @@ from auditlens.llm.quality_rules import let
 from auditlens.llm.store import staged
 
 MIN_WORDS = 40
-#: Lines of more words are cut further, into pieces of at most ``WINDOW`` words.
+#: Lines of more words are cut further.
 LONG = 16
-WINDOW = 9
+#: Neighbouring rolling hashes of which the smallest is a boundary.
+WINDOW = 3
 #: A line ends before a newline and between a mark and a space.
 _MARKS = (".", "!", "?", ";", ":", ",")
 _CUT = "\x01"
 _CUT_PATTERN = r"(?<=[.!?;:,])(?= )|(?=\n)"
-_WORD_PATTERN = r"(?=[\x20\x09\x0B-\x0D])"
 
 
 def lines_of(text: Column) -> Column:
@@ -43,30 +49,29 @@ def lines_of(text: Column) -> Column:
     for m in _MARKS:
         marked = F.replace(marked, F.lit(m + " "), F.lit(m + _CUT + " "))
     lines = F.when(text.contains(_CUT), F.split(text, _CUT_PATTERN)).otherwise(F.split(marked, _CUT))
-    return F.flatten(F.transform(lines, _pieces))
+    return let(lines, lambda a: F.when(F.exists(a, _is_long), F.flatten(F.transform(a, _pieces))).otherwise(a))
+
+
+def _is_long(line: Column) -> Column:
+    return (F.octet_length(line) > 2 * LONG) & (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG)
 
 
 def _pieces(line: Column) -> Column:
     """A line as an array: itself, or its pieces when it is long."""
     def cut(words: Column) -> Column:
-        # the first word of a line may lack the white space in front: the same value for all
-        hashes = F.transform(words, lambda w, i: F.when(i > 0, F.xxhash64(w)).otherwise(F.lit((1 << 63) - 1)))
-        return F.when(F.size(words) <= LONG, F.array(line)).otherwise(let(hashes, lambda h: let(starts(h), lambda at: F.transform(
-            at, lambda s, k: F.array_join(F.slice(words, s + 1, F.coalesce(F.get(at, k + 1), F.size(words)) - s), "")))))
+        return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(starts(h), lambda at: F.transform(
+            at, lambda s, k: F.concat(F.when(s > 0, F.lit(" ")).otherwise(F.lit("")),
+                                      F.array_join(F.slice(words, s + 1, F.coalesce(F.get(at, k + 1), F.size(words)) - s), " ")))))
 
     def starts(h: Column) -> Column:
-        least = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda j: F.array_min(F.slice(h, j + 1, WINDOW)))
-
-        def smallest(m: Column) -> Column:
-            def of_a_window(i: Column) -> Column:
-                low = F.greatest(i - WINDOW + 2, F.lit(1))
-                return F.array_contains(F.slice(m, low, i - low + 2), F.get(h, i))
-
-            return F.filter(F.sequence(F.lit(1), F.size(h) - 1), of_a_window)
+        # never next to either end: what stands there differs from place to place
+        def low(i: Column) -> Column:
+            x = F.get(h, i)
+            return (x < F.get(h, i - 1)) & (x < F.get(h, i - 2)) & (x <= F.get(h, i + 1)) & (x <= F.get(h, i + 2))
 
-        return F.concat(F.array(F.lit(0)), let(least, smallest))
+        return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(2), F.size(h) - 3), low))
 
-    return F.when(F.octet_length(line) <= 2 * LONG, F.array(line)).otherwise(let(F.split(line, _WORD_PATTERN), cut))
+    return F.when(_is_long(line), cut(F.split(line, " "))).otherwise(F.array(line))
 
 
 def _bare(x: Column, i: Column) -> Column:
@@ -75,62 +80,100 @@ def _bare(x: Column, i: Column) -> Column:
 
 
 def _chunks(text: Column) -> Column:
-    """array<struct<s, n, next, hash>>: each line but the last, with the hash of itself and the next one; n and next are
-    how many words the two lines have at most."""
-    def words(x: Column, other: Column) -> Column:
-        return F.when(other, F.octet_length(x)).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    """array<struct<s, hash>>: the chosen boundaries, each with the rolling hash of its line and the next."""
+    def boundaries(r: Column) -> Column:
+        n = F.size(r)
+
+        def chosen(x: Column, i: Column) -> Column:
+            """Smallest, and last of equal ones, in one of the windows of ``WINDOW`` that hold it."""
+            def before(k: int) -> Column:  # not larger than the k before it
+                out = F.lit(True)
+                for j in range(1, k + 1):
+                    out = out & (i >= j) & (x <= F.get(r, i - j))
+                return out
+
+            def after(k: int) -> Column:
+                out = F.lit(True)
+                for j in range(1, k + 1):
+                    out = out & (i + j < n) & (x < F.get(r, i + j))
+                return out
+
+            found = n < WINDOW  # a text of fewer lines is all boundaries
+            for k in range(WINDOW):
+                found = found | (before(k) & after(WINDOW - 1 - k))
+            return found
+
+        pairs = F.transform(r, lambda x, i: F.when(chosen(x, i), F.struct(i.alias("s"), x.alias("hash"))))
+        return F.filter(pairs, lambda p: p.isNotNull())
 
-    def own(x: Column, i: Column, other: Column) -> Column:
-        return F.struct(F.xxhash64(_bare(x, i)).alias("h"), words(x, other).alias("n"))
+    def rolling(h: Column) -> Column:
+        return F.when(F.size(h) > 1, F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1),
+                                                lambda x, y: F.xxhash64(x, y)))
 
-    def pairs(a: Column) -> Column:
-        return F.transform(F.slice(a, 2, F.size(a)), lambda x, i: F.struct(
-            i.alias("s"), F.get(a, i)["n"].alias("n"), x["n"].alias("next"), F.xxhash64(F.get(a, i)["h"], x["h"]).alias("hash")))
+    hashes = F.transform(lines_of(text), lambda x, i: F.xxhash64(_bare(x, i)))
+    return let(let(hashes, rolling), boundaries)
 
-    return let(text.rlike(r"[\x09\x0B-\x0D]"), lambda other: let(F.transform(lines_of(text), lambda x, i: own(x, i, other)), pairs))
 
+def _with_lines(rows: DataFrame, wanted: DataFrame, folder: str, name: str) -> DataFrame:
+    """``wanted`` (doc_id, mark, ranges array<struct<lo, hi, ...>>) with ``lines``, the text's lines without white space in front.
+    Only texts that are asked for are shuffled."""
+    some = staged(wanted.select(F.col("mark").alias("some")).distinct(), folder, name)
+    texts = rows.join(store.small(some, 16), F.col("mark") == F.col("some"), "left_semi")
+    w = wanted.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"), "ranges")
+    joined = texts.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
+    return joined.select("doc_id", "mark", "ranges", F.transform(lines_of(F.col("text")), _bare).alias("lines"))
 
-def _bodies(text: Column, chunks: Column) -> Column:
-    """``chunks`` (structs with s and hash) with the bytes of their lines."""
-    def body(lines: Column, c: Column) -> Column:
-        own = F.concat(_bare(F.get(lines, c["s"]), c["s"]), F.lit(_CUT), _bare(F.get(lines, c["s"] + 1), c["s"] + 1))
-        return F.struct(c["s"].alias("s"), c["hash"].alias("hash"), own.alias("body"))
 
-    return let(lines_of(text), lambda lines: F.transform(chunks, lambda c: body(lines, c)))
+def _cut_out(lines: Column, lo: Column, hi: Column) -> Column:
+    """Lines lo to hi; NULL where there are none."""
+    return F.transform(F.sequence(lo, hi), lambda j: F.when(j >= 0, F.get(lines, j)))
 
 
-def repeated_runs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
+def _joined(ss: Column, gap: int) -> Column:
+    """array<struct<a, b>>: maximal stretches of sorted numbers whose neighbours differ by at most ``gap``."""
+    starts = F.filter(ss, lambda x, i: (i == 0) | (x - F.get(ss, i - 1) > gap))
+    ends = F.filter(ss, lambda x, i: (i == F.size(ss) - 1) | (F.get(ss, i + 1) - x > gap))
+    return F.arrays_zip(starts.alias("a"), ends.alias("b"))
+
+
+def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, mark, runs array<struct<s, e>>): the line ranges that repeat earlier ones, merged and in order;
     mark is the text's hash."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    mark = F.xxhash64("text").alias("mark")
-    chunks = staged(rows.select("doc_id", mark, F.inline(_chunks(F.col("text")))), folder, "chunks")
-    again = staged(chunks.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash"), folder, "again")
-    # only candidates in stretches that may have min_words words; a passage that long is such a stretch at each of its places
-    text = Window.partitionBy("doc_id", "mark").orderBy("s")
-    stretch = Window.partitionBy("doc_id", "mark", "stretch")
-    found = staged(chunks.join(again, "hash", "left_semi").withColumn("new", F.when(F.col("s") <= F.lag("s").over(text) + 1, 0).otherwise(1))
-                   .withColumn("stretch", F.sum("new").over(text))
-                   .withColumn("words", F.sum("n").over(stretch) + F.max("next").over(stretch)).filter(F.col("words") >= min_words)
-                   .select("doc_id", "mark", "s", "hash"), folder, "found")
-    # the bytes of the candidates, from the texts that hold some; equal bytes are grouped before they are shuffled
-    per_text = (found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "hash")).alias("chunks"))
-                .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "chunks"))
-    # only texts with candidates are shuffled
-    some = staged(found.select(F.col("mark").alias("_some")).distinct(), folder, "some")
-    texts = (rows.select("doc_id", mark, "text").join(store.small(some, 16), F.col("mark") == F.col("_some"), "left_semi")
-             .join(per_text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))))
-    first = staged(texts.select("doc_id", "mark", F.inline(_bodies(F.col("text"), F.col("chunks"))))
-                   .groupBy("hash", "body").agg(F.min(F.struct("doc_id", "mark", "s")).alias("first")), folder, "first")
-    # a hash with one body stands for it; chunks whose hash has several bodies are left alone
-    stays = staged(first.groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("bodies")), folder, "stays")
-    repeats = found.join(stays.filter("bodies = 1"), "hash").filter(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("s") == F.col("first.s"))))
-    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("s") == F.col("first.s") + 1)
-    spans = repeats.select("doc_id", "mark", F.when(inside, F.col("s") + 1).otherwise(F.col("s")).alias("s"), (F.col("s") + 1).alias("e")).distinct()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
+    chunks = staged(rows.select("doc_id", "mark", F.inline(_chunks(F.col("text")))), folder, "chunks")
+    # hashes that occur again, with the smallest id that has them (NULL ids come first)
+    again = (chunks.groupBy("hash").agg(F.count("*").alias("c"), F.min("doc_id").alias("id0"), F.count_if(F.col("doc_id").isNull()).alias("nameless"))
+             .filter("c > 1").select("hash", F.when(F.col("nameless") == 0, F.col("id0")).alias("id0")))
+    found = staged(chunks.join(staged(again, folder, "again"), "hash"), folder, "found")
+    first = (found.filter(F.col("doc_id").eqNullSafe(F.col("id0"))).groupBy("hash").agg(F.min(F.struct("mark", "s")).alias("first"))
+             .select("hash", F.col("first.mark").alias("mark0"), F.col("first.s").alias("s0")))
+    repeats = (found.join(staged(first, folder, "first"), "hash")
+               .filter(~(F.col("doc_id").eqNullSafe(F.col("id0")) & (F.col("mark") == F.col("mark0")) & (F.col("s") == F.col("s0"))))
+               .withColumn("shift", F.col("s") - F.col("s0")))
+    stretches = staged(repeats.groupBy("doc_id", "mark", "id0", "mark0", "shift").agg(F.sort_array(F.collect_set("s")).alias("ss"))
+                       .select("doc_id", "mark", "id0", "mark0", "shift", F.inline(let(F.col("ss"), lambda ss: _joined(ss, WINDOW))))
+                       .select("doc_id", "mark", "id0", "mark0", "shift", (F.col("a") - WINDOW + 1).alias("lo"), (F.col("b") + WINDOW).alias("hi")), folder, "stretches")
+    # both sides of every stretch, each text cut once; a text that thousands repeat gives each of its ranges once
+    own = stretches.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi", "shift", "id0", "mark0")).alias("ranges"))
+    ours = (_with_lines(rows, own, folder, "own").withColumn("r", F.explode("ranges"))
+            .select("doc_id", "mark", "r.*", _cut_out(F.col("lines"), F.col("r.lo"), F.col("r.hi")).alias("ours")))
+    origin = (stretches.select(F.col("id0").alias("doc_id"), F.col("mark0").alias("mark"), (F.col("lo") - F.col("shift")).alias("lo"), (F.col("hi") - F.col("shift")).alias("hi"))
+              .distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    theirs = staged(_with_lines(rows, origin, folder, "origins").withColumn("r", F.explode("ranges"))
+                    .select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), F.col("r.lo").alias("t_lo"), F.col("r.hi").alias("t_hi"),
+                            _cut_out(F.col("lines"), F.col("r.lo"), F.col("r.hi")).alias("theirs"))
+                    .dropDuplicates(["t_id", "t_mark", "t_lo", "t_hi"]), folder, "theirs")  # rows of equal id and text give the same
+    both = ours.join(theirs, F.col("id0").eqNullSafe(F.col("t_id")) & (F.col("mark0") == F.col("t_mark"))
+                     & (F.col("lo") - F.col("shift") == F.col("t_lo")) & (F.col("hi") - F.col("shift") == F.col("t_hi")))
+    # byte by byte, line by line
+    equal = F.filter(F.transform("ours", lambda x, i: F.when(x == F.get("theirs", i), i)), lambda i: i.isNotNull())
+    same_text = F.col("doc_id").eqNullSafe(F.col("id0")) & (F.col("mark") == F.col("mark0"))
+    spans = (both.select("doc_id", "mark", "lo", "shift", same_text.alias("same"), F.inline(let(equal, lambda e: _joined(e, 1))))
+             .select("doc_id", "mark", "same", "shift", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b")).alias("e"))
+             .select("doc_id", "mark", F.when(F.col("same"), F.greatest(F.col("s"), F.col("e") - F.col("shift") + 1)).otherwise(F.col("s")).alias("s"), "e").distinct())
     line = Window.partitionBy("doc_id", "mark").orderBy("s", "e")
     far = F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    return staged(spans.withColumn("new", F.when(F.col("s") <= far, 0).otherwise(1))
+    return staged(spans.withColumn("new", F.when(F.col("s") <= far + 1, 0).otherwise(1))
                   .withColumn("run", F.sum("new").over(line)).groupBy("doc_id", "mark", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
                   .groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs")), folder, "runs")
 
@@ -139,17 +182,18 @@ def _words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without repeated runs, with the columns of ``docs`` and _removed (the number of lines gone)."""
+def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row struct<all columns of docs>, text, removed): the rows with their remaining texts and the number of lines gone."""
     folder = store.scratch(docs.sparkSession, "lines")
-    runs = repeated_runs(docs, min_words, folder).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs"))
-    text = F.col("text").cast("string")
+    runs = repeated_runs(docs, folder).select(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark"), "runs")
+    # the user's columns stay inside one struct, so no name of theirs meets one of ours
+    rows = docs.select(F.struct("*").alias("row")).withColumn("text", F.col("row.text").cast("string")).withColumn("mark", F.xxhash64("text"))
 
     def piece(lines: Column, s: Column, e: Column) -> Column:
         return F.array_join(F.slice(lines, s + 1, F.greatest(e - s + 1, F.lit(0))), "")
 
     def long_runs(lines: Column) -> Column:
-        return F.filter("_runs", lambda r: _words(piece(lines, r["s"], r["e"])) >= min_words)
+        return F.filter("runs", lambda r: _words(piece(lines, r["s"], r["e"])) >= min_words)
 
     def rest(lines: Column, cut: Column) -> Column:
         """What is left of the text, and the number of lines gone."""
@@ -162,27 +206,40 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return F.struct(F.concat(F.array_join(pieces, ""), last).alias("text"), gone.cast("long").alias("removed"))
 
     # only texts with runs are shuffled; the others pass by
-    marks = store.small(staged(runs.select(F.col("_mark").alias("_some")).distinct(), folder, "marks"), 16)
-    here = F.xxhash64(text) == F.col("_some")
-    joined = (docs.join(marks, here, "left_semi")
-              .join(runs, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left"))
-    done = let(lines_of(text), lambda lines: let(long_runs(lines), lambda cut: rest(lines, cut)))
-    plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("removed"))
-    out = joined.withColumn("_done", F.when(F.col("_runs").isNull(), plain).otherwise(done))
-    changed = {"text": F.col("_done.text"), "_removed": F.col("_done.removed")}
+    marks = store.small(staged(runs.select(F.col("r_mark").alias("some")).distinct(), folder, "marks"), 16)
+    here = F.col("mark") == F.col("some")
+    plain = F.struct(F.col("text"), F.lit(0).cast("long").alias("removed"))
+    done = let(lines_of(F.col("text")), lambda lines: let(long_runs(lines), lambda cut: rest(lines, cut)))
+    touched = (rows.join(marks, here, "left_semi").join(runs, F.col("row.doc_id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left")
+               .select("row", F.when(F.col("runs").isNull(), plain).otherwise(done).alias("done")))
+    passing = rows.join(marks, here, "left_anti").select("row", plain.alias("done"))
+    return touched.unionByName(passing).select("row", "done.text", "done.removed")
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` over ``_cleaned``, with the remaining text and its length."""
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_done.removed") > 0, F.char_length("_done.text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    passing = docs.join(marks, here, "left_anti").withColumns({"text": text, "_removed": F.lit(0).cast("long")})
-    return out.withColumns(changed).select(*docs.columns, "_removed").unionByName(passing)
+        kept = F.col("row.n_chars")
+        new["n_chars"] = F.when(F.col("removed") > 0, F.char_length("text")).otherwise(kept).cast(docs.schema["n_chars"].dataType)
+    return [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without repeated runs, with the columns of ``docs`` and _removed (the number of lines gone; ``docs`` may not have it)."""
+    return _cleaned(docs, min_words).select(*_columns(docs), F.col("removed").alias("_removed"))
 
 
 def keep_first(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` without repeated runs, with the columns of ``docs``; rows left without words go."""
-    return remove_repeats(docs, min_words).filter((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    return _cleaned(docs, min_words).filter(_kept()).select(*_columns(docs))
+
+
+def _kept() -> Column:
+    return (F.col("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_removed, kept and the remaining text of every document."""
-    out = remove_repeats(store.documents(spark, sf_dir))
-    return out.select("doc_id", F.col("_removed").alias("n_removed"),
-                      ((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("kept"), "text")
+    out = _cleaned(store.documents(spark, sf_dir), MIN_WORDS)
+    return out.select("row.doc_id", F.col("removed").alias("n_removed"), _kept().alias("kept"), "text")

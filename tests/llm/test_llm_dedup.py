@@ -198,3 +198,96 @@ def test_long_passages_are_gone_from_the_whole_table(spark):
                 left += any(x in rest for x in own[k:hit.index(False, k)])
         seen.update(own)
     assert passages > 100 and left <= 0.03 * passages
+
+
+def lines_by_hand(text):
+    """The rule of ``lines_of`` for texts whose lines are short."""
+    out, at = [], 0
+    for k in range(1, len(text)):
+        if text[k] == "\n" or text[k] == " " and text[k - 1] in ".!?;:,":
+            out.append(text[at:k])
+            at = k
+    return out + [text[at:]]
+
+
+def runs_by_hand(rows, min_words):
+    """Texts without the lines of maximal matches with an earlier place, of ``WINDOW`` + 1 lines and more."""
+    least = line_dedup.WINDOW + 1
+    lines = {i: lines_by_hand(t) for i, t in rows}
+    bare = {i: [x if k == 0 else x[1:] for k, x in enumerate(a)] for i, a in lines.items()}
+    gone = {i: set() for i in lines}
+    for i in sorted(bare):
+        for j in sorted(bare):
+            if j >= i:
+                continue
+            for shift in range(-len(bare[j]), len(bare[i])):
+                run = []
+                for k in range(len(bare[i]) + 1):
+                    if k < len(bare[i]) and 0 <= k - shift < len(bare[j]) and bare[i][k] == bare[j][k - shift]:
+                        run.append(k)
+                        continue
+                    if len(run) >= least:
+                        gone[i].update(run)
+                    run = []
+    out = {}
+    for i, a in lines.items():
+        left, k = [], 0
+        while k < len(a):
+            e = k
+            while e < len(a) and e in gone[i]:
+                e += 1
+            if e > k and sum(len(x.split()) for x in a[k:e]) >= min_words:
+                k = e
+                continue
+            left += a[k:max(e, k + 1)]
+            k = max(e, k + 1)
+        out[i] = "".join(left)
+    return out
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_long_matches_match_brute_force(spark, whole):
+    """Texts mixed from shared stretches of distinct lines: what has ``WINDOW`` + 1 lines in common goes, as by hand. Of parts
+    of stretches, cut anew each time, a few lines at the ends may stay: a boundary is followed in its first surroundings only."""
+    rng = random.Random(21)
+    word = iter(range(10 ** 6))
+    fresh = lambda: " ".join(f"w{next(word)}" for _ in range(rng.randrange(3, 9))) + rng.choice(".,!;")
+    pool = [[fresh() for _ in range(rng.randrange(4, 12))] for _ in range(12)]
+    rows = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            stretch = rng.choice(pool)
+            a = 0 if whole else rng.randrange(len(stretch) - 3)
+            b = len(stretch) if whole else rng.randrange(a + 4, len(stretch) + 1)
+            parts += [fresh() for _ in range(rng.randrange(1, 4))] + stretch[a:b]
+        rows.append((i, " ".join(parts + [fresh()])))
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(frame(spark, rows), 12).collect()}
+    want = runs_by_hand(rows, 12)
+    # matches inside one text, and shorter ones that a chosen boundary happens to meet, may take more; never less
+    assert sum(len(want[i]) < len(t) for i, t in rows) > 20
+    size = lambda texts: [len(t.split()) for _, t in sorted(texts.items())]
+    if whole:
+        assert all(g <= w for g, w in zip(size(got), size(want)))
+    else:
+        gone, due = sum(size(dict(rows))) - sum(size(got)), sum(size(dict(rows))) - sum(size(want))
+        assert gone >= 0.95 * due
+    earlier = set()
+    for i, t in rows:  # whatever went has a copy at an earlier place, or earlier in its own text
+        a = lines_by_hand(t)
+        own = [x.strip() for x in a]
+        kept = {x.strip() for x in lines_by_hand(got[i])}
+        assert all(x in earlier or x in kept for x in own)
+        earlier.update(own)
+
+
+CLASHES = ["_id", "_some", "_removed", "_mark", "row", "runs", "mark", "some", "hash", "s", "removed", "done", "r_id", "lines", "text0", "_gone"]
+
+
+def test_columns_of_any_name_pass_through(spark, passage):
+    df = frame(spark, [(1, passage), (2, filler(3) + " " + passage), (3, None)])
+    wide = df.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES if c not in df.columns])
+    out = line_dedup.keep_first(wide)
+    assert out.columns == wide.columns
+    for r in out.collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHES if c not in df.columns) and r["hash"] == "x"
