@@ -134,8 +134,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` whose id has no contaminated row, with the columns of ``docs``."""
-    gone = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    name = store.free(docs, "gone")
+    gone = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

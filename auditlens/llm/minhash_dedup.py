@@ -264,8 +264,9 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
 
 def keep_one(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its group, with the columns of ``docs``."""
-    gone = near_duplicates(docs, per_cent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name = store.free(docs, "gone")
+    gone = near_duplicates(docs, per_cent).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,8 +99,10 @@ def mixed(docs: DataFrame, targets: dict[str, Target] = TARGETS, rate: float = R
 
 def sample_mix(docs: DataFrame, targets: dict[str, Target] = TARGETS, rate: float = RATE, seed: int = 9) -> DataFrame:
     """The sampled rows of ``docs`` with its columns and mix_weight."""
-    out = mixed(docs, targets, rate, seed).filter("_kept")
-    return out.select(*(c for c in docs.columns if c != "mix_weight"), F.greatest(F.lit(1.0), F.col("_value")).alias("mix_weight"))
+    # the user's columns stay inside one struct, so no name of theirs meets one of ours
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang", "source")
+    out = mixed(packed, targets, rate, seed).filter("_kept")
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "mix_weight"), F.greatest(F.lit(1.0), F.col("_value")).alias("mix_weight"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

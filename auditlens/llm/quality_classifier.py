@@ -159,7 +159,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
 def keep_good(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with the columns of ``docs``."""
     model = train(docs, labels, **fit)
-    return score(docs, model, into="_quality").filter(F.col("_quality") >= 0.5).drop("_quality")
+    name = store.free(docs, "quality_score")
+    return score(docs, model, into=name).filter(F.col(name) >= 0.5).drop(name)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
