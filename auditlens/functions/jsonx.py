@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,10 +36,19 @@ def _each(series: pd.Series, convert) -> pd.Series:
     return series.map(guarded)
 
 
+def _finite(value):
+    """``value`` with NaN and infinities, which strict JSON lacks, as the text that they are written as."""
+    if isinstance(value, float) and not math.isfinite(value):
+        return json.dumps(value)
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    return [_finite(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def _strict(text: str) -> str:
     for parse in (json.loads, lambda t: ast.literal_eval(t.strip())):
         try:
-            return json.dumps(parse(text), allow_nan=False)
+            return json.dumps(_finite(parse(text)), allow_nan=False)
         except (ValueError, SyntaxError, TypeError):
             continue
     raise ValueError("neither JSON nor a literal")

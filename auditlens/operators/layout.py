@@ -18,16 +18,20 @@ from auditlens import constants as K
 from auditlens.functions.labels import badge_from_upper, label_match, upper_stripped
 from auditlens.functions.text import blank_to_null, regex_group_or
 from auditlens.operators.compare import band
+from auditlens.operators.ordered_text import ordered_text
 
 
-def header_text(detections: DataFrame) -> DataFrame:
+def header_text(detections: DataFrame, path: str | None = None) -> DataFrame:
     """Header detections of each image joined with spaces in detection order.
 
     A header is the top strip of one screenshot, so its detections per image are
-    few by construction; they are sorted inside the aggregate buffer. Detections
+    few by construction; they are sorted inside the aggregate buffer. With ``path`` (a new
+    folder) they are joined block by block instead, however many an image has. Detections
     without an image_id belong to no screenshot and stay out.
     """
     h = detections.filter((F.col("region") == "header") & F.col("image_id").isNotNull())
+    if path:
+        return ordered_text(h, ["image_id"], ["seq"], "text", " ", path, "header")
     agg = h.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_t"))
     return agg.select("image_id", F.array_join(F.transform("_t", lambda x: x["text"]), " ").alias("header"))
 

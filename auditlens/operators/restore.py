@@ -5,7 +5,7 @@ Plan shape at scale:
   (count + min id, keep count == 1) - no self join; it combines map-side;
 * only rows that need repair AND carry both keys take part in the join, so
   the rows with an id, and rows whose blank key would form a hot join key,
-  never shuffle for it; rows are re-assembled with ``unionByName``;
+  never shuffle for it; they pass by in one scan, the others come in a second;
 * the lookup can be as large as the truth table, so it is not force-broadcast;
   AQE turns the join into a broadcast at run time when the measured side is
   small and splits skewed partitions otherwise.
@@ -61,12 +61,9 @@ def restore_ids(audit: DataFrame, calls: DataFrame, id_col="Call ID", seller_col
     cols = audit.columns
     missing = blank_to_null(F.col(id_col), missing_tokens, case_sensitive=True).isNull()
     flagged = audit.withColumn("id_missing", missing)
-    present = flagged.filter(~F.col("id_missing")).withColumn("id_restored", F.lit(False))
-    need = (flagged.filter(F.col("id_missing"))
-            .withColumn(_KEY_S, _key(seller_col)).withColumn(_KEY_C, _key(caller_col)))
-    keyed = need.filter((F.col(_KEY_S) != "") & (F.col(_KEY_C) != ""))
-    unkeyed = (need.filter((F.col(_KEY_S) == "") | (F.col(_KEY_C) == ""))
-               .drop(_KEY_S, _KEY_C).withColumn("id_restored", F.lit(False)))
+    repairable = F.col("id_missing") & (_key(seller_col) != "") & (_key(caller_col) != "")
+    settled = flagged.filter(~repairable).withColumn("id_restored", F.lit(False))
+    keyed = flagged.filter(repairable).withColumn(_KEY_S, _key(seller_col)).withColumn(_KEY_C, _key(caller_col))
     lookup = unique_pair_lookup(calls, id_col, seller_col, caller_col).select(
         F.col("seller").alias(_KEY_S), F.col("caller").alias(_KEY_C), F.col("call_id").alias(_LOOK))
     joined = keyed.join(lookup, [_KEY_S, _KEY_C], "left")
@@ -75,8 +72,7 @@ def restore_ids(audit: DataFrame, calls: DataFrame, id_col="Call ID", seller_col
                 .withColumn(id_col, F.coalesce(F.col(_LOOK), F.col(id_col)))
                 .drop(_KEY_S, _KEY_C, _LOOK))
     out_cols = cols + ["id_missing", "id_restored"]
-    return (present.select(*out_cols).unionByName(repaired.select(*out_cols))
-            .unionByName(unkeyed.select(*out_cols)))
+    return settled.select(*out_cols).unionByName(repaired.select(*out_cols))
 
 
 def restore_counters(restored: DataFrame) -> DataFrame:

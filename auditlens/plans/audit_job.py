@@ -105,6 +105,22 @@ class AuditReport:
         return self._get(side, lambda: S.field_summary(
             C.matched_ids_semi(inp.ai, inp.ai_map["call_id"], manual_ids), inp.ai_map, u))
 
+    def use_rows(self, stage) -> None:
+        """Give every comparison and the matched summary rows that ``stage(df, side)`` has written in buckets of the
+        call id: they then need no exchange, for either blank policy."""
+        inp = self.inp
+        rows = {"manual": C.audit_rows(inp.manual, inp.manual_map, "_seq", with_auditor=True),
+                "ai": C.audit_rows(inp.ai, inp.ai_map, "_seq")}
+        self._cache["rows"] = {side: stage(df, side) for side, df in rows.items()}
+        self._cache.pop("comparison", None)
+
+    def compared(self, blank_policy: str, unknown_label: str | None) -> DataFrame:
+        """The comparison under another policy than the report's own, over the same rows."""
+        rows = self._cache.get("rows")
+        if rows is None:
+            return comparison(self.inp, blank_policy, unknown_label)
+        return C.compare_calls(rows["manual"], rows["ai"], blank_policy, unknown_label)
+
     def use_comparison(self, staged: DataFrame) -> None:
         """Derive every comparison-based table from an already materialised comparison
         (e.g. written once to the job's folder) instead of recomputing it per table."""
@@ -113,7 +129,7 @@ class AuditReport:
 
     @property
     def comparison(self) -> DataFrame:
-        return self._get("comparison", lambda: comparison(self.inp, self.blank_policy, self.unknown_label))
+        return self._get("comparison", lambda: self.compared(self.blank_policy, self.unknown_label))
 
     @property
     def statistics(self) -> DataFrame:

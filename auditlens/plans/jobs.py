@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from auditlens import constants as K
 from auditlens.functions import template as TPL
+from auditlens.operators import compare as C
 from auditlens.operators import dataset as DS
 from auditlens.operators import fanout as FO
 from auditlens.operators import health as H
@@ -31,7 +32,7 @@ from auditlens.plans import audit_job as AJ
 from auditlens.sources.audits import default_inputs, read_audits
 from auditlens.sources.csv import read_csv
 from auditlens.sources.files import load_template
-from auditlens.sources.sinks import new_version, write_metrics, write_table
+from auditlens.sources.sinks import new_version, stage_bucketed, write_metrics, write_table
 
 
 #: Report order: fields by position, rows by input order, calls and images by id.
@@ -59,10 +60,15 @@ def run_audit(spark, manual_path, ai_path, out_base, fmt="parquet", blank_policy
         sides = {"manual": read_audits(spark, manual_path), "ai": read_audits(spark, ai_path)}
         staged = {side: _stage(spark, files.rows, f"{out}/_staged/{side}") for side, files in sides.items()}
         rep = AJ.AuditReport(staged["manual"], staged["ai"], blank_policy, unknown_label)
+        # both sides in buckets of the call id: the comparisons add no exchange
+        rep.use_rows(lambda df, side: stage_bucketed(df, f"{out}/_staged/{side}_rows", "call_id"))
         # six report tables read the comparison: materialise it once (also cuts lineage)
         rep.use_comparison(_stage(spark, rep.comparison, f"{out}/_staged/comparison"))
         intake = {name: reduce(DataFrame.unionByName, [getattr(files, of).withColumn("side", F.lit(side)) for side, files in sides.items()])
                   for name, of in (("header_map", "header_map"), ("rejects", "rejects"), ("intake", "counts"))}
+        # the other blank policy, from the same rows: how much of the accuracy blanks make
+        other = "exclude" if blank_policy == "match" else "match"
+        intake[f"accuracy_{other}"] = C.comparison_totals(rep.compared(other, unknown_label))
         return _write_all({n: rep.table(n) for n in AJ.REPORT_TABLES if n != "comparison"} | intake, out, fmt)
 
 
@@ -142,7 +148,7 @@ def run_screens(spark, images: DataFrame, detections: DataFrame, out_base) -> st
     with new_version(spark, out_base) as out:
         placed = LY.place_badges(detections, images)
         cmp = _stage(spark, LY.compare_screens(LY.cell_values(placed, images),
-                                               LY.header_fields(LY.header_text(detections))), f"{out}/_staged/cmp")
+                                               LY.header_fields(LY.header_text(detections, f"{out}/_staged/headers"))), f"{out}/_staged/cmp")
         return _write_all(LY.screen_reports(cmp), out, "parquet")
 
 

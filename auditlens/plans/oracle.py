@@ -639,3 +639,41 @@ def doc_label_agreement_sql() -> str:
     return (f"WITH j AS (SELECT l.quality, coalesce({badge('d.text')}, 'none') AS badge FROM labels l JOIN documents d USING (doc_id)) "
             "SELECT quality, badge, count(*) AS n, (quality = 1) = (badge IN ('Correct', 'Correct (Not Discussed)', 'Inferred')) AS agrees "
             "FROM j GROUP BY quality, badge")
+
+
+# --- rendered prompts ---------------------------------------------------------------
+def fanout_prompts_sql() -> str:
+    """The patterns consume what the library only looks ahead to: only their first group is used, which is the same."""
+    def prompt(x):
+        s = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+        blanks = ", ".join(q(t) for t in K.NULLS_PROMPT)
+        return f"CASE WHEN {x} IS NULL OR lower({s}) IN ({blanks}) THEN '' ELSE {s} END"
+
+    def group(x, pattern, default):
+        return f"coalesce(nullif(trim(regexp_extract({x}, {q(pattern)}, 1)), ''), {q(default)})"
+
+    def value_of(name):
+        return "\\b" + name + "\\s*=\\s*([^|#\\-\\n\\r\\t]+?)(?:\\b\\w+\\s*=|$)"
+
+    def filled(template, pairs):
+        out = q(template)
+        for placeholder, value in pairs:
+            out = f"replace({out}, {q(placeholder)}, {value})"
+        return out
+
+    system = filled(D.SYSTEM_TEMPLATE, zip(K.SYSTEM_PLACEHOLDERS, ["s_name", "s_company"]))
+    user = filled(D.USER_TEMPLATE, zip(K.USER_PLACEHOLDERS, ["d", "p", "pa", "o", "s_name", "b_name"]))
+    return (
+        "WITH seller AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey), "
+        "raw AS (SELECT c.conv_id, c.turn, CASE WHEN c_nationkey % 3 = 0 THEN 'Name=' || replace(c_name, '#', ' ') || ' Company=' || c_mktsegment "
+        "|| ' City=' || n_name WHEN c_nationkey % 3 = 1 THEN 'Company=' || c_mktsegment || ' | City=' || n_name "
+        "ELSE 'Name=' || c_name || ' Company=' || c_mktsegment END AS details, 'Product=' || p_name || ' Type=' || p_type AS product, "
+        "prev.text AS past, CASE WHEN c.turn % 2 = 0 THEN 'Hello, a buyer named ' || split_part(c.text, ' ', 1) || ' from ' "
+        "|| coalesce(n_name, '') || '. ' || c.text ELSE c.text END AS ongoing "
+        "FROM conversations c LEFT JOIN conversations prev ON prev.conv_id = c.conv_id AND prev.turn = c.turn - 1 "
+        "LEFT JOIN seller ON c.conv_id = c_custkey LEFT JOIN part ON c.conv_id = p_partkey), "
+        f"clean AS (SELECT conv_id, turn, {prompt('details')} AS d, {prompt('product')} AS p, {prompt('past')} AS pa, {prompt('ongoing')} AS o FROM raw), "
+        f"named AS (SELECT *, {group('d', value_of('Name'), 'Seller')} AS s_name, {group('d', value_of('Company'), 'Company')} AS s_company, "
+        f"{group('o', 'buyer named\\s+([A-Za-z\\s]+?)(?:\\s+from|$)', K.DEFAULT_BUYER_NAME)} AS b_name FROM clean) "
+        f"SELECT conv_id, turn, model, {system} AS system_prompt, {user} AS user_prompt "
+        f"FROM named, (SELECT unnest({sql_list([m[0] for m in D.DEFAULT_MODELS])}) AS model)")

@@ -200,7 +200,7 @@ def response_pivot(spark, sf_dir):
 
 
 def fanout_prompts(spark, sf_dir):
-    """Rows x models with rendered prompts (look-ahead patterns: no SQL oracle)."""
+    """Rows x models with rendered prompts."""
     rows = D.prompt_rows(spark, sf_dir)
     system, user = TPL.render_prompts(D.SYSTEM_TEMPLATE, D.USER_TEMPLATE, F.col("User Details"),
                                       F.col("Product Details"), F.col("Past Conversation"),
@@ -395,5 +395,6 @@ def oracle_sql() -> dict[str, str]:
         "benchmark_summary": O.benchmark_summary_sql(),
         "inferred_details": O.inferred_details_sql(),
         "doc_label_agreement": O.doc_label_agreement_sql(),
+        "fanout_prompts": O.fanout_prompts_sql(),
         **{name: sql() for name, sql in (IN.ORACLE | GR.ORACLE).items()},
     }

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -111,6 +112,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     w.format(fmt).save(path)
 
 
+def stage_bucketed(df: DataFrame, path: str, key: str, buckets: int = 64) -> DataFrame:
+    """``df`` written to ``path`` in buckets of ``key``, one sorted file each: aggregates and joins by ``key`` over tables staged
+    with the same number of buckets need no exchange. The table's name lives as long as the session, its files longer."""
+    name = f"staged_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def write_reports(spark: SparkSession, tables: dict[str, DataFrame], base: str, fmt: str = "parquet") -> str:
     """Write every report table under a new version folder and publish it; returns that folder."""
     with new_version(spark, base) as out:

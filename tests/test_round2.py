@@ -133,3 +133,28 @@ def test_dataset_semi_joins_below_the_aggregates(spark):
     last = [line for line in plan.splitlines() if "Join LeftSemi" in line]
     aggregates = [i for i, line in enumerate(plan.splitlines()) if "Aggregate" in line]
     assert all(any(a < plan.splitlines().index(line) for a in aggregates) for line in last)
+
+
+def test_texts_with_nan_are_read(spark):
+    from auditlens.functions import jsonx as J
+    df = spark.createDataFrame([('{"buyer_details":{"buyer_name":"A","buyer_number":NaN}}',), ("{'x': 1",)], "t string").withColumn("v", J.as_variant("t"))
+    got = [(r.note, r.d) for r in df.withColumn("note", J.details_problem(F.col("v"), F.col("t"))).select("note", J.inferred_details(F.col("v"), F.col("note")).alias("d")).collect()]
+    assert got[0][0] is None and '"A"' in got[0][1] and "NaN" in got[0][1] and got[1][0] == "unparsable"
+
+
+def test_ai_default_can_be_switched_off(spark):
+    from auditlens.operators import layout as LY
+    images = spark.createDataFrame([(1, 900, 1600)], "image_id int, height int, width int")
+    placed = spark.createDataFrame([(1, 1, "manual", "buyer_name", "Missing")], "image_id int, seq int, section string, field string, label string")
+    on, off = (LY.cell_values(placed, images, d).first() for d in (K.CORRECT, None))
+    assert on["a__buyer_name"] == K.CORRECT and off["a__buyer_name"] is None
+    headers = spark.createDataFrame([(1, "7", "Ann")], "image_id int, call_id string, auditor string")
+    row = LY.compare_screens(LY.cell_values(placed, images, None), headers).first()
+    assert row["buyer_name_match"] is None and row.compared_fields == 0
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    from auditlens.operators import layout as LY
+    df = spark.createDataFrame([(i, "header", s, f"t{s}") for i in (1, 2) for s in range(2500 * i)], "image_id int, region string, seq int, text string")
+    plain, blocks = ({r.image_id: r.header for r in LY.header_text(df, *p).collect()} for p in ((), (str(tmp_path / "h"),)))
+    assert plain == blocks
