@@ -35,7 +35,7 @@ from auditlens.llm.store import staged
 MIN_WORDS = 40
 #: Lines of more words are cut further.
 LONG = 16
-#: Neighbouring rolling hashes of which the smallest is a boundary.
+#: Neighbouring rolling hashes of which the smallest is a boundary (``_chunks`` spells out the comparisons).
 WINDOW = 3
 #: A line ends before a newline and between a mark and a space.
 _MARKS = (".", "!", "?", ";", ":", ",")
@@ -45,23 +45,45 @@ _CUT_PATTERN = r"(?<=[.!?;:,])(?= )|(?=\n)"
 
 def lines_of(text: Column) -> Column:
     """The lines: joined, they give the text again. All but the first start with the white space before them."""
-    marked = F.replace(text, F.lit("\n"), F.lit(_CUT + "\n"))
+    whole = _pieced(_led(text, "\n"), restore=True)
+    return F.transform(whole, lambda x, i: F.when(i == 0, F.substr(x, F.lit(2))).otherwise(x))
+
+
+def _line_hashes(text: Column) -> Column:
+    """A hash per line of ``lines_of``, the same whatever white space stands before the line."""
+    return F.transform(_pieced(_led(text, " "), restore=False), lambda x: F.xxhash64(x))
+
+
+def _led(text: Column, newline: str) -> Column:
+    """The uncut lines, each with one white space in front (the first one's is added); ``newline`` stands for newlines."""
+    marked = F.replace(text, F.lit("\n"), F.lit(_CUT + newline))
     for m in _MARKS:
         marked = F.replace(marked, F.lit(m + " "), F.lit(m + _CUT + " "))
-    lines = F.when(text.contains(_CUT), F.split(text, _CUT_PATTERN)).otherwise(F.split(marked, _CUT))
-    return let(lines, lambda a: F.when(F.exists(a, _is_long), F.flatten(F.transform(a, _pieces))).otherwise(a))
+    odd = F.split(F.concat(F.lit(" "), text), _CUT_PATTERN)
+    if newline != "\n":
+        odd = F.transform(odd, lambda x: F.concat(F.lit(newline), F.substr(x, F.lit(2))))
+    return F.when(text.contains(_CUT), odd).otherwise(F.split(F.concat(F.lit(" "), marked), _CUT))
 
 
 def _is_long(line: Column) -> Column:
-    return (F.octet_length(line) > 2 * LONG) & (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG)
+    """Over ``LONG`` words, counted by the spaces and the white space in front."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return (F.octet_length(line) > 2 * LONG) & (spaces + F.startswith(line, F.lit("\n")).cast("int") >= LONG)
 
 
-def _pieces(line: Column) -> Column:
-    """A line as an array: itself, or its pieces when it is long."""
-    def cut(words: Column) -> Column:
-        return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(starts(h), lambda at: F.transform(
-            at, lambda s, k: F.concat(F.when(s > 0, F.lit(" ")).otherwise(F.lit("")),
-                                      F.array_join(F.slice(words, s + 1, F.coalesce(F.get(at, k + 1), F.size(words)) - s), " ")))))
+def _pieced(lines: Column, restore: bool) -> Column:
+    """``lines`` with the long ones cut; ``restore``: a piece keeps its line's own white space in front."""
+    def cut(line: Column) -> Column:
+        words = F.split(F.translate(line, "\n", " "), " ")
+
+        def piece(ws: Column, at: Column, s: Column, k: Column) -> Column:
+            own = F.array_join(F.slice(ws, s + 1, F.coalesce(F.get(at, k + 1), F.size(ws)) - s), " ")
+            lead = F.substr(line, F.lit(1), F.lit(1)) if restore else F.lit(" ")
+            # the first word of the first piece is the empty one before the white space in front
+            return F.when(k == 0, F.concat(lead, F.substr(own, F.lit(2)))).otherwise(F.concat(F.lit(" "), own))
+
+        return let(words, lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: let(
+            starts(h), lambda at: F.transform(at, lambda s, k: piece(ws, at, s, k)))))
 
     def starts(h: Column) -> Column:
         # never next to either end: what stands there differs from place to place
@@ -69,9 +91,10 @@ def _pieces(line: Column) -> Column:
             x = F.get(h, i)
             return (x < F.get(h, i - 1)) & (x < F.get(h, i - 2)) & (x <= F.get(h, i + 1)) & (x <= F.get(h, i + 2))
 
-        return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(2), F.size(h) - 3), low))
+        return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(3), F.size(h) - 3), low))
 
-    return F.when(_is_long(line), cut(F.split(line, " "))).otherwise(F.array(line))
+    return let(lines, lambda a: F.when(F.exists(a, _is_long), F.flatten(F.transform(
+        a, lambda x: F.when(_is_long(x), cut(x)).otherwise(F.array(x))))).otherwise(a))
 
 
 def _bare(x: Column, i: Column) -> Column:
@@ -82,36 +105,20 @@ def _bare(x: Column, i: Column) -> Column:
 def _chunks(text: Column) -> Column:
     """array<struct<s, hash>>: the chosen boundaries, each with the rolling hash of its line and the next."""
     def boundaries(r: Column) -> Column:
-        n = F.size(r)
-
         def chosen(x: Column, i: Column) -> Column:
-            """Smallest, and last of equal ones, in one of the windows of ``WINDOW`` that hold it."""
-            def before(k: int) -> Column:  # not larger than the k before it
-                out = F.lit(True)
-                for j in range(1, k + 1):
-                    out = out & (i >= j) & (x <= F.get(r, i - j))
-                return out
-
-            def after(k: int) -> Column:
-                out = F.lit(True)
-                for j in range(1, k + 1):
-                    out = out & (i + j < n) & (x < F.get(r, i + j))
-                return out
-
-            found = n < WINDOW  # a text of fewer lines is all boundaries
-            for k in range(WINDOW):
-                found = found | (before(k) & after(WINDOW - 1 - k))
-            return found
-
-        pairs = F.transform(r, lambda x, i: F.when(chosen(x, i), F.struct(i.alias("s"), x.alias("hash"))))
+            """Smallest, and last of equal ones, in one of the three windows that hold it. Beyond the ends there are NULLs,
+            and a comparison with them is not true."""
+            return ((x <= F.get(r, i - 1)) & ((x <= F.get(r, i - 2)) | (x < F.get(r, i + 1)))) | ((x < F.get(r, i + 1)) & (x < F.get(r, i + 2)))
+
+        few = F.size(r) < WINDOW  # a text of fewer lines is all boundaries
+        pairs = F.transform(r, lambda x, i: F.when(few | chosen(x, i), F.struct(i.alias("s"), x.alias("hash"))))
         return F.filter(pairs, lambda p: p.isNotNull())
 
     def rolling(h: Column) -> Column:
         return F.when(F.size(h) > 1, F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1),
                                                 lambda x, y: F.xxhash64(x, y)))
 
-    hashes = F.transform(lines_of(text), lambda x, i: F.xxhash64(_bare(x, i)))
-    return let(let(hashes, rolling), boundaries)
+    return let(let(_line_hashes(text), rolling), boundaries)
 
 
 def _with_lines(rows: DataFrame, wanted: DataFrame, folder: str, name: str) -> DataFrame:

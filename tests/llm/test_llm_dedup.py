@@ -291,3 +291,22 @@ def test_columns_of_any_name_pass_through(spark, passage):
     assert out.columns == wide.columns
     for r in out.collect():
         assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHES if c not in df.columns) and r["hash"] == "x"
+
+
+def test_lines_and_their_hashes_do_not_depend_on_what_stands_before(spark):
+    rng = random.Random(5)
+    words = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(40))
+    texts = [words, "x. " + words, "x\n" + words, "x\x01.\n" + words + ", y\n z\n\nq", "\n" + words, " ", "", "a", words.replace(" ", "\t")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select(
+        "i", "text", line_dedup.lines_of(F.col("text")).alias("a"), line_dedup._line_hashes(F.col("text")).alias("h"))
+    got = {r.i: r for r in df.collect()}
+    for r in got.values():
+        assert "".join(r.a) == r.text and len(r.a) == len(r.h)
+    bare = {i: [x if k == 0 else x[1:] for k, x in enumerate(r.a)] for i, r in got.items()}
+    assert len(bare[0]) > 3 and bare[1][1:] == bare[2][1:] == bare[0] and bare[4][1:] == bare[0]
+    assert got[1].h[1:] == got[2].h[1:] == got[0].h == got[4].h[1:]
+    seen = {}
+    for i, r in got.items():  # equal lines have equal hashes, and different ones different hashes
+        for x, h in zip(bare[i], r.h):
+            assert seen.setdefault(x, h) == h
+    assert len(set(seen.values())) == len(seen)
