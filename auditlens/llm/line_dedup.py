@@ -2,7 +2,7 @@
 
 A text is cut into lines: at each newline, and after one of . ! ? ; : and comma before a space (so that
 a passage pasted into a paragraph also starts and ends at lines). Lines of more than ``LONG`` words are cut further, before
-each word whose hash is smaller than those of the two words on either side.
+each word whose hash is not larger than those of the two words on either side (so a stretch of one word is cut at every word).
 
 1. A rolling hash over two line hashes runs down the text. A boundary is chosen wherever it is the smallest of some
    ``WINDOW`` neighbours (the last of equal ones), so the same lines choose the same boundaries in any surroundings, and every passage
@@ -89,7 +89,7 @@ def _pieced(lines: Column, restore: bool) -> Column:
         # never next to either end: what stands there differs from place to place
         def low(i: Column) -> Column:
             x = F.get(h, i)
-            return (x < F.get(h, i - 1)) & (x < F.get(h, i - 2)) & (x <= F.get(h, i + 1)) & (x <= F.get(h, i + 2))
+            return (x <= F.get(h, i - 1)) & (x <= F.get(h, i - 2)) & (x <= F.get(h, i + 1)) & (x <= F.get(h, i + 2))
 
         return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(3), F.size(h) - 3), low))
 
