@@ -25,7 +25,9 @@ through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlens.llm import store
@@ -122,13 +124,17 @@ def _chunks(text: Column) -> Column:
 
 
 def _with_lines(rows: DataFrame, wanted: DataFrame, folder: str, name: str) -> DataFrame:
-    """``wanted`` (doc_id, mark, ranges array<struct<lo, hi, ...>>) with ``lines``, the text's lines without white space in front.
-    Only texts that are asked for are shuffled."""
+    """``wanted`` (doc_id, mark, ranges) with the text. Only texts that are asked for are shuffled."""
     some = staged(wanted.select(F.col("mark").alias("some")).distinct(), folder, name)
     texts = rows.join(store.small(some, 16), F.col("mark") == F.col("some"), "left_semi")
     w = wanted.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"), "ranges")
     joined = texts.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
-    return joined.select("doc_id", "mark", "ranges", F.transform(lines_of(F.col("text")), _bare).alias("lines"))
+    return joined.select("doc_id", "mark", "ranges", "text")
+
+
+def _bare_lines(text: Column) -> Column:
+    """The lines without white space in front."""
+    return F.transform(lines_of(text), _bare)
 
 
 def _cut_out(lines: Column, lo: Column, hi: Column) -> Column:
@@ -143,6 +149,53 @@ def _joined(ss: Column, gap: int) -> Column:
     return F.arrays_zip(starts.alias("a"), ends.alias("b"))
 
 
+def _stretches(at: Column) -> Column:
+    """array<struct<id0, mark0, lo0, hi0, shifts>>, from a text's sorted array<struct<id0, mark0, shift, s>>: the ranges lo0 to hi0 of
+    first occurrences, each with the shifts of its repeats in the text."""
+    def same(x: Column, y: Column, *names: str) -> Column:
+        return x["id0"].eqNullSafe(y["id0"]) & reduce(lambda a, n: a & (x[n] == y[n]), names, F.lit(True))
+
+    def follows(x: Column, y: Column) -> Column:
+        return same(x, y, "mark0", "shift") & (y["s"] - x["s"] <= WINDOW)
+
+    def ranges(at: Column) -> Column:
+        starts = F.filter(at, lambda x, i: (i == 0) | ~follows(F.get(at, i - 1), x))
+        ends = F.filter(at, lambda x, i: (i == F.size(at) - 1) | ~follows(x, F.get(at, i + 1)))
+        return F.sort_array(F.zip_with(starts, ends, lambda x, y: F.struct(
+            x["id0"].alias("id0"), x["mark0"].alias("mark0"), (x["s"] - x["shift"] - WINDOW + 1).alias("lo0"),
+            (y["s"] - y["shift"] + WINDOW).alias("hi0"), x["shift"].alias("shift"))))
+
+    def grouped(rs: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(rs) - 1),
+                         lambda i: (i == 0) | ~same(F.get(rs, i - 1), F.get(rs, i), "mark0", "lo0", "hi0"))
+        return let(heads, lambda hs: F.transform(hs, lambda i, k: F.struct(
+            *[F.get(rs, i)[n].alias(n) for n in ("id0", "mark0", "lo0", "hi0")],
+            F.slice(rs, i + 1, F.coalesce(F.get(hs, k + 1), F.size(rs)) - i)["shift"].alias("shifts"))))
+
+    return let(let(at, ranges), grouped)
+
+
+def _equal_spans(same_text: Column) -> Column:
+    """array<struct<s, e>>: the equal lines of ``pieces`` and ``theirs``, byte by byte, as stretches of the text."""
+    def spans(piece: Column) -> Column:
+        equal = F.filter(F.transform(piece["ours"], lambda x, i: F.when(x == F.get("theirs", i), i)), lambda i: i.isNotNull())
+
+        def placed(ab: Column) -> Column:
+            s, e = (F.col("lo0") + piece["shift"] + ab[n] for n in "ab")
+            return F.struct(F.when(same_text, F.greatest(s, e - piece["shift"] + 1)).otherwise(s).alias("s"), e.alias("e"))
+
+        return F.transform(let(equal, lambda e: _joined(e, 1)), placed)
+
+    return _merged(F.flatten(F.transform("pieces", spans)))
+
+
+def _merged(spans: Column) -> Column:
+    """``spans`` in order, those that overlap or touch as one."""
+    covered = F.flatten(F.transform(spans, lambda r: F.sequence(r["s"], r["e"])))
+    whole = let(F.sort_array(F.array_distinct(covered)), lambda ls: _joined(ls, 1))
+    return F.transform(whole, lambda r: F.struct(r["a"].alias("s"), r["b"].alias("e")))
+
+
 def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, mark, runs array<struct<s, e>>): the line ranges that repeat earlier ones, merged and in order;
     mark is the text's hash."""
@@ -155,34 +208,29 @@ def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
     first = (found.filter(F.col("doc_id").eqNullSafe(F.col("id0"))).groupBy("hash").agg(F.min(F.struct("mark", "s")).alias("first"))
              .select("hash", F.col("first.mark").alias("mark0"), F.col("first.s").alias("s0")))
     repeats = (found.join(staged(first, folder, "first"), "hash")
-               .filter(~(F.col("doc_id").eqNullSafe(F.col("id0")) & (F.col("mark") == F.col("mark0")) & (F.col("s") == F.col("s0"))))
-               .withColumn("shift", F.col("s") - F.col("s0")))
-    stretches = staged(repeats.groupBy("doc_id", "mark", "id0", "mark0", "shift").agg(F.sort_array(F.collect_set("s")).alias("ss"))
-                       .select("doc_id", "mark", "id0", "mark0", "shift", F.inline(let(F.col("ss"), lambda ss: _joined(ss, WINDOW))))
-                       .select("doc_id", "mark", "id0", "mark0", "shift", (F.col("a") - WINDOW + 1).alias("lo"), (F.col("b") + WINDOW).alias("hi")), folder, "stretches")
+               .filter(~(F.col("doc_id").eqNullSafe(F.col("id0")) & (F.col("mark") == F.col("mark0")) & (F.col("s") == F.col("s0")))))
+    # one row per text: a range of an earlier text stands once in it, however often the text repeats it
+    at = F.struct("id0", "mark0", (F.col("s") - F.col("s0")).alias("shift"), "s")
+    stretches = staged(repeats.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(at)).alias("at"))
+                       .select("doc_id", "mark", _stretches(F.col("at")).alias("ranges")), folder, "stretches")
     # both sides of every stretch, each text cut once; a text that thousands repeat gives each of its ranges once
-    own = stretches.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi", "shift", "id0", "mark0")).alias("ranges"))
-    ours = (_with_lines(rows, own, folder, "own").withColumn("r", F.explode("ranges"))
-            .select("doc_id", "mark", "r.*", _cut_out(F.col("lines"), F.col("r.lo"), F.col("r.hi")).alias("ours")))
-    origin = (stretches.select(F.col("id0").alias("doc_id"), F.col("mark0").alias("mark"), (F.col("lo") - F.col("shift")).alias("lo"), (F.col("hi") - F.col("shift")).alias("hi"))
-              .distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    theirs = staged(_with_lines(rows, origin, folder, "origins").withColumn("r", F.explode("ranges"))
-                    .select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), F.col("r.lo").alias("t_lo"), F.col("r.hi").alias("t_hi"),
-                            _cut_out(F.col("lines"), F.col("r.lo"), F.col("r.hi")).alias("theirs"))
+    ours = (_with_lines(rows, stretches, folder, "own")
+            .select("doc_id", "mark", F.inline(let(_bare_lines(F.col("text")), lambda lines: F.transform("ranges", lambda r: F.struct(
+                r["id0"].alias("id0"), r["mark0"].alias("mark0"), r["lo0"].alias("lo0"), r["hi0"].alias("hi0"),
+                F.transform(r["shifts"], lambda z: F.struct(z.alias("shift"), _cut_out(lines, r["lo0"] + z, r["hi0"] + z).alias("ours"))).alias("pieces")))))))
+    origin = (stretches.select(F.explode("ranges").alias("r")).select(F.col("r.id0").alias("doc_id"), F.col("r.mark0").alias("mark"), "r.lo0", "r.hi0")
+              .distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo0", "hi0")).alias("ranges")))
+    theirs = staged(_with_lines(rows, origin, folder, "origins")
+                    .select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), F.inline(let(
+                        _bare_lines(F.col("text")), lambda lines: F.transform("ranges", lambda r: F.struct(
+                            r["lo0"].alias("t_lo"), r["hi0"].alias("t_hi"), _cut_out(lines, r["lo0"], r["hi0"]).alias("theirs"))))))
                     .dropDuplicates(["t_id", "t_mark", "t_lo", "t_hi"]), folder, "theirs")  # rows of equal id and text give the same
     both = ours.join(theirs, F.col("id0").eqNullSafe(F.col("t_id")) & (F.col("mark0") == F.col("t_mark"))
-                     & (F.col("lo") - F.col("shift") == F.col("t_lo")) & (F.col("hi") - F.col("shift") == F.col("t_hi")))
-    # byte by byte, line by line
-    equal = F.filter(F.transform("ours", lambda x, i: F.when(x == F.get("theirs", i), i)), lambda i: i.isNotNull())
+                     & (F.col("lo0") == F.col("t_lo")) & (F.col("hi0") == F.col("t_hi")))
     same_text = F.col("doc_id").eqNullSafe(F.col("id0")) & (F.col("mark") == F.col("mark0"))
-    spans = (both.select("doc_id", "mark", "lo", "shift", same_text.alias("same"), F.inline(let(equal, lambda e: _joined(e, 1))))
-             .select("doc_id", "mark", "same", "shift", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b")).alias("e"))
-             .select("doc_id", "mark", F.when(F.col("same"), F.greatest(F.col("s"), F.col("e") - F.col("shift") + 1)).otherwise(F.col("s")).alias("s"), "e").distinct())
-    line = Window.partitionBy("doc_id", "mark").orderBy("s", "e")
-    far = F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    return staged(spans.withColumn("new", F.when(F.col("s") <= far + 1, 0).otherwise(1))
-                  .withColumn("run", F.sum("new").over(line)).groupBy("doc_id", "mark", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-                  .groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs")), folder, "runs")
+    return staged(both.select("doc_id", "mark", _equal_spans(same_text).alias("spans")).filter("size(spans) > 0")
+                  .groupBy("doc_id", "mark").agg(F.collect_set("spans").alias("spans"))
+                  .select("doc_id", "mark", _merged(F.flatten("spans")).alias("runs")), folder, "runs")
 
 
 def _words(text: Column) -> Column:
