@@ -41,8 +41,8 @@ def latest_calls(rows: DataFrame) -> DataFrame:
 
 
 def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str = "match",
-                  unknown_label: str | None = K.CORRECT) -> DataFrame:
-    """One row per call id present on both sides.
+                  unknown_label: str | None = K.CORRECT, single: bool = False) -> DataFrame:
+    """One row per call id present on both sides. ``single``: the rows are one per call and side already.
 
     Per field ``f``: ``f_manual``, ``f_ai`` (normalised labels), ``f_match`` (0/1)
     and ``f_imputed`` (manual was blank). ``blank_policy='match'`` copies the AI
@@ -55,7 +55,7 @@ def compare_calls(manual_rows: DataFrame, ai_rows: DataFrame, blank_policy: str
     # label each side right after its dedupe (one row per call): two 12-label
     # projections instead of one 24-label one keep generated methods small
     def labelled_side(rows, prefix, extra):
-        latest = latest_calls(rows)
+        latest = rows if single else latest_calls(rows)
         up = latest.select("call_id", *extra, *[F.upper(F.col(f)).alias(f"{f}__u") for f in K.FIELDS])
         names = ["manual_auditor"] if prefix == "m" else []
         return up.select("call_id", *names, *[c for f in K.FIELDS for c in (

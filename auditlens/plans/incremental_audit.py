@@ -46,11 +46,14 @@ class IncrementalAudit:
     def _folder(self, version: int) -> str:
         return f"{self.path}/v={version}"
 
+    def _paths(self, done: list[int]) -> list[str]:
+        """The tables of all batches, from the latest compacted version on; each has one row per call and side."""
+        full = max((v for v in done if exists(self.spark, f"{self._folder(v)}/compacted")), default=0)
+        return [f"{self._folder(full)}/compacted"] * bool(full) + [f"{self._folder(v)}/rows" for v in done if v > full]
+
     def _stored(self, done: list[int]) -> DataFrame | None:
         """Last rows of all batches, from the latest compacted version on."""
-        full = max((v for v in done if exists(self.spark, f"{self._folder(v)}/compacted")), default=0)
-        paths = [f"{self._folder(full)}/compacted"] * bool(full) + [f"{self._folder(v)}/rows" for v in done if v > full]
-        frames = [self.spark.read.parquet(p) for p in paths]
+        frames = [self.spark.read.parquet(p) for p in self._paths(done)]
         return reduce(DataFrame.unionByName, frames) if frames else None
 
     def _totals(self, name: str) -> DataFrame | None:
@@ -67,10 +70,11 @@ class IncrementalAudit:
 
     # --- writing ------------------------------------------------------------------
     def _compared(self, rows: DataFrame | None) -> DataFrame | None:
+        """The counts of ``rows``, one row per call and side."""
         if rows is None:
             return None
         manual, ai = (rows.filter(F.col("side") == s).withColumn("_seq", F.col("batch")).drop("side", "batch") for s in SIDES)
-        return C.statistics_counts(C.compare_calls(manual, ai.drop("auditor"), self.blank_policy, self.unknown_label))
+        return C.statistics_counts(C.compare_calls(manual, ai.drop("auditor"), self.blank_policy, self.unknown_label, single=True))
 
     def _add(self, before: DataFrame | None, parts: list[tuple[int, DataFrame | None]], keys: list[str]) -> DataFrame:
         """Sums of count tables with equal keys; a part with sign -1 is taken back."""
@@ -98,11 +102,15 @@ class IncrementalAudit:
             stored, old = self._stored(done), None
             if stored is not None:
                 touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
-                ids = fresh.select("bucket", "call_id").distinct()
-                old = _last(stored.filter(F.col("bucket").isin(touched)).join(ids, ["bucket", "call_id"], "left_semi"))
+                ids = fresh.select("bucket", "call_id")
+                old = stored.filter(F.col("bucket").isin(touched)).join(ids, ["bucket", "call_id"], "left_semi").select(*_ROW)
+                old = _last(old) if len(self._paths(done)) > 1 else old
                 old.write.parquet(f"{out}/_staged/old")
                 old = self.spark.read.parquet(f"{out}/_staged/old")
-            now = fresh.select(*_ROW) if old is None else _last(old.unionByName(fresh.select(*_ROW)))
+            # rows of this batch are later than all before
+            now = fresh.select(*_ROW)
+            if old is not None:
+                now = now.unionByName(old.join(fresh.select("side", "call_id"), ["side", "call_id"], "left_anti").select(*_ROW))
             change = [(1, self._compared(now)), (-1, self._compared(old))]
             self._add(self._totals("statistics"), change, ["field_pos", "field_name"]).coalesce(1).write.parquet(f"{out}/statistics")
             counted = [S.field_summary(df, m, self.unknown_label).select("field_pos", "field_name", *_COUNTS, "n_defaulted").withColumn("side", F.lit(side))
