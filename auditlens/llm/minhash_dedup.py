@@ -10,7 +10,8 @@
    is not far below the threshold (five standard errors); then the full sets are compared.
 4. A bucket whose members still lie in different components may hide links between two of them: there, the members
    outside the bucket's largest component are joined, in blocks, with all members of other components, by a finer signature of
-   ``FINE`` one-bit minima, so that few pairs below the threshold are compared in full. Members of one component are
+   ``FINE`` minima of ``FINE_BITS`` bits (its first ``ROUGH`` minima first), so that few pairs below the threshold leave their
+   block to be compared in full. Members of one component are
    never paired, so a large group of copies with a few strangers costs rows in proportion to its size.
 5. Connected components are found once, over classes and confirmed links; what step 4 adds joins whole components.
 
@@ -38,8 +39,11 @@ WIDTH = 5
 HASHES = 128
 BANDS = 32
 BITS = 4
-#: Minima of the finer signature, of one bit each, that documents in crowded buckets get.
-FINE = 2048
+#: Minima of the finer signature that documents in crowded buckets get, and the bits of each.
+FINE = 4096
+FINE_BITS = 2
+#: Minima of the finer signature that every pair of a block is tried by; the rest are for those that pass.
+ROUGH = 1024
 #: Members per block when an unresolved bucket is compared with itself.
 BLOCK = 1024
 
@@ -101,22 +105,31 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in words.pieces(batches, "text"):
-        fine = [_pack(_minima(h, FINE), 1).view(np.int64).tolist() for h in shingles(b.column("text"))]
+        fine = [_pack(_minima(h, FINE), FINE_BITS).view(np.int64).tolist() for h in shingles(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fine, pa.list_(pa.int64()))], ["doc_id", "fine"])
 
 
+def _differing(x: Column, bits: int) -> Column:
+    """The lanes of ``bits`` bits in which ``x``, an exclusive or, has a bit."""
+    fold = 1
+    while fold < bits:  # any differing bit of a lane shows in its lowest
+        x = x.bitwiseOR(F.shiftrightunsigned(x, fold))
+        fold *= 2
+    lowest = sum(1 << k for k in range(0, 64, bits))
+    return F.bit_count(x if bits == 1 else x.bitwiseAND(F.lit(lowest)))
+
+
 def estimate(left: Column, right: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
     """Collision-corrected similarity of two packed signatures: differing lanes by bit counts, then
     (share of equal lanes - C) / (1 - C), where C = 2^-bits is the chance that other minima look equal."""
-    differ = F.lit(0)
-    lowest = sum(1 << k for k in range(0, 64, bits))
-    for i in range(hashes * bits // 64):
-        x = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))
-        fold = 1
-        while fold < bits:  # any differing bit of a lane shows in its lowest
-            x = x.bitwiseOR(F.shiftrightunsigned(x, fold))
-            fold *= 2
-        differ = differ + F.bit_count(x if bits == 1 else x.bitwiseAND(F.lit(lowest)))
+    longs = hashes * bits // 64
+    if longs <= 32:
+        differ = F.lit(0)
+        for i in range(longs):
+            differ = differ + _differing(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i))), bits)
+    else:  # spelled out, so many would make a method that is never compiled
+        lanes = F.zip_with(F.slice(left, 1, longs), F.slice(right, 1, longs), lambda x, y: _differing(x.bitwiseXOR(y), bits))
+        differ = F.aggregate(lanes, F.lit(0), lambda a, x: a + x)
     chance = 2.0 ** -bits
     return ((hashes - differ) / hashes - chance) / (1 - chance)
 
@@ -242,9 +255,10 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
                        & (F.col("p.component") != F.col("q.component"))
                        # a pair outside the largest component is met once
                        & ((F.col("q.component") == F.col("q.major")) | (F.col("p.doc_id") < F.col("q.doc_id")))
-                       & _sizes_allow("p", "q", per_cent) & _near_enough(F.col("p.fine"), F.col("q.fine"), per_cent, FINE, 1)
+                       & _sizes_allow("p", "q", per_cent) & _near_enough(F.col("p.fine"), F.col("q.fine"), per_cent, ROUGH, FINE_BITS)
                        # a pair that shares several buckets counts in the first of them
-                       & ~F.arrays_overlap("p.earlier", "q.earlier"))
+                       & ~F.arrays_overlap("p.earlier", "q.earlier")
+                       & _near_enough(F.col("p.fine"), F.col("q.fine"), per_cent, FINE, FINE_BITS))
         pairs = (cross.select(F.greatest("p.doc_id", "q.doc_id").alias("x"), F.least("p.doc_id", "q.doc_id").alias("y")).distinct()
                  .join(tried, ["x", "y"], "left_anti"))
         links, _ = linked(pairs, "cross")
