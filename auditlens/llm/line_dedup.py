@@ -200,7 +200,8 @@ def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, mark, runs array<struct<s, e>>): the line ranges that repeat earlier ones, merged and in order;
     mark is the text's hash."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
-    chunks = staged(rows.select("doc_id", "mark", F.inline(_chunks(F.col("text")))), folder, "chunks")
+    # inline_outer: before inline, Spark filters by the size of the array, which computes it twice
+    chunks = staged(rows.select("doc_id", "mark", F.inline_outer(_chunks(F.col("text")))).filter("hash IS NOT NULL"), folder, "chunks")
     # hashes that occur again, with the smallest id that has them (NULL ids come first)
     again = (chunks.groupBy("hash").agg(F.count("*").alias("c"), F.min("doc_id").alias("id0"), F.count_if(F.col("doc_id").isNull()).alias("nameless"))
              .filter("c > 1").select("hash", F.when(F.col("nameless") == 0, F.col("id0")).alias("id0")))
@@ -215,26 +216,27 @@ def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
                        .select("doc_id", "mark", _stretches(F.col("at")).alias("ranges")), folder, "stretches")
     # both sides of every stretch, each text cut once; a text that thousands repeat gives each of its ranges once
     ours = (_with_lines(rows, stretches, folder, "own")
-            .select("doc_id", "mark", F.inline(let(_bare_lines(F.col("text")), lambda lines: F.transform("ranges", lambda r: F.struct(
+            .select("doc_id", "mark", F.inline_outer(let(_bare_lines(F.col("text")), lambda lines: F.transform("ranges", lambda r: F.struct(
                 r["id0"].alias("id0"), r["mark0"].alias("mark0"), r["lo0"].alias("lo0"), r["hi0"].alias("hi0"),
                 F.transform(r["shifts"], lambda z: F.struct(z.alias("shift"), _cut_out(lines, r["lo0"] + z, r["hi0"] + z).alias("ours"))).alias("pieces")))))))
     origin = (stretches.select(F.explode("ranges").alias("r")).select(F.col("r.id0").alias("doc_id"), F.col("r.mark0").alias("mark"), "r.lo0", "r.hi0")
               .distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo0", "hi0")).alias("ranges")))
     theirs = staged(_with_lines(rows, origin, folder, "origins")
-                    .select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), F.inline(let(
+                    .select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), F.inline_outer(let(
                         _bare_lines(F.col("text")), lambda lines: F.transform("ranges", lambda r: F.struct(
                             r["lo0"].alias("t_lo"), r["hi0"].alias("t_hi"), _cut_out(lines, r["lo0"], r["hi0"]).alias("theirs"))))))
                     .dropDuplicates(["t_id", "t_mark", "t_lo", "t_hi"]), folder, "theirs")  # rows of equal id and text give the same
     both = ours.join(theirs, F.col("id0").eqNullSafe(F.col("t_id")) & (F.col("mark0") == F.col("t_mark"))
                      & (F.col("lo0") == F.col("t_lo")) & (F.col("hi0") == F.col("t_hi")))
     same_text = F.col("doc_id").eqNullSafe(F.col("id0")) & (F.col("mark") == F.col("mark0"))
-    return staged(both.select("doc_id", "mark", _equal_spans(same_text).alias("spans")).filter("size(spans) > 0")
-                  .groupBy("doc_id", "mark").agg(F.collect_set("spans").alias("spans"))
+    return staged(both.select("doc_id", "mark", _equal_spans(same_text).alias("spans"))
+                  .groupBy("doc_id", "mark").agg(F.collect_set("spans").alias("spans")).filter(F.exists("spans", lambda x: F.size(x) > 0))
                   .select("doc_id", "mark", _merged(F.flatten("spans")).alias("runs")), folder, "runs")
 
 
-def _words(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
+def _has_words(text: Column, n: int) -> Column:
+    """At least ``n`` words; looks no further than that many."""
+    return F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", n + 2), "")) >= n
 
 
 def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
@@ -248,7 +250,7 @@ def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
         return F.array_join(F.slice(lines, s + 1, F.greatest(e - s + 1, F.lit(0))), "")
 
     def long_runs(lines: Column) -> Column:
-        return F.filter("runs", lambda r: _words(piece(lines, r["s"], r["e"])) >= min_words)
+        return F.filter("runs", lambda r: _has_words(piece(lines, r["s"], r["e"]), min_words))
 
     def rest(lines: Column, cut: Column) -> Column:
         """What is left of the text, and the number of lines gone."""
