@@ -4,6 +4,8 @@ A text is cut into lines: at each newline, and after one of . ! ? ; : and comma
 a passage pasted into a paragraph also starts and ends at lines). Lines of more than ``LONG`` words are cut further, before
 each word whose hash is not larger than those of the two words on either side (so a stretch of one word is cut at every word).
 
+Texts are cut once; the cut texts are staged for all that follows.
+
 1. A rolling hash over two line hashes runs down the text. A boundary is chosen wherever it is the smallest of some
    ``WINDOW`` neighbours (the last of equal ones), so the same lines choose the same boundaries in any surroundings, and every passage
    of ``WINDOW`` + 1 whole lines has one. The two lines at a boundary are its chunk.
@@ -25,6 +27,7 @@ through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,73 +42,77 @@ MIN_WORDS = 40
 LONG = 16
 #: Neighbouring rolling hashes of which the smallest is a boundary (``_chunks`` spells out the comparisons).
 WINDOW = 3
-#: A line ends before a newline and between a mark and a space.
-_MARKS = (".", "!", "?", ";", ":", ",")
-_CUT = "\x01"
-_CUT_PATTERN = r"(?<=[.!?;:,])(?= )|(?=\n)"
+#: The space after a mark, which ends a line as newlines do.
+_LINE_END = r" (?<=[.!?;:,] )"
+#: Stands between the lines of a cut text; in texts that hold it, it is written as _ESC + B, and _ESC as _ESC + A.
+_CUT, _ESC = "\x01", "\x02"
+#: Hashes are hardly ever equal, so a dictionary of them is built in vain.
+_PLAIN_HASHES = {"parquet.enable.dictionary#hash": "false"}
 
 
-def lines_of(text: Column) -> Column:
-    """The lines: joined, they give the text again. All but the first start with the white space before them."""
-    whole = _pieced(_led(text, "\n"), restore=True)
-    return F.transform(whole, lambda x, i: F.when(i == 0, F.substr(x, F.lit(2))).otherwise(x))
+def _cut(text: Column) -> Column:
+    """The text with a space in front and ``_CUT`` between its lines. Each line starts with its one white space."""
+    def cut(part: Column) -> Column:
+        return F.array_join(F.transform(F.split(part, _LINE_END), lambda x: F.when(_is_long(x), _cut_long(x)).otherwise(x)), _CUT + " ")
 
+    # one character is split at without a pattern
+    return F.concat(F.lit(" "), F.array_join(F.transform(F.split(_escaped(text), "\n"), cut), _CUT + "\n"))
 
-def _line_hashes(text: Column) -> Column:
-    """A hash per line of ``lines_of``, the same whatever white space stands before the line."""
-    return F.transform(_pieced(_led(text, " "), restore=False), lambda x: F.xxhash64(x))
 
+def _cut_long(line: Column) -> Column:
+    """A long line with ``_CUT`` before the space of each word whose hash is not larger than those around it. It is never
+    next to either end: what stands there differs from place to place."""
+    def ends(h: Column, i: Column) -> Column:
+        """The next word starts a piece. Beyond the ends there are NULLs, and a comparison with them is not true."""
+        x = F.get(h, i + 1)
+        return (x <= F.get(h, i)) & (x <= F.get(h, i - 1)) & (x <= F.get(h, i + 2)) & (x <= F.get(h, i + 3))
+
+    def joined(ws: Column, h: Column) -> Column:
+        return F.array_join(F.transform(ws, lambda w, i: F.when(ends(h, i), F.concat(w, F.lit(_CUT))).otherwise(w)), " ")
 
-def _led(text: Column, newline: str) -> Column:
-    """The uncut lines, each with one white space in front (the first one's is added); ``newline`` stands for newlines."""
-    marked = F.replace(text, F.lit("\n"), F.lit(_CUT + newline))
-    for m in _MARKS:
-        marked = F.replace(marked, F.lit(m + " "), F.lit(m + _CUT + " "))
-    odd = F.split(F.concat(F.lit(" "), text), _CUT_PATTERN)
-    if newline != "\n":
-        odd = F.transform(odd, lambda x: F.concat(F.lit(newline), F.substr(x, F.lit(2))))
-    return F.when(text.contains(_CUT), odd).otherwise(F.split(F.concat(F.lit(" "), marked), _CUT))
+    return let(F.split(line, " "), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: joined(ws, h)))
 
 
 def _is_long(line: Column) -> Column:
-    """Over ``LONG`` words, counted by the spaces and the white space in front."""
-    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    return (F.octet_length(line) > 2 * LONG) & (spaces + F.startswith(line, F.lit("\n")).cast("int") >= LONG)
+    """At least ``LONG`` words, counted by the spaces, no further than asked."""
+    return (F.octet_length(line) >= 2 * LONG) & (F.size(F.split(line, " ", LONG)) >= LONG)
+
 
+def _escaped(text: Column) -> Column:
+    own = F.replace(F.replace(text, F.lit(_ESC), F.lit(_ESC + "A")), F.lit(_CUT), F.lit(_ESC + "B"))
+    return F.when(text.contains(_CUT) | text.contains(_ESC), own).otherwise(text)
 
-def _pieced(lines: Column, restore: bool) -> Column:
-    """``lines`` with the long ones cut; ``restore``: a piece keeps its line's own white space in front."""
-    def cut(line: Column) -> Column:
-        words = F.split(F.translate(line, "\n", " "), " ")
 
-        def piece(ws: Column, at: Column, s: Column, k: Column) -> Column:
-            own = F.array_join(F.slice(ws, s + 1, F.coalesce(F.get(at, k + 1), F.size(ws)) - s), " ")
-            lead = F.substr(line, F.lit(1), F.lit(1)) if restore else F.lit(" ")
-            # the first word of the first piece is the empty one before the white space in front
-            return F.when(k == 0, F.concat(lead, F.substr(own, F.lit(2)))).otherwise(F.concat(F.lit(" "), own))
+def _plain(text: Column) -> Column:
+    own = F.replace(F.replace(text, F.lit(_ESC + "B"), F.lit(_CUT)), F.lit(_ESC + "A"), F.lit(_ESC))
+    return F.when(text.contains(_ESC), own).otherwise(text)
 
-        return let(words, lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: let(
-            starts(h), lambda at: F.transform(at, lambda s, k: piece(ws, at, s, k)))))
 
-    def starts(h: Column) -> Column:
-        # never next to either end: what stands there differs from place to place
-        def low(i: Column) -> Column:
-            x = F.get(h, i)
-            return (x <= F.get(h, i - 1)) & (x <= F.get(h, i - 2)) & (x <= F.get(h, i + 1)) & (x <= F.get(h, i + 2))
+def _lines(cut: Column) -> Column:
+    return F.split(cut, _CUT)
 
-        return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(3), F.size(h) - 3), low))
 
-    return let(lines, lambda a: F.when(F.exists(a, _is_long), F.flatten(F.transform(
-        a, lambda x: F.when(_is_long(x), cut(x)).otherwise(F.array(x))))).otherwise(a))
+def _alike(lines: Column) -> Column:
+    """The lines with a space in front instead of a newline, so that equal lines are equal wherever they stand."""
+    return F.transform(lines, lambda x: F.when(F.startswith(x, F.lit("\n")), F.concat(F.lit(" "), F.substr(x, F.lit(2)))).otherwise(x))
 
 
-def _bare(x: Column, i: Column) -> Column:
-    """A line without the one white space in front."""
-    return F.when(i == 0, x).otherwise(F.substr(x, F.lit(2)))
+def _hashes(cut: Column) -> Column:
+    return F.transform(_alike(_lines(cut)), lambda x: F.xxhash64(x))
 
 
-def _chunks(text: Column) -> Column:
-    """array<struct<s, hash>>: the chosen boundaries, each with the rolling hash of its line and the next."""
+def lines_of(text: Column) -> Column:
+    """The lines: joined, they give the text again. All but the first start with the white space before them."""
+    return F.transform(_lines(_cut(text)), lambda x, i: _plain(F.when(i == 0, F.substr(x, F.lit(2))).otherwise(x)))
+
+
+def _line_hashes(text: Column) -> Column:
+    """A hash per line of ``lines_of``, the same whatever white space stands before the line."""
+    return _hashes(_cut(text))
+
+
+def _chunks(cut: Column) -> Column:
+    """array<struct<s, hash>>: the chosen boundaries of a cut text, each with the rolling hash of its line and the next."""
     def boundaries(r: Column) -> Column:
         def chosen(x: Column, i: Column) -> Column:
             """Smallest, and last of equal ones, in one of the three windows that hold it. Beyond the ends there are NULLs,
@@ -120,21 +127,7 @@ def _chunks(text: Column) -> Column:
         return F.when(F.size(h) > 1, F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1),
                                                 lambda x, y: F.xxhash64(x, y)))
 
-    return let(let(_line_hashes(text), rolling), boundaries)
-
-
-def _with_lines(rows: DataFrame, wanted: DataFrame, folder: str, name: str) -> DataFrame:
-    """``wanted`` (doc_id, mark, ranges) with the text. Only texts that are asked for are shuffled."""
-    some = staged(wanted.select(F.col("mark").alias("some")).distinct(), folder, name)
-    texts = rows.join(store.small(some, 16), F.col("mark") == F.col("some"), "left_semi")
-    w = wanted.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"), "ranges")
-    joined = texts.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
-    return joined.select("doc_id", "mark", "ranges", "text")
-
-
-def _bare_lines(text: Column) -> Column:
-    """The lines without white space in front."""
-    return F.transform(lines_of(text), _bare)
+    return let(let(_hashes(cut), rolling), boundaries)
 
 
 def _cut_out(lines: Column, lo: Column, hi: Column) -> Column:
@@ -143,27 +136,27 @@ def _cut_out(lines: Column, lo: Column, hi: Column) -> Column:
 
 
 def _joined(ss: Column, gap: int) -> Column:
-    """array<struct<a, b>>: maximal stretches of sorted numbers whose neighbours differ by at most ``gap``."""
+    """array<struct<s, e>>: maximal stretches of sorted numbers whose neighbours differ by at most ``gap``."""
     starts = F.filter(ss, lambda x, i: (i == 0) | (x - F.get(ss, i - 1) > gap))
     ends = F.filter(ss, lambda x, i: (i == F.size(ss) - 1) | (F.get(ss, i + 1) - x > gap))
-    return F.arrays_zip(starts.alias("a"), ends.alias("b"))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("s"), b.alias("e")))
 
 
 def _stretches(at: Column) -> Column:
-    """array<struct<id0, mark0, lo0, hi0, shifts>>, from a text's sorted array<struct<id0, mark0, shift, s>>: the ranges lo0 to hi0 of
+    """array<struct<id0, mark0, lo0, hi0, shifts>>, from a text's sorted array<struct<id0, mark0, shift, a, b>>: the ranges lo0 to hi0 of
     first occurrences, each with the shifts of its repeats in the text."""
     def same(x: Column, y: Column, *names: str) -> Column:
         return x["id0"].eqNullSafe(y["id0"]) & reduce(lambda a, n: a & (x[n] == y[n]), names, F.lit(True))
 
     def follows(x: Column, y: Column) -> Column:
-        return same(x, y, "mark0", "shift") & (y["s"] - x["s"] <= WINDOW)
+        return same(x, y, "mark0", "shift") & (y["a"] - x["b"] <= WINDOW)
 
     def ranges(at: Column) -> Column:
         starts = F.filter(at, lambda x, i: (i == 0) | ~follows(F.get(at, i - 1), x))
         ends = F.filter(at, lambda x, i: (i == F.size(at) - 1) | ~follows(x, F.get(at, i + 1)))
         return F.sort_array(F.zip_with(starts, ends, lambda x, y: F.struct(
-            x["id0"].alias("id0"), x["mark0"].alias("mark0"), (x["s"] - x["shift"] - WINDOW + 1).alias("lo0"),
-            (y["s"] - y["shift"] + WINDOW).alias("hi0"), x["shift"].alias("shift"))))
+            x["id0"].alias("id0"), x["mark0"].alias("mark0"), (x["a"] - x["shift"] - WINDOW + 1).alias("lo0"),
+            (y["b"] - y["shift"] + WINDOW).alias("hi0"), x["shift"].alias("shift"))))
 
     def grouped(rs: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(rs) - 1),
@@ -175,63 +168,108 @@ def _stretches(at: Column) -> Column:
     return let(let(at, ranges), grouped)
 
 
-def _equal_spans(same_text: Column) -> Column:
-    """array<struct<s, e>>: the equal lines of ``pieces`` and ``theirs``, byte by byte, as stretches of the text."""
-    def spans(piece: Column) -> Column:
-        equal = F.filter(F.transform(piece["ours"], lambda x, i: F.when(x == F.get("theirs", i), i)), lambda i: i.isNotNull())
+def _equal_runs(lines: Column) -> Column:
+    """array<struct<s, e>>: the lines that are equal, byte by byte, to those of ``pieces``, as runs in order."""
+    def equal(piece: Column, shift: Column) -> Column:
+        places = F.sequence(piece["lo0"] + shift, piece["lo0"] + shift + F.size(piece["theirs"]) - 1)
+        return F.filter(places, lambda j, i: F.get(piece["theirs"], i) == F.get(lines, j))
 
-        def placed(ab: Column) -> Column:
-            s, e = (F.col("lo0") + piece["shift"] + ab[n] for n in "ab")
-            return F.struct(F.when(same_text, F.greatest(s, e - piece["shift"] + 1)).otherwise(s).alias("s"), e.alias("e"))
+    def beyond(js: Column, shift: Column) -> Column:
+        """Of a text's repeats of itself, what lies after the first occurrence."""
+        return F.flatten(F.transform(_joined(js, 1), lambda r: F.sequence(F.greatest(r["s"], r["e"] - shift + 1), r["e"])))
 
-        return F.transform(let(equal, lambda e: _joined(e, 1)), placed)
+    def covered(piece: Column) -> Column:
+        return F.flatten(F.transform(piece["shifts"], lambda z: let(
+            equal(piece, z), lambda js: F.when(piece["own"], beyond(js, z)).otherwise(js))))
 
-    return _merged(F.flatten(F.transform("pieces", spans)))
+    every = F.sort_array(F.array_distinct(F.flatten(F.transform("pieces", covered))))
+    return let(every, lambda js: _joined(js, 1))
 
 
-def _merged(spans: Column) -> Column:
-    """``spans`` in order, those that overlap or touch as one."""
-    covered = F.flatten(F.transform(spans, lambda r: F.sequence(r["s"], r["e"])))
-    whole = let(F.sort_array(F.array_distinct(covered)), lambda ls: _joined(ls, 1))
-    return F.transform(whole, lambda r: F.struct(r["a"].alias("s"), r["b"].alias("e")))
+def _staged_cuts(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, mark, cut, row): the cut texts that are not NULL, with their hashes and the other columns of ``docs``."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").dropFields("text").alias("row"))
+    return staged(rows.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("mark"), _cut(F.col("text")).alias("cut"), "row"), folder, "cuts", compression="zstd")
 
 
-def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, mark, runs array<struct<s, e>>): the line ranges that repeat earlier ones, merged and in order;
-    mark is the text's hash."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
+def _stretches_of(cuts: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, mark, ranges): one row per text, a range of an earlier text once in it, however often the text repeats it."""
     # inline_outer: before inline, Spark filters by the size of the array, which computes it twice
-    chunks = staged(rows.select("doc_id", "mark", F.inline_outer(_chunks(F.col("text")))).filter("hash IS NOT NULL"), folder, "chunks")
+    chunks = staged(cuts.select("doc_id", "mark", F.inline_outer(_chunks(F.col("cut")))).filter("hash IS NOT NULL"), folder, "chunks", **_PLAIN_HASHES)
     # hashes that occur again, with the smallest id that has them (NULL ids come first)
     again = (chunks.groupBy("hash").agg(F.count("*").alias("c"), F.min("doc_id").alias("id0"), F.count_if(F.col("doc_id").isNull()).alias("nameless"))
              .filter("c > 1").select("hash", F.when(F.col("nameless") == 0, F.col("id0")).alias("id0")))
-    found = staged(chunks.join(staged(again, folder, "again"), "hash"), folder, "found")
+    # each hash stands once in these tables, so no key makes a hashed partition large
+    found = staged(chunks.join(staged(again, folder, "again").hint("shuffle_hash"), "hash"), folder, "found", **_PLAIN_HASHES)
     first = (found.filter(F.col("doc_id").eqNullSafe(F.col("id0"))).groupBy("hash").agg(F.min(F.struct("mark", "s")).alias("first"))
              .select("hash", F.col("first.mark").alias("mark0"), F.col("first.s").alias("s0")))
-    repeats = (found.join(staged(first, folder, "first"), "hash")
+    repeats = (found.join(staged(first, folder, "first").hint("shuffle_hash"), "hash")
                .filter(~(F.col("doc_id").eqNullSafe(F.col("id0")) & (F.col("mark") == F.col("mark0")) & (F.col("s") == F.col("s0")))))
-    # one row per text: a range of an earlier text stands once in it, however often the text repeats it
-    at = F.struct("id0", "mark0", (F.col("s") - F.col("s0")).alias("shift"), "s")
-    stretches = staged(repeats.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(at)).alias("at"))
-                       .select("doc_id", "mark", _stretches(F.col("at")).alias("ranges")), folder, "stretches")
-    # both sides of every stretch, each text cut once; a text that thousands repeat gives each of its ranges once
-    ours = (_with_lines(rows, stretches, folder, "own")
-            .select("doc_id", "mark", F.inline_outer(let(_bare_lines(F.col("text")), lambda lines: F.transform("ranges", lambda r: F.struct(
-                r["id0"].alias("id0"), r["mark0"].alias("mark0"), r["lo0"].alias("lo0"), r["hi0"].alias("hi0"),
-                F.transform(r["shifts"], lambda z: F.struct(z.alias("shift"), _cut_out(lines, r["lo0"] + z, r["hi0"] + z).alias("ours"))).alias("pieces")))))))
-    origin = (stretches.select(F.explode("ranges").alias("r")).select(F.col("r.id0").alias("doc_id"), F.col("r.mark0").alias("mark"), "r.lo0", "r.hi0")
-              .distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo0", "hi0")).alias("ranges")))
-    theirs = staged(_with_lines(rows, origin, folder, "origins")
-                    .select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), F.inline_outer(let(
-                        _bare_lines(F.col("text")), lambda lines: F.transform("ranges", lambda r: F.struct(
-                            r["lo0"].alias("t_lo"), r["hi0"].alias("t_hi"), _cut_out(lines, r["lo0"], r["hi0"]).alias("theirs"))))))
-                    .dropDuplicates(["t_id", "t_mark", "t_lo", "t_hi"]), folder, "theirs")  # rows of equal id and text give the same
-    both = ours.join(theirs, F.col("id0").eqNullSafe(F.col("t_id")) & (F.col("mark0") == F.col("t_mark"))
-                     & (F.col("lo0") == F.col("t_lo")) & (F.col("hi0") == F.col("t_hi")))
-    same_text = F.col("doc_id").eqNullSafe(F.col("id0")) & (F.col("mark") == F.col("mark0"))
-    return staged(both.select("doc_id", "mark", _equal_spans(same_text).alias("spans"))
-                  .groupBy("doc_id", "mark").agg(F.collect_set("spans").alias("spans")).filter(F.exists("spans", lambda x: F.size(x) > 0))
-                  .select("doc_id", "mark", _merged(F.flatten("spans")).alias("runs")), folder, "runs")
+    # 32 lines to a number, so that a few rows for each of a text's ranges meet in its array
+    blocks = (repeats.groupBy("doc_id", "mark", "id0", "mark0", (F.col("s") - F.col("s0")).alias("shift"), F.shiftright("s", 5).alias("block"))
+              .agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits")))
+    at = F.sort_array(F.flatten(F.collect_list(_parts())))
+    return staged(blocks.repartition("doc_id", "mark").groupBy("doc_id", "mark").agg(at.alias("at"))
+                  .select("doc_id", "mark", _stretches(F.col("at")).alias("ranges")), folder, "stretches")
+
+
+def _parts() -> Column:
+    """array<struct<id0, mark0, shift, a, b>>: the lines of a block as stretches whose neighbours are at most ``WINDOW`` apart."""
+    def near(shift: Callable) -> Column:
+        return reduce(lambda x, y: x.bitwiseOR(y), [shift("bits", k) for k in range(1, WINDOW + 1)])
+
+    def part(a: Column, b: Column) -> Column:
+        return F.struct("id0", "mark0", "shift", (F.col("block") * 32 + a).alias("a"), (F.col("block") * 32 + b).alias("b"))
+
+    def only(x: Column) -> Column:
+        """The number of the only set bit: so many stand below it."""
+        return F.bit_count((x - 1).bitwiseAND(F.bitwise_not(x)))
+
+    def places(x: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.getbit(x, i) != 0)
+
+    starts = F.col("bits").bitwiseAND(F.bitwise_not(near(F.shiftleft)))
+    ends = F.col("bits").bitwiseAND(F.bitwise_not(near(F.shiftrightunsigned)))
+    return F.when(F.bit_count(starts) == 1, F.array(part(only(starts), only(ends)))).otherwise(F.zip_with(places(starts), places(ends), part))
+
+
+def _matched(cuts: DataFrame, stretches: DataFrame, marks: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``cuts`` whose hash is in ``marks``, with pieces array<struct<lo0, shifts, own, theirs>>: the lines of the earlier
+    texts' ranges, where the text may repeat them. Only texts that are asked for are shuffled."""
+    wanted = stretches.select("doc_id", "mark", F.inline("ranges"))
+    origins = wanted.select(F.col("id0").alias("t_id"), F.col("mark0").alias("t_mark"), "lo0", "hi0").distinct()
+    origins = origins.groupBy("t_id", "t_mark").agg(F.collect_list(F.struct("lo0", "hi0")).alias("asked"))
+    some = store.small(staged(origins.select(F.col("t_mark").alias("some")).distinct(), folder, "origins"), 16)
+    texts = cuts.select("doc_id", "mark", "cut").join(some, F.col("mark") == F.col("some"), "left_semi")
+    theirs = (texts.join(origins, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("mark") == F.col("t_mark")))
+              .select("t_id", "t_mark", F.inline_outer(let(_alike(_lines(F.col("cut"))), lambda lines: F.transform("asked", lambda r: F.struct(
+                  r["lo0"].alias("t_lo"), r["hi0"].alias("t_hi"), _cut_out(lines, r["lo0"], r["hi0"]).alias("theirs")))))))
+    # rows of equal id and text give the same
+    theirs = staged(theirs.dropDuplicates(["t_id", "t_mark", "t_lo", "t_hi"]), folder, "theirs")
+    both = wanted.join(theirs, F.col("id0").eqNullSafe(F.col("t_id")) & (F.col("mark0") == F.col("t_mark"))
+                       & (F.col("lo0") == F.col("t_lo")) & (F.col("hi0") == F.col("t_hi")))
+    own = F.col("doc_id").eqNullSafe(F.col("id0")) & (F.col("mark") == F.col("mark0"))
+    # the join's keys are those of the grouping (NULL ids by a column of their own), so nothing is shuffled twice
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    pieces = (both.select(name.alias("p_name"), F.col("doc_id").isNull().alias("p_null"), F.col("mark").alias("p_mark"),
+                          F.struct("lo0", "shifts", own.alias("own"), "theirs").alias("piece"))
+              .groupBy("p_name", "p_null", "p_mark").agg(F.collect_list("piece").alias("pieces")))
+    here = cuts.join(marks, F.col("mark") == F.col("some"), "left_semi").withColumns({"name": name, "nameless": F.col("doc_id").isNull()})
+    return here.join(pieces, (F.col("name") == F.col("p_name")) & (F.col("nameless") == F.col("p_null")) & (F.col("mark") == F.col("p_mark")), "left")
+
+
+def _marks(stretches: DataFrame, folder: str) -> DataFrame:
+    return store.small(staged(stretches.select(F.col("mark").alias("some")).distinct(), folder, "marks"), 16)
+
+
+def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, mark, runs array<struct<s, e>>): the line ranges that repeat earlier ones, merged and in order;
+    mark is the text's hash."""
+    cuts = _staged_cuts(docs, folder)
+    stretches = _stretches_of(cuts, folder)
+    runs = let(_alike(_lines(F.col("cut"))), _equal_runs)
+    found = _matched(cuts, stretches, _marks(stretches, folder), folder).filter("pieces IS NOT NULL")
+    return found.select("doc_id", "mark", runs.alias("runs")).dropDuplicates(["doc_id", "mark"]).filter(F.size("runs") > 0)
 
 
 def _has_words(text: Column, n: int) -> Column:
@@ -240,36 +278,38 @@ def _has_words(text: Column, n: int) -> Column:
 
 
 def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
-    """(row struct<all columns of docs>, text, removed): the rows with their remaining texts and the number of lines gone."""
+    """(row struct<the columns of docs but text>, text, removed): the rows with their remaining texts and the number of lines gone."""
     folder = store.scratch(docs.sparkSession, "lines")
-    runs = repeated_runs(docs, folder).select(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark"), "runs")
-    # the user's columns stay inside one struct, so no name of theirs meets one of ours
-    rows = docs.select(F.struct("*").alias("row")).withColumn("text", F.col("row.text").cast("string")).withColumn("mark", F.xxhash64("text"))
+    cuts = _staged_cuts(docs, folder)
+    stretches = _stretches_of(cuts, folder)
+    marks = _marks(stretches, folder)
 
     def piece(lines: Column, s: Column, e: Column) -> Column:
-        return F.array_join(F.slice(lines, s + 1, F.greatest(e - s + 1, F.lit(0))), "")
+        return F.array_join(F.slice(lines, s + 1, e - s + 1), "")
 
     def long_runs(lines: Column) -> Column:
-        return F.filter("runs", lambda r: _has_words(piece(lines, r["s"], r["e"]), min_words))
+        runs = F.when(F.col("pieces").isNotNull(), let(_alike(lines), _equal_runs))
+        return F.filter(runs, lambda r: _has_words(piece(lines, r["s"], r["e"]), min_words))
 
-    def rest(lines: Column, cut: Column) -> Column:
+    def rest(lines: Column, runs: Column) -> Column:
         """What is left of the text, and the number of lines gone."""
         def after(k: Column) -> Column:
-            return F.coalesce(F.get(cut, k - 1)["e"] + 1, F.lit(0))
-
-        pieces = F.transform(cut, lambda r, k: piece(lines, after(k), r["s"] - 1))
-        last = piece(lines, after(F.size(cut)), F.size(lines) - 1)
-        gone = F.aggregate(F.transform(cut, lambda r, k: r["e"] + 1 - F.greatest(r["s"], after(k))), F.lit(0), lambda a, x: a + x)
-        return F.struct(F.concat(F.array_join(pieces, ""), last).alias("text"), gone.cast("long").alias("removed"))
-
-    # only texts with runs are shuffled; the others pass by
-    marks = store.small(staged(runs.select(F.col("r_mark").alias("some")).distinct(), folder, "marks"), 16)
-    here = F.col("mark") == F.col("some")
-    plain = F.struct(F.col("text"), F.lit(0).cast("long").alias("removed"))
-    done = let(lines_of(F.col("text")), lambda lines: let(long_runs(lines), lambda cut: rest(lines, cut)))
-    touched = (rows.join(marks, here, "left_semi").join(runs, F.col("row.doc_id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left")
-               .select("row", F.when(F.col("runs").isNull(), plain).otherwise(done).alias("done")))
-    passing = rows.join(marks, here, "left_anti").select("row", plain.alias("done"))
+            return F.coalesce(F.get(runs, k - 1)["e"] + 1, F.lit(0))
+
+        pieces = F.transform(runs, lambda r, k: piece(lines, after(k), r["s"] - 1))
+        left = F.concat(F.array_join(pieces, ""), piece(lines, after(F.size(runs)), F.size(lines) - 1))
+        gone = F.aggregate(runs, F.lit(0), lambda n, r: n + r["e"] + 1 - r["s"])
+        # the white space in front of the first line is not the text's
+        text = F.when(F.get(runs, F.lit(0))["s"] == 0, left).otherwise(F.substr(left, F.lit(2)))
+        return F.struct(_plain(text).alias("text"), gone.cast("long").alias("removed"))
+
+    done = let(_lines(F.col("cut")), lambda lines: let(F.coalesce(long_runs(lines), F.array().cast("array<struct<s:int,e:int>>")), lambda runs: rest(lines, runs)))
+    # the user's columns stay inside one struct, so no name of theirs meets one of ours; only texts with repeats are shuffled
+    touched = _matched(cuts, stretches, marks, folder).select("row", done.alias("done"))
+    text = F.col("row.text").cast("string")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("mark", F.when(text.isNotNull(), F.xxhash64(text)))
+    plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("removed"))
+    passing = rows.join(marks, F.col("mark") == F.col("some"), "left_anti").select(F.col("row").dropFields("text").alias("row"), plain.alias("done"))
     return touched.unionByName(passing).select("row", "done.text", "done.removed")
 
 
@@ -279,7 +319,7 @@ def _columns(docs: DataFrame) -> list[Column]:
     if "n_chars" in docs.columns:
         kept = F.col("row.n_chars")
         new["n_chars"] = F.when(F.col("removed") > 0, F.char_length("text")).otherwise(kept).cast(docs.schema["n_chars"].dataType)
-    return [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    return [(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns]
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

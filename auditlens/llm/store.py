@@ -25,9 +25,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """``df`` written to ``folder/name`` and read back: lineage ends, nothing is computed twice."""
-    df.write.parquet(f"{folder}/{name}")
+def staged(df: DataFrame, folder: str, name: str, **options: str) -> DataFrame:
+    """``df`` written to ``folder/name`` and read back: lineage ends, nothing is computed twice. ``options`` are Parquet's."""
+    df.write.options(**options).parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
